@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import language_id, license_scan, personal_data, vector_search
 from .common import read_table
 
 
@@ -13,8 +13,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(docs, language_id.train(docs))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
+    "op3_personal_data": op3_personal_data,
+    "op4_vector_search": op4_vector_search,
 }
 
 ORACLE_SQL: dict[str, str] = {}
