@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, near_duplicates, personal_data, vector_search
+from . import document_trees, language_id, license_scan, near_duplicates, personal_data, vector_search
 from .common import read_table
 
 
@@ -29,12 +29,17 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_document_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_trees.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_personal_data": op3_personal_data,
     "op4_vector_search": op4_vector_search,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_document_trees": op8_document_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {}
