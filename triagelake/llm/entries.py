@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_trees, language_id, language_model, license_scan, near_duplicates, personal_data, vector_search
+from . import document_trees, language_id, language_model, license_scan, near_duplicates, packing, personal_data, vector_search
 from .common import read_table
 
 
@@ -37,6 +37,10 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -45,6 +49,7 @@ QUERIES = {
     "op6_language_model": op6_language_model,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_document_trees": op8_document_trees,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
