@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_trees, language_id, language_model, license_scan, near_duplicates, packing, personal_data, vector_search
+from . import document_trees, language_id, language_model, license_scan, near_duplicates, packing, personal_data, quality, vector_search
 from .common import read_table
 
 
@@ -41,6 +41,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -50,6 +54,7 @@ QUERIES = {
     "op7_simhash_groups": op7_simhash_groups,
     "op8_document_trees": op8_document_trees,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
