@@ -8,7 +8,8 @@ At prediction embedding and linear layer collapse into one table of BUCKETS x la
 not depend on the data. Each distinct word of a slice is scored once.
 
 Cases: null or letterless text gives ``und``, score 0, rejected. Null ids and null langs are never trained on; rows with a null id
-are predicted with ``held_out`` false. No labelled row at all: every text is ``und``. Repeated rows are scored alike. Only id, text
+are predicted with ``held_out`` false. No labelled row at all: every text is ``und``, and only letterless
+ones are rejected. Repeated rows are scored alike. Only id, text
 and lang are read, so other columns may have any name.
 """
 
@@ -169,7 +170,7 @@ def predict_slice(texts: pa.Array, model: LanguageModel | None) -> tuple[pa.Arra
     """Language, confidence and rejection of each text."""
     known = np.asarray(pc.match_substring_regex(texts, r"\p{L}")).astype(bool)
     if model is None or not known.any():
-        return pa.array([UNKNOWN] * len(texts), pa.string()), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        return pa.array([UNKNOWN] * len(texts), pa.string()), np.zeros(len(texts)), ~known
     words = WordArrays(pc.utf8_lower(texts))
     grams, bounds = gram_buckets(words.distinct)
     by_word = segment_sums(model.table[grams], bounds)
