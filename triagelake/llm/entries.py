@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_trees, language_id, language_model, license_scan, near_duplicates, packing, personal_data, quality, vector_search
+from . import document_trees, language_id, language_model, license_scan, near_duplicates, packing, personal_data, piece_codec, quality, vector_search
 from .common import read_table
 
 
@@ -45,11 +45,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digest_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_personal_data": op3_personal_data,
     "op4_vector_search": op4_vector_search,
+    "op5_piece_codec": op5_piece_codec,
     "op6_language_model": op6_language_model,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_document_trees": op8_document_trees,
