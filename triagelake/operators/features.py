@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import DURATIONS, MARKERS
+from .gate import CATEGORIES
 
 HARMS = ("none", "distress", "harassment", "identity_attack", "threat", "self_harm")
 CONCERNING, MOST_WEEKS, TOP_K, LEAST_FOR_SLOPE = 0.5, 100.0, 3, 4
 
-#: Feature groups, each a rung of the ablation ladder.
+#: Feature groups, each a rung of the ablation ladder; 38 in all, in the order of the design matrix.
 GROUPS = {
-    "gate": ["gate_score", "gate_floor_rank", "gate_n_hits", "gate_level_rank", "gate_requires_crisis", "gate_n_categories", "gate_max_weight", *[f"gate_{c}" for c in ("self_harm", "suicidal", "abuse", "threat", "weapon", "imminent")]],
-    "turn": ["risk_max", "risk_mean", "risk_topk", "risk_frac", "risk_n", *[f"max_{h}" for h in HARMS]],
-    "trend": ["risk_slope", "risk_delta", "risk_last", "risk_peak_pos", "n_turns"],
+    "gate": ["gate_score", "gate_has_floor", "gate_floor_rank", "gate_is_high", "gate_is_grey", "gate_hit_count", "gate_max_weight", *[f"gate_{c}" for c in CATEGORIES]],
+    "turn": ["max_risk", "mean_risk", "topk_mean_risk", "frac_above_tau", "count_above_tau", *[f"max_p_{h}" for h in HARMS]],
+    "trend": ["trend_slope", "last_risk", "second_half_delta", "peak_position", "n_turns"],
     "report": ["duration_score", "frequency_count", "has_frequency", "avoidance_count", "has_avoidance", "barrier_count", "has_identity_target"],
-    "history": ["n_prior", "days_since_prior"],
+    "history": ["prior_sessions", "prior_max_tier_rank"],
 }
+FEATURES = [name for names in GROUPS.values() for name in names]
+ABLATIONS = {"gate-only": ("gate",), "turn-only": ("turn",), "gate+turn": ("gate", "turn"), "+trend": ("gate", "turn", "trend"), "+report": ("gate", "turn", "trend", "report"), "full": tuple(GROUPS)}
 
 
 def markers(accounts: DataFrame) -> DataFrame:
@@ -51,10 +54,10 @@ def turn_features(turns: DataFrame) -> DataFrame:
     """Per case (case_id, turn, probs): levels and peaks of the risk of its turns."""
     risk = turns.withColumn("risk", 1 - F.get("probs", F.lit(0)))
     top = F.slice(F.sort_array(F.collect_list("risk"), asc=False), 1, TOP_K)
-    own = [F.max(F.get("probs", F.lit(i))).alias(f"max_{h}") for i, h in enumerate(HARMS)]
+    own = [F.max(F.get("probs", F.lit(i))).alias(f"max_p_{h}") for i, h in enumerate(HARMS)]
     concerning = F.count_if(F.col("risk") > CONCERNING)
-    out = risk.groupBy("case_id").agg(F.max("risk").alias("risk_max"), F.avg("risk").alias("risk_mean"), top.alias("top"), (concerning / F.count("*")).alias("risk_frac"), concerning.cast("double").alias("risk_n"), *own)
-    return out.withColumn("risk_topk", F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")).drop("top")
+    out = risk.groupBy("case_id").agg(F.max("risk").alias("max_risk"), F.avg("risk").alias("mean_risk"), top.alias("top"), (concerning / F.count("*")).alias("frac_above_tau"), concerning.cast("double").alias("count_above_tau"), *own)
+    return out.withColumn("topk_mean_risk", F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")).drop("top")
 
 
 def trend_features(turns: DataFrame) -> DataFrame:
@@ -64,16 +67,29 @@ def trend_features(turns: DataFrame) -> DataFrame:
     sized = risk.withColumn("n", n).withColumn("half", F.floor(F.col("n") / 2))
     late, early = F.when(F.col("turn") >= F.col("half"), F.col("risk")), F.when(F.col("turn") < F.greatest("half", F.lit(1)), F.col("risk"))
     out = sized.groupBy("case_id").agg(
-        F.max("n").alias("n"), F.regr_slope(F.col("risk"), F.col("turn").cast("double")).alias("slope"), (F.avg(late) - F.avg(early)).alias("risk_delta"), F.max_by("risk", "turn").alias("risk_last"), F.min_by("turn", F.struct(-F.col("risk"), F.col("turn"))).alias("peak")
+        F.max("n").alias("n"), F.regr_slope(F.col("risk"), F.col("turn").cast("double")).alias("slope"), (F.avg(late) - F.avg(early)).alias("second_half_delta"), F.max_by("risk", "turn").alias("last_risk"), F.min_by("turn", F.struct(-F.col("risk"), F.col("turn"))).alias("peak")
     )
-    return out.select("case_id", F.when(F.col("n") >= LEAST_FOR_SLOPE, F.col("slope")).otherwise(0.0).alias("risk_slope"), "risk_delta", "risk_last", F.when(F.col("n") > 1, F.col("peak") / (F.col("n") - 1)).otherwise(0.0).alias("risk_peak_pos"), F.col("n").cast("double").alias("n_turns"))
+    return out.select("case_id", F.when(F.col("n") >= LEAST_FOR_SLOPE, F.col("slope")).otherwise(0.0).alias("trend_slope"), "second_half_delta", "last_risk", F.when(F.col("n") > 1, F.col("peak") / (F.col("n") - 1)).otherwise(0.0).alias("peak_position"), F.col("n").cast("double").alias("n_turns"))
 
 
-def featurise(verdicts: DataFrame, turns: DataFrame, accounts: DataFrame) -> DataFrame:
-    """The features of a case by one join on its id; cases without turns have no row."""
-    gate = verdicts.select("case_id", F.col("score").alias("gate_score"), F.coalesce(F.substring("floor", 2, 1).cast("double"), F.lit(0.0)).alias("gate_floor_rank"), F.col("n_hits").cast("double").alias("gate_n_hits"), F.col("requires_crisis").cast("double").alias("gate_requires_crisis"))
+def featurise(verdicts: DataFrame, turns: DataFrame, accounts: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """The 38 features of each case that has turns, joined on its id alone.
+
+    ``history`` may give prior_sessions and prior_max_tier_rank by case_id; both are 0 without it.
+    """
+    fired = F.split("categories", ",")
+    gate = verdicts.select(
+        "case_id", F.col("score").alias("gate_score"), F.col("floor").isNotNull().cast("double").alias("gate_has_floor"), F.coalesce(F.substring("floor", 2, 1).cast("double"), F.lit(0.0)).alias("gate_floor_rank"),
+        (F.col("level") == "high").cast("double").alias("gate_is_high"), (F.col("level") == "grey").cast("double").alias("gate_is_grey"), F.col("n_hits").cast("double").alias("gate_hit_count"), F.col("max_weight").alias("gate_max_weight"),
+        *[F.array_contains(fired, c).cast("double").alias(f"gate_{c}") for c in CATEGORIES],
+    )
     report = markers(accounts).select("case_id", *GROUPS["report"])
-    return turn_features(turns).join(trend_features(turns), "case_id").join(report, "case_id", "left").join(gate, "case_id", "left").fillna(0.0)
+    out = turn_features(turns).join(trend_features(turns), "case_id").join(report, "case_id", "left").join(gate, "case_id", "left")
+    if history is None:
+        out = out.withColumn("prior_sessions", F.lit(0.0)).withColumn("prior_max_tier_rank", F.lit(0.0))
+    else:
+        out = out.join(history.select("case_id", *[F.col(c).cast("double").alias(c) for c in GROUPS["history"]]), "case_id", "left")
+    return out.fillna(0.0).select("case_id", *FEATURES)
 
 
 def quotes(turns: DataFrame, hits: DataFrame, limit: int = 3, least: int = 15) -> DataFrame:

@@ -92,7 +92,7 @@ def verdicts(hits: DataFrame, scope: DataFrame, keys: Sequence[str]) -> DataFram
     by_category = hits.groupBy(*keys, "category").agg(F.max("weight").alias("w"), F.max(F.when(F.col("severity") == "strong", floors[F.col("category")])).alias("hard"), F.max(F.when(F.col("severity") == "moderate", floors[F.col("category")])).alias("soft"), F.count("*").alias("n"))
     # At most one row for each category is collected.
     by_key = by_category.groupBy(*keys).agg(
-        F.collect_list("w").alias("ws"), F.max("hard").alias("hard"), F.max("soft").alias("soft"), F.bool_or(modifies).alias("marked"), F.bool_or(~modifies).alias("real"), F.sum(F.when(modifies, 0).otherwise(F.col("n"))).alias("n_real"), F.sum("n").alias("n"),
+        F.collect_list("w").alias("ws"), F.max("hard").alias("hard"), F.max("soft").alias("soft"), F.bool_or(modifies).alias("marked"), F.bool_or(~modifies).alias("real"), F.sum("n").alias("n"), F.max("w").alias("max_w"),
         F.transform(F.array_sort(F.collect_list(F.struct(order[F.col("category")].alias("i"), "category"))), lambda x: x["category"]).alias("fired"),
     )
     raised = lambda c: F.when(F.col("marked") & (c == 3), 4).otherwise(c)
@@ -101,7 +101,7 @@ def verdicts(hits: DataFrame, scope: DataFrame, keys: Sequence[str]) -> DataFram
     out = scope.select(*keys).join(by_key, list(keys), "left").withColumn("score", F.coalesce(score, F.lit(0.0))).withColumn("floor_rank", F.when(F.col("real"), floor))
     return out.select(
         *keys, "score", _level(F.col("score")).alias("level"), tier_name(F.col("floor_rank")).alias("floor"), F.when(F.col("floor_rank") == 4, F.lit(None).cast("string")).otherwise(F.lit(f"T{CEILING}")).alias("ceiling"),
-        F.when(F.col("real"), F.array_join("fired", ",")).otherwise("").alias("categories"), F.coalesce(F.when(F.col("real"), F.col("n")), F.lit(0)).cast("long").alias("n_hits"), F.coalesce(F.col("floor_rank") == 4, F.lit(False)).alias("requires_crisis"),
+        F.when(F.col("real"), F.array_join("fired", ",")).otherwise("").alias("categories"), F.coalesce(F.when(F.col("real"), F.col("n")), F.lit(0)).cast("long").alias("n_hits"), F.coalesce(F.when(F.col("real"), F.col("max_w")), F.lit(0.0)).alias("max_weight"), F.coalesce(F.col("floor_rank") == 4, F.lit(False)).alias("requires_crisis"),
     )
 
 
