@@ -130,10 +130,10 @@ def decide_break_glass(requests: DataFrame, log: DataFrame) -> DataFrame:
 def review_break_glass(records: DataFrame, reviews: DataFrame) -> DataFrame:
     """Records with their first valid review: by a lead who is not the one that broke it, with a note; a reviewed record stays as it is."""
     ok = F.col("is_lead") & (F.length(F.trim("note")) >= REASON_CHARS["reviewed_break_glass"])
-    joined = records.join(reviews.filter(ok).select("record_id", "reviewer_id", "note", "at"), "record_id", "left").filter(F.col("reviewer_id").isNull() | (F.col("reviewer_id") != F.col("counsellor_id")) | F.col("reviewed_at").isNotNull())
-    first = joined.groupBy("record_id").agg(F.min_by(F.struct("reviewer_id", "note", "at"), F.struct("at", "reviewer_id")).alias("r"))
+    joined = records.join(reviews.filter(ok).select("record_id", "reviewer_id", "note", F.col("at").alias("review_at")), "record_id", "left").filter(F.col("reviewer_id").isNull() | (F.col("reviewer_id") != F.col("counsellor_id")) | F.col("reviewed_at").isNotNull())
+    first = joined.groupBy("record_id").agg(F.min_by(F.struct("reviewer_id", "note", "review_at"), F.struct("review_at", "reviewer_id")).alias("r"))
     out = records.join(first, "record_id", "left")
-    return out.withColumn("reviewed_by", F.coalesce(F.col("reviewed_by"), F.when(F.col("reviewed_at").isNull(), F.col("r.reviewer_id")))).withColumn("reviewed_at", F.coalesce(F.col("reviewed_at"), F.col("r.at"))).drop("r")
+    return out.withColumn("reviewed_by", F.coalesce(F.col("reviewed_by"), F.when(F.col("reviewed_at").isNull(), F.col("r.reviewer_id")))).withColumn("reviewed_at", F.coalesce(F.col("reviewed_at"), F.col("r.review_at"))).drop("r")
 
 
 def unreviewed(records: DataFrame) -> DataFrame:
