@@ -45,10 +45,28 @@ def links(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS,
     return both.select("a", "b", "days_apart", "shared_people", "shared_places", F.greatest(jaccard("shared_people", "pa", "pb"), jaccard("shared_places", "la", "lb")).alias("entity_overlap"))
 
 
-def bm25_pairs(words: DataFrame) -> DataFrame:
+def spanning_links(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS) -> DataFrame:
+    """(kind, token, a, b): few links that connect exactly what all of ``links`` connect, in number linear in the rows.
+
+    Cases of a token in one time slot as long as the window are all linked, so each is tied to the slot's first; neighbouring slots are
+    tied by the last and first case between them if those are near enough. Only aggregates by slot meet, so a token that very many
+    cases share is combined before the shuffle.
+    """
+    width = F.lit(window_days * 86_400_000_000.0)
+    micros = F.unix_micros("started_at")
+    dated = tokens.join(cases.select("case_id", "started_at"), "case_id").withColumn("slot", F.floor(micros / width).cast("long")).withColumn("t", micros)
+    slots = dated.groupBy("kind", "token", "slot").agg(F.min_by("case_id", F.struct("t", "case_id")).alias("first"), F.min("t").alias("t_first"), F.max_by("case_id", F.struct("t", "case_id")).alias("last"), F.max("t").alias("t_last"))
+    inside = dated.join(slots, ["kind", "token", "slot"]).filter("case_id <> first").select("kind", "token", F.col("first").alias("a"), F.col("case_id").alias("b"))
+    after = slots.select("kind", "token", (F.col("slot") - 1).alias("slot"), F.col("first").alias("b"), F.col("t_first").alias("t_b"))
+    across = slots.join(after, ["kind", "token", "slot"]).filter((F.col("t_b") - F.col("t_last")) <= width).select("kind", "token", F.col("last").alias("a"), "b")
+    return inside.unionByName(across)
+
+
+def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(a, b, bm25, bm25_norm) for pairs a < b with a common term: distinct terms of a against counts and length of b.
 
-    ``words``: (case_id, term), repeats kept. The norm divides by the largest score of all pairs.
+    ``words``: (case_id, term), repeats kept. The norm divides by the largest score of the pairs. ``among`` (a, b) limits the work to
+    given pairs, such as links: without it every two cases with a common term are scored, which suits small sets only.
     """
     tf = words.groupBy("case_id", "term").agg(F.count("*").alias("tf"))
     lengths = tf.groupBy("case_id").agg(F.sum("tf").alias("length"))
@@ -56,18 +74,21 @@ def bm25_pairs(words: DataFrame) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(facts)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_length")
     counted = tf.join(lengths, "case_id").join(idf, "term")
-    pairs = tf.select(F.col("case_id").alias("a"), "term").join(counted.withColumnRenamed("case_id", "b"), "term").filter("a < b")
+    left, right = tf.select(F.col("case_id").alias("a"), "term"), counted.withColumnRenamed("case_id", "b")
+    pairs = left.join(right, "term").filter("a < b") if among is None else among.select("a", "b").join(left, "a").join(right, ["b", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = pairs.groupBy("a", "b").agg(F.sum(part).alias("bm25"))
     top = scored.agg(F.max("bm25").alias("top"))
     return scored.crossJoin(F.broadcast(top)).select("a", "b", "bm25", (F.col("bm25") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("bm25_norm"))
 
 
-def gram_cosine(grams: DataFrame) -> DataFrame:
-    """(a, b, cosine) of gram counts for pairs a < b with a common gram; other pairs are 0 and left out."""
+def gram_cosine(grams: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(a, b, cosine) of gram counts for pairs a < b with a common gram; other pairs are 0 and left out. ``among`` as in bm25_pairs."""
     tf = grams.groupBy("case_id", "gram").agg(F.count("*").alias("n"))
     norms = tf.groupBy("case_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    pairs = tf.toDF("a", "gram", "na").join(tf.toDF("b", "gram", "nb"), "gram").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    left, right = tf.toDF("a", "gram", "na"), tf.toDF("b", "gram", "nb")
+    met = left.join(right, "gram").filter("a < b") if among is None else among.select("a", "b").join(left, "a").join(right, ["b", "gram"])
+    pairs = met.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
     return pairs.join(norms.toDF("a", "norm_a"), "a").join(norms.toDF("b", "norm_b"), "b").select("a", "b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("cosine"))
 
 
@@ -88,13 +109,19 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def alerts(found: DataFrame, cases: DataFrame, least: int = LEAST_CLUSTER) -> DataFrame:
-    """One row for each component of at least ``least`` cases: members, what they share, and the span of days they cover."""
-    nodes = components(found)
+def alerts(tokens: DataFrame, cases: DataFrame, least: int = LEAST_CLUSTER, window_days: float = WINDOW_DAYS) -> DataFrame:
+    """One row for each component of at least ``least`` cases: members, what linked cases share, and the span of days they cover.
+
+    Chains of links may span more than the window.
+    """
+    from ..sources.tables import checkpointed
+
+    found = checkpointed(spanning_links(tokens, cases, window_days))
+    nodes = components(found.select("a", "b"))
     members = nodes.join(cases, nodes["node"] == cases["case_id"]).groupBy("component").agg(F.array_sort(F.collect_set("case_id")).alias("members"), F.count("*").alias("size"), ((F.unix_micros(F.max("started_at")) - F.unix_micros(F.min("started_at"))) / 8.64e10).alias("span_days")).filter(F.col("size") >= least)
-    tokens = found.join(nodes, found["a"] == nodes["node"]).groupBy("component")
-    shared = tokens.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared_people")))).alias("people"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("shared_places")))).alias("places"), F.count("*").alias("n_links"))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("token"))))
+    shared = found.join(nodes, found["a"] == nodes["node"]).groupBy("component").agg(of("person").alias("people"), of("place").alias("places"))
     out = members.join(shared, "component")
     parts = F.array(F.concat(F.col("size").cast("string"), F.lit(" separate reports")), F.when(F.size("places") > 0, "naming the same location"), F.when(F.size("people") > 0, "naming the same person"))
     headline = F.concat(F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", "), F.lit(", within "), F.bround("span_days", 0).cast("int").cast("string"), F.lit(" days"))
-    return out.select(F.concat(F.lit("cluster-"), F.element_at("members", 1)).alias("cluster_id"), "members", "size", "span_days", "people", "places", "n_links", headline.alias("headline"))
+    return out.select(F.concat(F.lit("cluster-"), F.element_at("members", 1)).alias("cluster_id"), "members", "size", "span_days", "people", "places", headline.alias("headline"))

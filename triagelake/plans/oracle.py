@@ -151,7 +151,11 @@ ORACLE_SQL = {
     "bm25_pairs": f"WITH {ST}, {WORDS}, tf AS (SELECT case_id, term, count(*) AS tf FROM w GROUP BY 1, 2), ln_ AS (SELECT case_id, sum(tf) AS length FROM tf GROUP BY 1), fa AS (SELECT count(*) AS n, avg(length) AS m FROM ln_), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), p AS (SELECT x.case_id AS a, y.case_id AS b, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * y.tf * 2.5 / (y.tf + 1.5 * (0.25 + 0.75 * length / m))) AS bm25 FROM tf x JOIN tf y ON x.term = y.term AND x.case_id < y.case_id JOIN ln_ ON ln_.case_id = y.case_id JOIN df ON df.term = x.term CROSS JOIN fa GROUP BY 1, 2) SELECT a, b, round(bm25, 6) AS bm25, round(bm25 / max(bm25) OVER (), 6) AS bm25_norm FROM p",
     "trigram_cosine": f"WITH {ST}, {ACCOUNTS}, {GRAMS}, t AS (SELECT case_id, gram, count(*) AS n FROM gr GROUP BY 1, 2), nm AS (SELECT case_id, sqrt(sum(n * n)) AS norm FROM t GROUP BY 1), p AS (SELECT x.case_id AS a, y.case_id AS b, sum(x.n * y.n) AS dot FROM t x JOIN t y ON x.gram = y.gram AND x.case_id < y.case_id GROUP BY 1, 2) SELECT a, b, round(dot / (na.norm * nb.norm), 6) AS cosine FROM p JOIN nm na ON na.case_id = a JOIN nm nb ON nb.case_id = b",
     "components": f"WITH RECURSIVE {COMPONENTS} SELECT node, component FROM comp",
-    "pattern_alerts": f"WITH RECURSIVE {COMPONENTS}, mem AS (SELECT component, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members, (max(epoch_us(started_at)) - min(epoch_us(started_at))) / 86400000000.0 AS span FROM comp JOIN cases ON case_id = node GROUP BY 1 HAVING count(*) >= 3), tk AS (SELECT component, count(*) AS n_links, len(list_distinct(list_filter(flatten(list(string_split(people, ','))), lambda x: x <> ''))) AS n_people, len(list_distinct(list_filter(flatten(list(string_split(places, ','))), lambda x: x <> ''))) AS n_places FROM links JOIN comp ON node = a GROUP BY 1) SELECT 'cluster-' || component AS cluster_id, size, members, round(span, 6) AS span_days, n_links, CAST(n_people AS BIGINT) AS n_people, CAST(n_places AS BIGINT) AS n_places FROM mem JOIN tk USING (component)",
+    "pattern_alerts": f"WITH RECURSIVE {COMPONENTS}, mem AS (SELECT component, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members, (max(epoch_us(started_at)) - min(epoch_us(started_at))) / 86400000000.0 AS span FROM comp JOIN cases ON case_id = node GROUP BY 1 HAVING count(*) >= 3), tk AS (SELECT component, len(list_distinct(list_filter(flatten(list(string_split(people, ','))), lambda x: x <> ''))) AS n_people, len(list_distinct(list_filter(flatten(list(string_split(places, ','))), lambda x: x <> ''))) AS n_places FROM links JOIN comp ON node = a GROUP BY 1) SELECT 'cluster-' || component AS cluster_id, size, members, round(span, 6) AS span_days, CAST(n_people AS BIGINT) AS n_people, CAST(n_places AS BIGINT) AS n_places FROM mem JOIN tk USING (component)",
+    "break_glass_open": f"WITH {LOG} SELECT seq AS record_id, \"at\" FROM lg WHERE seq % 40 = 3 AND seq % 80 <> 3",
+    "transcript_readers": f"WITH {REQUESTS} SELECT seq, case_id, counsellor_id FROM rq JOIN rd USING (case_id, counsellor_id)",
+    "case_receipt": f"WITH {ST}, {LOG}, t AS (SELECT case_id, count(*) AS n_turns FROM st GROUP BY 1), l AS (SELECT case_id, count(*) AS n FROM lg GROUP BY 1) SELECT case_id, n_turns, coalesce(n, 0) AS n_accesses FROM t LEFT JOIN l USING (case_id)",
+    "cross_validation_folds": f"WITH {RECORDS} SELECT case_id, tier, (row_number() OVER (PARTITION BY tier ORDER BY sha1('0:' || case_id), case_id) - 1) % 5 AS fold FROM rec WHERE tier IS NOT NULL",
     "head_apply": f"WITH {ST}, {PR}, {TURN_FEATURES}, {_head()} SELECT case_id, model_tier, {round_all(['confidence', 'raw_escalation', 'escalation'])} FROM ha",
     "decided_cases": f"WITH {DECIDE} SELECT case_id, model_tier, tier, round(queue_rank, 6) AS queue_rank FROM dc",
     "queue_order": f"WITH {DECIDE} SELECT case_id, tier, round(queue_rank, 6) AS queue_rank, row_number() OVER (PARTITION BY tier ORDER BY queue_rank DESC, case_id) AS place FROM dc WHERE tier IN ('T2', 'T3', 'T4')",

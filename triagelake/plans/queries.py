@@ -330,10 +330,13 @@ def recall_at_budget(spark, d):
 
 # ---- clustering
 
-def _links(spark, d):
+def _tokens(spark, d):
     tokens = S.entities(spark, d)
-    each = tokens.select("case_id", F.lit("person").alias("kind"), F.explode("people").alias("token")).unionByName(tokens.select("case_id", F.lit("place").alias("kind"), F.explode("places").alias("token")))
-    return cluster.links(each, S.cases(spark, d))
+    return tokens.select("case_id", F.lit("person").alias("kind"), F.explode("people").alias("token")).unionByName(tokens.select("case_id", F.lit("place").alias("kind"), F.explode("places").alias("token")))
+
+
+def _links(spark, d):
+    return cluster.links(_tokens(spark, d), S.cases(spark, d))
 
 
 @query
@@ -354,12 +357,12 @@ def trigram_cosine(spark, d):
 
 @query
 def components(spark, d):
-    return cluster.components(_links(spark, d).select("a", "b"))
+    return cluster.components(cluster.spanning_links(_tokens(spark, d), S.cases(spark, d)).select("a", "b"))
 
 
 @query
 def pattern_alerts(spark, d):
-    return rounded(cluster.alerts(_links(spark, d), S.cases(spark, d)).select("cluster_id", "size", F.array_join("members", ",").alias("members"), "span_days", "n_links", F.size("people").cast("long").alias("n_people"), F.size("places").cast("long").alias("n_places")))
+    return rounded(cluster.alerts(_tokens(spark, d), S.cases(spark, d)).select("cluster_id", "size", F.array_join("members", ",").alias("members"), "span_days", F.size("people").cast("long").alias("n_people"), F.size("places").cast("long").alias("n_places")))
 
 
 # ---- head and cards
@@ -370,6 +373,69 @@ HEAD = head.HeadParams(
 )
 
 
+@query
+def link_similarity(spark, d):
+    """Lexical similarity of linked cases only: half BM25, half trigram cosine."""
+    pairs = _links(spark, d).select("a", "b")
+    words = S.turns(spark, d).select("case_id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
+    grams = S.accounts(spark, d).select("case_id", F.explode(T.char_ngrams(F.col("account"))).alias("gram"))
+    both = pairs.join(cluster.bm25_pairs(words, pairs), ["a", "b"], "left").join(cluster.gram_cosine(grams, pairs), ["a", "b"], "left")
+    return rounded(both.select("a", "b", (0.5 * F.coalesce("bm25_norm", F.lit(0.0)) + 0.5 * F.coalesce("cosine", F.lit(0.0))).alias("lexical")))
+
+
+@query
+def head_fit(spark, d):
+    """Fit on stand-in tiers: weights of the features, heaviest first."""
+    names = tuple(features.GROUPS["turn"] + features.GROUPS["trend"])
+    rows = features.featurise(_verdicts(spark, d), S.turns(spark, d), S.accounts(spark, d)).join(S.records(spark, d).select("case_id", "tier").filter("tier is not null"), "case_id")
+    return spark.createDataFrame(head.rank_features(head.fit_head(rows, names)), "feature string, weight double")
+
+
+@query
+def isotonic_fit(spark, d):
+    """Knots of the isotonic map from one class's stand-in probability to its rate."""
+    rows = S.predictions(spark, d).select(F.get("probs", F.lit(1)).alias("score"), (F.col("y_true") == 1).cast("double").alias("label"))
+    knots, levels = head.fit_isotonic(rows)
+    return spark.createDataFrame(list(zip(knots, levels, strict=True)), "knot double, level double")
+
+
+@query
+def cross_validation_folds(spark, d):
+    return longs(head.folds(S.records(spark, d).filter("tier is not null"), "tier").select("case_id", "tier", "fold"))
+
+
+@query
+def verdict_audit(spark, d):
+    """Verdicts against an expectation that is wrong for one case in ten."""
+    actual = _verdicts(spark, d)
+    wrong = F.pmod(F.xxhash64("case_id"), F.lit(10)) == 0
+    expected = actual.select("case_id", F.when(wrong, "T9").otherwise(F.col("floor")).alias("expected_floor"), F.col("categories").alias("expected_categories"))
+    return gate.audit_verdicts(actual, expected)
+
+
+@query
+def span_type_counts(spark, d):
+    docs = tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.array().cast("array<string>").alias("people"), F.array().cast("array<string>").alias("places"))
+    return privacy.span_counts(privacy.redact(docs))
+
+
+@query
+def break_glass_open(spark, d):
+    log = S.access(spark, d)
+    return casework.unreviewed(log.filter("seq % 40 = 3").select(F.col("seq").alias("record_id"), "at", F.when(F.col("seq") % 80 == 3, F.col("at")).alias("reviewed_at"))).select("record_id", "at")
+
+
+@query
+def transcript_readers(spark, d):
+    return casework.read_first(_requests(spark, d), S.access(spark, d)).select("seq", "case_id", "counsellor_id")
+
+
+@query
+def case_receipt(spark, d):
+    out = casework.receipt(S.turns(spark, d).select("case_id", "turn", "text"), S.access(spark, d))
+    return out.select("case_id", F.size("turns").cast("long").alias("n_turns"), F.coalesce(F.size("accesses"), F.lit(0)).cast("long").alias("n_accesses"))
+
+
 @query
 def head_apply(spark, d):
     out = head.apply_head(features.turn_features(S.turns(spark, d)), HEAD)
