@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at once (a longer text is a step of its own).
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,7 +80,7 @@ class WordArrays:
         kept = np.concatenate(([0], np.cumsum(keep)))
         self.offsets = kept[offsets]
         coded = words.filter(pa.array(keep)).dictionary_encode()
-        self.codes = np.asarray(coded.indices, dtype=np.int64)
+        self.codes = np.asarray(coded.indices)
         self.distinct = coded.dictionary
         self.counts = np.diff(self.offsets)
 

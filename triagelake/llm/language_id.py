@@ -48,27 +48,22 @@ class LanguageModel:
     threshold: float
 
 
-def gram_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte n-grams of each distinct word, and each word's bounds in them."""
+def gram_buckets(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n the buckets of the byte n-grams of the distinct words, and each word's bounds in them."""
     marked = pc.binary_join_element_wise(pa.scalar("<"), words, pa.scalar(">"), "")
     raw = np.frombuffer(marked.buffers()[2], dtype=np.uint8)
     offsets = np.frombuffer(marked.buffers()[1], dtype=np.int32)[: len(marked) + 1].astype(np.int64)
     raw = raw[: offsets[-1]]
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    place = np.arange(len(raw))
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(raw))
     rolling = np.zeros(len(raw), dtype=np.uint32)
-    found, valid = [], []
     for n in range(1, max(GRAMS) + 1):
-        shifted = np.zeros(len(raw), dtype=np.uint32)
-        shifted[: max(0, len(raw) - n + 1)] = raw[n - 1 :]
-        rolling = rolling * np.uint32(16777619) + shifted + np.uint32(n)
+        rolling *= np.uint32(16777619)
+        rolling[: max(0, len(raw) - n + 1)] += raw[n - 1 :]
+        rolling += np.uint32(n)
         if n in GRAMS:
             mixed = (rolling ^ (rolling >> np.uint32(15))) * np.uint32(2246822519)
-            found.append((mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64))
-            valid.append(place + n <= ends)
-    found, valid = np.stack(found, axis=1), np.stack(valid, axis=1)
-    counts = np.concatenate(([0], np.cumsum(valid.sum(axis=1))))
-    return found[valid], counts[offsets]
+            valid = left >= n
+            yield (mixed >> np.uint32(32 - BUCKETS.bit_length() + 1))[valid], np.concatenate(([0], np.cumsum(valid)))[offsets]
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +74,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = WordArrays(texts)
             if not len(words.distinct):
                 continue
-            grams, bounds = gram_buckets(words.distinct)
+            every = list(gram_buckets(words.distinct))
             out = {"lang": [], "place": [], "buckets": [], "counts": []}
             for i, (row, lang) in enumerate(zip(part.column("place").to_pylist(), part.column("lang").to_pylist(), strict=True)):
                 own = words.codes[words.offsets[i] : words.offsets[i + 1]]
@@ -88,9 +83,11 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start = row % max(1, len(own) - 7)
                 for codes in (own, own[start : start + 8]):
                     used, times = np.unique(codes, return_counts=True)
-                    lengths = bounds[used + 1] - bounds[used]
-                    index = np.repeat(bounds[used] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-                    total = np.bincount(grams[index], weights=np.repeat(times, lengths), minlength=BUCKETS)
+                    total = np.zeros(BUCKETS)
+                    for grams, bounds in every:
+                        lengths = bounds[used + 1] - bounds[used]
+                        index = np.repeat(bounds[used] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+                        total += np.bincount(grams[index], weights=np.repeat(times, lengths), minlength=BUCKETS)
                     kept = np.flatnonzero(total)
                     out["lang"].append(lang)
                     out["place"].append(row)
@@ -172,9 +169,10 @@ def predict_slice(texts: pa.Array, model: LanguageModel | None) -> tuple[pa.Arra
     if model is None or not known.any():
         return pa.array([UNKNOWN] * len(texts), pa.string()), np.zeros(len(texts)), ~known
     words = WordArrays(pc.utf8_lower(texts))
-    grams, bounds = gram_buckets(words.distinct)
-    by_word = segment_sums(model.table[grams], bounds)
-    sizes = np.diff(bounds).astype(np.float64)
+    by_word, sizes = np.zeros((len(words.distinct), len(model.languages))), np.zeros(len(words.distinct))
+    for grams, bounds in gram_buckets(words.distinct):
+        by_word += segment_sums(model.table[grams], bounds)
+        sizes += np.diff(bounds)
     total = segment_sums(sizes[words.codes], words.offsets)
     logits = segment_sums(by_word[words.codes], words.offsets) / np.maximum(total, 1)[:, None] + model.bias
     chances = _softmax(logits / model.temperature)

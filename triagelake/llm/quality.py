@@ -86,7 +86,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     inside = owner[1:] == owner[:-1]
     same = np.bincount(owner[1:][inside & (words.codes[1:] == words.codes[:-1])], minlength=len(count))
     # pairs by a 40-bit hash beside the text's number in the slice
-    pairs = ((words.codes[:-1] * 0x9E3779B1 + words.codes[1:] * 0x85EBCA77) & ((1 << 40) - 1))[inside]
+    codes = words.codes.astype(np.int64)
+    pairs = ((codes[:-1] * 0x9E3779B1 + codes[1:] * 0x85EBCA77) & ((1 << 40) - 1))[inside]
     ranked = np.sort(owner[:-1][inside] << 40 | pairs)
     kept = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
     distinct_pairs = np.bincount(ranked[kept] >> 40, minlength=len(count))
