@@ -125,16 +125,24 @@ def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, seed: int = 3) -
     return np.column_stack((z, np.ones(len(x))))
 
 
-def isotonic(scores: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over bins in order of score: mean score and level of each pool. Levels are shrunk by one row at the share of all."""
-    share = hits.sum() / counts.sum()
+def _pools(sums: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Pool adjacent violators: rows (sum of scores, hits, count) of pools whose rates rise."""
     pools: list[list[float]] = []
-    for s, h, c in zip(scores, hits, counts, strict=True):
-        pools.append([s * c, h, c])
+    for row in zip(sums, hits, counts, strict=True):
+        pools.append(list(row))
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + share) / (p[2] + 1) for p in pools])
+    return np.array(pools)
+
+
+def isotonic(scores: np.ndarray, hits: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean score and level of each pool of bins in order of score. Each pool is shrunk by one row at the share of all, then pooled again."""
+    first = _pools(scores * counts, hits, counts)
+    knots = first[:, 0] / first[:, 2]
+    weight = first[:, 2] + 1
+    again = _pools(knots * weight, first[:, 1] + hits.sum() / counts.sum(), weight)
+    return again[:, 0] / again[:, 2], again[:, 1] / again[:, 2]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
