@@ -65,11 +65,11 @@ def fit_head(rows: DataFrame, features: tuple[str, ...], c_tier: float = 0.5, c_
     scaled = rows.select("tier", *[((F.col(f) - m) / s).alias(f) for f, m, s in zip(features, mean, scale, strict=True)])
     classes = tuple(r["tier"] for r in rows.select("tier").distinct().orderBy("tier").collect())
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("tier")) - 1
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(scaled.withColumn("label", place.cast("double")).withColumn("risky", F.col("tier").isin("T3", "T4").cast("double")))
+    data = VectorAssembler(inputCols=list(features), outputCol="_features").transform(scaled.withColumn("label", place.cast("double")).withColumn("risky", F.col("tier").isin("T3", "T4").cast("double")))
     data.persist()
     try:
-        tier = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c_tier * n), standardization=False, family="multinomial", maxIter=300).fit(balanced(data, "label"))
-        rank = LogisticRegression(featuresCol="x", labelCol="risky", weightCol="weight", regParam=1 / (c_ranker * n), standardization=False, family="binomial", maxIter=300).fit(balanced(data, "risky"))
+        tier = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", regParam=1 / (c_tier * n), standardization=False, family="multinomial", maxIter=300).fit(balanced(data, "label"))
+        rank = LogisticRegression(featuresCol="_features", labelCol="risky", weightCol="weight", regParam=1 / (c_ranker * n), standardization=False, family="binomial", maxIter=300).fit(balanced(data, "risky"))
     finally:
         data.unpersist()
     coef = tuple(tuple(float(v) for v in row) for row in tier.coefficientMatrix.toArray())
@@ -81,8 +81,8 @@ def fit_isotonic(rows: DataFrame, score: str = "score", label: str = "label") ->
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
-    data = VectorAssembler(inputCols=[score], outputCol="x").transform(rows.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias("label")))
-    model = IsotonicRegression(featuresCol="x", labelCol="label").fit(data)
+    data = VectorAssembler(inputCols=[score], outputCol="_features").transform(rows.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias("label")))
+    model = IsotonicRegression(featuresCol="_features", labelCol="label").fit(data)
     return [float(b) for b in model.boundaries], [float(v) for v in model.predictions]
 
 
