@@ -216,6 +216,34 @@ def test_links_of_crowded_postings(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def shingled(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, family = [], {}
+    for base in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(60, 400))
+        for copy in range(rng.randint(1, 6)):
+            edited = list(words)
+            for _ in range(copy and max(1, len(words) // 120)):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            family[len(rows)] = base
+            rows.append((len(rows), " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in near_duplicates.keep_one(docs).collect()}
+    sets = [shingled(t) for _, t in rows]
+    for i, own in enumerate(sets):
+        if i not in kept:  # what goes is close to an earlier member of its family
+            assert any(family[j] == family[i] and len(own & sets[j]) >= 0.7 * len(own | sets[j]) for j in range(i))
+    # Each family keeps its first; hardly a near copy is missed.
+    missed = sum(any(j in kept and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(i)) for i in kept)
+    assert {family[i] for i in kept} == set(range(60)) and missed <= 3
+
+
 def test_trees(spark, small, texts):
     got = {r["doc_id"]: r for r in entries.op8_document_trees(spark, small).collect()}
     order = sorted(texts, reverse=True)

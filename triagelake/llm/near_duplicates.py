@@ -10,6 +10,11 @@ Copies cost nothing: fingerprints are made distinct before they are indexed, wit
 pairs are written out: verified links become one link to the smallest member of each linked set. Connected components follow by
 alternating large-star and small-star rounds, with a checkpoint each.
 
+``keep_one`` serves corpora, where near copies differ by more than 2 of 64 bits: it takes five-word shingles, fingerprints of
+``WIDE_WORDS`` x 64 bits, postings by three neighbouring positional bytes, and verifies pairs over all bits at the distance that a
+similarity of 0.8 gives. Two texts alike to 0.95 miss all 64 postings with a chance of about 1e-5, to 0.9 of 0.9 %, to 0.85 of 9 %, to 0.8 of
+27 %; members of a group reach each other through any of them. A posting of many members gives links in number linear in them.
+
 Cases: a null or wordless text has fingerprint zero and is linked like any other; fewer than three words are one shingle. Rows with
 a null id get their group's smallest id (null if it has none). Repeated rows share a fingerprint and a group. Empty tables give no
 rows. Only the id and text columns are read.
@@ -33,12 +38,19 @@ SHINGLE = 3
 DISTANCE = 2
 BYTES = 8
 SEED = 42
+#: The pipeline's rule: five-word shingles, similarity 0.8. At equal sizes that is an angle of 0.476 between the shingle sets, and
+#: so 0.1515 of a wide fingerprint's bits.
+WIDE_SHINGLE = 5
+WIDE_WORDS = 24
+WIDE_DISTANCE = 233
+#: Members up to which a posting gives all its pairs; larger ones are tied to their first and to their neighbours.
+WHOLE_POSTING = 6
 
 #: For each byte value, its bits as eight one-byte counters in a word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of each shingle of lower-cased texts, and the texts' bounds in them."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     words = parts.flatten()
@@ -46,13 +58,13 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.concatenate(([0], np.cumsum(keep)))[np.asarray(parts.offsets, dtype=np.int64) - parts.offsets[0].as_py()]
     spaced = pc.binary_join_element_wise(words.filter(pa.array(keep)), pa.scalar(" "), "")
     counts = np.diff(bounds)
-    shingles = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    shingles = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     ends = np.concatenate(([0], np.cumsum(shingles)))
     if not ends[-1]:
         return np.zeros(0, dtype=np.uint64), ends
     offsets = np.frombuffer(spaced.buffers()[1], dtype=np.int32)[: len(spaced) + 1]
     first = np.arange(ends[-1]) - np.repeat(ends[:-1] - bounds[:-1], shingles)
-    last = first + np.repeat(np.minimum(counts, SHINGLE), shingles)
+    last = first + np.repeat(np.minimum(counts, size), shingles)
     raw, digest = memoryview(spaced.buffers()[2]), xxhash.xxh64_intdigest
     return np.fromiter((digest(raw[a:b], SEED) for a, b in zip(offsets[first].tolist(), (offsets[last] - 1).tolist(), strict=True)), np.uint64, int(ends[-1])), ends
 
@@ -186,13 +198,89 @@ def group_documents(docs: DataFrame) -> DataFrame:
     return every.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): ``WIDE_WORDS`` x 64 bits over five-word shingles, for similarities that 64 bits cannot tell."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, ends = shingle_hashes(filled(part.column("text")), WIDE_SHINGLE)
+                words = []
+                for k in range(WIDE_WORDS):
+                    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k) + np.uint64(k)
+                    words.append(majority((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), ends))
+                rows = np.stack(words, axis=1) if words else np.zeros((0, WIDE_WORDS), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp binary")
+
+
+def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of sorted postings: all of a small one; of a larger one each member with the first and with the one before it."""
+
+    def emit(band: np.ndarray, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate(([0], np.flatnonzero((np.diff(band) != 0) | (np.diff(key) != 0)) + 1))
+        size = np.diff(np.concatenate((starts, [len(node)])))
+        place = np.arange(len(node)) - np.repeat(starts, size)
+        small = np.repeat(size <= WHOLE_POSTING, size)
+        a, b = [], []
+        for back in range(1, WHOLE_POSTING):
+            right = np.flatnonzero((place >= back) & (small | (back == 1)))
+            a.append(node[right - back])
+            b.append(node[right])
+        right = np.flatnonzero((place >= 2) & ~small)
+        a.append(node[right - place[right]])
+        b.append(node[right])
+        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rest = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for batch in batches:
+        now = tuple(np.concatenate((old, np.asarray(batch.column(n)))) for n, old in zip(("band", "key", "node"), rest, strict=True))
+        if not len(now[0]):
+            continue
+        last = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1])).max(initial=-1)) + 1
+        if last:
+            yield emit(*(x[:last] for x in now))
+        rest = tuple(x[last:] for x in now)
+    if len(rest[0]):
+        yield emit(*rest)
+
+
+def similar_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (node, fp) whose wide fingerprints differ in ``WIDE_DISTANCE`` bits at most, found by postings of
+    three neighbouring positional bytes and verified over all bytes."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                keys = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1, 3).astype(np.int64) @ np.array([1, 256, 65536])
+                node = np.repeat(np.asarray(part.column("node")), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1]), part.num_rows)), pa.array(keys.ravel()), pa.array(node)], names=["band", "key", "node"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE
+                yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    postings = distinct.select("node", "fp").mapInArrow(post, "band long, key long, node long")
+    pairs = postings.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(_band_pairs, "a long, b long").distinct()
+    with_both = pairs.join(distinct.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(distinct.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+    return with_both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, with all columns of ``docs``.
+    """Of each group of documents alike in 0.8 or more of their five-word shingles the one with the smallest id, with all columns.
 
     Rows that share that id stay one row. A row without an id stays: nothing names it.
     """
-    groups = group_documents(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
+    every = wide_fingerprints(docs.filter(F.col("doc_id").isNotNull()))
+    distinct = checkpointed(every.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    gone = connected(similar_links(distinct)).select(F.col("node").alias("gone_id"))
+    kept = distinct.select(F.col("node").alias("kept_id")).join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti")
     # The join and dropDuplicates need the same partitioning, so texts are shuffled once.
     named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
