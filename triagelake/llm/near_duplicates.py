@@ -38,6 +38,7 @@ SHINGLE = 3
 DISTANCE = 2
 BYTES = 8
 SEED = 42
+SALTS = 8
 #: The pipeline's rule: five-word shingles, similarity 0.8. At equal sizes that is an angle of 0.476 between the shingle sets, and
 #: so 0.1515 of a wide fingerprint's bits.
 WIDE_SHINGLE = 5
@@ -195,7 +196,10 @@ def group_documents(docs: DataFrame) -> DataFrame:
     linked = distinct.join(roots.union(roots.select(F.col("root").alias("fp"), "root").distinct()), "fp")
     components = checkpointed(linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component"))
     known = distinct.join(components, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return every.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Copies may be a third of all rows: they are dealt over SALTS tasks, and the one row of their fingerprint goes to each.
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = every.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"), F.lit(0)))
+    return dealt.join(salted, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
