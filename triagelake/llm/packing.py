@@ -37,7 +37,7 @@ SEGMENTS = 128
 END_ID = 2
 WINDOW = 512
 #: Runs of letters that a worker keeps from slice to slice; a larger cache is emptied.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -247,7 +247,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(names))], names=names)
 
         for batch in batches:
-            for part in slices(batch, limit=8 << 20):
+            for part in slices(batch):
                 ids, bounds = encode(filled(part.column("text")))
                 found: list[tuple] = []
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
