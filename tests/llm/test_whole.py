@@ -1,0 +1,50 @@
+"""Where the training-data operators once did less than the whole job."""
+
+import random
+import re
+
+import pytest
+
+from triagelake.llm import license_scan, near_duplicates, personal_data
+
+from .test_exact import shingled
+
+VOCABULARY = [f"w{i}" for i in range(5000)]
+
+
+def edited(rng, words, places):
+    out = list(words)
+    for at in places:
+        out[at] = rng.choice(VOCABULARY)
+    return out
+
+
+def alike(x, y):
+    return 9 * len(x & y) >= 4 * (len(x) + len(y))
+
+
+def kept_by(spark, texts):
+    return {r["doc_id"] for r in near_duplicates.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def first_of_groups(texts):
+    sets, root = [shingled(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def test_large_families_around_an_original(spark):
+    rng = random.Random(5)
+    texts = [[], []]
+    for half in texts:  # two families that share a passage, with ids in turn and the originals last
+        words = rng.choices(VOCABULARY, k=400)
+        half += [" ".join(edited(rng, words, rng.sample(range(380), 8))) for _ in range(120)] + [" ".join(words)]
+    passage = " ".join(rng.choices(VOCABULARY, k=60))
+    every = [f"{t} {passage}" for pair in zip(*texts, strict=True) for t in pair]
+    sets = [shingled(t) for t in every]
+    assert all(alike(sets[i], sets[-2 + i % 2]) for i in range(len(sets))) and not any(alike(sets[0], sets[i]) for i in range(2, 40))
+    assert kept_by(spark, every) == first_of_groups(every) == {0, 1}

@@ -10,10 +10,10 @@ Copies cost nothing: fingerprints are made distinct before they are indexed, wit
 pairs are written out: verified links become one link to the smallest member of each linked set. Connected components follow by
 alternating large-star and small-star rounds, with a checkpoint each.
 
-``keep_one`` serves corpora, where near copies differ by more than 2 of 64 bits: it takes five-word shingles, fingerprints of
-``WIDE_WORDS`` x 64 bits, postings by three neighbouring positional bytes, and verifies pairs over all bits at the distance that a
-similarity of 0.8 gives. Two texts alike to 0.95 miss all 64 postings with a chance of about 1e-5, to 0.9 of 0.9 %, to 0.85 of 9 %, to 0.8 of
-27 %; members of a group reach each other through any of them. A posting of many members gives links in number linear in them.
+``keep_one`` serves corpora, where near copies differ by more than 2 of 64 bits: it takes the sets of different five-word shingles and
+is exact. Shingles have one order for all texts, rare ones first; sets alike to 0.8 share a shingle among the first fifth of both, so
+postings by those (an exact prefix filter) hold every such pair. Candidates are verified on their whole sets. A posting of many members is
+compared over rounds: some members with all behind them, then links are followed, and what links tie is not compared again.
 
 Cases: a null or wordless text has fingerprint zero and is linked like any other; fewer than three words are one shingle. Rows with
 a null id get their group's smallest id (null if it has none). Repeated rows share a fingerprint and a group. Empty tables give no
@@ -22,6 +22,7 @@ rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,12 +40,13 @@ DISTANCE = 2
 BYTES = 8
 SEED = 42
 SALTS = 8
-#: The pipeline's rule: five-word shingles, similarity 0.8. At equal sizes that is an angle of 0.476 between the shingle sets, and
-#: so 0.1515 of a wide fingerprint's bits.
+#: The pipeline's rule: five-word shingles, similarity 0.8 (9 x shared >= 4 x both sizes).
 WIDE_SHINGLE = 5
-WIDE_WORDS = 24
-WIDE_DISTANCE = 233
-#: Members up to which a posting gives all its pairs; larger ones are tied to their first and to their neighbours.
+#: Commonest shingles that the order of prefixes puts last.
+LISTED = 1 << 15
+#: Bits of the bound on how many shingles two sets differ in.
+PARITY = 1024
+#: Members up to which a posting gives all its pairs at once; larger ones are compared over several rounds.
 WHOLE_POSTING = 6
 
 #: For each byte value, its bits as eight one-byte counters in a word.
@@ -202,89 +204,216 @@ def group_documents(docs: DataFrame) -> DataFrame:
     return dealt.join(salted, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): ``WIDE_WORDS`` x 64 bits over five-word shingles, for similarities that 64 bits cannot tell."""
+def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The different five-word shingles of each text, by hash, and the texts' bounds in them."""
+    hashes, ends = shingle_hashes(texts, WIDE_SHINGLE)
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[first], np.concatenate(([0], np.cumsum(np.bincount(text[first], minlength=len(ends) - 1))))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``LISTED`` commonest shingles, sorted, and how many texts have them. Only the order of prefixes rests on it, no result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def often() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            top = np.flatnonzero(n >= 4)
+            top = top[np.argsort(-n[top], kind="stable")[:8192]]
+            return pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["shingle", "n"])
+
+        for batch in batches:
+            for part in slices(batch):
+                held.append(distinct_shingles(filled(part.column("text")))[0])
+                if sum(map(len, held)) >= 2_000_000:
+                    yield often()
+                    held.clear()
+        yield often()
+
+    top = _named(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(LISTED).collect()
+    values, n = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in top], dtype=np.int64)
+    order = np.argsort(values)
+    return values[order], n[order]
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, tokens) of every row: a fingerprint of the shingle set, its size, and its rarest shingles in one order for all texts,
+    as many as two sets alike to 0.8 need to have one of them in common."""
+    common, often = common_shingles(docs)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                hashes, ends = shingle_hashes(filled(part.column("text")), WIDE_SHINGLE)
-                words = []
-                for k in range(WIDE_WORDS):
-                    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k) + np.uint64(k)
-                    words.append(majority((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB), ends))
-                rows = np.stack(words, axis=1) if words else np.zeros((0, WIDE_WORDS), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp binary")
-
-
-def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of sorted postings: all of a small one; of a larger one each member with the first and with the one before it."""
-
-    def emit(band: np.ndarray, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        starts = np.concatenate(([0], np.flatnonzero((np.diff(band) != 0) | (np.diff(key) != 0)) + 1))
-        size = np.diff(np.concatenate((starts, [len(node)])))
-        place = np.arange(len(node)) - np.repeat(starts, size)
-        small = np.repeat(size <= WHOLE_POSTING, size)
-        a, b = [], []
-        for back in range(1, WHOLE_POSTING):
-            right = np.flatnonzero((place >= back) & (small | (back == 1)))
-            a.append(node[right - back])
-            b.append(node[right])
-        right = np.flatnonzero((place >= 2) & ~small)
-        a.append(node[right - place[right]])
-        b.append(node[right])
-        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    rest = tuple(np.zeros(0, np.int64) for _ in range(3))
+                hashes, ends = distinct_shingles(filled(part.column("text")))
+                n = np.diff(ends)
+                fps = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                text = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(hashes), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    rank = np.where(common[at] == hashes, often[at], 0)
+                hashes = hashes[np.lexsort((hashes, rank, text))]
+                # 0.8 n of n shingles, rounded up, must be shared: one more than the others may be missed.
+                length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
+                tokens = hashes[np.arange(len(hashes)) - ends[text] < length[text]].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(tokens))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "fp", "n", "tokens"])
+
+    return _named(docs).mapInArrow(compute, "doc_id long, fp binary, n long, tokens array<long>")
+
+
+POSTING = ("token", "node", "n", "pos", "comp")
+
+
+def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of sorted postings, each member's place in its posting and the posting's size; a posting that goes on in the next batch is carried over."""
+
+    def placed(now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(now["token"])) + 1))
+        size = np.diff(np.concatenate((starts, [len(now["token"])])))
+        return now, np.arange(len(now["token"])) - np.repeat(starts, size), np.repeat(size, size)
+
+    rest = {c: np.zeros(0, np.int64) for c in POSTING}
     for batch in batches:
-        now = tuple(np.concatenate((old, np.asarray(batch.column(n)))) for n, old in zip(("band", "key", "node"), rest, strict=True))
-        if not len(now[0]):
+        new = {c: np.asarray(batch.column(c)) for c in POSTING}
+        if "parity" in batch.schema.names:
+            new["parity"] = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+        now = {c: np.concatenate((rest[c], x)) if c in rest and len(rest[c]) else x for c, x in new.items()}
+        if not len(now["token"]):
             continue
-        last = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1])).max(initial=-1)) + 1
+        last = int(np.flatnonzero(now["token"] != now["token"][-1]).max(initial=-1)) + 1
         if last:
-            yield emit(*(x[:last] for x in now))
-        rest = tuple(x[last:] for x in now)
-    if len(rest[0]):
-        yield emit(*rest)
+            yield placed({c: x[:last] for c, x in now.items()})
+        rest = {c: x[last:] for c, x in now.items()}
+    if len(rest["token"]):
+        yield placed(rest)
+
+
+def _sorted_postings(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token").sortWithinPartitions("token", "node")
+
+
+def _uncompared(rows: DataFrame, pivots: int) -> DataFrame:
+    """Of each posting the members behind the first ``pivots``, if they are of different components; ``size`` is their number."""
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, place, size in _whole_postings(batches):
+            left = place >= pivots
+            first = np.minimum(np.arange(len(place)) - place + pivots, len(place) - 1)
+            posting = np.cumsum(place == 0) - 1
+            mixed = np.bincount(posting, left & (now["comp"] != now["comp"][first])) > 0
+            keep = left & mixed[posting]
+            yield pa.RecordBatch.from_arrays([*(pa.array(now[c][keep]) for c in POSTING), pa.array((size - pivots)[keep])], names=[*POSTING, "size"])
+
+    return checkpointed(_sorted_postings(rows.select(*POSTING)).mapInArrow(narrow, ", ".join(f"{c} long" for c in (*POSTING, "size"))))
+
+
+def _candidates(rows: DataFrame, pivots: int) -> DataFrame:
+    """Pairs (a, b) of each posting's first ``pivots`` members with all after them, and all pairs of a small posting, but those of one component
+    and those whose sizes and places in both orders leave too few shingles to share, or whose parities (if ``rows`` has them) differ in more
+    bits than their sets may in shingles: neither loses a pair of similarity 0.8."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(found: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for now, place, size in _whole_postings(batches):
+            found: list[np.ndarray] = []
+            start = np.arange(len(place)) - place
+            for pivot in range(min(int(size.max()) - 1, max(pivots, WHOLE_POSTING - 1))):
+                b = np.flatnonzero((place > pivot) & ((size <= WHOLE_POSTING) | (pivot < pivots)))
+                a = start[b] + pivot
+                n, pos = now["n"], now["pos"]
+                most = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
+                good = (now["comp"][a] != now["comp"][b]) & (9 * most >= 4 * (n[a] + n[b]))
+                a, b = a[good], b[good]
+                if "parity" in now:
+                    good = 9 * np.bitwise_count(now["parity"][a] ^ now["parity"][b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]
+                    a, b = a[good], b[good]
+                found.append(np.stack((now["node"][a], now["node"][b]), axis=1))
+                if sum(map(len, found)) >= 1_000_000:
+                    yield emit(found)
+                    found = []
+            if found:
+                yield emit(found)
+
+    return _sorted_postings(rows).mapInArrow(pair, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, shingles, parity) of every row: the sorted hashes of its different shingles as bytes, and of each of ``PARITY`` buckets
+    whether it has an odd number of them. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, ends = distinct_shingles(filled(part.column("text")))
+                sets = [hashes[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                parity = [np.packbits(np.bincount((x % PARITY).astype(np.int64), minlength=PARITY) & 1).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(parity, pa.binary())], names=["node", "shingles", "parity"])
 
+    return _named(docs).mapInArrow(compute, "node long, shingles binary, parity binary")
 
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) of rows (node, fp) whose wide fingerprints differ in ``WIDE_DISTANCE`` bits at most, found by postings of
-    three neighbouring positional bytes and verified over all bytes."""
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                keys = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1, 3).astype(np.int64) @ np.array([1, 256, 65536])
-                node = np.repeat(np.asarray(part.column("node")), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1]), part.num_rows)), pa.array(keys.ravel()), pa.array(node)], names=["band", "key", "node"])
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that share 0.8 or more of all their different shingles."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= WIDE_DISTANCE
-                yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    postings = distinct.select("node", "fp").mapInArrow(post, "band long, key long, node long")
-    pairs = postings.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(_band_pairs, "a long, b long").distinct()
-    with_both = pairs.join(distinct.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(distinct.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                near[i] = 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    with_both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return with_both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``distinct`` (node, n, tokens) that links of similarity 0.8 or more tie to a smaller one.
+
+    Each round compares the next members of every posting with all behind them, unless links already tie them; it ends when no
+    posting has members left that are neither compared nor tied.
+    """
+    postings = distinct.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.col("node").alias("comp"))
+    left = _uncompared(postings, 0)
+    nodes = left.select(F.col("node").alias("doc_id")).distinct()
+    sets = checkpointed(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi")))
+    links = roots = None
+    pivots = 1
+    while True:
+        # Few postings are left after the first round: only these carry parities.
+        found = _verified(_candidates(left if links is None else left.join(sets.select("node", "parity"), "node"), pivots), sets)
+        links = checkpointed(found if links is None else links.union(found))
+        roots = checkpointed(connected(links))
+        tied = left.filter(F.col("size") > max(WHOLE_POSTING, pivots + 1)).drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        left = _uncompared(tied, pivots)
+        if left.isEmpty():
+            return roots
+        pivots *= 8
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of documents alike in 0.8 or more of their five-word shingles the one with the smallest id, with all columns.
 
     Rows that share that id stay one row. A row without an id stays: nothing names it.
     """
-    every = wide_fingerprints(docs.filter(F.col("doc_id").isNotNull()))
-    distinct = checkpointed(every.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    gone = connected(similar_links(distinct)).select(F.col("node").alias("gone_id"))
+    named = docs.filter(F.col("doc_id").isNotNull())
+    every = prefixes(named)
+    distinct = checkpointed(every.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("least")).select(F.col("least.doc_id").alias("node"), "least.n", "least.tokens"))
+    gone = similar_roots(distinct, named).select(F.col("node").alias("gone_id"))
     kept = distinct.select(F.col("node").alias("kept_id")).join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti")
     # The join and dropDuplicates need the same partitioning, so texts are shuffled once.
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
