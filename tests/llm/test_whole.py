@@ -48,3 +48,16 @@ def test_large_families_around_an_original(spark):
     sets = [shingled(t) for t in every]
     assert all(alike(sets[i], sets[-2 + i % 2]) for i in range(len(sets))) and not any(alike(sets[0], sets[i]) for i in range(2, 40))
     assert kept_by(spark, every) == first_of_groups(every) == {0, 1}
+
+
+def test_pairs_about_the_threshold(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(150):
+        words = rng.choices(VOCABULARY, k=rng.randint(80, 300))
+        count = round(len(words) * rng.uniform(0.016, 0.032))
+        texts += [" ".join(words), " ".join(edited(rng, words, rng.sample(range(len(words)), count)))]
+    texts += ["", " \n", "four words are one", "four words are one", "five words are one too"]
+    wanted = first_of_groups(texts)
+    assert 190 < len(wanted) < 270
+    assert kept_by(spark, texts) == wanted
