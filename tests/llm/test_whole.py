@@ -61,3 +61,11 @@ def test_pairs_about_the_threshold(spark):
     wanted = first_of_groups(texts)
     assert 190 < len(wanted) < 270
     assert kept_by(spark, texts) == wanted
+
+
+@pytest.mark.parametrize("times", [30, 100])
+def test_a_repeated_passage_does_not_make_texts_alike(spark, times):
+    rng = random.Random(7)
+    passage = rng.choices(VOCABULARY, k=6)
+    texts = [" ".join(rng.choices(VOCABULARY, k=204) + passage * times) for _ in range(3)]
+    assert kept_by(spark, texts) == {0, 1, 2}
