@@ -8,7 +8,8 @@
 4. The posteriors train a logistic span classifier over votes, kind and shape. Candidates it gives ``ACCEPT`` or more join the base.
 
 Cases: null text is the empty text (no spans; the digest of the empty list). Overlapping base spans of different kinds are all kept;
-a candidate overlapping a base span or an earlier, longer candidate goes. An empty table trains nothing and returns no rows.
+a candidate overlapping an earlier, longer candidate
+goes, and so does one overlapping a base span, unless it is a secret of which base spans cover less than half. An empty table trains nothing and returns no rows.
 Repeated rows are counted as often as they occur. Only the id and text columns are read.
 """
 
@@ -50,9 +51,14 @@ _WIDE = {
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "name": re.compile(r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][\w'-]{1,30}|(?:" + "|".join(_GIVEN) + r") [A-Z][\w'-]{1,30})(?: [A-Z][\w'-]{1,30})?\b"),
     "phone": re.compile(r"(?<![0-9+.])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
-    "secret": re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\"? ?[=:] ?[\"']?[^\s\"']{6,128}[\"']?|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|\bgh[pousr]_[A-Za-z0-9]{36}\b|\beyJ[\w-]{10,2000}\.[\w-]{10,2000}\.[\w-]{10,2000}", re.I),
+    "secret": re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\"? ?[=:] ?[\"']?[^\s\"']{6,}[\"']?|\bgh[pousr]_[A-Za-z0-9]{36}\b", re.I),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
+_JWT = re.compile(r"\beyJ", re.I)
+_SEGMENT = re.compile(r"[\w-]*")
+_PEM = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----", re.I)
+#: What may follow the head of a key that never ends: lines of base 64.
+_PEM_LINES = re.compile(r"(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*")
 #: A text without any of these has no span.
 TRIGGERS = r"[0-9@]|(?i:\(at\)|\[at\]|password|passwd|pwd|token|secret|api.?key|access.?key|private key|eyJ)|:[0-9A-Fa-f]+:|\b(Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]|(" + "|".join(_GIVEN) + r") [A-Z]"
 _TOP = frozenset("com org net edu gov io dev fr de es uk eu it nl ch at info example".split())
@@ -110,10 +116,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _jwts(text: str) -> Iterator[tuple[int, int]]:
+    """Three segments of 10 characters or more; linear, as what fails is passed over up to the end of its first segment."""
+    at = 0
+    while m := _JWT.search(text, at):
+        parts = [_SEGMENT.match(text, m.end())]
+        while len(parts) < 3 and len(parts[-1].group()) >= 10 and text[parts[-1].end() : parts[-1].end() + 1] == ".":
+            parts.append(_SEGMENT.match(text, parts[-1].end() + 1))
+        if len(parts) == 3 and len(parts[-1].group()) >= 10:
+            yield m.start(), parts[-1].end()
+            at = parts[-1].end()
+        else:
+            at = parts[0].end()
+
+
+def _pem_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys from the BEGIN line to the END line; without one before the next BEGIN, to the last line of base 64."""
+    marks = list(_PEM.finditer(text))
+    for m, after in zip(marks, [*marks[1:], None], strict=False):
+        if m.group(1).upper() == "BEGIN":
+            yield m.start(), after.end() if after and after.group(1).upper() == "END" else _PEM_LINES.match(text, m.end()).end()
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Secrets of all forms; those that overlap are one."""
+    start = end = -1
+    for a, b in sorted([*(m.span() for m in _WIDE["secret"].finditer(text)), *_jwts(text), *_pem_keys(text)]):
+        if a < end:
+            end = max(end, b)
+            continue
+        if end >= 0:
+            yield start, end
+        start, end = a, b
+    if end >= 0:
+        yield start, end
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind's place, end, whether base): base spans and the wider candidates that overlap nothing stronger."""
     base = base_spans(text)
-    wide = sorted((m.start(), -m.end(), KINDS.index(kind)) for kind, pattern in _WIDE.items() for m in pattern.finditer(text))
+    secret = KINDS.index("secret")
+    wide = sorted([*((m.start(), -m.end(), KINDS.index(kind)) for kind, pattern in _WIDE.items() if kind != "secret" for m in pattern.finditer(text)), *((a, -b, secret) for a, b in _secrets(text))])
     taken = [(a, b) for a, _, b in base]
     merged: list[list[int]] = []
     for a, b in sorted(taken):
@@ -125,7 +168,13 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     for a, minus, k in wide:
         while at < len(merged) and merged[at][1] <= a:
             at += 1
-        if a >= end and not (at < len(merged) and merged[at][0] < -minus):
+        if a < end:
+            continue
+        covered, there = 0, at
+        while there < len(merged) and merged[there][0] < -minus:
+            covered += min(merged[there][1], -minus) - max(merged[there][0], a)
+            there += 1
+        if not covered or k == secret and 2 * covered < -minus - a:
             out.append((a, k, -minus, False))
             end = -minus
     return sorted(out)
@@ -156,7 +205,7 @@ def votes(text: str, start: int, kind: str, end: int) -> tuple[int, ...]:
         except ValueError:
             sound = -1
     elif kind == "secret":
-        body = re.split(r"[=:]", span)[-1].strip(" \"'")
+        body = re.split(r"[=:]", span, maxsplit=1)[-1].strip(" \"'")
         sound = 1 if re.search("[0-9]", body) and len(set(body)) >= 6 else -1
     elif kind == "phone":
         sound = 1 if 9 <= len(digits) <= 15 else -1
