@@ -95,3 +95,42 @@ def test_whole_secrets_are_redacted(spark):
     texts = [f"login with token={long} now", f"auth key\n-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\nbye"]
     out = [r["text"] for r in personal_data.redact(spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()]
     assert out == ["login with [SECRET] now", "auth key\n[SECRET]\nbye"]
+
+
+def shortest(parsed):
+    """One text for each choice of alternatives, without what may be left out."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "BRANCH":
+            more = [t for branch in arg[1] for t in shortest(branch)]
+        elif name == "SUBPATTERN":
+            more = shortest(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [t * arg[0] for t in shortest(arg[2])]
+        elif name == "IN":
+            more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+            if str(arg[0][0]) == "NEGATE":
+                more = ["x"]
+        elif name in ("ANY", "NOT_LITERAL"):
+            more = ["x"]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_keywords_and_triggers_lose_no_alternative(monkeypatch):
+    named = ("odbl 1 0", "odc by", "pddl", "ms pl", "ms rl", "asl 2 0", "mit 0", "psf license", "x11 license", "open rail m", "do what the fuck you want to public license")
+    assert all(license_scan.detections(t.split()) for t in named)
+    every = license_scan.rules()[0]
+    texts = {t for rule in every for t in shortest(re._parser.parse(rule.pattern.pattern)) if rule.pattern.search(t)}
+    assert len(texts) > 1500 and all(re.search(license_scan.TRIGGERS, t) for t in texts)
+    gated = {t: license_scan.detections(t.split()) for t in texts}
+    ungated = [license_scan.Rule(r.label, r.priority, r.weight, ("",), r.pattern) for r in every]
+    monkeypatch.setattr(license_scan, "rules", lambda: (ungated, [""]))
+    plain = lambda found: [(a, b, r.label, r.weight) for a, b, r in found]
+    assert [t for t in texts if plain(gated[t]) != plain(license_scan.detections(t.split()))] == []

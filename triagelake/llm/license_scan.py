@@ -3,7 +3,7 @@
 A text becomes its lower-cased words (``WORD``) joined by single blanks; every rule is a regular expression over that form and so
 finds an interval of words. Rules come from hand-written signatures: notices (whole sentences of a license text), and for each
 license of ``LICENSES`` its tag, grant, heading, address and name forms. Each rule has a priority (lower is stronger) and a
-keyword; only rules of which the keyword occurs are run, and only texts with any trigger word are looked at beyond counting words.
+keywords of which every match holds one; only rules of which a keyword occurs are run, and only texts with any trigger word are looked at beyond counting words.
 A detection is dropped when its interval lies within one of a stronger rule (or of an earlier, longer one of the same rank).
 
 Base places (``BASE``) are always reported, whatever the rules say. ``score`` is 1 - product(1 - weight) over the kept detections,
@@ -34,13 +34,13 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Fixed phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: (label, keyword, names as words): a name may hold alternatives; versions follow in the label's own words.
+#: (label, keywords of which every name holds one, names as words): a name may hold alternatives; versions follow in the label's own words.
 LICENSES = (
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11)(?: style| x11| expat)? licen[sc]e"),
-    ("mit-0", "attribution", r"mit no attribution(?: licen[sc]e)?|mit 0(?: licen[sc]e)?"),
+    ("mit", "mit|expat|x11", r"(?:the )?(?:mit|expat|x11)(?: style| x11| expat)? licen[sc]e"),
+    ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?|mit 0(?: licen[sc]e)?"),
     ("apache-1.0", "apache", r"apache (?:software )?licen[sc]e(?: version| v)? 1 0|apache 1 0"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e(?: version| v)? 1 1|apache 1 1"),
-    ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e(?: version| v)? (?:2 0|v?2)|apache 2 0|asl 2 0"),
+    ("apache-2.0", "apache|asl", r"apache (?:software )?licen[sc]e(?: version| v)? (?:2 0|v?2)|apache 2 0|asl 2 0"),
     ("gpl-1.0", "gpl|general", r"(?:gnu )?general public licen[sc]e(?: gpl)?(?: version| v)? (?:1 0|v?1)|gpl ?v?1(?: 0)?(?: only| or later)?"),
     ("gpl-2.0", "gpl|general", r"(?:gnu )?general public licen[sc]e(?: gpl)?(?: version| v)? (?:2 0|v?2)|gpl ?v?2(?: 0)?(?: only| or later)?"),
     ("gpl-3.0", "gpl|general", r"(?:gnu )?general public licen[sc]e(?: gpl)?(?: version| v)? (?:3 0|v?3)|gpl ?v?3(?: 0)?(?: only| or later)?"),
@@ -63,17 +63,17 @@ LICENSES = (
     ("epl-2.0", "epl|eclipse", r"eclipse public licen[sc]e(?: version| v)? (?:2 0|v?2)|epl 2 0"),
     ("cddl-1.0", "cddl|common", r"common development and distribution licen[sc]e(?: version| v)? 1 0|cddl 1 0"),
     ("cddl-1.1", "cddl|common", r"common development and distribution licen[sc]e(?: version| v)? 1 1|cddl 1 1"),
-    ("cpl-1.0", "common", r"common public licen[sc]e(?: version| v)? 1 0|cpl 1 0"),
+    ("cpl-1.0", "cpl|common", r"common public licen[sc]e(?: version| v)? 1 0|cpl 1 0"),
     ("eupl-1.1", "eupl|european", r"european union public licen[sc]e(?: version| v)? 1 1|eupl 1 1"),
     ("eupl-1.2", "eupl|european", r"european union public licen[sc]e(?: version| v)? 1 2|eupl 1 2"),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?"),
     *((f"cc-{kind}-{version}", "cc|creative", rf"(?:cc|creative commons) {words}(?: licen[sc]e)?(?: version)? {version.replace('.', ' ')}(?: international| unported| generic)?") for kind, words in (("by", r"(?:by|attribution)"), ("by-sa", r"(?:by sa|attribution share ?alike)"), ("by-nd", r"(?:by nd|attribution no ?deriv(?:ative)?s)"), ("by-nc", r"(?:by nc|attribution non ?commercial)"), ("by-nc-sa", r"(?:by nc sa|attribution non ?commercial share ?alike)"), ("by-nc-nd", r"(?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)")) for version in ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("odbl-1.0", "open", r"open (?:data commons )?(?:open )?database licen[sc]e(?: odbl)?(?: v?1 0)?|odbl(?: v?1 0)?"),
-    ("odc-by-1.0", "open", r"open data commons attribution licen[sc]e(?: v?1 0)?|odc by(?: v?1 0)?"),
-    ("pddl-1.0", "public", r"open data commons public domain dedication(?: and licen[sc]e)?|pddl(?: v?1 0)?"),
+    ("odbl-1.0", "odbl|open", r"open (?:data commons )?(?:open )?database licen[sc]e(?: odbl)?(?: v?1 0)?|odbl(?: v?1 0)?"),
+    ("odc-by-1.0", "odc|open", r"open data commons attribution licen[sc]e(?: v?1 0)?|odc by(?: v?1 0)?"),
+    ("pddl-1.0", "pddl|public", r"open data commons public domain dedication(?: and licen[sc]e)?|pddl(?: v?1 0)?"),
     ("ogl-uk-3.0", "open", r"open government licen[sc]e(?: v?3 0| version 3 0)?"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public licen[sc]e"),
+    ("wtfpl", "wtfpl|do what", r"wtfpl|do what the fuck you want to public licen[sc]e"),
     ("zlib", "zlib", r"(?:the )?zlib(?: libpng)? licen[sc]e"),
     ("libpng", "libpng", r"libpng licen[sc]e(?: version 2)?"),
     ("artistic-1.0", "artistic", r"artistic licen[sc]e(?: version| v)? 1 0|artistic 1 0"),
@@ -86,14 +86,14 @@ LICENSES = (
     ("afl-3.0", "academic", r"academic free licen[sc]e(?: version| v)?(?: 3 0)?"),
     ("osl-3.0", "open", r"open software licen[sc]e(?: version| v)?(?: 3 0)?"),
     ("upl-1.0", "universal", r"universal permissive licen[sc]e(?: version| v)?(?: 1 0)?"),
-    ("psf-2.0", "python", r"python software foundation licen[sc]e(?: version)?(?: 2)?|psf licen[sc]e"),
+    ("psf-2.0", "psf|python", r"python software foundation licen[sc]e(?: version)?(?: 2)?|psf licen[sc]e"),
     ("php-3.01", "php", r"php licen[sc]e(?: version)?(?: 3 01)?"),
     ("ruby", "ruby", r"ruby licen[sc]e"),
     ("postgresql", "postgresql", r"postgresql licen[sc]e"),
     ("openssl", "openssl", r"openssl licen[sc]e"),
     ("ncsa", "ncsa|illinois", r"(?:university of illinois )?ncsa(?: open source)? licen[sc]e"),
-    ("ms-pl", "microsoft", r"microsoft public licen[sc]e|ms pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e|ms rl"),
+    ("ms-pl", "ms pl|microsoft", r"microsoft public licen[sc]e|ms pl"),
+    ("ms-rl", "ms rl|microsoft", r"microsoft reciprocal licen[sc]e|ms rl"),
     ("intel", "intel", r"intel open source licen[sc]e"),
     ("w3c", "w3c", r"w3c software (?:notice and )?licen[sc]e"),
     ("vim", "vim", r"vim licen[sc]e"),
@@ -101,7 +101,7 @@ LICENSES = (
     ("openldap", "openldap", r"openldap public licen[sc]e(?: version)?(?: 2 8)?"),
     ("mulan-2.0", "mulan", r"mulan (?:permissive software|psl) licen[sc]e(?: v2| version 2)?|mulanpsl 2 0"),
     ("cecill-2.1", "cecill", r"cecill(?: free software)? licen[sc]e(?: agreement)?(?: 2 1)?|cecill 2 1"),
-    ("openrail", "openrail|responsible", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?|responsible ai licen[sc]e"),
+    ("openrail", "rail|responsible", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?|responsible ai licen[sc]e"),
 )
 
 #: (label, priority, weight, keyword, regex over words): sentences of the license texts themselves, and marks without a license's name.
@@ -130,7 +130,7 @@ NOTICES = (
     ("wtfpl", 0, 0.95, "copy", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
     ("gpl", 1, 0.8, "copy", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
     ("cc", 3, 0.7, "creative", r"licensed under a creative commons licen[sc]e|creative commons licen[sc]e"),
-    ("cc-by-sa", 2, 0.85, "wikipedia", r"text is available under the creative commons attribution share ?alike licen[sc]e"),
+    ("cc-by-sa", 2, 0.85, "creative", r"text is available under the creative commons attribution share ?alike licen[sc]e"),
     ("proprietary", 5, 0.6, "rights", r"all rights reserved"),
     ("proprietary", 4, 0.75, "reproduced", r"no part of this (?:publication|work|document|book) may be reproduced"),
     ("proprietary", 4, 0.75, "confidential", r"(?:strictly )?(?:proprietary and confidential|confidential and proprietary)"),
@@ -138,8 +138,8 @@ NOTICES = (
     ("no-derivatives", 4, 0.6, "derivative", r"no derivative works? (?:are )?(?:permitted|allowed)"),
     ("non-commercial", 4, 0.6, "commercial", r"(?:for )?non ?commercial use only|not for commercial use"),
     ("copyright", 6, 0.4, "copyright", r"copyright(?: c| ©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
-    ("warranty-disclaimer", 6, 0.4, "warranty", r"without warranty of any kind(?: express or implied)?|without warranties or conditions of any kind"),
-    ("gpl", 3, 0.8, "general", r"gnu general public licen[sc]e|gnu gpl"),
+    ("warranty-disclaimer", 6, 0.4, "warrant", r"without warranty of any kind(?: express or implied)?|without warranties or conditions of any kind"),
+    ("gpl", 3, 0.8, "gnu", r"gnu general public licen[sc]e|gnu gpl"),
     ("lgpl", 3, 0.8, "lesser", r"gnu lesser general public licen[sc]e"),
     ("agpl", 3, 0.8, "affero", r"(?:gnu )?affero general public licen[sc]e"),
     ("apache", 3, 0.8, "apache", r"apache (?:software )?licen[sc]e"),
@@ -169,8 +169,8 @@ def _rules() -> list[Rule]:
         rules += [
             Rule(label, 1, 0.98, ("spdx",), whole(rf"spdx licen[sc]e identifier {tag}(?: only| or later)?")),
             Rule(label, 1, 0.95, words, whole(rf"{grant}(?:{names})")),
-            Rule(label, 1, 0.9, words, whole(rf"licen[sc]e (?:is |as |name )?(?:{tag}|{names})")),
-            Rule(label, 2, 0.85, words, whole(rf"(?:https? )?(?:www )?(?:opensource org licenses|spdx org licenses|choosealicense com licenses) {tag}")),
+            Rule(label, 1, 0.9, (*words, tag), whole(rf"licen[sc]e (?:is |as |name )?(?:{tag}|{names})")),
+            Rule(label, 2, 0.85, (tag,), whole(rf"(?:https? )?(?:www )?(?:opensource org licenses|spdx org licenses|choosealicense com licenses) {tag}")),
             Rule(label, 3, 0.8, words, whole(names)),
         ]
     return rules
