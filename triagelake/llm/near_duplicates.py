@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled, segment_sums, slices
+from .common import checkpointed, filled, segment_sums, slices, written
 
 SHINGLE = 3
 DISTANCE = 2
@@ -246,8 +246,9 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, tokens) of every row: a fingerprint of the shingle set, its size, and its rarest shingles in one order for all texts,
-    as many as two sets alike to 0.8 need to have one of them in common."""
+    """(doc_id, fp, n, tokens, parity) of every row: a fingerprint of the shingle set, its size, its rarest shingles in one order for all texts,
+    as many as two sets alike to 0.8 need to have one of them in common, and of each of ``PARITY`` buckets whether it has an odd number of
+    shingles. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
     common, often = common_shingles(docs)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +256,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 hashes, ends = distinct_shingles(filled(part.column("text")))
                 n = np.diff(ends)
+                parity = [np.packbits(np.bincount((hashes[a:b] % PARITY).astype(np.int64), minlength=PARITY) & 1).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 fps = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 text = np.repeat(np.arange(len(n)), n)
                 rank = np.zeros(len(hashes), dtype=np.int64)
@@ -266,9 +268,9 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
                 tokens = hashes[np.arange(len(hashes)) - ends[text] < length[text]].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "fp", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary())], names=["doc_id", "fp", "n", "tokens", "parity"])
 
-    return _named(docs).mapInArrow(compute, "doc_id long, fp binary, n long, tokens array<long>")
+    return _named(docs).mapInArrow(compute, "doc_id long, fp binary, n long, tokens array<long>, parity binary")
 
 
 POSTING = ("token", "node", "n", "pos", "comp")
@@ -350,58 +352,45 @@ def _candidates(rows: DataFrame, pivots: int) -> DataFrame:
     return _sorted_postings(rows).mapInArrow(pair, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles, parity) of every row: the sorted hashes of its different shingles as bytes, and of each of ``PARITY`` buckets
-    whether it has an odd number of them. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                hashes, ends = distinct_shingles(filled(part.column("text")))
-                sets = [hashes[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                parity = [np.packbits(np.bincount((x % PARITY).astype(np.int64), minlength=PARITY) & 1).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(parity, pa.binary())], names=["node", "shingles", "parity"])
-
-    return _named(docs).mapInArrow(compute, "node long, shingles binary, parity binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that share 0.8 or more of all their different shingles."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                near[i] = 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    with_both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+            for part in slices(batch, "x", 1 << 20):
+                (x, x_ends), (y, y_ends) = (distinct_shingles(filled(part.column(c))) for c in ("x", "y"))
+                shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(x_ends[:-1], x_ends[1:], y_ends[:-1], y_ends[1:], strict=True)])
+                yield part.select(["a", "b"]).filter(pa.array(9 * shared >= 4 * (np.diff(x_ends) + np.diff(y_ends))))
+
+    # Few texts are in any pair: only those are dealt out for both sides.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(_named(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    with_both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     return with_both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``distinct`` (node, n, tokens) that links of similarity 0.8 or more tie to a smaller one.
+    """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one.
 
     Each round compares the next members of every posting with all behind them, unless links already tie them; it ends when no
     posting has members left that are neither compared nor tied.
     """
     postings = distinct.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.col("node").alias("comp"))
     left = _uncompared(postings, 0)
-    nodes = left.select(F.col("node").alias("doc_id")).distinct()
-    sets = checkpointed(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi")))
     links = roots = None
     pivots = 1
     while True:
         # Few postings are left after the first round: only these carry parities.
-        found = _verified(_candidates(left if links is None else left.join(sets.select("node", "parity"), "node"), pivots), sets)
-        links = checkpointed(found if links is None else links.union(found))
-        roots = checkpointed(connected(links))
+        pairs = checkpointed(_candidates(left if links is None else left.join(distinct.select("node", "parity"), "node"), pivots))
+        if links is None or not pairs.isEmpty():
+            found = _verified(pairs, docs)
+            links = checkpointed(found if links is None else links.union(found))
+            roots = checkpointed(connected(links))
         tied = left.filter(F.col("size") > max(WHOLE_POSTING, pivots + 1)).drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
         left = _uncompared(tied, pivots)
         if left.isEmpty():
             return roots
-        pivots *= 8
+        pivots *= 64
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -411,7 +400,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     named = docs.filter(F.col("doc_id").isNotNull())
     every = prefixes(named)
-    distinct = checkpointed(every.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("least")).select(F.col("least.doc_id").alias("node"), "least.n", "least.tokens"))
+    distinct = checkpointed(every.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "tokens", "parity")).alias("least")).select(F.col("least.doc_id").alias("node"), "least.n", "least.tokens", "least.parity"))
     gone = similar_roots(distinct, named).select(F.col("node").alias("gone_id"))
     kept = distinct.select(F.col("node").alias("kept_id")).join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti")
     # The join and dropDuplicates need the same partitioning, so texts are shuffled once.
