@@ -1,19 +1,23 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A document's fingerprint sets a bit where over half of the XXH64 hashes (seed 42) of its 3-word shingles have it. Two fingerprints of
-8 positional bytes that differ in at most ``DISTANCE`` = 2 bits differ in at most 2 bytes, so they share at least 6 positional bytes:
-that is the guaranteed minimum of matches. Postings are therefore kept by six positional bytes at once (28 choices of the two bytes
-left out), and a pair meets in a posting exactly if its tally of shared bytes reaches the minimum; it is then verified by its
-differing bits. A posting holds 2^16 different fingerprints at most, whatever the data.
+8 positional bytes that differ in at most ``DISTANCE`` = 2 bits differ in at most 2 bytes, so they share at least ``LEAST_SHARED`` = 6
+positional bytes: the guaranteed minimum of matches. Bytes left out are at most 2, so of the four pairs of neighbouring bytes two at
+least are shared whole: the index has a posting for each choice of two pairs (6 postings of 4 positional bytes for a fingerprint), and
+two linked fingerprints meet in one of them. In a posting the shared positional bytes of each pair are tallied, pairs that reach the minimum are
+retained and verified by their differing bits. A posting of over ``CROWDED`` members is split by two more of the other four positional bytes,
+in all 6 choices, which loses no pair with 6 in common; such a part holds 2^16 different fingerprints at most, and is looked up by flipped bits where it is large.
 
 Copies cost nothing: fingerprints are made distinct before they are indexed, with the smallest id of each. Within a posting no
 pairs are written out: verified links become one link to the smallest member of each linked set. Connected components follow by
 alternating large-star and small-star rounds, with a checkpoint each.
 
-``keep_one`` serves corpora, where near copies differ by more than 2 of 64 bits: it takes the sets of different five-word shingles and
-is exact. Shingles have one order for all texts, rare ones first; sets alike to 0.8 share a shingle among the first fifth of both, so
-postings by those (an exact prefix filter) hold every such pair. Candidates are verified on their whole sets. A posting of many members is
-compared over rounds: some members with all behind them, then links are followed, and what links tie is not compared again.
+``keep_one`` serves corpora, where near copies differ by more than 2 of 64 bits: texts alike in 0.8 of their different five-word shingles. At that
+distance (10 of 64 bits on average) no number of shared bytes is guaranteed, so it indexes the shingles themselves, by the same steps, and is
+exact. Shingles have one order for all texts, rare ones first; sets alike to 0.8 share a shingle among the first fifth of both, so postings by those hold every
+such pair. Pairs that meet are filtered by how many shingles they can share at most, from their sizes and the shingle's places in both orders, then by
+the parities of ``PARITY`` buckets, which tally no more differences than there are; what is left is verified on the shingles of the whole texts. A posting of many
+members is compared over rounds: some members with all behind them, then links are followed, and what links tie is not compared again.
 
 Cases: a null or wordless text has fingerprint zero and is linked like any other; fewer than three words are one shingle. Rows with
 a null id get their group's smallest id (null if it has none). Repeated rows share a fingerprint and a group. Empty tables give no
@@ -33,13 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled, segment_sums, slices, written
+from .common import WordArrays, checkpointed, filled, segment_sums, slices, written
 
 SHINGLE = 3
 DISTANCE = 2
 BYTES = 8
+LEAST_SHARED = BYTES - DISTANCE
 SEED = 42
 SALTS = 8
+#: Members above which a posting is split by more positional bytes.
+CROWDED = 1024
 #: The pipeline's rule: five-word shingles, similarity 0.8 (9 x shared >= 4 x both sizes).
 WIDE_SHINGLE = 5
 #: Commonest shingles that the order of prefixes puts last.
@@ -97,12 +104,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
 
 
+def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of fingerprints reach the minimum of shared positional bytes and are verified by their differing bits."""
+    shared = (a[..., None].view(np.uint8) == b[..., None].view(np.uint8)).sum(axis=-1, dtype=np.uint8)
+    return (shared >= LEAST_SHARED) & (np.bitwise_count(a ^ b) <= DISTANCE)
+
+
 def _posting_links(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of the distinct fingerprints of one posting: each linked one with the smallest that it reaches there."""
     size = len(values)
-    if size <= 64:
-        near = np.bitwise_count(values[:, None] ^ values[None]) <= DISTANCE
-        step = lambda label: np.where(near, label[None], size).min(axis=1)
+    if size <= CROWDED:
+        met = [np.nonzero(tallied(values[i : i + 64, None], values[None])) for i in range(0, size, 64)]
+        a, b = np.concatenate([x + 64 * i for i, (x, _) in enumerate(met)]), np.concatenate([y for _, y in met])
     else:
         # The two bytes left out hold 16 bits: look up each value's 136 neighbours at 1 or 2 flips instead of comparing all pairs.
         varying = np.bitwise_or.reduce(values ^ values[0])
@@ -118,10 +131,10 @@ def _posting_links(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             links.append((np.flatnonzero(there), order[at[there]]))
         a, b = np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links])
 
-        def step(label: np.ndarray) -> np.ndarray:
-            out = label.copy()
-            np.minimum.at(out, a, label[b])
-            return out
+    def step(label: np.ndarray) -> np.ndarray:
+        out = label.copy()
+        np.minimum.at(out, a, label[b])
+        return out
 
     label = np.arange(size)
     while True:
@@ -141,7 +154,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(key) != 0)) + 1
         starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(fp)]))
         pairs = starts[ends - starts == 2]
-        met = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= DISTANCE]
+        met = pairs[tallied(fp[pairs], fp[pairs + 1])]
         a, b = [fp[met + 1]], [fp[met]]
         for start, end in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             x, y = _posting_links(fp[start:end])
@@ -162,12 +175,24 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(*rest)
 
 
+def _mask(places) -> int:
+    """A signed mask of positional bytes."""
+    mask = sum(0xFF << 8 * p for p in places)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that span the same sets as all pairs of distinct fingerprints within ``DISTANCE`` bits."""
-    choices = [sum(0xFF << 8 * p for p in range(BYTES) if p not in left_out) for left_out in combinations(range(BYTES), DISTANCE)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    postings = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key")).select(F.col("choice").cast("long").alias("choice"), "key", "fp")
-    return postings.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "a long, b long").distinct()
+    neighbours = [(p, p + 1) for p in range(0, BYTES, 2)]
+    choices = [(*x, *y) for x, y in combinations(neighbours, 2)]
+    finer = [[(*choice, *two) for two in combinations(sorted({*range(BYTES)} - {*choice}), LEAST_SHARED - len(choice))] for choice in choices]
+    keyed = lambda sets: F.array(*[F.struct(F.lit(_mask(c)).alias("choice"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("key")) for c in sets])
+    postings = distinct.select("fp", F.inline(keyed(choices)))
+    crowded = checkpointed(postings.groupBy("choice", "key").count().filter(F.col("count") > CROWDED).select("choice", "key"))
+    if not crowded.isEmpty():
+        apart = postings.join(crowded, ["choice", "key"], "left_semi").select("fp", F.inline(F.element_at(F.create_map(*[x for c, sets in zip(choices, finer, strict=True) for x in (F.lit(_mask(c)), keyed(sets))]), F.col("choice"))))
+        postings = postings.join(crowded, ["choice", "key"], "left_anti").select("fp", "choice", "key").union(apart)
+    return postings.select("choice", "key", "fp").repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "a long, b long").distinct()
 
 
 def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -205,14 +230,28 @@ def group_documents(docs: DataFrame) -> DataFrame:
 
 
 def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The different five-word shingles of each text, by hash, and the texts' bounds in them."""
-    hashes, ends = shingle_hashes(texts, WIDE_SHINGLE)
-    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    order = np.lexsort((hashes, text))
-    hashes, text = hashes[order], text[order]
-    first = np.ones(len(hashes), dtype=bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    return hashes[first], np.concatenate(([0], np.cumsum(np.bincount(text[first], minlength=len(ends) - 1))))
+    """The different five-word shingles of each lower-cased text as 64-bit numbers, sorted, and the texts' bounds in them; fewer words are one."""
+    words = WordArrays(pc.ascii_lower(texts))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words.distinct.to_pylist()), np.uint64, len(words.distinct))[words.codes]
+    shingles = np.where(words.counts >= WIDE_SHINGLE, words.counts - WIDE_SHINGLE + 1, np.minimum(words.counts, 1))
+    ends = np.concatenate(([0], np.cumsum(shingles)))
+    first = np.arange(ends[-1]) - np.repeat(ends[:-1] - words.offsets[:-1], shingles)
+    size = np.repeat(np.minimum(words.counts, WIDE_SHINGLE), shingles)
+    out = size.astype(np.uint64)
+    for i in range(WIDE_SHINGLE):
+        there = i < size
+        out[there] = _mixed(out[there] * np.uint64(0x9E3779B97F4A7C15) + hashes[first[there] + i])
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[a:b].sort()
+    text = np.repeat(np.arange(len(shingles)), shingles)
+    fresh = np.ones(len(out), dtype=bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (text[1:] != text[:-1])
+    return out[fresh], np.concatenate(([0], np.cumsum(np.bincount(text[fresh], minlength=len(shingles)))))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -226,10 +265,13 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         held: list[np.ndarray] = []
 
         def often() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            ranked = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            # Equal neighbours three apart: a shingle of four texts or more, with the place where its run starts.
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(ranked)), dtype=bool), ranked[1:] != ranked[:-1])))
+            n = np.diff(np.concatenate((starts, [len(ranked)])))
             top = np.flatnonzero(n >= 4)
             top = top[np.argsort(-n[top], kind="stable")[:8192]]
-            return pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(ranked[starts[top]].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
             for part in slices(batch):
@@ -246,7 +288,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, tokens, parity) of every row: a fingerprint of the shingle set, its size, its rarest shingles in one order for all texts,
+    """(doc_id, text_hash, fp, n, tokens, parity) of every row: a digest of the shingle set, its size, its rarest shingles in one order for all texts,
     as many as two sets alike to 0.8 need to have one of them in common, and of each of ``PARITY`` buckets whether it has an odd number of
     shingles. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
     common, often = common_shingles(docs)
@@ -256,24 +298,24 @@ def prefixes(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 hashes, ends = distinct_shingles(filled(part.column("text")))
                 n = np.diff(ends)
-                parity = [np.packbits(np.bincount((hashes[a:b] % PARITY).astype(np.int64), minlength=PARITY) & 1).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                fps = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                text = np.repeat(np.arange(len(n)), n)
+                # 0.8 n of n shingles, rounded up, must be shared: one more than the others may be missed.
+                length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
                 rank = np.zeros(len(hashes), dtype=np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
                     rank = np.where(common[at] == hashes, often[at], 0)
-                hashes = hashes[np.lexsort((hashes, rank, text))]
-                # 0.8 n of n shingles, rounded up, must be shared: one more than the others may be missed.
-                length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
-                tokens = hashes[np.arange(len(hashes)) - ends[text] < length[text]].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary())], names=["doc_id", "fp", "n", "tokens", "parity"])
-
-    return _named(docs).mapInArrow(compute, "doc_id long, fp binary, n long, tokens array<long>, parity binary")
-
+                bucket = (hashes % PARITY).astype(np.int64)
+                fps, parity, tokens = [], [], []
+                for a, b, most in zip(ends[:-1].tolist(), ends[1:].tolist(), length.tolist(), strict=True):
+                    own = hashes[a:b]
+                    fps.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    parity.append(np.packbits(np.bincount(bucket[a:b], minlength=PARITY) & 1).tobytes())
+                    # Sorted by hash already: a stable sort by how common they are gives the one order.
+                    tokens.append(own[:most] if not rank[a:b].any() else own[np.argsort(rank[a:b], kind="stable")[:most]])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary())], names=["doc_id", "text_hash", "fp", "n", "tokens", "parity"])
 
-POSTING = ("token", "node", "n", "pos", "comp")
+    return _named(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(compute, "doc_id long, text_hash long, fp binary, n long, tokens array<long>, parity binary")
 
 
 def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
@@ -284,75 +326,70 @@ def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[st
         size = np.diff(np.concatenate((starts, [len(now["token"])])))
         return now, np.arange(len(now["token"])) - np.repeat(starts, size), np.repeat(size, size)
 
-    rest = {c: np.zeros(0, np.int64) for c in POSTING}
+    rest: dict[str, np.ndarray] = {}
     for batch in batches:
-        new = {c: np.asarray(batch.column(c)) for c in POSTING}
-        if "parity" in batch.schema.names:
-            new["parity"] = np.frombuffer(b"".join(batch.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY // 64)
-        now = {c: np.concatenate((rest[c], x)) if c in rest and len(rest[c]) else x for c, x in new.items()}
+        now = {c: np.concatenate((rest[c], np.asarray(batch.column(c)))) if rest else np.asarray(batch.column(c)) for c in batch.schema.names}
         if not len(now["token"]):
             continue
         last = int(np.flatnonzero(now["token"] != now["token"][-1]).max(initial=-1)) + 1
         if last:
             yield placed({c: x[:last] for c, x in now.items()})
         rest = {c: x[last:] for c, x in now.items()}
-    if len(rest["token"]):
+    if rest:
         yield placed(rest)
 
 
-def _sorted_postings(rows: DataFrame) -> DataFrame:
-    return rows.repartition("token").sortWithinPartitions("token", "node")
+def _compared(rows: DataFrame, pivots: int) -> DataFrame:
+    """Of each posting, candidate pairs (a, b) of its first ``pivots`` members with all after them, or all pairs of a small one: those of different
+    components that can share enough shingles. Of a larger one also its other members (token, a, b = node, place), if they are of different components.
 
+    ``place`` holds a set's size, and the shingle's place in its order in the lower 32 bits."""
 
-def _uncompared(rows: DataFrame, pivots: int) -> DataFrame:
-    """Of each posting the members behind the first ``pivots``, if they are of different components; ``size`` is their number."""
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now, place, size in _whole_postings(batches):
-            left = place >= pivots
-            first = np.minimum(np.arange(len(place)) - place + pivots, len(place) - 1)
-            posting = np.cumsum(place == 0) - 1
-            mixed = np.bincount(posting, left & (now["comp"] != now["comp"][first])) > 0
-            keep = left & mixed[posting]
-            yield pa.RecordBatch.from_arrays([*(pa.array(now[c][keep]) for c in POSTING), pa.array((size - pivots)[keep])], names=[*POSTING, "size"])
-
-    return checkpointed(_sorted_postings(rows.select(*POSTING)).mapInArrow(narrow, ", ".join(f"{c} long" for c in (*POSTING, "size"))))
-
-
-def _candidates(rows: DataFrame, pivots: int) -> DataFrame:
-    """Pairs (a, b) of each posting's first ``pivots`` members with all after them, and all pairs of a small posting, but those of one component
-    and those whose sizes and places in both orders leave too few shingles to share, or whose parities (if ``rows`` has them) differ in more
-    bits than their sets may in shingles: neither loses a pair of similarity 0.8."""
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(found: list[np.ndarray]) -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["token", "a", "b"])
 
-        for now, place, size in _whole_postings(batches):
+        for now, nth, size in _whole_postings(batches):
             found: list[np.ndarray] = []
-            start = np.arange(len(place)) - place
+            start = np.arange(len(nth)) - nth
+            comp = now.get("comp", now["node"])
+            n, pos = now["place"] >> 32, now["place"] & 0xFFFFFFFF
             for pivot in range(min(int(size.max()) - 1, max(pivots, WHOLE_POSTING - 1))):
-                b = np.flatnonzero((place > pivot) & ((size <= WHOLE_POSTING) | (pivot < pivots)))
+                b = np.flatnonzero((nth > pivot) & ((size <= WHOLE_POSTING) | (pivot < pivots)))
                 a = start[b] + pivot
-                n, pos = now["n"], now["pos"]
                 most = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
-                good = (now["comp"][a] != now["comp"][b]) & (9 * most >= 4 * (n[a] + n[b]))
-                a, b = a[good], b[good]
-                if "parity" in now:
-                    good = 9 * np.bitwise_count(now["parity"][a] ^ now["parity"][b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]
-                    a, b = a[good], b[good]
-                found.append(np.stack((now["node"][a], now["node"][b]), axis=1))
-                if sum(map(len, found)) >= 1_000_000:
+                good = (comp[a] != comp[b]) & (9 * most >= 4 * (n[a] + n[b]))
+                found.append(np.stack((now["node"][a[good]], now["node"][b[good]]), axis=1))
+                if sum(map(len, found)) >= 500_000:
                     yield emit(found)
                     found = []
             if found:
                 yield emit(found)
+            behind = (size > max(WHOLE_POSTING, pivots + 1)) & (nth >= pivots)
+            posting = np.cumsum(nth == 0) - 1
+            mixed = np.bincount(posting, behind & (comp != comp[np.minimum(start + pivots, len(nth) - 1)])) > 0
+            keep = behind & mixed[posting]
+            yield pa.RecordBatch.from_arrays([pa.array(now[c][keep]) for c in ("token", "node", "place")], names=["token", "a", "b"])
+
+    return written(rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(compare, "token long, a long, b long"), "postings")
 
-    return _sorted_postings(rows).mapInArrow(pair, "a long, b long").distinct()
 
+def _retained(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs whose parities differ in no more buckets than their sets may in shingles, at similarity 0.8."""
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(9 * apart <= np.asarray(batch.column("n"))))
+
+    known = distinct.select("node", "parity", "n")
+    both = pairs.distinct().join(known.toDF("a", "x", "n_a"), "a").join(known.toDF("b", "y", "n_b"), "b")
+    return both.select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(tally, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that share 0.8 or more of all their different shingles."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,47 +399,54 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(x_ends[:-1], x_ends[1:], y_ends[:-1], y_ends[1:], strict=True)])
                 yield part.select(["a", "b"]).filter(pa.array(9 * shared >= 4 * (np.diff(x_ends) + np.diff(y_ends))))
 
-    # Few texts are in any pair: only those are dealt out for both sides.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(_named(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    with_both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    return with_both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends no links tie."""
+    with_a = pairs.join(roots.toDF("a", "root_a"), "a", "left")
+    return with_a.join(roots.toDF("b", "root_b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one.
 
     Each round compares the next members of every posting with all behind them, unless links already tie them; it ends when no
-    posting has members left that are neither compared nor tied.
+    posting has members left that are neither compared nor tied. Of a node's candidates the smallest is verified first, the others
+    only where links have not tied them by then: few texts are dealt out for a family of copies, however many postings it shares.
     """
-    postings = distinct.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.col("node").alias("comp"))
-    left = _uncompared(postings, 0)
-    links = roots = None
-    pivots = 1
+    rows = distinct.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("place"))
+    links, roots, pivots = None, None, 1
     while True:
-        # Few postings are left after the first round: only these carry parities.
-        pairs = checkpointed(_candidates(left if links is None else left.join(distinct.select("node", "parity"), "node"), pivots))
+        table = _compared(rows, pivots)
+        pairs = checkpointed(_retained(table.filter("token IS NULL").select("a", "b"), distinct))
         if links is None or not pairs.isEmpty():
-            found = _verified(pairs, docs)
+            # Few texts are in any pair: only those are dealt out for both sides.
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            texts = written(_named(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+            found = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
             links = checkpointed(found if links is None else links.union(found))
-            roots = checkpointed(connected(links))
-        tied = left.filter(F.col("size") > max(WHOLE_POSTING, pivots + 1)).drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-        left = _uncompared(tied, pivots)
+            roots = connected(links)
+            rest = checkpointed(_apart(pairs, roots))
+            if not rest.isEmpty():
+                links = checkpointed(links.union(_verified(rest, texts)))
+                roots = connected(links)
+        left = table.filter("token IS NOT NULL").toDF("token", "node", "place")
         if left.isEmpty():
             return roots
-        pivots *= 64
+        rows = left.join(roots, "node", "left").select("token", "node", "place", F.coalesce("root", "node").alias("comp"))
+        pivots = min(64 * pivots, 4096)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of documents alike in 0.8 or more of their five-word shingles the one with the smallest id, with all columns.
 
-    Rows that share that id stay one row. A row without an id stays: nothing names it.
+    Rows with that id and the same text stay one row. A row without an id stays: nothing names it. Ids are taken to name one text.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    every = prefixes(named)
-    distinct = checkpointed(every.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "tokens", "parity")).alias("least")).select(F.col("least.doc_id").alias("node"), "least.n", "least.tokens", "least.parity"))
+    least = F.min(F.struct("doc_id", "text_hash", "n", "tokens", "parity")).alias("least")
+    distinct = written(prefixes(named).groupBy("fp").agg(least).select(F.col("least.doc_id").alias("node"), "least.text_hash", "least.n", "least.tokens", "least.parity"), "prefixes")
     gone = similar_roots(distinct, named).select(F.col("node").alias("gone_id"))
-    kept = distinct.select(F.col("node").alias("kept_id")).join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti")
-    # The join and dropDuplicates need the same partitioning, so texts are shuffled once.
-    one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = distinct.select(F.col("node").alias("kept_id"), F.col("text_hash").alias("kept_text")).join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti")
+    one = docs.join(kept, (docs["doc_id"] == kept["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["kept_text"]), "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))
