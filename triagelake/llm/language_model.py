@@ -42,7 +42,7 @@ from .common import WordArrays, filled, hash_slot, segment_sums, written
 ORDER = 3
 #: Pseudo-count m of the smoothing: how many observations of a history the shorter history's estimate is worth.
 PRIOR = 4.0
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 5_000_000
 #: Words that a piece of a text advances; the longest text is in no more steps than this and the order.
 PIECE = 64
 LEAST_BITS = 48
