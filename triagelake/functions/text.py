@@ -72,9 +72,14 @@ def email_key(email: Column) -> Column:
     return F.trim(F.lower(email))
 
 
+def strip(text: Column) -> Column:
+    """Without blanks, tabs and line breaks at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def widen_quote(span: Column, turn: Column, least: int = 15) -> Column:
-    """The trimmed span if it is long enough to carry evidence, else the trimmed turn."""
-    return F.when(F.length(F.trim(span)) >= least, F.trim(span)).otherwise(F.trim(turn))
+    """The stripped span if it is long enough to carry evidence, else the stripped turn."""
+    return F.when(F.length(strip(span)) >= least, strip(span)).otherwise(strip(turn))
 
 
 def tier_rank(tier: Column) -> Column:

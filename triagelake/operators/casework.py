@@ -18,6 +18,8 @@ TIER_REASONS = {
     "T3": "Severe or persistent harassment. Priority queue, 24 hours.",
     "T4": "Immediate risk. Break-glass now; crisis resources were shown to the student.",
 }
+TIER_ACTIONS = {"T0": "Log only", "T1": "Log, no counsellor action", "T2": "Queue, routine", "T3": "Queue, priority", "T4": "Break-glass immediately, crisis resources to student"}
+TIER_HOURS = {"T2": 48, "T3": 24, "T4": 0}
 GATE_REASONS = {
     "self_harm_intent": "Describes harming themselves.",
     "suicidal_ideation": "Describes not wanting to be alive.",
@@ -28,10 +30,36 @@ GATE_REASONS = {
 }
 
 
-def _lookup(values: dict[str, str], key: Column) -> Column:
+#: Fixed values. Sentences of a card that only the gate has seen.
+GATE_CARD_TIERS = {
+    "T0": "No action needed; logged only.",
+    "T1": "Mild concern; logged, no action needed.",
+    "T2": "Sustained difficulty. Queue for a conversation.",
+    "T3": "Significant distress. Contact within 24 hours.",
+    "T4": "Risk to life. Act now.",
+}
+GATE_CARD_REASONS = {
+    "self_harm_intent": "Stated intent to self-harm or end their life.",
+    "self_harm_past": "Described self-harm that has already happened.",
+    "abuse_disclosure": "Described harm being done to them by someone else.",
+    "weapon_or_violence": "Mentioned a weapon or planned violence.",
+    "imminence": "Language suggesting something is about to happen.",
+    "isolation": "Described having nobody to turn to.",
+}
+GATE_CARD_LAST = "Scored by the safety gate only. The classifier has not run on this yet."
+LAST_MESSAGE = "no explicit signal; most recent message"
+
+
+def _lookup(values: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
+def started(days_ago: Column, place: Column, epoch: Column) -> Column:
+    """When a fixture's case began: so many days before the epoch, or four hours earlier for each place in the file."""
+    micros = F.coalesce(F.round(days_ago * 86_400_000_000.0).cast("long"), place.cast("long") * F.lit(4 * 3_600_000_000))
+    return F.timestamp_micros(F.unix_micros(epoch) - micros)
+
+
 def retention_expiry(started_at: Column, tier: Column) -> Column:
     """When content is due to go; null (never) for escalated tiers, 30 days for others and for cases without a tier."""
     return F.when(F.coalesce(tier.isin(*ESCALATED), F.lit(False)), F.lit(None).cast("timestamp")).otherwise(started_at + F.expr(f"INTERVAL {KEEP_DAYS} DAYS"))
@@ -40,27 +68,64 @@ def retention_expiry(started_at: Column, tier: Column) -> Column:
 def build_cards(cases: DataFrame, timeline: DataFrame, quotes: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     """One nested record for each decided case: reasons, risk by turn, quotes, expiry and rank.
 
-    ``cases`` come from decide_case with started_at; ``timeline`` has (case_id, turn, risk), ``quotes`` (case_id, rank, turn, quote),
-    ``reports`` (case_id, report: marker sentences).
+    ``cases`` come from decide_case with started_at and handle; ``timeline`` has (case_id, turn, risk), ``quotes`` (case_id, rank, turn, quote,
+    score, reason), ``reports`` (case_id, report: marker sentences). A card holds its case's risks in one row, as long as the conversation.
     """
-    line = timeline.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("ordinal"), F.round("risk", 4).alias("risk")))).alias("session_timeline"))
-    cited = quotes.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "turn", "quote"))), lambda q: F.struct(q["turn"].alias("turn"), q["quote"].alias("quote"))).alias("cited_quotes"))
+    line = timeline.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("ordinal"), F.round("risk", 4).alias("risk")))).alias("session_timeline"), F.count("*").alias("n_student_turns"))
+    cited = quotes.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "turn", "quote", "score", "reason"))), lambda q: F.struct(q["turn"].alias("turn"), q["quote"].alias("quote"), q["score"].alias("score"), q["reason"].alias("reason"))).alias("cited_quotes"))
     gate = F.transform(F.filter(F.split("categories", ","), lambda c: c != ""), lambda c: _lookup(GATE_REASONS, c))
     out = cases.join(line, "case_id", "left").join(cited, "case_id", "left")
     out = out.join(reports, "case_id", "left") if reports is not None else out.withColumn("report", F.array().cast("array<string>"))
-    sentence = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 100_000)), F.lit("."))
+    sentence = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))), F.lit("."))
     told = F.transform(F.coalesce("report", F.array().cast("array<string>")), sentence)
     why = F.when(F.col("floor_reason").isNotNull(), F.array(sentence(F.col("floor_reason")))).otherwise(F.array().cast("array<string>"))
     return out.select(
-        "case_id", "tier", F.round("confidence", 4).alias("confidence"), F.col("floor").alias("gate_floor"), F.concat(F.array(_lookup(TIER_REASONS, F.col("tier"))), gate, told, why).alias("reasons"), "session_timeline",
-        F.coalesce("cited_quotes", F.array().cast("array<struct<turn:bigint,quote:string>>")).alias("cited_quotes"), retention_expiry(F.col("started_at"), F.col("tier")).alias("retention_expires_at"), F.round("queue_rank", 4).alias("queue_rank"), F.round("escalation", 4).alias("escalation"), "model_tier", F.col("requires_crisis").alias("crisis_shown"),
+        "case_id", "handle", "tier", F.round("confidence", 4).alias("confidence"), F.col("floor_reason").alias("tier_floor_reason"), F.col("floor").alias("gate_floor"), F.filter(F.split("categories", ","), lambda c: c != "").alias("gate_indicators"),
+        _lookup(TIER_ACTIONS, F.col("tier")).alias("action"), _lookup(TIER_HOURS, F.col("tier")).alias("sla_hours"), F.coalesce("n_student_turns", F.lit(0)).alias("n_student_turns"), F.concat(F.array(_lookup(TIER_REASONS, F.col("tier"))), gate, told, why).alias("reasons"), "session_timeline",
+        F.coalesce("cited_quotes", F.array().cast("array<struct<turn:bigint,quote:string,score:double,reason:string>>")).alias("cited_quotes"), retention_expiry(F.col("started_at"), F.col("tier")).alias("retention_expires_at"), F.round("queue_rank", 4).alias("queue_rank"), F.round("escalation", 4).alias("escalation"), "model_tier", F.col("requires_crisis").alias("crisis_shown"),
     )
 
 
-def gate_cards(verdicts: DataFrame) -> DataFrame:
-    """Cards of cases that only the gate has seen: tier from the floor, no confidence, rank one above the floor."""
-    floor = F.coalesce(tier_rank(F.col("floor")), F.lit(0))
-    return verdicts.select("case_id", tier_name(floor).alias("tier"), F.lit(None).cast("double").alias("confidence"), F.when(floor > 0, floor + 1.0).otherwise(0.0).alias("queue_rank"), F.col("requires_crisis").alias("crisis_shown"), F.lit(True).alias("awaiting_classifier"))
+def gate_cards(verdicts: DataFrame, hits: DataFrame, turns: DataFrame, cases: DataFrame) -> DataFrame:
+    """Cards of cases that only the gate has seen: tier from the floor (T0 without one), no confidence, and the top of the floor's band as rank.
+
+    Unknown is not low: a case without a floor ranks at 1, above all that a model has scored without one. ``hits`` are those that count
+    (real_hits), ``cases`` has case_id, handle and started_at. Quotes and timeline are rows of their own: gate_quotes, gate_timeline.
+    """
+    seen = hits.groupBy("case_id", "category").agg(F.min(F.struct("turn", "place")).alias("at"))
+    indicators = seen.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "category"))), lambda x: x["category"]).alias("gate_indicators"))
+    said = turns.groupBy("case_id").agg(F.count("*").alias("n_student_turns"))
+    out = verdicts.join(cases.select("case_id", "handle", "started_at"), "case_id").join(indicators, "case_id", "left").join(said, "case_id", "left")
+    floor, none = F.coalesce(tier_rank(F.col("floor")), F.lit(0)), F.array().cast("array<string>")
+    out = out.withColumn("tier", tier_name(floor)).withColumn("gate_indicators", F.coalesce("gate_indicators", none))
+    why = F.transform("gate_indicators", lambda c: F.coalesce(_lookup(GATE_CARD_REASONS, c), F.concat(F.lit("Safety gate flagged: "), c, F.lit("."))))
+    floored = F.concat(F.lit("The safety gate floors this conversation at "), F.col("floor"), F.lit("."))
+    return out.select(
+        "case_id", "handle", "tier", F.lit(None).cast("double").alias("confidence"), floored.alias("tier_floor_reason"), F.col("floor").alias("gate_floor"), "gate_indicators",
+        F.concat(F.array(_lookup(GATE_CARD_TIERS, F.col("tier"))), why, F.array(F.lit(GATE_CARD_LAST))).alias("reasons"), retention_expiry(F.col("started_at"), F.col("tier")).alias("retention_expires_at"),
+        (floor + 1.0).alias("queue_rank"), F.lit(0.0).alias("escalation"), F.lit("T0").alias("model_tier"), _lookup(TIER_HOURS, F.col("tier")).alias("sla_hours"), _lookup(TIER_ACTIONS, F.col("tier")).alias("action"),
+        F.col("requires_crisis").alias("crisis_shown"), F.coalesce("n_student_turns", F.lit(0)).alias("n_student_turns"), F.lit(True).alias("awaiting_classifier"),
+    )
+
+
+def gate_quotes(hits: DataFrame, turns: DataFrame, limit: int = 3) -> DataFrame:
+    """(case_id, rank, turn, quote, score, reason): whole turns with hits, in order, for the first hit of each; else the most recent message."""
+    first = hits.groupBy("case_id", "turn").agg(F.min_by(F.struct("weight", "category", "name"), "place").alias("h"))
+    early = first.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("turn"))).filter(F.col("rank") <= limit)
+    cited = early.join(turns.select("case_id", "turn", "text"), ["case_id", "turn"]).select("case_id", "rank", "turn", F.col("text").alias("quote"), F.col("h.weight").alias("score"), F.concat(F.col("h.category"), F.lit(" / "), F.col("h.name")).alias("reason"))
+    last = turns.join(cited.select("case_id").distinct(), "case_id", "left_anti").groupBy("case_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("m"))
+    return cited.unionByName(last.select("case_id", F.lit(1).alias("rank"), "m.turn", F.col("m.text").alias("quote"), F.lit(0.0).alias("score"), F.lit(LAST_MESSAGE).alias("reason")))
+
+
+def gate_timeline(hits: DataFrame, turns: DataFrame) -> DataFrame:
+    """(case_id, turn, risk): 1 for a turn with a hit, else 0."""
+    hit = hits.select("case_id", "turn").distinct().withColumn("_hit", F.lit(1))
+    return turns.select("case_id", "turn").join(hit, ["case_id", "turn"], "left").select("case_id", "turn", F.coalesce("_hit", F.lit(0)).alias("risk"))
+
+
+def pinned(scored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scored cards under the identity that was asked about (card_id, case_id, handle), whatever they say; none awaits the classifier."""
+    return scored.drop("case_id", "handle", "awaiting").join(asked.select("card_id", "case_id", "handle"), "card_id").withColumn("awaiting", F.lit(False))
 
 
 def queue(cards: DataFrame) -> DataFrame:
@@ -68,6 +133,12 @@ def queue(cards: DataFrame) -> DataFrame:
     return cards.filter(F.col("tier").isin(*QUEUED)).orderBy(F.desc("queue_rank"), F.desc(tier_rank(F.col("tier"))), F.desc("is_live"), "case_id")
 
 
+def queue_places(cards: DataFrame) -> DataFrame:
+    """Each queued card's place among those of its tier, in the queue's order."""
+    order = Window.partitionBy("tier").orderBy(F.desc("queue_rank"), F.desc("is_live"), "case_id")
+    return cards.filter(F.col("tier").isin(*QUEUED)).withColumn("place", F.row_number().over(order))
+
+
 def queue_stats(cards: DataFrame) -> DataFrame:
     return cards.agg(F.count("*").alias("total"), F.count_if(F.col("tier").isin(*QUEUED)).alias("queued"), F.count_if(F.col("tier") == "T4").alias("t4"), F.count_if("is_live").alias("live"), F.count_if("awaiting").alias("awaiting"))
 
@@ -99,6 +170,12 @@ def access_log(entries: DataFrame, case_id: str | None = None) -> DataFrame:
     return (entries.filter(F.col("case_id") == case_id) if case_id else entries).orderBy("at", "seq")
 
 
+def newest_accesses(entries: DataFrame, most: int = 100) -> DataFrame:
+    """The newest entries of each case, with their place from the newest."""
+    last = Window.partitionBy("case_id").orderBy(F.desc("at"), F.desc("seq"))
+    return entries.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= most)
+
+
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The newest row of each key, by ``order`` descending; ``max_by`` combines before the shuffle."""
     row = F.struct(*[F.col(c) for c in rows.columns])
@@ -116,7 +193,10 @@ def decide_overrides(requests: DataFrame, log: DataFrame) -> DataFrame:
     out = requests.join(read, ["case_id", "counsellor_id"], "left")
     refusal = F.when(F.length(F.trim("reason")) < REASON_CHARS["overrode_tier"], "reason too short").when(F.col("_read").isNull(), "transcript not read")
     effective = tier_name(F.greatest(tier_rank(F.col("requested_tier")), tier_rank(F.col("gate_floor"))))
-    return out.withColumn("refusal", refusal).withColumn("effective_tier", F.when(F.col("refusal").isNull(), effective)).withColumn("floored", F.coalesce(F.col("effective_tier") != F.col("requested_tier"), F.lit(False))).drop("_read")
+    out = out.withColumn("refusal", refusal).withColumn("effective_tier", F.when(F.col("refusal").isNull(), effective)).withColumn("floored", F.coalesce(F.col("effective_tier") != F.col("requested_tier"), F.lit(False)))
+    # The notice's sentences.
+    notice = F.concat(F.lit("Recorded as "), F.col("effective_tier"), F.lit(", not "), F.col("requested_tier"), F.lit(": the safety gate floors this conversation at "), F.col("gate_floor"), F.lit(". Your reason has been logged against it. To close it below the floor you have to break glass, which a lead will review."))
+    return out.withColumn("floored_notice", F.when(F.col("floored"), notice)).drop("_read")
 
 
 def decide_break_glass(requests: DataFrame, log: DataFrame) -> DataFrame:
@@ -158,7 +238,20 @@ def retention_decisions(records: DataFrame, open_glass: DataFrame, now: Column)
 def retention_sweep(decisions: DataFrame) -> DataFrame:
     """Counters of a sweep; content already gone is not an exemption to report."""
     count = lambda r: F.count_if(F.col("exemption") == r).alias(r)
-    return decisions.agg(F.count("*").alias("examined"), F.count_if("delete").alias("to_delete"), count("escalated"), count("explicit_hold"), count("unreviewed_break_glass"))
+    late = F.count_if(F.col("exemption").isNull() & ~F.coalesce(F.col("delete"), F.lit(False))).alias("not_yet_due")
+    return decisions.agg(F.count("*").alias("examined"), F.count_if("delete").alias("to_delete"), late, count("escalated"), count("explicit_hold"), count("unreviewed_break_glass"))
+
+
+def exemptions(decisions: DataFrame) -> DataFrame:
+    """(case_id, exemption) of what a sweep leaves alone for a reason."""
+    return decisions.filter(F.col("exemption").isNotNull() & (F.col("exemption") != "already_deleted")).select("case_id", "exemption")
+
+
+def erase_records(records: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """Records after a sweep: those it deletes lose their card, which quotes the student, and are stamped; running it again changes nothing."""
+    gone = decisions.filter("delete").select("case_id", F.lit(True).alias("_gone"))
+    both = records.join(gone, "case_id", "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)) & F.col("content_deleted_at").isNull())
+    return both.withColumn("content_deleted_at", F.when(F.col("_gone"), now).otherwise(F.col("content_deleted_at"))).withColumn("card", F.when(~F.col("_gone"), F.col("card"))).drop("_gone")
 
 
 def erase(children: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -169,6 +262,15 @@ def erase(children: DataFrame, decisions: DataFrame) -> DataFrame:
 #: Fixed values. What a student reads; a tier is never named.
 STATUS = {"T4": "Someone will get in touch with you as soon as possible.", "T3": "A counsellor will get in touch, usually within a day.", "T2": "A counsellor has your conversation and will read it."}
 NO_STATUS = "Nobody has been asked to follow this up."
+STATUS_DETAILS = {
+    "T4": "A counsellor at your school has been told about this conversation and it is at the top of their list. If you need to talk to someone right now, the numbers below are free and open all day and night.",
+    "T3": "Someone at your school has your conversation and will read it. You do not have to do anything else.",
+    "T2": "It is in their list rather than at the top of it, so this might take a few days.",
+}
+NO_STATUS_DETAIL = "Nothing here looked like something a counsellor needed to act on. That is not a judgement about whether it matters to you. You can keep talking any time, and if things change, say so and it will be looked at again."
+KEPT = "Because a counsellor is following this up, your conversation is kept as part of their record and is not deleted automatically. You can ask your school what happens to it."
+NO_DATE = "This conversation does not have a deletion date set yet."
+DATED = ("Your conversation is deleted on ", " days after it started. After that it is gone and nobody can read it, including us.")
 ACCESS = {
     "viewed_card": "Opened the summary of your conversation.",
     "viewed_transcript": "Read the full conversation.",
@@ -183,13 +285,35 @@ def student_status(tier: Column) -> Column:
     return F.coalesce(_lookup(STATUS, tier), F.lit(NO_STATUS))
 
 
+def student_detail(tier: Column) -> Column:
+    return F.coalesce(_lookup(STATUS_DETAILS, tier), F.lit(NO_STATUS_DETAIL))
+
+
+def someone_will_read(tier: Column) -> Column:
+    return F.coalesce(tier.isin(*QUEUED), F.lit(False))
+
+
+def retention_copy(tier: Column, expires_at: Column) -> Column:
+    """When a conversation is deleted, in the student's words."""
+    dated = F.concat(F.lit(DATED[0]), F.date_format(expires_at, "d MMMM yyyy"), F.lit(f", {KEEP_DAYS}"), F.lit(DATED[1]))
+    return F.when(expires_at.isNotNull(), dated).when(F.coalesce(tier.isin(*ESCALATED), F.lit(False)), F.lit(KEPT)).otherwise(F.lit(NO_DATE))
+
+
 def describe_access(action: Column) -> Column:
     """An action in the student's words."""
     return _lookup(ACCESS, action)
 
 
 def receipt(turns: DataFrame, log: DataFrame) -> DataFrame:
-    """Per case its redacted turns and who looked at it, each in order."""
-    said = turns.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
-    seen = log.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq", "action"))), lambda e: F.struct(e["at"].alias("at"), describe_access(e["action"]).alias("what"))).alias("accesses"))
-    return said.join(seen, "case_id", "left")
+    """(case_id, part, place, what): what a case holds and who looked at it, as rows in order, since neither is bounded.
+
+    ``turns`` (case_id, turn, people, places, text) are redacted here: a receipt never holds what a student wrote as it was. A turn's place is its
+    number, an access's is its sequence number, and ``what`` is the sentence for its action.
+    """
+    from .privacy import redact
+
+    redacted = redact(turns.select(F.struct("case_id", "turn").alias("id"), "text", "people", "places"))
+    said = redacted.select("id.case_id", F.lit("turn").alias("part"), F.col("id.turn").cast("long").alias("place"), F.col("redacted").alias("what"))
+    cases = turns.select("case_id").distinct()
+    seen = log.join(cases, "case_id", "left_semi").select("case_id", F.lit("access").alias("part"), F.col("seq").cast("long").alias("place"), describe_access(F.col("action")).alias("what"))
+    return said.unionByName(seen)

@@ -23,7 +23,7 @@ def entity_tokens(entities: DataFrame, key: bytes) -> DataFrame:
     return of("person", "people").unionByName(of("place", "places")).distinct()
 
 
-def links(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS, split: int = 1) -> DataFrame:
+def links(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS) -> DataFrame:
     """Pairs a < b of cases that share a token within the window: shared people, places, entity overlap and days apart.
 
     ``tokens`` (case_id, kind, token), ``cases`` (case_id, started_at). Both sides are dealt by token and by a time slot as long as
@@ -62,23 +62,51 @@ def spanning_links(tokens: DataFrame, cases: DataFrame, window_days: float = WIN
     return inside.unionByName(across)
 
 
-def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """(a, b, bm25, bm25_norm) for pairs a < b with a common term: distinct terms of a against counts and length of b.
-
-    ``words``: (case_id, term), repeats kept. The norm divides by the largest score of the pairs. ``among`` (a, b) limits the work to
-    given pairs, such as links: without it every two cases with a common term are scored, which suits small sets only.
-    """
+def _term_parts(words: DataFrame) -> DataFrame:
+    """(case_id, term, part): what a shared term adds to the score of a pair with this case as its second."""
     tf = words.groupBy("case_id", "term").agg(F.count("*").alias("tf"))
     lengths = tf.groupBy("case_id").agg(F.sum("tf").alias("length"))
     facts = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(facts)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_length")
     counted = tf.join(lengths, "case_id").join(idf, "term")
-    left, right = tf.select(F.col("case_id").alias("a"), "term"), counted.withColumnRenamed("case_id", "b")
-    pairs = left.join(right, "term").filter("a < b") if among is None else among.select("a", "b").join(left, "a").join(right, ["b", "term"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = pairs.groupBy("a", "b").agg(F.sum(part).alias("bm25"))
-    top = scored.agg(F.max("bm25").alias("top"))
+    return counted.select("case_id", "term", part.alias("part"))
+
+
+def _scores(parts: DataFrame, second: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(a, b, bm25) of pairs a < b with a common term; ``second`` keeps those b, ``among`` those pairs."""
+    left, right = parts.select(F.col("case_id").alias("a"), "term"), parts.withColumnRenamed("case_id", "b")
+    if among is not None:
+        pairs = among.select("a", "b").join(left, "a").join(right, ["b", "term"])
+    else:
+        pairs = left.join(right if second is None else right.join(second, "b", "left_semi"), "term").filter("a < b")
+    return pairs.groupBy("a", "b").agg(F.sum("part").alias("bm25"))
+
+
+def best_bm25(parts: DataFrame, first: int = 64) -> DataFrame:
+    """(top): the largest score of any two cases, without scoring them all.
+
+    No pair scores more than its second case would with all its own terms shared. The ``first`` cases with the largest of these bounds
+    are scored with all others; then so is every other case whose bound is above the best score found.
+    """
+    bounds = parts.groupBy(F.col("case_id").alias("b")).agg(F.sum("part").alias("bound"))
+    leaders = bounds.orderBy(F.desc("bound"), "b").limit(first)
+    found = _scores(parts, leaders.select("b")).agg(F.coalesce(F.max("bm25"), F.lit(0.0)).alias("found"))
+    others = bounds.join(F.broadcast(leaders.select("b")), "b", "left_anti").crossJoin(F.broadcast(found)).filter("bound > found").select("b")
+    rest = _scores(parts, others).agg(F.max("bm25").alias("rest"))
+    return found.crossJoin(rest).select(F.greatest("found", "rest").alias("top"))
+
+
+def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(a, b, bm25, bm25_norm) for pairs a < b with a common term: distinct terms of a against counts and length of b.
+
+    ``words``: (case_id, term), repeats kept. The norm divides by the largest score of all pairs. ``among`` (a, b) limits the rows to
+    given pairs, such as links, but not the norm: without it every two cases with a common term are listed, which suits small sets only.
+    """
+    parts = _term_parts(words)
+    scored = _scores(parts, among=among)
+    top = scored.agg(F.max("bm25").alias("top")) if among is None else best_bm25(parts)
     return scored.crossJoin(F.broadcast(top)).select("a", "b", "bm25", (F.col("bm25") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("bm25_norm"))
 
 
@@ -109,19 +137,50 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def alerts(tokens: DataFrame, cases: DataFrame, least: int = LEAST_CLUSTER, window_days: float = WINDOW_DAYS) -> DataFrame:
-    """One row for each component of at least ``least`` cases: members, what linked cases share, and the span of days they cover.
+def describe_links(linked: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Link rows as delivered: numbers to 3, 3 and 1 places (halves to even), shared tokens and the reason; ``lexical`` has (a, b, lexical)."""
+    count = lambda c, what: F.when(F.size(c) > 0, F.concat(F.size(c).cast("string"), F.lit(f" shared {what}")))
+    named = F.filter(F.array(count("shared_people", "person"), count("shared_places", "location")), lambda x: x.isNotNull())
+    apart = F.concat(F.lit(", "), F.bround("days_apart", 0).cast("int").cast("string"), F.lit(" days apart"))
+    out = linked.join(lexical, ["a", "b"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    return out.select("a", "b", F.bround("entity_overlap", 3).alias("entity_overlap"), F.bround("lexical", 3).alias("lexical"), F.bround("days_apart", 1).alias("days_apart"), "shared_people", "shared_places", F.concat(F.array_join(named, " and "), apart).alias("reason"))
+
+
+def alert_members(tokens: DataFrame, cases: DataFrame, least: int = LEAST_CLUSTER, window_days: float = WINDOW_DAYS) -> DataFrame:
+    """(cluster_id, case_id, started_at, size): a row for each case of each component of at least ``least`` cases, named by its smallest."""
+    nodes = components(spanning_links(tokens, cases, window_days).select("a", "b"))
+    large = nodes.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    return nodes.join(large, "component").withColumnRenamed("node", "case_id").join(cases.select("case_id", "started_at"), "case_id").select(F.concat(F.lit("cluster-"), "component").alias("cluster_id"), "case_id", "started_at", "size")
+
+
+def alert_facts(members: DataFrame, tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS) -> DataFrame:
+    """One row of bounded size for each alert: how many cases and shared tokens, the days they span, and the headline; largest first.
 
     Chains of links may span more than the window.
     """
+    tied = spanning_links(tokens, cases, window_days).select("kind", "token", F.col("a").alias("case_id"))
+    shared = tied.join(members.select("case_id", "cluster_id"), "case_id").groupBy("cluster_id").agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("token"))).alias(n) for k, n in (("person", "n_people"), ("place", "n_places"))])
+    span = (F.unix_micros(F.max("started_at")) - F.unix_micros(F.min("started_at"))) / 8.64e10
+    out = members.groupBy("cluster_id").agg(F.count("*").alias("size"), span.alias("span_days")).join(shared, "cluster_id")
+    parts = F.array(F.concat(F.col("size").cast("string"), F.lit(" separate reports")), F.when(F.col("n_places") > 0, "naming the same location"), F.when(F.col("n_people") > 0, "naming the same person"))
+    headline = F.concat(F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", "), F.lit(", within "), F.bround("span_days", 0).cast("int").cast("string"), F.lit(" days"))
+    return out.select("cluster_id", "size", "span_days", "n_people", "n_places", headline.alias("headline")).orderBy(F.desc("size"), "cluster_id")
+
+
+def alerts(tokens: DataFrame, cases: DataFrame, tiers: DataFrame | None = None, least: int = LEAST_CLUSTER, window_days: float = WINDOW_DAYS) -> DataFrame:
+    """Alerts as a counsellor reads them: the facts, and members in order with their tiers (case_id, tier) in that order, in one row.
+
+    For alerts of some thousand cases at most; ``alert_members`` and ``alert_facts`` give the same of any size.
+    """
     from ..sources.tables import checkpointed
 
-    found = checkpointed(spanning_links(tokens, cases, window_days))
-    nodes = components(found.select("a", "b"))
-    members = nodes.join(cases, nodes["node"] == cases["case_id"]).groupBy("component").agg(F.array_sort(F.collect_set("case_id")).alias("members"), F.count("*").alias("size"), ((F.unix_micros(F.max("started_at")) - F.unix_micros(F.min("started_at"))) / 8.64e10).alias("span_days")).filter(F.col("size") >= least)
-    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("token"))))
-    shared = found.join(nodes, found["a"] == nodes["node"]).groupBy("component").agg(of("person").alias("people"), of("place").alias("places"))
-    out = members.join(shared, "component")
-    parts = F.array(F.concat(F.col("size").cast("string"), F.lit(" separate reports")), F.when(F.size("places") > 0, "naming the same location"), F.when(F.size("people") > 0, "naming the same person"))
-    headline = F.concat(F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", "), F.lit(", within "), F.bround("span_days", 0).cast("int").cast("string"), F.lit(" days"))
-    return out.select(F.concat(F.lit("cluster-"), F.element_at("members", 1)).alias("cluster_id"), "members", "size", "span_days", "people", "places", headline.alias("headline"))
+    members = checkpointed(alert_members(tokens, cases, least, window_days))
+    facts = alert_facts(members, tokens, cases, window_days)
+    known = members.withColumn("tier", F.lit(None).cast("string")) if tiers is None else members.join(tiers.select("case_id", "tier"), "case_id", "left")
+    listed = known.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("case_id", "tier"))).alias("m"))
+    return facts.join(listed, "cluster_id").select(*facts.columns, F.col("m.case_id").alias("members"), F.transform("m", lambda x: x["tier"]).alias("tiers")).orderBy(F.desc("size"), "cluster_id")
+
+
+def alerts_of_cases(members: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The alerts that contain each wanted case (case_id)."""
+    return members.select("case_id", "cluster_id").join(wanted.select("case_id").distinct(), "case_id", "left_semi").join(facts, "cluster_id")

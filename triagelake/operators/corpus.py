@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import hash_ranked
 from ..functions.text import clean_text, norm_key
 
 CAP, LEAST_CHARS, SCARCE = 12_000, 3, 1000
@@ -19,6 +20,16 @@ def flag_label(threat: Column, identity: Column, insult: Column, toxic: Column,
     return F.when(on(threat), "threat").when(on(identity), "identity_attack").when(on(insult) | on(toxic) | on(severe), "harassment").when(on(obscene), F.lit(None).cast("string")).otherwise("none")
 
 
+#: Fixed values. Classes of two labelled sources and the labels they stand for; any other class has none and is dropped.
+SUBREDDITS = {"suicidewatch": "self_harm", "depression": "distress", "teenagers": "none"}
+BULLYING = {"not_cyberbullying": "none", "religion": "identity_attack", "ethnicity": "identity_attack", "gender": "identity_attack", "age": "identity_attack", "other_cyberbullying": "harassment"}
+
+
+def class_label(value: Column, labels: dict[str, str]) -> Column:
+    """The label of a class name, whatever its case and the blanks around it."""
+    return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.lower(F.trim(value))]
+
+
 def cleaned(rows: DataFrame, text: str = "text") -> DataFrame:
     """Labelled rows with clean text of some length."""
     return rows.withColumn(text, clean_text(F.col(text))).filter((F.length(text) >= LEAST_CHARS) & F.col("harm").isNotNull())
@@ -35,16 +46,13 @@ def first_of_key(rows: DataFrame, order: list[Column], text: str = "text") -> Da
 
 def cap_groups(rows: DataFrame, keys: list[str], cap: int = CAP, row_id: str = "row_id") -> DataFrame:
     """At most ``cap`` rows of each group, chosen by a hash of the id."""
-    order = Window.partitionBy(*keys).orderBy(F.sha1(F.col(row_id).cast("string")), row_id)
-    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap).drop("_r")
+    return hash_ranked(rows, keys, row_id).filter(F.col("_rank") <= cap).drop("_rank", "_size")
 
 
 def stratified_split(rows: DataFrame, label: str = "harm", row_id: str = "row_id") -> DataFrame:
     """``split`` by rank within the class in hash order, 70/15/15."""
-    order = Window.partitionBy(label).orderBy(F.sha1(F.col(row_id).cast("string")), row_id)
-    size = F.count("*").over(Window.partitionBy(label))
-    share = (F.row_number().over(order) - 1) / size
-    return rows.withColumn("split", F.when(share < SPLITS["train"], "train").when(share < SPLITS["train"] + SPLITS["val"], "val").otherwise("test"))
+    share = (F.col("_rank") - 1) / F.col("_size")
+    return hash_ranked(rows, [label], row_id).withColumn("split", F.when(share < SPLITS["train"], "train").when(share < SPLITS["train"] + SPLITS["val"], "val").otherwise("test")).drop("_rank", "_size")
 
 
 def class_distribution(rows: DataFrame, label: str = "harm") -> DataFrame:

@@ -11,7 +11,7 @@ from .gate import CATEGORIES
 HARMS = ("none", "distress", "harassment", "identity_attack", "threat", "self_harm")
 CONCERNING, MOST_WEEKS, TOP_K, LEAST_FOR_SLOPE = 0.5, 100.0, 3, 4
 
-#: Feature groups, each a rung of the ablation ladder; 38 in all, in the order of the design matrix.
+#: Fixed values. Feature groups, each a rung of the ablation ladder; 38 in all, in the order of the design matrix.
 GROUPS = {
     "gate": ["gate_score", "gate_has_floor", "gate_floor_rank", "gate_is_high", "gate_is_grey", "gate_hit_count", "gate_max_weight", *[f"gate_{c}" for c in CATEGORIES]],
     "turn": ["max_risk", "mean_risk", "topk_mean_risk", "frac_above_tau", "count_above_tau", *[f"max_p_{h}" for h in HARMS]],
@@ -40,6 +40,7 @@ def markers(accounts: DataFrame) -> DataFrame:
 
 def describe_markers() -> Column:
     """Sentences that a case's markers give its card."""
+    # The sentences.
     parts = [
         F.when(F.col("duration_weeks") >= 4, F.concat(F.lit("ongoing for roughly "), F.col("duration_weeks").cast("int").cast("string"), F.lit("+ weeks"))),
         F.when(F.size("avoidance_hits") > 0, F.lit("student has changed their behaviour to avoid it")),
@@ -92,16 +93,38 @@ def featurise(verdicts: DataFrame, turns: DataFrame, accounts: DataFrame, histor
     return out.fillna(0.0).select("case_id", *FEATURES)
 
 
-def quotes(turns: DataFrame, hits: DataFrame, limit: int = 3, least: int = 15) -> DataFrame:
-    """Up to ``limit`` quotes of a case: turns with gate hits first, by weight, then risky turns of some length by risk; one each."""
-    from ..functions.text import widen_quote
+def checked(rows: DataFrame) -> DataFrame:
+    """Features as they are; a missing or non-finite one fails the read."""
+    fine = lambda f: F.when(F.col(f).isNull() | F.isnan(f) | (F.abs(f) == float("inf")), F.raise_error(F.concat(F.lit(f"{f} is not finite: "), F.col("case_id")))).otherwise(F.col(f)).alias(f)
+    return rows.select("case_id", *map(fine, FEATURES))
 
-    first = Window.partitionBy("case_id", "turn").orderBy(F.desc("weight"), "a", "name")
-    cited = hits.withColumn("r", F.row_number().over(first)).filter("r = 1").select("case_id", "turn", F.lit(0).alias("band"), (-F.col("weight")).alias("key"), F.col("said"))
-    joined = cited.join(turns.select("case_id", "turn", "text"), ["case_id", "turn"]).select("case_id", "turn", "band", "key", widen_quote(F.col("said"), F.col("text"), least).alias("quote"))
-    risky = turns.withColumn("risk", 1 - F.get("probs", F.lit(0))).filter((F.col("risk") >= CONCERNING) & (F.length(F.trim("text")) >= least))
-    filled = risky.select("case_id", "turn", F.lit(1).alias("band"), (-F.col("risk")).alias("key"), F.trim("text").alias("quote"))
-    one = Window.partitionBy("case_id", "turn").orderBy("band")
-    both = joined.unionByName(filled).withColumn("r", F.row_number().over(one)).filter("r = 1")
-    order = Window.partitionBy("case_id").orderBy("band", "key", "turn")
-    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("case_id", F.col("rank").cast("long").alias("rank"), "turn", "band", "quote")
+
+#: Fixed values. Why a turn is quoted, where no pattern is the reason.
+RISKIEST, NO_SIGNAL = "highest-scoring turn", "no explicit signal; highest-scoring turn"
+
+
+def quotes(turns: DataFrame, hits: DataFrame, queued: DataFrame | None = None, limit: int = 3, least: int = 15) -> DataFrame:
+    """(case_id, rank, turn, band, quote, score, reason): up to ``limit`` quotes of a case, one for each turn.
+
+    First turns with gate hits (their strongest, then earliest one), by weight, turn and place; then risky turns of some length, by risk. A case
+    of ``queued`` (case_id) that has none of these gets its riskiest turn of some length, and the reason says that nothing in it was a signal.
+    """
+    from ..functions.text import strip, widen_quote
+
+    hit = F.min_by(F.struct("weight", "a", "said", "category", "name"), F.struct((-F.col("weight")).alias("w"), "a", "place")).alias("h")
+    cited = hits.groupBy("case_id", "turn").agg(hit).select("case_id", "turn", "h.*")
+    described = F.concat("category", F.lit(" / "), "name")
+    first = cited.join(turns.select("case_id", "turn", "text"), ["case_id", "turn"]).select("case_id", "turn", F.lit(0).alias("band"), (-F.col("weight")).alias("key"), "a", widen_quote(F.col("said"), F.col("text"), least).alias("quote"), F.col("weight").alias("score"), described.alias("reason"))
+    long = turns.select("case_id", "turn", strip(F.col("text")).alias("quote"), (1 - F.get("probs", F.lit(0))).alias("score")).filter(F.length("quote") >= least)
+
+    def by_risk(rows: DataFrame, band: int, reason: str) -> DataFrame:
+        return rows.select("case_id", "turn", F.lit(band).alias("band"), (-F.col("score")).alias("key"), F.lit(0).alias("a"), "quote", "score", F.lit(reason).alias("reason"))
+
+    risky = long.filter(F.col("score") >= CONCERNING).join(cited.select("case_id", "turn"), ["case_id", "turn"], "left_anti")
+    found = first.unionByName(by_risk(risky, 1, RISKIEST))
+    if queued is not None:
+        without = queued.select("case_id").distinct().join(found.select("case_id").distinct(), "case_id", "left_anti")
+        best = long.join(without, "case_id", "left_semi").groupBy("case_id").agg(F.max_by(F.struct("turn", "quote", "score"), F.struct("score", -F.col("turn"))).alias("b")).select("case_id", "b.*")
+        found = found.unionByName(by_risk(best, 2, NO_SIGNAL))
+    order = Window.partitionBy("case_id").orderBy("band", "key", "turn", "a")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("case_id", F.col("rank").cast("long").alias("rank"), "turn", "band", "quote", "score", "reason")

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,29 @@ def bank_sizes(spark, patterns: Sequence = PATTERNS) -> DataFrame:
     return spark.createDataFrame([(p[0],) for p in patterns], "category string").groupBy("category").agg(F.count("*").alias("n_patterns"))
 
 
+def prefilter(patterns: Sequence) -> str | None:
+    """One RE2 expression that matches wherever any pattern does; null if a pattern uses what it cannot say.
+
+    RE2 finds it in one pass for a whole batch. Word boundaries are left out and word characters widened to all beyond ASCII, as
+    Python's classes are Unicode's: more may match, never less.
+    """
+    wider = {r"\w": r"\w\x{80}-\x{10ffff}", r"\s": r"\s\x0b\x1c-\x1f\x{80}-\x{10ffff}"}
+
+    def widened(rx: str) -> str:
+        inside = lambda m: re.sub(r"\\[ws]", lambda x: wider[x.group()], m.group())
+        parts = re.split(r"(\[[^\]]*\])", rx.replace(r"\b", ""))
+        return "".join(inside(re.match(r"(?s).*", x)) if i % 2 else re.sub(r"\\[ws]", lambda m: f"[{wider[m.group()]}]", x) for i, x in enumerate(parts))
+
+    if any(re.search(r"\(\?[=!<]|\\[BDWSdAZ1-9]|\[\^[^\]]*\\[ws]", rx) for *_, rx in patterns):
+        return None
+    union = "(?is)" + "|".join(f"(?:{widened(rx)})" for *_, rx in patterns)
+    try:
+        pc.match_substring_regex(pa.array([""]), union)
+    except pa.ArrowInvalid:
+        return None
+    return union
+
+
 def raw_matches(turns: DataFrame, patterns: Sequence = PATTERNS, suppressors: Sequence = SUPPRESSORS) -> DataFrame:
     """``turns`` with ``found`` (pattern matches, in the order in which they claim text) and ``cancelled`` (suppressor spans).
 
@@ -42,15 +67,17 @@ def raw_matches(turns: DataFrame, patterns: Sequence = PATTERNS, suppressors: Se
     ordered = [p for c in CATEGORIES for s in WEIGHTS for p in patterns if p[0] == c and p[1] == s]
     rules = [(c, s, n, re.compile(rx, flags)) for c, s, n, rx in ordered]
     cancels = [(c, re.compile(rx, flags)) for c, _, rx in suppressors]
+    likely = prefilter(ordered)
     hit = pa.struct([("category", pa.string()), ("severity", pa.string()), ("weight", pa.float64()), ("name", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
     span = pa.struct([("category", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, cancelled = [], []
-            for text, low, norm in zip(batch.column("text").to_pylist(), batch.column("low").to_pylist(), batch.column("norm").to_pylist(), strict=True):
+            maybe = np.asarray(pc.or_(*(pc.fill_null(pc.match_substring_regex(batch.column(c), likely), False) for c in ("low", "norm")))) if likely else np.ones(batch.num_rows, dtype=bool)
+            for text, low, norm, look in zip(batch.column("text").to_pylist(), batch.column("low").to_pylist(), batch.column("norm").to_pylist(), maybe.tolist(), strict=True):
                 # Offsets are the raw text's only if lower-casing kept its length.
-                hay = () if not (text or "").strip() else (low,) if low == norm else (low, norm)
+                hay = () if not look or not (text or "").strip() else (low,) if low == norm else (low, norm)
                 hits = [{"category": c, "severity": s, "weight": WEIGHTS[s], "name": n, "a": m.start(), "b": m.end()} for c, s, n, rx in rules for h in hay for m in rx.finditer(h)]
                 fired = {h["category"] for h in hits}
                 found.append(hits)
@@ -125,6 +152,7 @@ def apply_verdict(predicted: Column, floor: Column, ceiling: Column, override: C
     capped = F.when(above & ~override, ceiling).otherwise(predicted)
     raised = floor.isNotNull() & (floor > capped)
     tier = F.when(raised, floor).otherwise(capped)
+    # The sentences.
     allowed = F.concat(F.lit("model proposed "), tier_name(predicted), F.lit(" above the gate ceiling "), tier_name(ceiling), F.lit("; allowed on strong calibrated self-harm evidence"))
     cut = F.concat(F.lit("capped at "), tier_name(ceiling), F.lit(": no self-harm, abuse disclosure or imminent danger evidence in the transcript"))
     reason = F.when(raised, F.concat(F.lit("floored to "), tier_name(floor), F.lit(" by the safety gate: "), names)).when(above & override, allowed).when(above, cut)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import hash_ranked
 from ..functions.text import interpolate, softmax
 
 TIERS = ("T0", "T1", "T2", "T3", "T4")
@@ -76,20 +77,23 @@ def fit_head(rows: DataFrame, features: tuple[str, ...], c_tier: float = 0.5, c_
     return HeadParams(tuple(features), tuple(mean), tuple(scale), classes, coef, tuple(float(v) for v in tier.interceptVector), tuple(float(v) for v in rank.coefficients), float(rank.intercept))
 
 
-def fit_isotonic(rows: DataFrame, score: str = "score", label: str = "label") -> tuple[list[float], list[float]]:
-    """Knots and levels of the isotonic map from score to rate."""
+def fit_isotonic(rows: DataFrame, score: str = "score", label: str = "label", bins: int = 1000) -> tuple[list[float], list[float]]:
+    """Knots and levels of the isotonic map from score (0 to 1) to rate.
+
+    Scores are first pooled in ``bins`` equal parts (mean score, mean label, weight), so neither the fit nor its knots grow with the rows.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
-    data = VectorAssembler(inputCols=[score], outputCol="_features").transform(rows.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias("label")))
-    model = IsotonicRegression(featuresCol="_features", labelCol="label").fit(data)
+    own = rows.select(F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0)).alias("_score"), F.col(label).cast("double").alias("label"))
+    pooled = own.groupBy(F.least(F.floor(F.col("_score") * bins), F.lit(bins - 1)).alias("_bin")).agg(F.avg("_score").alias("_score"), F.avg("label").alias("label"), F.count("*").cast("double").alias("_weight"))
+    model = IsotonicRegression(featuresCol="_features", labelCol="label", weightCol="_weight").fit(VectorAssembler(inputCols=["_score"], outputCol="_features").transform(pooled))
     return [float(b) for b in model.boundaries], [float(v) for v in model.predictions]
 
 
 def folds(rows: DataFrame, label: str, k: int = 5, seed: int = 0, row_id: str = "case_id") -> DataFrame:
     """Stratified folds: place in hash order within the class, modulo k."""
-    order = Window.partitionBy(label).orderBy(F.sha1(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string"))), row_id)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    return hash_ranked(rows, [label], row_id, f"{seed}:").withColumn("fold", (F.col("_rank") - 1) % k).drop("_rank", "_size")
 
 
 def decide_case(scored: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import hash_ranked, ranked
+
 
 def confusion(predictions: DataFrame, n_labels: int) -> DataFrame:
     """Counts for every pair of labels, absent ones too: one row for each, whatever the data's size."""
@@ -82,13 +86,15 @@ def class_gaps(scored: DataFrame) -> DataFrame:
     return each.groupBy(F.col("label").cast("long").alias("label")).agg(F.avg("p").alias("mean_prob"), F.avg((F.col("y_true") == F.col("label")).cast("double")).alias("base_rate")).withColumn("gap", F.col("mean_prob") - F.col("base_rate"))
 
 
-def recall_curve(ranked: DataFrame, ks: tuple[int, ...] = (10, 20, 30, 40)) -> DataFrame:
-    """Recall of positives among the k highest (score desc, id asc); only the largest k rows are ranked."""
-    top = ranked.orderBy(F.desc("score"), "id").limit(max(ks)).withColumn("r", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "id")))
-    total = ranked.agg(F.sum("positive").alias("total"))
-    k = ranked.sparkSession.createDataFrame([(k,) for k in ks], "k long")
-    hit = F.sum(F.when(F.col("r") <= F.col("k"), F.col("positive")).otherwise(0))
-    return top.join(F.broadcast(k), F.col("r") <= F.col("k")).groupBy("k").agg(hit.alias("hit")).crossJoin(F.broadcast(total)).select("k", F.coalesce(F.try_divide(F.col("hit"), F.col("total")), F.lit(0.0)).alias("recall"))
+def recall_curve(rows: DataFrame, ks: tuple[int, ...] = (10, 20, 30, 40)) -> DataFrame:
+    """Recall of positives (0 or 1) among the k highest (score from 0 to 1 desc, id asc), for each k and for k = all positives."""
+    total = rows.agg(F.coalesce(F.sum("positive"), F.lit(0)).cast("long").alias("total"))
+    part = F.floor((1 - F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))) * 4096)
+    placed = ranked(rows, [], part, [F.desc("score"), F.col("id")], "r").crossJoin(F.broadcast(total))
+    limits = [*[F.lit(k).cast("long") for k in ks], F.col("total")]
+    hits = placed.groupBy("total").agg(*[F.sum(F.when(F.col("r") <= k, F.col("positive"))).alias(f"hit{i}") for i, k in enumerate(limits)])
+    points = F.array(*[F.struct(k.alias("k"), F.col(f"hit{i}").alias("hit")) for i, k in enumerate(limits)])
+    return hits.select(F.explode(points).alias("p"), "total").select("p.k", F.coalesce(F.try_divide(F.col("p.hit"), F.col("total")), F.lit(0.0)).alias("recall"))
 
 
 def temperature_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
@@ -100,6 +106,43 @@ def temperature_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
     return rows.agg(*losses).select(stacked).select("x.*")
 
 
+def fit_temperature(rows: DataFrame, rounds: int = 4, steps: int = 16) -> float:
+    """The temperature of least mean loss: a grid over its logarithm, refined around the best; a pass over the rows for each round."""
+    low, high = math.log(0.05), math.log(20.0)
+    for _ in range(rounds):
+        grid = [math.exp(low + (high - low) * i / steps) for i in range(steps + 1)]
+        losses = {r["temperature"]: r["nll"] for r in temperature_grid(rows, grid).collect()}
+        best = min(range(steps + 1), key=lambda i: (losses[grid[i]], i))
+        low, high = math.log(grid[max(0, best - 1)]), math.log(grid[min(steps, best + 1)])
+    return grid[best]
+
+
+def calibration_report(rows: DataFrame, temperature: float) -> DataFrame:
+    """Errors and scores of logits as they are and at a temperature: two rows."""
+    from ..functions.text import softmax
+
+    def report(name: str, t: float) -> DataFrame:
+        scored = top_class(rows.select("y_true", softmax(F.col("logits"), t).alias("probs")))
+        return calibration_error(scored).crossJoin(proper_scores(scored)).select(F.lit(name).alias("stage"), F.lit(float(t)).alias("temperature"), "ece", "mce", "brier", "nll", "accuracy")
+
+    return report("raw", 1.0).unionByName(report("scaled", temperature))
+
+
+def label_counts(scored: DataFrame, group: str) -> DataFrame:
+    """How often each label is the likeliest, by group, with its place (most frequent first, then by label)."""
+    counts = scored.groupBy(group, F.col("y_pred").cast("long").alias("label")).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "label")).cast("long"))
+
+
+def stratified_draw(rows: DataFrame, label: str, row_id: str) -> DataFrame:
+    """The baseline that draws a class by its share: classes in order along 0 to 1, and a point for each row from its id's SHA-1."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    upper = F.sum("n").over(Window.partitionBy().orderBy(label)) / F.sum("n").over(Window.partitionBy())
+    edges = counts.select(label, upper.alias("upper")).agg(F.array_sort(F.collect_list(F.struct("upper", F.col(label).alias("drawn")))).alias("edges"))
+    point = F.conv(F.substring(F.sha1(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return rows.crossJoin(F.broadcast(edges)).withColumn("drawn", F.get(F.filter("edges", lambda e: point < e["upper"]), F.lit(0))["drawn"]).drop("edges")
+
+
 def class_weights(rows: DataFrame, label: str = "harm") -> DataFrame:
     """n / (classes x count) of each class."""
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
@@ -117,8 +160,8 @@ def simulated_recall(cases: DataFrame, prior: dict[str, float], weeks: int = 500
     Each slot of each week draws a case of its tier by hash; slots join cases on (tier, place), so nothing is multiplied out.
     """
     spark = cases.sparkSession
-    numbered = cases.withColumn("place", F.row_number().over(Window.partitionBy("tier").orderBy("case_id")) - 1).withColumn("size", F.count("*").over(Window.partitionBy("tier")))
-    sizes = numbered.select("tier", "size").distinct()
+    numbered = hash_ranked(cases, ["tier"], "case_id").withColumn("place", F.col("_rank") - 1)
+    sizes = cases.groupBy("tier").agg(F.count("*").alias("size"))
     quota = [(t, round(p * intake)) for t, p in prior.items()]
     slots = spark.range(weeks).withColumnRenamed("id", "week").crossJoin(F.broadcast(spark.createDataFrame(quota, "tier string, quota int"))).select("week", "tier", F.explode(F.expr("sequence(1, quota)")).alias("slot"))
     drawn = slots.join(F.broadcast(sizes), "tier").withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "week", "tier", "slot"), F.col("size")))

@@ -34,37 +34,40 @@ SPAN = "struct<rank:int,minus_size:int,a:int,b:int,type:string,value:string>"
 
 
 def raw_spans(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, text, people, places) with ``spans``: every detector's matches, before overlaps are resolved."""
-    first = {}
-    for i, d in enumerate(DETECTORS):
-        first.setdefault(d[0], i)
-    compiled = [(t, re.compile(rx, (re.I if "i" in flags else 0) | re.ASCII), g) for t, flags, g, rx in DETECTORS]
-    known_rank, names = -1, set(NOT_A_NAME)
-    kind = pa.list_(pa.struct([("rank", pa.int32()), ("minus_size", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("type", pa.string()), ("value", pa.string())]))
-
-    def find(text: str, people: list[str], places: list[str]) -> list[dict]:
-        known = {v.strip().lower() for v in [*people, *places]}
-        out = []
-        for type_, values in (("name", people), ("place", places)):
-            for value in (v.strip() for v in values):
-                if len(value) >= 2:
-                    out += [(type_, m.start(), m.end()) for m in re.finditer(rf"\b{re.escape(value)}\b", text, re.I | re.ASCII)]
-        for type_, rx, group in compiled:
-            for m in rx.finditer(text):
-                value = m.group(group)
-                if not value or type_ == "name" and value.lower() in names or type_ == "phone" and sum(c.isdigit() for c in value) < LEAST_PHONE_DIGITS:
-                    continue
-                out.append((type_, m.start(group), m.end(group)))
-        return [{"rank": known_rank if text[a:b].lower() in known else first.get(t, known_rank), "minus_size": a - b, "a": a, "b": b, "type": t, "value": text[a:b]} for t, a, b in out]
-
-    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = zip(batch.column("text").to_pylist(), batch.column("people").to_pylist(), batch.column("places").to_pylist(), strict=True)
-            spans = [find(text, [p for p in people or () if p], [p for p in places or () if p]) if text else [] for text, people, places in each]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
+    """``rows`` (id, text, people, places) with ``spans``: what each detector and each known name or place finds, before overlaps are resolved.
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(detect, f"{schema}, spans array<{SPAN}>")
+    Arrow batches only search: (rule, start, end), rules from 0 in the detectors' order, -1 for people and -2 for places. Which of that counts,
+    its type and its strength are columns.
+    """
+    compiled = [(re.compile(rx, (re.I if "i" in flags else 0) | re.ASCII), group) for _, flags, group, rx in DETECTORS]
+    kind = pa.list_(pa.struct([("rule", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, *known in zip(*(batch.column(c).to_pylist() for c in ("text", "_people", "_places")), strict=True):
+                rules = [(-1 - i, re.compile(rf"\b{re.escape(v)}\b", re.I | re.ASCII), 0) for i, values in enumerate(known) for v in values]
+                rules += [(i, rx, group) for i, (rx, group) in enumerate(compiled)]
+                found.append([{"rule": i, "a": m.start(group), "b": m.end(group)} for i, rx, group in rules for m in rx.finditer(text or "")])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "_found"])
+
+    names = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda v: F.length(v) >= 2))
+    known = rows.withColumn("_people", names(F.col("people"))).withColumn("_places", names(F.col("places")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema)
+    searched = known.mapInArrow(search, f"{schema}, _found array<struct<rule:int,a:int,b:int>>")
+    types, strength = [d[0] for d in DETECTORS], {}
+    for i, t in enumerate(types):
+        strength.setdefault(t, i)
+    type_of = lambda s: F.when(s["rule"] == -1, "name").when(s["rule"] == -2, "place").otherwise(F.get(F.array(*map(F.lit, types)), s["rule"]))
+    spans = F.transform("_found", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), type_of(s).alias("type"), F.substr("text", s["a"] + 1, s["b"] - s["a"]).alias("value")))
+    low = lambda s: F.lower(s["value"])
+    is_known = lambda s: F.exists(F.concat("_people", "_places"), lambda v: F.lower(v) == low(s))
+    no_one = lambda s: (s["type"] == "name") & low(s).isin(*NOT_A_NAME) & ~is_known(s)
+    too_short = lambda s: (s["type"] == "phone") & (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) < LEAST_PHONE_DIGITS)
+    counted = F.filter(spans, lambda s: (s["value"] != "") & ~no_one(s) & ~too_short(s))
+    rank = lambda s: F.when(is_known(s), -1).otherwise(F.coalesce(F.create_map(*[F.lit(x) for kv in strength.items() for x in kv])[s["type"]], F.lit(-1)))
+    graded = F.transform(counted, lambda s: F.struct(rank(s).alias("rank"), (s["a"] - s["b"]).alias("minus_size"), s["a"].alias("a"), s["b"].alias("b"), s["type"].alias("type"), s["value"].alias("value")))
+    return searched.withColumn("spans", graded).drop("_found", "_people", "_places")
 
 
 def resolve_spans(spans: Column) -> Column:
@@ -99,14 +102,33 @@ def span_counts(redacted: DataFrame) -> DataFrame:
     return redacted.select(F.explode("spans.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def assert_redacted(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text, people, places) as they are; one whose text still holds something identifying fails the write it is on its way to."""
+    return raw_spans(rows).withColumn("text", F.when(F.size("spans") > 0, F.raise_error(F.lit("text to be stored holds identifying spans")).cast("string")).otherwise(F.col("text"))).drop("spans")
+
+
+def _url64(value: Column) -> Column:
+    return F.translate(F.regexp_replace(F.base64(value), "[=\\s]", ""), "+/", "-_")
+
+
+def _from_url64(value: Column) -> Column:
+    return F.try_to_binary(F.rpad(F.translate(value, "-_", "+/"), F.ceil(F.length(value) / 4) * 4, F.lit("=")), F.lit("base64"))
+
+
 def seal(value: Column, key: Column) -> Column:
-    """AES-GCM with a fresh nonce, as text: equal values are sealed differently. The key is a column, from a secret, never a literal."""
-    return F.concat(F.lit("v1."), F.base64(F.aes_encrypt(value, key, F.lit("GCM"))))
+    """AES-GCM with a fresh nonce, as ``v1.nonce.tag.body`` in URL-safe base 64: equal values are sealed differently. The key is a column, from a secret, never a literal."""
+    whole = F.aes_encrypt(value, key, F.lit("GCM"))
+    parts = lambda w: F.concat_ws(".", F.lit("v1"), _url64(F.substring(w, 1, 12)), _url64(F.substr(w, F.octet_length(w) - 15)), _url64(F.substr(w, F.lit(13), F.octet_length(w) - 28)))
+    # One encryption, one nonce: the parts are cut from it once.
+    return F.get(F.transform(F.array(whole), parts), F.lit(0))
 
 
 def unseal(sealed: Column, key: Column) -> Column:
-    """The value, or null if it was changed or the key is another."""
-    return F.try_aes_decrypt(F.try_to_binary(F.regexp_replace(sealed, r"^v1\.", ""), F.lit("base64")), key, F.lit("GCM")).cast("string")
+    """The value, or null if it was changed, is no such text, or the key is another."""
+    parts = F.split(sealed, r"\.")
+    part = lambda i: _from_url64(F.get(parts, F.lit(i)))
+    whole = F.when((F.size(parts) == 4) & (F.get(parts, F.lit(0)) == "v1"), F.concat(part(1), part(3), part(2)))
+    return F.try_aes_decrypt(whole, key, F.lit("GCM")).cast("string")
 
 
 def unseal_requests(sealed: DataFrame, requests: DataFrame, key: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -111,6 +111,22 @@ def gate_real_bank(spark, d):
     return rounded(gate.verdicts(gate.turn_hits(S.turns(spark, d)), S.cases(spark, d), ["case_id"]))
 
 
+@query
+def gate_suppressed_hits(spark, d):
+    """Overlapping patterns, a suppressor and look-alike signs: every other turn is written with 4, 3 and 0 for a, e and o."""
+    text = F.when(F.col("turn") % 2 == 1, F.translate("text", "aeo", "430")).otherwise(F.col("text"))
+    hits = gate.turn_hits(S.turns(spark, d).withColumn("text", text), S.OVERLAPPING, S.SUPPRESSING)
+    return hits.groupBy("case_id", "turn", "name").agg(F.count("*").alias("n"))
+
+
+@query
+def gate_probes(spark, d):
+    """The shipped bank on what students may write."""
+    turns = spark.createDataFrame([(f"probe-{i}", 0, t) for i, t in enumerate(S.SAID)], "case_id string, turn long, text string")
+    out = gate.verdicts(gate.turn_hits(turns), turns, ["case_id"])
+    return out.select("case_id", "floor", "ceiling", "requires_crisis")
+
+
 @query
 def gate_top_hits(spark, d):
     return longs(gate.top_hits(gate.real_hits(_hits(spark, d), ["case_id"])).select("case_id", "rank", "turn", "name", "a", "b", "said"))
@@ -146,10 +162,25 @@ def features_all(spark, d):
     return rounded(features.featurise(_verdicts(spark, d), S.turns(spark, d), S.accounts(spark, d)))
 
 
+@query
+def features_checked(spark, d):
+    """Features of all cases, none of which may be missing or infinite: how many cases, and the sum of each group."""
+    rows = features.checked(features.featurise(_verdicts(spark, d), S.turns(spark, d), S.accounts(spark, d)))
+    return rounded(rows.agg(F.count("*").alias("n"), F.sum("gate_hit_count").alias("hits"), F.sum("n_turns").alias("turns"), F.max("max_risk").alias("max_risk")), 4)
+
+
 @query
 def topk_quotes(spark, d):
-    none = _hits(spark, d).limit(0)
-    return features.quotes(S.turns(spark, d), none).select("case_id", "rank", "turn", "quote")
+    hits = gate.real_hits(_hits(spark, d), ["case_id"])
+    queued = _decided(spark, d).filter(F.col("tier").isin(*casework.QUEUED)).select("case_id")
+    return rounded(features.quotes(S.turns(spark, d), hits, queued))
+
+
+@query
+def quotes_without_hits(spark, d):
+    """The last band: cases of which nothing is risky or flagged (risks are halved here), all of them queued."""
+    calm = S.turns(spark, d).withColumn("probs", F.transform("probs", lambda p, i: F.when(i == 0, (1 + p) / 2).otherwise(p / 2)))
+    return rounded(features.quotes(calm, _hits(spark, d).filter("false"), S.cases(spark, d)))
 
 
 # ---- joins and logs
@@ -166,8 +197,7 @@ def access_valid(spark, d):
 
 @query
 def access_log(spark, d):
-    last = Window.partitionBy("case_id").orderBy(F.desc("at"), F.desc("seq"))
-    return S.access(spark, d).withColumn("r", F.row_number().over(last)).filter("r <= 100").select("case_id", "seq", "action", "at", F.col("r").cast("long").alias("place"))
+    return longs(casework.newest_accesses(casework.access_log(S.access(spark, d))).select("case_id", "seq", "action", "at", "place"))
 
 
 @query
@@ -183,7 +213,7 @@ def _requests(spark, d):
 @query
 def override_decisions(spark, d):
     out = casework.decide_overrides(_requests(spark, d), S.access(spark, d))
-    return out.select("seq", "refusal", "effective_tier", "floored")
+    return out.select("seq", "refusal", "effective_tier", "floored", "floored_notice")
 
 
 @query
@@ -235,6 +265,20 @@ def corpus_build(spark, d):
     return corpus.stratified_split(kept).groupBy("harm", "split").agg(F.count("*").alias("n"))
 
 
+@query
+def label_maps(spark, d):
+    """Class names of two sources, written in any case, as labels; unknown ones have none."""
+    names = [*corpus.SUBREDDITS, *corpus.BULLYING, "other"]
+    e = tables.table(spark, d, "events").select("event_id", F.get(F.array(*map(F.lit, names)), (F.col("event_id") % len(names)).cast("int")).alias("name"))
+    written = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.upper("name"))).otherwise(F.col("name"))
+    return e.select(corpus.class_label(written, corpus.SUBREDDITS).alias("reddit"), corpus.class_label(written, corpus.BULLYING).alias("bullying")).groupBy("reddit", "bullying").agg(F.count("*").alias("n"))
+
+
+@query
+def stratified_baseline(spark, d):
+    return metrics.stratified_draw(S.labelled(spark, d).filter("harm is not null"), "harm", "row_id").select("row_id", "harm", "drawn")
+
+
 @query
 def class_distribution(spark, d):
     return rounded(corpus.class_distribution(S.labelled(spark, d).filter("harm is not null")))
@@ -302,6 +346,19 @@ def recall_curve(spark, d):
     return rounded(metrics.recall_curve(ranked))
 
 
+@query
+def temperature_fit(spark, d):
+    """Errors of logits before and after the temperature that fits them best."""
+    logits = S.predictions(spark, d).select("y_true", F.transform("probs", lambda p: F.log(p) * 3).alias("logits"))
+    return rounded(metrics.calibration_report(logits, metrics.fit_temperature(logits)), 4)
+
+
+@query
+def harm_by_tier(spark, d):
+    top = metrics.top_class(S.turns(spark, d).withColumn("y_true", F.lit(0)))
+    return metrics.label_counts(top.join(S.records(spark, d).filter("tier is not null").select("case_id", "tier"), "case_id"), "tier")
+
+
 TEMPERATURES = [0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
 
 
@@ -360,9 +417,30 @@ def components(spark, d):
     return cluster.components(cluster.spanning_links(_tokens(spark, d), S.cases(spark, d)).select("a", "b"))
 
 
+def _alerts(spark, d):
+    tokens, cases = _tokens(spark, d), S.cases(spark, d)
+    members = tables.checkpointed(cluster.alert_members(tokens, cases))
+    return members, cluster.alert_facts(members, tokens, cases)
+
+
 @query
 def pattern_alerts(spark, d):
-    return rounded(cluster.alerts(_tokens(spark, d), S.cases(spark, d)).select("cluster_id", "size", F.array_join("members", ",").alias("members"), "span_days", F.size("people").cast("long").alias("n_people"), F.size("places").cast("long").alias("n_places")))
+    out = cluster.alerts(_tokens(spark, d), S.cases(spark, d), S.records(spark, d))
+    return rounded(out.select("cluster_id", "size", F.array_join("members", ",").alias("members"), F.array_join("tiers", ",", "-").alias("tiers"), "span_days", "n_people", "n_places", "headline"))
+
+
+@query
+def alerts_of_cases(spark, d):
+    """The alerts that hold each case of the top tier."""
+    members, facts = _alerts(spark, d)
+    return cluster.alerts_of_cases(members, facts, S.records(spark, d).filter("tier = 'T4'")).select("case_id", "cluster_id", "size")
+
+
+@query
+def link_rows(spark, d):
+    """Links as delivered, with the lexical similarity that corroborates them."""
+    out = cluster.describe_links(_links(spark, d), _lexical(spark, d))
+    return out.select("a", "b", "entity_overlap", "lexical", "days_apart", F.array_join("shared_people", ",").alias("people"), F.array_join("shared_places", ",").alias("places"), "reason")
 
 
 # ---- head and cards
@@ -373,14 +451,18 @@ HEAD = head.HeadParams(
 )
 
 
-@query
-def link_similarity(spark, d):
-    """Lexical similarity of linked cases only: half BM25, half trigram cosine."""
+def _lexical(spark, d):
     pairs = _links(spark, d).select("a", "b")
     words = S.turns(spark, d).select("case_id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
     grams = S.accounts(spark, d).select("case_id", F.explode(T.char_ngrams(F.col("account"))).alias("gram"))
     both = pairs.join(cluster.bm25_pairs(words, pairs), ["a", "b"], "left").join(cluster.gram_cosine(grams, pairs), ["a", "b"], "left")
-    return rounded(both.select("a", "b", (0.5 * F.coalesce("bm25_norm", F.lit(0.0)) + 0.5 * F.coalesce("cosine", F.lit(0.0))).alias("lexical")))
+    return both.select("a", "b", (0.5 * F.coalesce("bm25_norm", F.lit(0.0)) + 0.5 * F.coalesce("cosine", F.lit(0.0))).alias("lexical"))
+
+
+@query
+def link_similarity(spark, d):
+    """Lexical similarity of linked cases only, half BM25 over the best score of all pairs, half trigram cosine."""
+    return rounded(_lexical(spark, d))
 
 
 @query
@@ -406,9 +488,9 @@ def cross_validation_folds(spark, d):
 
 @query
 def verdict_audit(spark, d):
-    """Verdicts against an expectation that is wrong for one case in ten."""
+    """Verdicts against an expectation that is wrong for one case in sixteen."""
     actual = _verdicts(spark, d)
-    wrong = F.pmod(F.xxhash64("case_id"), F.lit(10)) == 0
+    wrong = F.substring(F.sha1("case_id"), 1, 1) == "0"
     expected = actual.select("case_id", F.when(wrong, "T9").otherwise(F.col("floor")).alias("expected_floor"), F.col("categories").alias("expected_categories"))
     return gate.audit_verdicts(actual, expected)
 
@@ -430,10 +512,34 @@ def transcript_readers(spark, d):
     return casework.read_first(_requests(spark, d), S.access(spark, d)).select("seq", "case_id", "counsellor_id")
 
 
+def _known(spark, d):
+    """Student turns with the names that are known of their case."""
+    return S.turns(spark, d).select("case_id", "turn", "text").join(S.entities(spark, d), "case_id")
+
+
+@query
+def redacted_turns(spark, d):
+    """Every turn redacted by itself, with its case's people and places known: placeholders number anew in each."""
+    out = privacy.redact(_known(spark, d).select(F.struct("case_id", "turn").alias("id"), "text", "people", "places"))
+    return out.select("id.case_id", "id.turn", "redacted", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def stored_turns(spark, d):
+    """Redacted turns on their way to the store: one that still held something identifying would fail the query."""
+    rows = redacted_turns(spark, d).filter("n_spans = 0").select(F.struct("case_id", "turn").alias("id"), F.col("redacted").alias("text"), F.array().cast("array<string>").alias("people"), F.array().cast("array<string>").alias("places"))
+    return privacy.assert_redacted(rows).agg(F.count("*").alias("n"), F.count_if(F.length("text") >= 0).alias("readable"))
+
+
 @query
 def case_receipt(spark, d):
-    out = casework.receipt(S.turns(spark, d).select("case_id", "turn", "text"), S.access(spark, d))
-    return out.select("case_id", F.size("turns").cast("long").alias("n_turns"), F.coalesce(F.size("accesses"), F.lit(0)).cast("long").alias("n_accesses"))
+    """What students may see: their turns redacted, and who looked."""
+    return casework.receipt(_known(spark, d), S.access(spark, d))
+
+
+@query
+def receipt_accesses(spark, d):
+    return casework.receipt(_known(spark, d), S.access(spark, d)).filter("part = 'access'").select("case_id", "place", "what")
 
 
 @query
@@ -452,22 +558,34 @@ def decided_cases(spark, d):
     return rounded(_decided(spark, d).select("case_id", "model_tier", "tier", "queue_rank"))
 
 
-@query
-def escalation_cards(spark, d):
-    """The nested record of every case."""
+def _cards(spark, d):
     turns = S.turns(spark, d)
     reports = features.markers(S.accounts(spark, d)).select("case_id", features.describe_markers().alias("report"))
     hits = gate.real_hits(_hits(spark, d), ["case_id"])
-    cards = casework.build_cards(_decided(spark, d).join(S.cases(spark, d).select("case_id", "started_at"), "case_id"), turns.select("case_id", "turn", (1 - F.get("probs", F.lit(0))).alias("risk")), features.quotes(turns, hits), reports)
+    decided = _decided(spark, d)
+    queued = decided.filter(F.col("tier").isin(*casework.QUEUED)).select("case_id")
+    return casework.build_cards(decided.join(S.cases(spark, d).select("case_id", "handle", "started_at"), "case_id"), turns.select("case_id", "turn", (1 - F.get("probs", F.lit(0))).alias("risk")), features.quotes(turns, hits, queued), reports)
+
+
+@query
+def escalation_cards(spark, d):
+    """The nested record of every case."""
+    cards = _cards(spark, d)
     return cards.select("case_id", "tier", F.to_json(F.struct(*[c for c in cards.columns if c not in ("case_id", "tier")])).alias("card"))
 
 
+@query
+def card_fields(spark, d):
+    """Cards without their lists."""
+    cards = _cards(spark, d)
+    return longs(cards.select("case_id", "handle", "tier", "confidence", "tier_floor_reason", "gate_floor", F.array_join("gate_indicators", ",").alias("gate_indicators"), "action", "sla_hours", "n_student_turns", "queue_rank", "escalation", "model_tier", "crisis_shown", "retention_expires_at", F.size("cited_quotes").alias("n_quotes")))
+
+
 @query
 def queue_order(spark, d):
-    cards = _decided(spark, d).select("case_id", "tier", "queue_rank", F.lit(False).alias("is_live"))
-    ranked = casework.queue(cards)
-    order = Window.partitionBy("tier").orderBy(F.desc("queue_rank"), "case_id")
-    return rounded(ranked.withColumn("place", F.row_number().over(order).cast("long")).select("case_id", "tier", "queue_rank", "place"))
+    """Ranks are rounded to whole numbers here, so that many are equal and the rule for ties decides."""
+    cards = _decided(spark, d).join(S.cases(spark, d).select("case_id", "conv_id"), "case_id").select("case_id", "tier", F.floor("queue_rank").cast("double").alias("queue_rank"), (F.col("conv_id") % 2 == 0).alias("is_live"))
+    return longs(casework.queue_places(casework.queue(cards)).select("case_id", "tier", "queue_rank", "is_live", "place"))
 
 
 @query
@@ -483,7 +601,35 @@ def tier_counts(spark, d):
 
 @query
 def gate_cards(spark, d):
-    return rounded(casework.gate_cards(_verdicts(spark, d)))
+    """Cards of cases that only the gate has seen, lists joined to texts."""
+    hits = gate.real_hits(_hits(spark, d), ["case_id"])
+    cards = casework.gate_cards(_verdicts(spark, d), hits, S.turns(spark, d), S.cases(spark, d))
+    return longs(cards.withColumn("gate_indicators", F.array_join("gate_indicators", ",")).withColumn("reasons", F.array_join("reasons", "|")))
+
+
+@query
+def gate_card_quotes(spark, d):
+    return longs(casework.gate_quotes(gate.real_hits(_hits(spark, d), ["case_id"]), S.turns(spark, d)))
+
+
+@query
+def gate_card_timeline(spark, d):
+    return longs(casework.gate_timeline(gate.real_hits(_hits(spark, d), ["case_id"]), S.turns(spark, d)))
+
+
+@query
+def pinned_cards(spark, d):
+    """Scored cards that came back under wrong names keep the identity that was asked about."""
+    asked = S.cases(spark, d).select(F.col("conv_id").alias("card_id"), "case_id", "handle")
+    scored = S.records(spark, d).select(F.col("conv_id").alias("card_id"), F.lit("someone else").alias("case_id"), F.lit("x").alias("handle"), "tier", F.lit(True).alias("awaiting"))
+    return casework.pinned(scored, asked).select("card_id", "case_id", "handle", "tier", "awaiting")
+
+
+@query
+def start_times(spark, d):
+    """When cases began: so many days before the epoch where that is declared, else by their place."""
+    c = S.cases(spark, d)
+    return c.select("case_id", casework.started(F.when(F.col("conv_id") % 3 == 0, F.col("conv_id") / 8.0), F.col("conv_id"), F.timestamp_micros(F.lit(1_786_266_000_000_000))).alias("started_at"))
 
 
 # ---- retention, stores, privacy
@@ -503,6 +649,39 @@ def retention_sweep(spark, d):
     return casework.retention_sweep(_decisions(spark, d))
 
 
+@query
+def retention_exemptions(spark, d):
+    return casework.exemptions(_decisions(spark, d))
+
+
+@query
+def retention_tombstones(spark, d):
+    """Records after a sweep: the erased have no card and are stamped."""
+    out = casework.erase_records(S.records(spark, d), _decisions(spark, d), F.timestamp_micros(F.lit(1_774_310_400_000_000)))
+    return out.select("case_id", "card", "content_deleted_at")
+
+
+@query
+def put_scored(spark, d):
+    """Stored gate cards with the columns of those that have been scored since."""
+    old = S.records(spark, d).select("case_id", "started_at", F.lit("T0").alias("tier"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("awaiting"))
+    new = S.records(spark, d).filter("conv_id % 2 = 0").select("case_id", "tier", (F.col("conv_id") / 1000).alias("confidence"))
+    return tables.put_scored(old, new, ("tier", "confidence"))
+
+
+@query
+def store_reads(spark, d):
+    """A filtered, ordered and limited read: the newest cases of one tier whose content is there."""
+    return tables.stored(S.records(spark, d), (F.desc("started_at"), F.col("case_id")), 20, tier="T2", content_deleted_at=None).select("case_id", "tier", "started_at")
+
+
+@query
+def revoked_sessions(spark, d):
+    """A guarded point update: sessions of one counsellor that are not revoked yet are revoked now."""
+    e = tables.table(spark, d, "events").select("event_id", (F.col("user_id") % 9).alias("counsellor_id"), F.when(F.col("event_id") % 6 == 0, F.col("ts")).alias("revoked_at"))
+    return tables.update_where(e, (F.col("counsellor_id") == 4) & F.col("revoked_at").isNull(), revoked_at=F.timestamp_micros(F.lit(1_774_310_400_000_000))).groupBy("counsellor_id", "revoked_at").agg(F.count("*").alias("n"))
+
+
 @query
 def retention_erase(spark, d):
     return casework.erase(S.turns(spark, d).select("case_id", "turn"), _decisions(spark, d)).groupBy("case_id").agg(F.count("*").alias("n"))
@@ -548,7 +727,8 @@ def sealed_names(spark, d):
 
 @query
 def student_receipt(spark, d):
-    return S.records(spark, d).select("case_id", casework.student_status(F.col("tier")).alias("status"))
+    tier = F.col("tier")
+    return S.records(spark, d).select("case_id", casework.student_status(tier).alias("status"), casework.student_detail(tier).alias("detail"), casework.someone_will_read(tier).alias("someone_will_read"), casework.retention_copy(tier, F.col("retention_expires_at")).alias("retention"))
 
 
 @query

@@ -20,6 +20,14 @@ VOCABULARY = (
     ("weapon_mention", "moderate", "w_by", r"\bby\b"),
     ("imminent_time_marker", "strong", "w_or", r"\bor\b"),
 )
+#: A bank whose patterns overlap, and a suppressor: for text in which look-alike signs stand for letters in every other turn.
+OVERLAPPING = (("weapon_mention", "strong", "w_of_the", r"\bof the\b"), ("weapon_mention", "moderate", "w_the", r"\bthe\b"), ("threat_of_violence", "strong", "w_in", r"\bin\b"), ("abuse_disclosure", "weak", "w_a", r"\ba\b"))
+SUPPRESSING = (("threat_of_violence", "in_the", r"\bin the\b"),)
+#: What a student may write, one to a case, for the shipped bank.
+SAID = (
+    "we walked 5 kms for charity", "im gonna kill myself", "i'm going to end it all tonight", "he said he'd stab me after school", "i've been cutting my arms", "i have been cutting my legs", "this homework is killing me", "he told me to kill myself, and honestly i do want to die",
+    "i would never kill myself", "self harm", "there was a knife", "someone brought a knife to school", "see you tomorrow", "i w4nt t0 d!e", "k1ll my5elf", "", "   ", "kai says he'll batter me", "i stopped cutting last year", "we had pizza and a quiz",
+)
 KEY = b"a key for tests, not a secret"
 
 
@@ -41,9 +49,9 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, folder: str) -> DataFrame:
-    """(case_id, conv_id, started_at)."""
+    """(case_id, conv_id, started_at, handle)."""
     ids = table(spark, folder, "conversations").filter("role = 'user'").select("conv_id").distinct()
-    return ids.select(F.concat(F.lit("case-"), F.col("conv_id").cast("string")).alias("case_id"), "conv_id", started_at(F.col("conv_id")).alias("started_at"))
+    return ids.select(F.concat(F.lit("case-"), F.col("conv_id").cast("string")).alias("case_id"), "conv_id", started_at(F.col("conv_id")).alias("started_at"), F.concat(F.lit("Handle"), F.col("conv_id").cast("string")).alias("handle"))
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +88,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).select(
         "case_id", "conv_id", "started_at", F.when(c % 7 == 6, F.lit(None).cast("string")).otherwise(F.concat(F.lit("T"), (c % 5).cast("string"))).alias("tier"),
         F.when(c % 11 == 0, F.col("started_at") + F.expr("INTERVAL 2 DAYS")).alias("retention_expires_at"), F.when(c % 13 == 0, "under review").alias("retention_hold_reason"), F.when(c % 17 == 0, F.col("started_at")).alias("content_deleted_at"),
+        F.when(c % 17 != 0, F.concat(F.lit("card of "), "case_id")).alias("card"),
     )
 
 

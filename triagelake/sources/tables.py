@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,10 +17,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that the cluster names; one of our own only where none is set."""
+    """Cut lineage by a reliable checkpoint in the folder that the cluster names. Without one only a local session may go on, in its warehouse."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+            folder = f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -59,6 +63,26 @@ def stale_probabilities(probabilities: DataFrame, turns: DataFrame) -> DataFrame
     return count(probabilities, "n_probs").join(count(turns, "n_turns"), "case_id", "full_outer").filter("not (n_probs <=> n_turns)")
 
 
+def read_logits(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(row_id, y_true, logits) from Parquet; a row whose logits are not ``width`` finite numbers, or whose label is none of them, fails the read."""
+    rows = spark.read.schema("row_id long, y_true long, logits array<double>").parquet(path)
+    fine = (F.size("logits") == width) & F.forall("logits", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("y_true").between(0, width - 1)
+    return rows.withColumn("logits", F.when(fine, F.col("logits")).otherwise(F.raise_error(F.concat(F.lit("bad logits of row "), F.col("row_id").cast("string")))))
+
+
+def stored(rows: DataFrame, order: tuple[Column, ...] = (), limit: int | None = None, **equals) -> DataFrame:
+    """A store's read: rows whose columns equal the given values (null: is null), in order, the first ``limit`` of them."""
+    for name, value in equals.items():
+        rows = rows.filter(F.col(name).eqNullSafe(F.lit(value)))
+    rows = rows.orderBy(*order) if order else rows
+    return rows.limit(limit) if limit is not None else rows
+
+
+def append(rows: DataFrame, folder: str) -> None:
+    """Audit rows are only ever added."""
+    rows.write.mode("append").parquet(folder)
+
+
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     each = spark.read.option("multiLine", True).schema("conversations array<struct<caseId:string,people:array<string>,places:array<string>,platforms:array<string>>>").json(path)
     return each.select(F.explode("conversations").alias("c")).select(F.col("c.caseId").alias("case_id"), "c.people", "c.places", "c.platforms")
@@ -102,6 +126,18 @@ def replace_children(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+#: Columns of a stored card that a scored one replaces; all else of the stored case, its identity above all, stays.
+SCORED = ("tier", "confidence", "escalation", "queue_rank", "model_tier")
+
+
+def put_scored(old: DataFrame, scored: DataFrame, columns: tuple[str, ...] = SCORED) -> DataFrame:
+    """Stored cases (case_id, awaiting, ...) with the card columns of ``scored`` where there are any; these no longer await a score."""
+    new = scored.select("case_id", *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_scored"))
+    both = old.join(new, "case_id", "left")
+    kept = [F.when(F.col("_scored"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.when(F.col("_scored"), F.lit(False)).otherwise(F.col(c)).alias(c) if c == "awaiting" else F.col(c) for c in old.columns]
+    return both.select(*kept)
+
+
 def update_where(rows: DataFrame, condition: Column, **values: Column) -> DataFrame:
     """Point update: columns of the rows that meet the condition."""
     return rows.withColumns({name: F.when(condition, value).otherwise(F.col(name)) for name, value in values.items()})

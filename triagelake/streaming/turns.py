@@ -1,7 +1,8 @@
 """Structured Streaming over turns and events.
 
 Messages resend a case's whole history, so a micro-batch is judged on its own and rewrites the case: the newest resend of a case
-wins, and its crisis flag latches. Runs that repeat a batch write the same rows.
+wins, and its crisis flag latches. Each batch joins the newest whole version below its number and writes the next; runs that repeat a
+batch write the same rows. A batch costs a pass over the verdicts (one short row for each case), not over any text.
 """
 
 from __future__ import annotations
@@ -30,13 +31,22 @@ def run_gate(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = judge_batch(batch)
-        old = f"{folder}/version={number - 1}"
-        table = upsert(spark.read.parquet(old), new, "case_id", latch=("crisis",)) if number else new
+        before = _newest(spark, folder, number)
+        table = new if before is None else upsert(spark.read.parquet(f"{folder}/version={before}"), new, "case_id", latch=("crisis",))
         table.write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(spark: SparkSession, folder: str, below: int) -> int | None:
+    """The newest whole version of the table below a number, whatever the stream's checkpoint has counted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    whole = [int(n.split("=")[1]) for n in names if n.startswith("version=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return max((v for v in whole if v < below), default=None)
+
+
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT).json(folder)
 
