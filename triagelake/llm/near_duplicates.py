@@ -17,7 +17,9 @@ distance (10 of 64 bits on average) no number of shared bytes is guaranteed, so
 exact. Shingles have one order for all texts, rare ones first; sets alike to 0.8 share a shingle among the first fifth of both, so postings by those hold every
 such pair. Pairs that meet are filtered by how many shingles they can share at most, from their sizes and the shingle's places in both orders, then by
 the parities of ``PARITY`` buckets, which tally no more differences than there are; what is left is verified on the shingles of the whole texts. A posting of many
-members is compared over rounds: some members with all behind them, then links are followed, and what links tie is not compared again.
+members first compares one with all others. Then, in rounds, each member that links have not tied to the posting's largest component names
+its closest few members of other components, and links are followed; what links tie is not compared again. So a family of copies costs rows
+in proportion to its size, and it ends when every two members are tied, refuted or too far apart.
 
 Cases: a null or wordless text has fingerprint zero and is linked like any other; fewer than three words are one shingle. Rows with
 a null id get their group's smallest id (null if it has none). Repeated rows share a fingerprint and a group. Empty tables give no
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordArrays, checkpointed, filled, segment_sums, slices, written
@@ -321,6 +323,9 @@ def prefixes(docs: DataFrame) -> DataFrame:
 def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
     """Columns of sorted postings, each member's place in its posting and the posting's size; a posting that goes on in the next batch is carried over."""
 
+    def column(values: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(values.to_pylist()), np.uint64).reshape(-1, PARITY // 64) if pa.types.is_binary(values.type) else np.asarray(values)
+
     def placed(now: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         starts = np.concatenate(([0], np.flatnonzero(np.diff(now["token"])) + 1))
         size = np.diff(np.concatenate((starts, [len(now["token"])])))
@@ -328,7 +333,7 @@ def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[st
 
     rest: dict[str, np.ndarray] = {}
     for batch in batches:
-        now = {c: np.concatenate((rest[c], np.asarray(batch.column(c)))) if rest else np.asarray(batch.column(c)) for c in batch.schema.names}
+        now = {c: np.concatenate((rest[c], column(batch.column(c)))) if rest else column(batch.column(c)) for c in batch.schema.names}
         if not len(now["token"]):
             continue
         last = int(np.flatnonzero(now["token"] != now["token"][-1]).max(initial=-1)) + 1
@@ -339,54 +344,76 @@ def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[st
         yield placed(rest)
 
 
-def _compared(rows: DataFrame, pivots: int) -> DataFrame:
-    """Of each posting, candidate pairs (a, b) of its first ``pivots`` members with all after them, or all pairs of a small one: those of different
-    components that can share enough shingles. Of a larger one also its other members (token, a, b = node, place), if they are of different components.
+def _can_share(place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
+    """Whether two sets can share enough, from their sizes (upper 32 bits) and the places of a common shingle in both orders (lower 32 bits)."""
+    n_a, n_b, pos_a, pos_b = place_a >> 32, place_b >> 32, place_a & 0xFFFFFFFF, place_b & 0xFFFFFFFF
+    return 9 * (np.minimum(pos_a, pos_b) + np.minimum(n_a - pos_a, n_b - pos_b)) >= 4 * (n_a + n_b)
 
-    ``place`` holds a set's size, and the shingle's place in its order in the lower 32 bits."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(found: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["token", "a", "b"])
+def _compared(rows: DataFrame) -> DataFrame:
+    """Of each posting (token, node, place), candidate pairs (a, b) of its first member with all others, or all pairs of a small one. Of a larger one
+    also its other members (token, a, b = node, place)."""
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, nth, size in _whole_postings(batches):
-            found: list[np.ndarray] = []
-            start = np.arange(len(nth)) - nth
-            comp = now.get("comp", now["node"])
-            n, pos = now["place"] >> 32, now["place"] & 0xFFFFFFFF
-            for pivot in range(min(int(size.max()) - 1, max(pivots, WHOLE_POSTING - 1))):
-                b = np.flatnonzero((nth > pivot) & ((size <= WHOLE_POSTING) | (pivot < pivots)))
-                a = start[b] + pivot
-                most = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
-                good = (comp[a] != comp[b]) & (9 * most >= 4 * (n[a] + n[b]))
+            found = [np.zeros((0, 2), dtype=np.int64)]
+            for pivot in range(min(int(size.max()), WHOLE_POSTING) - 1):
+                b = np.flatnonzero((nth > pivot) & ((size <= WHOLE_POSTING) | (pivot == 0)))
+                a = b - nth[b] + pivot
+                good = _can_share(now["place"][a], now["place"][b])
                 found.append(np.stack((now["node"][a[good]], now["node"][b[good]]), axis=1))
-                if sum(map(len, found)) >= 500_000:
-                    yield emit(found)
-                    found = []
-            if found:
-                yield emit(found)
-            behind = (size > max(WHOLE_POSTING, pivots + 1)) & (nth >= pivots)
-            posting = np.cumsum(nth == 0) - 1
-            mixed = np.bincount(posting, behind & (comp != comp[np.minimum(start + pivots, len(nth) - 1)])) > 0
-            keep = behind & mixed[posting]
-            yield pa.RecordBatch.from_arrays([pa.array(now[c][keep]) for c in ("token", "node", "place")], names=["token", "a", "b"])
+            pairs = np.unique(np.concatenate(found), axis=0)
+            keep = (size > WHOLE_POSTING) & (nth > 0)
+            columns = [np.concatenate((x, now[c][keep])) for x, c in ((pairs[:, 0], "node"), (pairs[:, 1], "place"))]
+            token = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(now["token"][keep])])
+            yield pa.RecordBatch.from_arrays([token, *map(pa.array, columns)], names=["token", "a", "b"])
 
     return written(rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(compare, "token long, a long, b long"), "postings")
 
 
+def _crossing(rows: DataFrame, most: int) -> DataFrame:
+    """Of each posting (token, node, place, comp, parity), for each member outside its largest component the ``most`` closest members of other
+    components that it may be alike to: (token, a, b, apart). A row without a pair says that the posting had more."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, nth, size in _whole_postings(batches):
+            found, more = [np.zeros((0, 3), dtype=np.int64)], []
+            for start in np.flatnonzero((nth == 0) & (size > 1)).tolist():
+                node, place, comp, parity = (now[c][start : start + size[start]] for c in ("node", "place", "comp", "parity"))
+                names, counts = np.unique(comp, return_counts=True)
+                outside = np.flatnonzero(comp != names[counts.argmax()])
+                for at in range(0, len(outside), 64):
+                    b = outside[at : at + 64]
+                    apart = np.bitwise_count(parity[b, None] ^ parity[None]).sum(axis=2, dtype=np.int64)
+                    good = (comp[b, None] != comp[None]) & (9 * apart <= (place[b, None] >> 32) + (place[None] >> 32)) & _can_share(place[b, None], place[None])
+                    if good.sum(axis=1).max() > most:
+                        more.append(int(now["token"][start]))
+                    far = np.where(good, apart, np.iinfo(np.int64).max)
+                    near = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(node) else np.broadcast_to(np.arange(len(node)), far.shape)
+                    i, j = np.nonzero(np.take_along_axis(good, near, axis=1))
+                    x, y = b[i], near[i, j]
+                    found.append(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart[i, y]), axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            token = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(sorted(set(more)), pa.int64())])
+            columns = [pa.concat_arrays([pa.array(pairs[:, i]), pa.nulls(len(token) - len(pairs), pa.int64())]) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([token, *columns], names=["token", "a", "b", "apart"])
+
+    return written(rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(compare, "token long, a long, b long, apart long"), "crossing")
+
+
 def _retained(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs whose parities differ in no more buckets than their sets may in shingles, at similarity 0.8."""
+    """The pairs (a, b, apart) whose parities differ in no more buckets than their sets may in shingles, at similarity 0.8."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("x", "y"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(9 * apart <= np.asarray(batch.column("n"))))
+            keep = pa.array(9 * apart <= np.asarray(batch.column("n")))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"]).filter(keep)
 
     known = distinct.select("node", "parity", "n")
     both = pairs.distinct().join(known.toDF("a", "x", "n_a"), "a").join(known.toDF("b", "y", "n_b"), "b")
-    return both.select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(tally, "a long, b long")
+    return both.select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(tally, "a long, b long, apart long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -405,37 +432,51 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends no links tie."""
     with_a = pairs.join(roots.toDF("a", "root_a"), "a", "left")
-    return with_a.join(roots.toDF("b", "root_b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return with_a.join(roots.toDF("b", "root_b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
-def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one.
+class _Ties:
+    """Verified links, their components (node, root), and the pairs verified or refuted so far."""
 
-    Each round compares the next members of every posting with all behind them, unless links already tie them; it ends when no
-    posting has members left that are neither compared nor tied. Of a node's candidates the smallest is verified first, the others
-    only where links have not tied them by then: few texts are dealt out for a family of copies, however many postings it shares.
-    """
+    def __init__(self, docs: DataFrame):
+        spark = docs.sparkSession
+        self.docs, self.links, self.tested = docs, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+        self.roots = spark.createDataFrame([], "node long, root long")
+
+    def settle(self, pairs: DataFrame) -> None:
+        """Of the pairs (a, b, apart) of each b the closest is verified first, then the others where links have not tied the two by then.
+        Only texts of some pair are dealt out."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = written(_named(self.docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        rest = pairs.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
+        for these in ("place = 1", "place > 1"):
+            asked = checkpointed(_apart(rest.filter(these).select("a", "b"), self.roots))
+            if not asked.isEmpty():
+                found = checkpointed(_verified(asked, texts))
+                self.tested = self.tested.union(asked)
+                if not found.isEmpty():
+                    self.links = self.links.union(found)
+                    self.roots = connected(self.links)
+
+
+def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one."""
     rows = distinct.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("place"))
-    links, roots, pivots = None, None, 1
+    table, ties, most = _compared(rows), _Ties(docs), 4
+    pairs = checkpointed(_retained(table.filter("token IS NULL").select("a", "b"), distinct))
+    left = table.filter("token IS NOT NULL").toDF("token", "node", "place")
+    parity = distinct.select("node", "parity")
     while True:
-        table = _compared(rows, pivots)
-        pairs = checkpointed(_retained(table.filter("token IS NULL").select("a", "b"), distinct))
-        if links is None or not pairs.isEmpty():
-            # Few texts are in any pair: only those are dealt out for both sides.
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            texts = written(_named(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-            found = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
-            links = checkpointed(found if links is None else links.union(found))
-            roots = connected(links)
-            rest = checkpointed(_apart(pairs, roots))
-            if not rest.isEmpty():
-                links = checkpointed(links.union(_verified(rest, texts)))
-                roots = connected(links)
-        left = table.filter("token IS NOT NULL").toDF("token", "node", "place")
-        if left.isEmpty():
-            return roots
-        rows = left.join(roots, "node", "left").select("token", "node", "place", F.coalesce("root", "node").alias("comp"))
-        pivots = min(64 * pivots, 4096)
+        if not pairs.isEmpty():
+            ties.settle(pairs)
+        known = left.join(ties.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        mixed = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+        crossing = _crossing(known.join(mixed, "token", "left_semi").join(parity, "node"), most)
+        new = crossing.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+        pairs = checkpointed(new.join(ties.tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty() and crossing.filter("a IS NULL").isEmpty():
+            return ties.roots
+        most *= 4
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
