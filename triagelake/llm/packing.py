@@ -3,9 +3,12 @@
 Each partition of the input is packed in one stream, so nothing is shuffled and memory is one window of examples. Whole sequences'
 worth of a long document are cut off first. What remains waits in a window of ``WINDOW`` examples; a sequence opens with the largest
 and takes, by the dot-product heuristic, the fitting example whose demands (as shares of the limits) align best with the remaining
-capacities. When no whole example fits, one is cut to fill the gap. A sequence that runs out of segments, and what is left at a
+capacities. When no whole example fits, those with the most tokens that still do are cut to fill the gap. A sequence that runs out of segments, and what is left at a
 partition's end, is cut to powers of two, the lengths that need no padding.
 
+Loss-bearing tokens: of a document, those behind its first ``CONTEXT`` share, as in instruction data the answer behind the prompt. A sequence holds
+``LOSS`` of them at most, which binds: the later part of a long document bears loss throughout and shares its sequences with context of others.
+
 Token ids come from a public tokenizer whose words never cross white space, so each distinct word is encoded once and kept in a
 worker's bounded cache; ids are then gathered by numpy.
 
@@ -34,6 +37,9 @@ from .common import WordArrays, filled, slices
 
 TOKENS = 4096
 SEGMENTS = 128
+#: Loss-bearing tokens of a sequence, and the share of a document's tokens that is context and bears none.
+LOSS = 3072
+CONTEXT = 0.5
 END_ID = 2
 WINDOW = 512
 #: Runs of letters that a worker keeps from slice to slice; a larger cache is emptied.
@@ -131,27 +137,35 @@ def worker_tokenizer(path: str | None) -> WordTokenizer:
 
 
 class Packer:
-    """Packs a stream of examples (key, ids, loss flags or None for all) under the limits; yields (key, start, length, sequence, offset)."""
+    """Packs a stream of examples under the limits; yields (key, start, length, sequence, offset).
+
+    An example's loss-bearing tokens are all (None), those from a position on (a number), or those that flags mark (an array)."""
 
     def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, window: int = WINDOW, first: int = 0):
         self.limits = np.array([tokens, segments, loss or tokens], dtype=np.int64)
         self.window, self.sequence = window, first
-        self.waiting: list[tuple] = []  # (key, start, length, loss running sums or None)
+        self.waiting: list[tuple] = []  # (key, start, length, where loss begins or its running sums)
 
     @staticmethod
     def _loss(piece: tuple, start: int, length: int) -> int:
         sums = piece[3]
-        return length if sums is None else int(sums[start + length] - sums[start])
+        return max(0, start + length - max(start, sums)) if isinstance(sums, int) else int(sums[start + length] - sums[start])
+
+    @staticmethod
+    def _within(piece: tuple, start: int, loss: int) -> int:
+        """How many tokens from ``start`` hold ``loss`` loss-bearing ones at most."""
+        sums = piece[3]
+        return max(0, sums - start) + loss if isinstance(sums, int) else int(np.searchsorted(sums, sums[start] + loss, side="right")) - 1 - start
 
-    def add(self, key, length: int, loss: np.ndarray | None = None) -> Iterator[tuple]:
-        sums = None if loss is None else np.concatenate(([0], np.cumsum(loss)))
+    def add(self, key, length: int, loss: np.ndarray | int | None = None) -> Iterator[tuple]:
+        sums = 0 if loss is None else int(loss) if np.isscalar(loss) else np.concatenate(([0], np.cumsum(loss)))
         example, start, most = (key, 0, length, sums), 0, int(self.limits[0])
         while length - start >= most and self._loss(example, start, most) <= self.limits[2]:
             yield from self._close([(key, start, most, sums)])
             start += most
         while length - start >= most or length > start and self._loss(example, start, length - start) > self.limits[2]:
             # more loss-bearing tokens than one sequence may hold: as many as fit become an example
-            part = min(most, int(np.searchsorted(sums, sums[start] + self.limits[2], side="right")) - 1 - start)
+            part = min(most, self._within(example, start, int(self.limits[2])))
             self.waiting.append((key, start, part, sums))
             start += part
         if length > start:
@@ -186,6 +200,7 @@ class Packer:
         """Sequences from the waiting examples until ``leave`` of them are left."""
         waiting = self.waiting
         demand = np.array([(p[2], 1, self._loss(p, p[1], p[2])) for p in waiting], dtype=np.int64)
+        context = np.array([min(p[2], self._within(p, p[1], 0)) for p in waiting], dtype=np.int64)
         free = np.ones(len(waiting), dtype=bool)
         back: list[tuple] = []
         while free.sum() > leave:
@@ -197,17 +212,18 @@ class Packer:
                 free[pick] = False
                 fits = free & (demand <= room).all(axis=1)
                 pick = int(np.where(fits, (demand / self.limits) @ (room / self.limits), -1).argmax()) if room[0] and fits.any() else -1
-            if room[0] and room[1] and free.any():
-                # no whole example fits: cut the largest to fill the gap, as far as its loss-bearing tokens allow
-                largest = int(np.where(free, demand[:, 0], -1).argmax())
-                key, start, length, sums = waiting[largest]
-                gap = int(room[0]) if sums is None else int(min(room[0], np.searchsorted(sums, sums[start] + room[2], side="right") - 1 - start))
-                gap = min(gap, int(room[2])) if sums is None else gap
-                if 0 < gap < length:
-                    pieces.append((key, start, gap, sums))
-                    room[0] -= gap
-                    waiting[largest] = (key, start + gap, length - gap, sums)
-                    demand[largest] = (length - gap, 1, self._loss(waiting[largest], start + gap, length - gap))
+            while room[0] and room[1] and free.any():
+                # no whole example fits: cut the one of which most tokens do, as far as its loss-bearing ones allow
+                most = int(np.where(free, np.minimum(context + room[2], demand[:, 0]), -1).argmax())
+                key, start, length, sums = waiting[most]
+                gap = min(int(room[0]), self._within(waiting[most], start, int(room[2])))
+                if not 0 < gap < length:
+                    break
+                head, waiting[most] = (key, start, gap, sums), (key, start + gap, length - gap, sums)
+                pieces.append(head)
+                room -= (gap, 1, self._loss(head, start, gap))
+                demand[most] = (length - gap, 1, self._loss(waiting[most], start + gap, length - gap))
+                context[most] = min(length - gap, self._within(waiting[most], start + gap, 0))
             total = int(self.limits[0] - room[0])
             if room[0]:
                 head, rest = self._cut(pieces, 1 << (total.bit_length() - 1))
@@ -223,12 +239,12 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, end_id: int = END_ID, loss: int = LOSS, context: float = CONTEXT) -> DataFrame:
     """One row for each piece of a document: where it lies in the document and in its sequence, and the checksum of its ids."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_tokenizer(tokenizer)
-        packer = Packer(tokens, segments, first=TaskContext.get().partitionId() << 40)
+        packer = Packer(tokens, segments, loss, first=TaskContext.get().partitionId() << 40)
         held: dict[int, list] = {}  # of documents not wholly packed: id, ids, tokens not yet packed
         number = 0
 
@@ -253,7 +269,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int =
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")
                     held[number] = [doc_id, own, len(own)]
-                    found += rows(packer.add(number, len(own)))
+                    found += rows(packer.add(number, len(own), int(len(own) * context)))
                     number += 1
                 yield batch_of(found)
         yield batch_of(rows(packer.finish()))
