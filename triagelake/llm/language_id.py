@@ -4,8 +4,9 @@ A text is the mean of the embeddings of its words' byte n-grams (``<word>``, low
 rows); a linear layer and softmax follow. Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled
 rows. A held-back share of that sample fits a softmax temperature and the confidence under which a prediction is rejected.
 
-At prediction embedding and linear layer collapse into one table of BUCKETS x languages, which is the only broadcast; its size does
-not depend on the data. Each distinct word of a slice is scored once.
+At prediction embedding and linear layer collapse into one table of BUCKETS x languages where that is the smaller; else the embeddings
+of words are averaged first. Either way the table is BUCKETS x DIMENSIONS at most, which is what is broadcast, with one linear row for each language. Each
+distinct word of a slice is scored once.
 
 Cases: null or letterless text gives ``und``, score 0, rejected. Null ids and null langs are never trained on; rows with a null id
 are predicted with ``held_out`` false. No labelled row at all: every text is ``und``, and only letterless
@@ -24,15 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordArrays, filled, hash_slot, segment_sums, slices
+from .common import WordArrays, checkpointed, filled, hash_slot, segment_sums, slices
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 DIMENSIONS = 16
-#: Labelled rows used for each language, about; the sample is chosen by a hash of the id.
+#: Labelled rows used for each language, about, and for all of them; the sample is chosen by a hash of the id. Every language is learnt: of more
+#: than ``SAMPLE_ROWS / ROWS_PER_LANGUAGE`` languages each has fewer rows, but ``LEAST_ROWS`` at least (or all it has).
 ROWS_PER_LANGUAGE = 300
-#: Languages learnt at most, the most frequent ones.
-LANGUAGES = 256
+SAMPLE_ROWS = 24_000
+LEAST_ROWS = 8
+MOST_BROADCAST = 100_000
 EPOCHS = 8
 #: Share of right predictions that rejection may cost on the calibration rows.
 REJECT_SHARE = 0.002
@@ -42,7 +45,8 @@ UNKNOWN = "und"
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages, embeddings times the linear layer
+    table: np.ndarray  # BUCKETS x languages, embeddings times the linear layer; or the embeddings alone
+    linear: np.ndarray | None  # the linear layer, where it is not in the table
     bias: np.ndarray
     temperature: float
     threshold: float
@@ -97,14 +101,16 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
-    """About ``rows_per_language`` labelled rows of each language, chosen by a hash of the id: no sort and no hot group."""
+    """About ``rows_per_language`` labelled rows of each language, fewer of very many languages, chosen by a hash of the id: no sort and no hot group."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_slot("doc_id", 4) != 2))
-    counts = sorted(((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()))
-    if not counts:
-        return labelled.select("lang", "text", F.lit(0).cast("long").alias("place")).limit(0)
+    counts = checkpointed(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    wanted = max(LEAST_ROWS, min(rows_per_language, SAMPLE_ROWS // max(1, languages)))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    below = F.coalesce(F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(int(min(1.0, rows_per_language / n) * (1 << 30))))])[F.col("lang")], F.lit(0))
-    return labelled.select("lang", "text", place.alias("place")).filter(F.col("place") < below)
+    below = counts.select("lang", (F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("n")) * (1 << 30)).cast("long").alias("below"))
+    # Few rows, so no text is shuffled for them.
+    below = F.broadcast(below) if languages <= MOST_BROADCAST else below
+    return labelled.select("lang", "text", place.alias("place")).join(below, "lang").filter("place < below").select("lang", "text", "place")
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = EPOCHS, seed: int = 11) -> LanguageModel | None:
@@ -147,6 +153,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: i
             bias -= rate * np.float32(0.1) * error
             embeddings[buckets] = rows_used - (rate * 20) * share[:, None] * back
     table = embeddings @ linear
+    inside = len(languages) <= DIMENSIONS
     judged = np.flatnonzero(held) if held.any() else fitted
     logits = np.stack([share @ table[buckets] + bias for buckets, share in (features[i] for i in judged)]).astype(np.float64)
     grid = np.geomspace(0.05, 20, 61)
@@ -155,7 +162,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: i
     chances = _softmax(logits / temperature)
     right = chances.max(axis=1)[chances.argmax(axis=1) == target[judged]]
     threshold = min(0.5, float(np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
-    return LanguageModel(languages, table.astype(np.float32), bias.astype(np.float64), temperature, threshold)
+    return LanguageModel(languages, (table if inside else embeddings).astype(np.float32), None if inside else linear.astype(np.float64), bias.astype(np.float64), temperature, threshold)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -169,12 +176,13 @@ def predict_slice(texts: pa.Array, model: LanguageModel | None) -> tuple[pa.Arra
     if model is None or not known.any():
         return pa.array([UNKNOWN] * len(texts), pa.string()), np.zeros(len(texts)), ~known
     words = WordArrays(pc.utf8_lower(texts))
-    by_word, sizes = np.zeros((len(words.distinct), len(model.languages))), np.zeros(len(words.distinct))
+    by_word, sizes = np.zeros((len(words.distinct), model.table.shape[1])), np.zeros(len(words.distinct))
     for grams, bounds in gram_buckets(words.distinct):
         by_word += segment_sums(model.table[grams], bounds)
         sizes += np.diff(bounds)
     total = segment_sums(sizes[words.codes], words.offsets)
-    logits = segment_sums(by_word[words.codes], words.offsets) / np.maximum(total, 1)[:, None] + model.bias
+    mean = segment_sums(by_word[words.codes], words.offsets) / np.maximum(total, 1)[:, None]
+    logits = (mean if model.linear is None else mean @ model.linear) + model.bias
     chances = _softmax(logits / model.temperature)
     best = chances.argmax(axis=1)
     score = np.where(known, chances[np.arange(len(best)), best], 0.0)
