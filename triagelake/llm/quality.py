@@ -3,8 +3,8 @@
 1. Every whole text becomes ``STATISTICS``: sizes, word shapes, repetition, lines. Words are looked at once for each slice.
 2. The statistics, standardised over the labelled rows, go through random Fourier features, cos(Wx + b), whose inner products
    approximate a Gaussian kernel.
-3. Each partition of labelled rows adds up its normal equations; the sums are added up by a few tasks and then by the driver, whose
-   share does not depend on the data's size. Ridge scores follow from one linear solve.
+3. Each partition of labelled rows adds up its normal equations; the sums are added up in a tree of tasks, ``FAN`` to one, and the last ``FAN`` by
+   the driver, whose share does not depend on the data's size. Ridge scores follow from one linear solve.
 4. A fifth of the labelled rows, chosen by a hash of the id, is kept out of the solve: their scores, counted in ``BINS`` bins, fit the
    isotonic (pool-adjacent-violators) map from score to probability.
 
@@ -31,6 +31,7 @@ BANDWIDTH = 4.0
 RIDGE = 1e-3
 BINS = 4000
 ACCEPT = 0.5
+FAN = 16
 STATISTICS = (
     "log_words log_letters mean_length deviation_length log_longest distinct_share distinct_excess adjacent_share pair_share top_share upper_share title_share "
     "mark_run_share bang_share bar_share digit_share mark_share non_ascii_share short_share sentence_share log_lines words_per_line repeated_lines"
@@ -193,7 +194,12 @@ def train(rows: DataFrame, labels: DataFrame) -> QualityModel | None:
     fitted = labelled.filter(~F.col("judge"))
     if not fitted.take(1):
         fitted = labelled
-    parts = fitted.select("x", "y").mapInArrow(equations, "sums binary").repartition(8).mapInArrow(added, "sums binary").collect()
+    sums = fitted.select("x", "y").mapInArrow(equations, "sums binary")
+    left = sums.rdd.getNumPartitions()
+    while left > FAN:
+        left = -(-left // FAN)
+        sums = sums.repartition(left).mapInArrow(added, "sums binary")
+    parts = sums.collect()
     total = sum(np.frombuffer(r["sums"]).reshape(size, size + 1) for r in parts)
     weights = np.linalg.solve(total[:, :size] + RIDGE * total[-1, size - 1] * np.eye(size) / size, total[:, size])
 
