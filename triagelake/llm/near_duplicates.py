@@ -29,6 +29,7 @@ rows. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -417,7 +418,7 @@ def _retained(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that share 0.8 or more of all their different shingles."""
+    """The pairs that share 0.8 or more of all their different shingles; ``texts`` (doc_id, text) lie in buckets by id, so only pairs are shuffled."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,7 +427,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(x_ends[:-1], x_ends[1:], y_ends[:-1], y_ends[1:], strict=True)])
                 yield part.select(["a", "b"]).filter(pa.array(9 * shared >= 4 * (np.diff(x_ends) + np.diff(y_ends))))
 
-    return pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    with_first = texts.join(pairs.hint("shuffle_hash"), texts["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("x"))
+    with_both = texts.join(with_first.hint("shuffle_hash"), texts["doc_id"] == with_first["b"]).select("a", "b", "x", F.col("text").alias("y"))
+    return with_both.mapInArrow(verify, "a long, b long")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -436,47 +439,70 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 class _Ties:
-    """Verified links, their components (node, root), and the pairs verified or refuted so far."""
+    """What verified links tie: components (node, root), and the pairs verified or refuted so far. ``texts`` (doc_id, text) lie in buckets by id."""
 
-    def __init__(self, docs: DataFrame):
-        spark = docs.sparkSession
-        self.docs, self.links, self.tested = docs, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+    def __init__(self, texts: DataFrame):
+        spark = texts.sparkSession
+        self.texts, self.tested = texts, spark.createDataFrame([], "a long, b long")
         self.roots = spark.createDataFrame([], "node long, root long")
 
     def settle(self, pairs: DataFrame) -> None:
-        """Of the pairs (a, b, apart) of each b the closest is verified first, then the others where links have not tied the two by then.
-        Only texts of some pair are dealt out."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = written(_named(self.docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        rest = pairs.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
-        for these in ("place = 1", "place > 1"):
+        """Of the pairs (a, b, apart) of each b the closest is verified first, then the others where links have not tied the two by then."""
+        rest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
+        for these in ("nth = 1", "nth > 1"):
             asked = checkpointed(_apart(rest.filter(these).select("a", "b"), self.roots))
             if not asked.isEmpty():
-                found = checkpointed(_verified(asked, texts))
+                found = checkpointed(_verified(asked, self.texts))
                 self.tested = self.tested.union(asked)
                 if not found.isEmpty():
-                    self.links = self.links.union(found)
-                    self.roots = connected(self.links)
+                    self._tie(found)
+
+    def _tie(self, links: DataFrame) -> None:
+        """Only the roots of what new links tie are connected; then every node follows its old root to the new one."""
+        old = self.roots
+        between = links.join(old.toDF("a", "root_a"), "a", "left").join(old.toDF("b", "root_b"), "b", "left")
+        merged = connected(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+        moved = old.join(merged.toDF("root", "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        self.roots = checkpointed(moved.union(merged))
+
+
+def bucketed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the session's warehouse, in buckets by doc_id: what joins on it shuffles no text. Its files go when the session ends."""
+    spark = rows.sparkSession
+    table, parts = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(parts, "doc_id").write.bucketBy(parts, "doc_id").format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    location = spark._jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0]).getParent() if found.inputFiles() else None
+    if location is not None:
+        location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
+    return found
 
 
 def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one."""
+    """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one.
+
+    ``docs`` (doc_id, text) lie in buckets by id."""
     rows = distinct.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("place"))
-    table, ties, most = _compared(rows), _Ties(docs), 4
+    table, most = _compared(rows), 16
     pairs = checkpointed(_retained(table.filter("token IS NULL").select("a", "b"), distinct))
     left = table.filter("token IS NOT NULL").toDF("token", "node", "place")
+    # No other text is in any pair, now or later.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(left.select("node")).distinct()
+    ties = _Ties(bucketed(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"))
     parity = distinct.select("node", "parity")
     while True:
         if not pairs.isEmpty():
             ties.settle(pairs)
-        known = left.join(ties.roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        known = left.select("token", "node", "place").join(ties.roots, "node", "left").select("token", "node", "place", F.coalesce("root", "node").alias("comp"))
         mixed = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-        crossing = _crossing(known.join(mixed, "token", "left_semi").join(parity, "node"), most)
+        # A posting that is one component stays one.
+        left = written(known.join(mixed, "token", "left_semi"), "left")
+        crossing = _crossing(left.join(parity, "node"), most)
         new = crossing.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("apart").alias("apart"))
         pairs = checkpointed(new.join(ties.tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty() and crossing.filter("a IS NULL").isEmpty():
             return ties.roots
-        most *= 4
+        most *= 8
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -484,10 +510,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with that id and the same text stay one row. A row without an id stays: nothing names it. Ids are taken to name one text.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
+    kind = docs.schema["doc_id"].dataType
+    # Texts are shuffled once, into buckets: from here on they are read where they lie.
+    held = bucketed(docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")), "held")
     least = F.min(F.struct("doc_id", "text_hash", "n", "tokens", "parity")).alias("least")
-    distinct = written(prefixes(named).groupBy("fp").agg(least).select(F.col("least.doc_id").alias("node"), "least.text_hash", "least.n", "least.tokens", "least.parity"), "prefixes")
-    gone = similar_roots(distinct, named).select(F.col("node").alias("gone_id"))
+    distinct = written(prefixes(held).groupBy("fp").agg(least).select(F.col("least.doc_id").alias("node"), "least.text_hash", "least.n", "least.tokens", "least.parity"), "prefixes")
+    gone = similar_roots(distinct, _named(held)).select(F.col("node").alias("gone_id"))
     kept = distinct.select(F.col("node").alias("kept_id"), F.col("text_hash").alias("kept_text")).join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti")
-    one = docs.join(kept, (docs["doc_id"] == kept["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["kept_text"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    # The text's hash is compared by a difference, so that ids alone are the key and the buckets serve.
+    same = F.xxhash64(held["text"].cast("string")).bitwiseXOR(kept["kept_text"]) == 0
+    one = held.join(kept.hint("shuffle_hash"), (held["doc_id"] == kept["kept_id"]) & same, "left_semi")
+    named = f"_text_{uuid.uuid4().hex}"
+    one = one.withColumn(named, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", named]).drop(named)
+    return one.withColumn("doc_id", F.col("doc_id").cast(kind)).unionByName(docs.filter(F.col("doc_id").isNull()))
