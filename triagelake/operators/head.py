@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import hash_ranked
-from ..functions.text import interpolate, softmax
+from ..functions.text import char_terms, interpolate, softmax, word_terms
+from ..sources.tables import checkpointed
 
 TIERS = ("T0", "T1", "T2", "T3", "T4")
+RISKY = ("T3", "T4")
 OVERRIDE_AT = 0.70
 
 
@@ -55,26 +59,76 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(counts.crossJoin(totals)), label).withColumn("weight", F.col("_total") / (F.col("_k") * F.col("_n"))).drop("_n", "_total", "_k")
 
 
-def fit_head(rows: DataFrame, features: tuple[str, ...], c_tier: float = 0.5, c_ranker: float = 1.0) -> HeadParams:
-    """Standardise by population moments, then a balanced multinomial tier model and a balanced binary T3+T4 ranker."""
+def _logistic(data: DataFrame, label: str, c: float, family: str):
     from pyspark.ml.classification import LogisticRegression
+
+    n = data.count()
+    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", regParam=1 / (c * max(1, n)), standardization=False, family=family, maxIter=300).fit(balanced(data, label))
+
+
+def fit_head(rows: DataFrame, features: tuple[str, ...], c_tier: float = 0.5, c_ranker: float = 1.0, tiers: bool = True) -> HeadParams:
+    """Standardise by population moments, then a balanced multinomial tier model (unless ``tiers`` is false) and a balanced binary T3+T4 ranker."""
     from pyspark.ml.feature import VectorAssembler
 
-    facts = rows.agg(F.count("*"), *[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
-    n, k = facts[0], len(features)
-    mean, scale = [float(x) for x in facts[1 : k + 1]], [float(x) or 1.0 for x in facts[k + 1 :]]
+    facts = rows.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+    k = len(features)
+    mean, scale = [float(x) for x in facts[:k]], [float(x) or 1.0 for x in facts[k:]]
     scaled = rows.select("tier", *[((F.col(f) - m) / s).alias(f) for f, m, s in zip(features, mean, scale, strict=True)])
     classes = tuple(r["tier"] for r in rows.select("tier").distinct().orderBy("tier").collect())
     place = F.array_position(F.array(*map(F.lit, classes)), F.col("tier")) - 1
-    data = VectorAssembler(inputCols=list(features), outputCol="_features").transform(scaled.withColumn("label", place.cast("double")).withColumn("risky", F.col("tier").isin("T3", "T4").cast("double")))
+    data = VectorAssembler(inputCols=list(features), outputCol="_features").transform(scaled.withColumn("label", place.cast("double")).withColumn("risky", F.col("tier").isin(*RISKY).cast("double")))
     data.persist()
     try:
-        tier = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", regParam=1 / (c_tier * n), standardization=False, family="multinomial", maxIter=300).fit(balanced(data, "label"))
-        rank = LogisticRegression(featuresCol="_features", labelCol="risky", weightCol="weight", regParam=1 / (c_ranker * n), standardization=False, family="binomial", maxIter=300).fit(balanced(data, "risky"))
+        tier = _logistic(data, "label", c_tier, "multinomial") if tiers else None
+        rank = _logistic(data, "risky", c_ranker, "binomial")
     finally:
         data.unpersist()
-    coef = tuple(tuple(float(v) for v in row) for row in tier.coefficientMatrix.toArray())
-    return HeadParams(tuple(features), tuple(mean), tuple(scale), classes, coef, tuple(float(v) for v in tier.interceptVector), tuple(float(v) for v in rank.coefficients), float(rank.intercept))
+    coef = tuple(tuple(float(v) for v in row) for row in tier.coefficientMatrix.toArray()) if tiers else ((0.0,) * k,) * len(classes)
+    intercept = tuple(float(v) for v in tier.interceptVector) if tiers else (0.0,) * len(classes)
+    return HeadParams(tuple(features), tuple(mean), tuple(scale), classes, coef, intercept, tuple(float(v) for v in rank.coefficients), float(rank.intercept))
+
+
+def out_of_fold(rows: DataFrame, features: tuple[str, ...], k: int = 5, inner: int = 4, seed: int = 0) -> DataFrame:
+    """(case_id, tier, fold, probs, model_tier, raw_escalation, escalation): every case scored by a head that never saw it.
+
+    ``probs`` follow the tier axis T0 to T4, a tier absent from a fold's training cases at 0. Escalation is calibrated by an isotonic map
+    fitted on inner out-of-fold scores of the training cases alone; where these are of one kind only, it stays raw. Folds are fitted side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    dealt = checkpointed(folds(rows.select("case_id", "tier", *features), "tier", k, seed))
+
+    def one(fold: int) -> DataFrame:
+        train, test = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
+        params = fit_head(train, features)
+        within = checkpointed(folds(train.drop("fold").withColumn("risky", F.col("tier").isin(*RISKY)), "risky", inner, seed))
+        kinds = within.select("risky").distinct().count()
+        if kinds == 2:
+            parts = [apply_head(within.filter(F.col("fold") == i), fit_head(within.filter(F.col("fold") != i), features, tiers=False)) for i in range(inner)]
+            scores = reduce(DataFrame.unionByName, parts)
+            knots, levels = fit_isotonic(scores.select(F.col("raw_escalation").alias("score"), F.col("risky").cast("double").alias("label")))
+            params = replace(params, knots=tuple(knots), levels=tuple(levels))
+        scored = apply_head(test, params)
+        aligned = F.array(*[F.get("probs", F.lit(params.classes.index(t))) if t in params.classes else F.lit(0.0) for t in TIERS])
+        raw = F.col("raw_escalation")
+        return scored.select("case_id", "tier", "fold", aligned.alias("probs"), "model_tier", raw, (F.col("escalation") if kinds == 2 else raw).alias("escalation"))
+
+    with ThreadPoolExecutor(k) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, range(k)))
+
+
+def ladder(rows: DataFrame, rungs: dict[str, tuple[str, ...]], seeds: tuple[int, ...] = tuple(range(10)), k: int = 5, inner: int = 4) -> DataFrame:
+    """(rung, seed, macro_f1, accuracy, brier): each set of features cross-validated under each seed; spreads over seeds are for the reader."""
+    from .metrics import proper_scores, summary_scores
+
+    place = lambda c: (F.array_position(F.array(*map(F.lit, TIERS)), F.col(c)) - 1).cast("long")
+    out = []
+    for rung, features in rungs.items():
+        for seed in seeds:
+            scored = checkpointed(out_of_fold(rows, features, k, inner, seed)).select(place("tier").alias("y_true"), place("model_tier").alias("y_pred"), "probs", F.array_max("probs").alias("conf"))
+            both = summary_scores(scored, len(TIERS)).crossJoin(proper_scores(scored).select("brier"))
+            out.append(both.select(F.lit(rung).alias("rung"), F.lit(seed).alias("seed"), "macro_f1", "accuracy", "brier"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def fit_isotonic(rows: DataFrame, score: str = "score", label: str = "label", bins: int = 1000) -> tuple[list[float], list[float]]:
@@ -119,20 +173,60 @@ def majority(rows: DataFrame, label: str) -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1)
 
 
-def fit_text_baseline(rows: DataFrame, label: str = "label", least: int = 2, size: int = 200_000, c: float = 4.0):
-    """Words and word pairs, smoothed idf, unit length, balanced logistic regression; a fitted Spark ML pipeline."""
-    from pyspark.ml import Pipeline
+@dataclass
+class TextBaseline:
+    """A fitted text model: both vocabularies, their idf, and the classifier, whose classes are ``labels`` in order."""
+
+    words: object
+    chars: object
+    idf: tuple
+    model: object
+    labels: tuple[str, ...]
+
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (text) with ``x``: 1 + ln(count) times idf, words and characters each of unit length."""
+        from pyspark.ml.linalg import SparseVector, VectorUDT
+
+        idf = self.idf
+
+        def weighted(*parts):
+            places, values, behind = [], [], 0
+            for v, own in zip(parts, idf, strict=True):
+                x = (1 + np.log(v.values)) * own[v.indices]
+                places.append(v.indices + behind)
+                values.append(x / (np.sqrt((x * x).sum()) or 1.0))
+                behind += len(own)
+            return SparseVector(behind, np.concatenate(places), np.concatenate(values))
+
+        counted = self.chars.transform(self.words.transform(with_terms(rows)))
+        return counted.withColumn("x", F.udf(weighted, VectorUDT())("word_counts", "char_counts")).drop("word_terms", "char_terms", "word_counts", "char_counts")
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the predicted label and the probabilities of all labels."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.model.transform(self.vectors(rows))
+        return out.withColumn("predicted", F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)).withColumn("probs", vector_to_array("probability")).drop("x", "rawPrediction", "probability", "prediction")
+
+
+def with_terms(rows: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return rows.withColumn("word_terms", word_terms(text)).withColumn("char_terms", char_terms(text))
+
+
+def fit_text_baseline(rows: DataFrame, label: str = "label", size: int = 200_000, c: float = 4.0) -> TextBaseline:
+    """Words and pairs of two texts at least, characters of three, the most frequent ``size`` of each; smoothed idf; balanced logistic regression."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer, Tokenizer, VectorAssembler
-
-    stages = [
-        Tokenizer(inputCol="text", outputCol="words"),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", minDF=least, vocabSize=size),
-        IDF(inputCol="counts", outputCol="idf"),
-        Normalizer(inputCol="idf", outputCol="unit"),
-        VectorAssembler(inputCols=["unit"], outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", regParam=1 / (c * max(1, rows.count()))),
-    ]
-    return Pipeline(stages=stages).fit(balanced(rows, label))
+    from pyspark.ml.feature import IDF, CountVectorizer
+
+    labels = tuple(r[label] for r in rows.select(label).distinct().orderBy(label).collect())
+    named = with_terms(rows).withColumn("label", (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("double"))
+    words = CountVectorizer(inputCol="word_terms", outputCol="word_counts", minDF=2, vocabSize=size).fit(named)
+    chars = CountVectorizer(inputCol="char_terms", outputCol="char_counts", minDF=3, vocabSize=size).fit(named)
+    counted = chars.transform(words.transform(named))
+    found = [IDF(inputCol=f"{kind}_counts", outputCol="idf").fit(counted) for kind in ("word", "char")]
+    idf = tuple(np.log((1 + m.numDocs) / (1 + np.array(m.docFreq, dtype=np.float64))) + 1 for m in found)
+    baseline = TextBaseline(words, chars, idf, None, labels)
+    data = baseline.vectors(named.drop("word_terms", "char_terms"))
+    baseline.model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c * max(1, found[0].numDocs)), standardization=False, family="multinomial", maxIter=200).fit(balanced(data, "label"))
+    return baseline

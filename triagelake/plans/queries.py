@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import casework, cluster, corpus, features, gate, head, metrics, privacy
-from ..sources import tables
+from ..sources import seed, tables
 from . import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,6 +481,31 @@ def isotonic_fit(spark, d):
     return spark.createDataFrame(list(zip(knots, levels, strict=True)), "knot double, level double")
 
 
+@query
+def cross_validation(spark, d):
+    """Out-of-fold tiers and calibrated escalation of all cases with a stand-in tier, from the turn features."""
+    rows = features.turn_features(S.turns(spark, d)).join(S.records(spark, d).filter("tier is not null").select("case_id", "tier"), "case_id")
+    out = head.out_of_fold(rows, tuple(features.GROUPS["turn"]))
+    return rounded(out.select("case_id", "tier", "fold", "model_tier", "raw_escalation", "escalation"))
+
+
+@query
+def text_baseline(spark, d):
+    """Labelled documents judged by a text model that was fitted on the others of a hash split in two."""
+    rows = S.labelled(spark, d).filter("harm is not null")
+    half = F.substring(F.sha1(F.col("row_id").cast("string")), 1, 1) < "8"
+    model = head.fit_text_baseline(rows.filter(half), "harm", size=20_000)
+    return model.predict(rows.filter(~half)).groupBy("harm", "predicted").agg(F.count("*").alias("n"))
+
+
+@query
+def seed_report(spark, d):
+    """A dry run of the seed load."""
+    turns = S.turns(spark, d).select("case_id", "turn", F.lit("student").alias("role"), "text")
+    cards = S.records(spark, d).select("case_id", F.lit("h").alias("handle"), "tier", F.lit(0.5).alias("confidence"), "started_at")
+    return seed.load(turns, cards, S.entities(spark, d), F.unhex(F.sha2(F.lit("not a secret"), 256)))
+
+
 @query
 def cross_validation_folds(spark, d):
     return longs(head.folds(S.records(spark, d).filter("tier is not null"), "tier").select("case_id", "tier", "fold"))
