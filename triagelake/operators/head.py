@@ -198,8 +198,9 @@ class TextBaseline:
                 behind += len(own)
             return SparseVector(behind, np.concatenate(places), np.concatenate(values))
 
-        counted = self.chars.transform(self.words.transform(with_terms(rows)))
-        return counted.withColumn("x", F.udf(weighted, VectorUDT())("word_counts", "char_counts")).drop("word_terms", "char_terms", "word_counts", "char_counts")
+        # Counts come from the JVM's functions and weights from Python's: the rows are cut between the two.
+        counted = checkpointed(self.chars.transform(self.words.transform(with_terms(rows))).drop("word_terms", "char_terms"))
+        return counted.withColumn("x", F.udf(weighted, VectorUDT())("word_counts", "char_counts")).drop("word_counts", "char_counts")
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the predicted label and the probabilities of all labels."""
@@ -227,6 +228,6 @@ def fit_text_baseline(rows: DataFrame, label: str = "label", size: int = 200_000
     found = [IDF(inputCol=f"{kind}_counts", outputCol="idf").fit(counted) for kind in ("word", "char")]
     idf = tuple(np.log((1 + m.numDocs) / (1 + np.array(m.docFreq, dtype=np.float64))) + 1 for m in found)
     baseline = TextBaseline(words, chars, idf, None, labels)
-    data = baseline.vectors(named.drop("word_terms", "char_terms"))
+    data = checkpointed(baseline.vectors(named.drop("word_terms", "char_terms")))
     baseline.model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c * max(1, found[0].numDocs)), standardization=False, family="multinomial", maxIter=200).fit(balanced(data, "label"))
     return baseline
