@@ -52,10 +52,11 @@ SALTS = 8
 CROWDED = 1024
 #: The pipeline's rule: five-word shingles, similarity 0.8 (9 x shared >= 4 x both sizes).
 WIDE_SHINGLE = 5
-#: Commonest shingles that the order of prefixes puts last.
-LISTED = 1 << 15
+#: Commonest shingles that the order of prefixes puts last, and how many of them a slice of the corpus may name.
+LISTED = 1 << 18
+NAMED = 1 << 16
 #: Bits of the bound on how many shingles two sets differ in.
-PARITY = 1024
+PARITY = 4096
 #: Members up to which a posting gives all its pairs at once; larger ones are compared over several rounds.
 WHOLE_POSTING = 6
 
@@ -269,11 +270,11 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def often() -> pa.RecordBatch:
             ranked = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            # Equal neighbours three apart: a shingle of four texts or more, with the place where its run starts.
+            # Runs of equal neighbours: a shingle that more than one text of the slice has, with the place where its run starts.
             starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(ranked)), dtype=bool), ranked[1:] != ranked[:-1])))
             n = np.diff(np.concatenate((starts, [len(ranked)])))
-            top = np.flatnonzero(n >= 4)
-            top = top[np.argsort(-n[top], kind="stable")[:8192]]
+            top = np.flatnonzero(n >= 2)
+            top = top[np.argsort(-n[top], kind="stable")[:NAMED]]
             return pa.RecordBatch.from_arrays([pa.array(ranked[starts[top]].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
@@ -284,8 +285,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held.clear()
         yield often()
 
-    top = _named(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(LISTED).collect()
-    values, n = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in top], dtype=np.int64)
+    top = _named(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "shingle").limit(LISTED).toArrow()
+    values, n = np.asarray(top["shingle"]).view(np.uint64), np.asarray(top["n"])
     order = np.argsort(values)
     return values[order], n[order]
 
@@ -294,9 +295,10 @@ def prefixes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, n, tokens, parity) of every row: a digest of the shingle set, its size, its rarest shingles in one order for all texts,
     as many as two sets alike to 0.8 need to have one of them in common, and of each of ``PARITY`` buckets whether it has an odd number of
     shingles. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
-    common, often = common_shingles(docs)
+    listed = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = listed.value
         for batch in batches:
             for part in slices(batch):
                 hashes, ends = distinct_shingles(filled(part.column("text")))
