@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_trees, language_id, language_model, license_scan, near_duplicates, packing, personal_data, piece_codec, quality, vector_search
+from . import collocations, document_trees, language_id, language_model, license_scan, mixing, near_duplicates, packing, personal_data, piece_codec, quality, source_divergence, vector_search
 from .common import read_table
 
 
@@ -49,6 +49,18 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -60,6 +72,13 @@ QUERIES = {
     "op8_document_trees": op8_document_trees,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_collocations": op12_collocations,
+    "op13_mixing": op13_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": source_divergence.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_mixing": mixing.SQL,
+}
