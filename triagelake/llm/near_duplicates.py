@@ -37,10 +37,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordArrays, checkpointed, filled, segment_sums, slices, written
+from .common import WordArrays, checkpointed, filled, segment_sums, shared_folder, slices, written
 
 SHINGLE = 3
 DISTANCE = 2
@@ -109,9 +109,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of fingerprints reach the minimum of shared positional bytes and are verified by their differing bits."""
-    shared = (a[..., None].view(np.uint8) == b[..., None].view(np.uint8)).sum(axis=-1, dtype=np.uint8)
-    return (shared >= LEAST_SHARED) & (np.bitwise_count(a ^ b) <= DISTANCE)
+    """Which pairs of fingerprints reach the minimum of shared positional bytes."""
+    return (a[..., None].view(np.uint8) == b[..., None].view(np.uint8)).sum(axis=-1, dtype=np.uint8) >= LEAST_SHARED
+
+
+def verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs that the tally retained differ in ``DISTANCE`` bits at most."""
+    return np.bitwise_count(a ^ b) <= DISTANCE
 
 
 def _posting_links(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +124,8 @@ def _posting_links(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if size <= CROWDED:
         met = [np.nonzero(tallied(values[i : i + 64, None], values[None])) for i in range(0, size, 64)]
         a, b = np.concatenate([x + 64 * i for i, (x, _) in enumerate(met)]), np.concatenate([y for _, y in met])
+        near = verified(values[a], values[b])
+        a, b = a[near], b[near]
     else:
         # The two bytes left out hold 16 bits: look up each value's 136 neighbours at 1 or 2 flips instead of comparing all pairs.
         varying = np.bitwise_or.reduce(values ^ values[0])
@@ -159,6 +165,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(fp)]))
         pairs = starts[ends - starts == 2]
         met = pairs[tallied(fp[pairs], fp[pairs + 1])]
+        met = met[verified(fp[met], fp[met + 1])]
         a, b = [fp[met + 1]], [fp[met]]
         for start, end in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             x, y = _posting_links(fp[start:end])
@@ -258,8 +265,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _node() -> Column:
+    """What a text under an id is called: an id may have unlike texts, each of which is a document of its own."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -285,14 +293,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held.clear()
         yield often()
 
-    top = _named(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "shingle").limit(LISTED).toArrow()
+    top = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "shingle").limit(LISTED).toArrow()
     values, n = np.asarray(top["shingle"]).view(np.uint64), np.asarray(top["n"])
     order = np.argsort(values)
     return values[order], n[order]
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, n, tokens, parity) of every row: a digest of the shingle set, its size, its rarest shingles in one order for all texts,
+    """(node, doc_id, fp, n, tokens, parity) of every row: a digest of the shingle set, its size, its rarest shingles in one order for all texts,
     as many as two sets alike to 0.8 need to have one of them in common, and of each of ``PARITY`` buckets whether it has an odd number of
     shingles. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
     listed = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
@@ -318,9 +326,10 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     # Sorted by hash already: a stable sort by how common they are gives the one order.
                     tokens.append(own[:most] if not rank[a:b].any() else own[np.argsort(rank[a:b], kind="stable")[:most]])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary())], names=["doc_id", "text_hash", "fp", "n", "tokens", "parity"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary())], names=["node", "doc_id", "fp", "n", "tokens", "parity"])
 
-    return _named(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(compute, "doc_id long, text_hash long, fp binary, n long, tokens array<long>, parity binary")
+    rows = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(compute, "node long, doc_id long, fp binary, n long, tokens array<long>, parity binary")
 
 
 def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
@@ -420,7 +429,7 @@ def _retained(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that share 0.8 or more of all their different shingles; ``texts`` (doc_id, text) lie in buckets by id, so only pairs are shuffled."""
+    """The pairs that share 0.8 or more of all their different shingles; ``texts`` (node, text) lie in buckets by node, so only pairs are shuffled."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,8 +438,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(x_ends[:-1], x_ends[1:], y_ends[:-1], y_ends[1:], strict=True)])
                 yield part.select(["a", "b"]).filter(pa.array(9 * shared >= 4 * (np.diff(x_ends) + np.diff(y_ends))))
 
-    with_first = texts.join(pairs.hint("shuffle_hash"), texts["doc_id"] == pairs["a"]).select("a", "b", F.col("text").alias("x"))
-    with_both = texts.join(with_first.hint("shuffle_hash"), texts["doc_id"] == with_first["b"]).select("a", "b", "x", F.col("text").alias("y"))
+    with_first = texts.join(pairs.hint("shuffle_hash"), texts["node"] == pairs["a"]).select("a", "b", F.col("text").alias("x"))
+    with_both = texts.join(with_first.hint("shuffle_hash"), texts["node"] == with_first["b"]).select("a", "b", "x", F.col("text").alias("y"))
     return with_both.mapInArrow(verify, "a long, b long")
 
 
@@ -441,7 +450,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 class _Ties:
-    """What verified links tie: components (node, root), and the pairs verified or refuted so far. ``texts`` (doc_id, text) lie in buckets by id."""
+    """What verified links tie: components (node, root), and the pairs verified or refuted so far. ``texts`` (node, text) lie in buckets by node."""
 
     def __init__(self, texts: DataFrame):
         spark = texts.sparkSession
@@ -468,29 +477,31 @@ class _Ties:
         self.roots = checkpointed(moved.union(merged))
 
 
-def bucketed(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` as a table in the session's warehouse, in buckets by doc_id: what joins on it shuffles no text. Its files go when the session ends."""
+def bucketed(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, in buckets by ``key``: what joins on it shuffles no text. Its files go when the session ends; the
+    catalog, through which alone Spark writes buckets, forgets it at once."""
     spark = rows.sparkSession
     table, parts = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(parts, "doc_id").write.bucketBy(parts, "doc_id").format("parquet").saveAsTable(table)
+    path = f"{shared_folder(spark)}/{table}"
+    rows.repartition(parts, key).write.bucketBy(parts, key).format("parquet").option("path", path).saveAsTable(table)
     found = spark.table(table)
-    location = spark._jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0]).getParent() if found.inputFiles() else None
-    if location is not None:
-        location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
+    spark.sql(f"DROP TABLE {table}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return found
 
 
 def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one.
 
-    ``docs`` (doc_id, text) lie in buckets by id."""
+    ``docs`` (node, text) lie in buckets by node."""
     rows = distinct.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("place"))
     table, most = _compared(rows), 16
     pairs = checkpointed(_retained(table.filter("token IS NULL").select("a", "b"), distinct))
     left = table.filter("token IS NOT NULL").toDF("token", "node", "place")
     # No other text is in any pair, now or later.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(left.select("node")).distinct()
-    ties = _Ties(bucketed(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()
+    ties = _Ties(bucketed(docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "texts", "node"))
     parity = distinct.select("node", "parity")
     while True:
         if not pairs.isEmpty():
@@ -508,20 +519,22 @@ def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of documents alike in 0.8 or more of their five-word shingles the one with the smallest id, with all columns.
+    """Of each group of documents alike in 0.8 or more of their five-word shingles one with the smallest id, with all columns.
 
-    Rows with that id and the same text stay one row. A row without an id stays: nothing names it. Ids are taken to name one text.
+    A document is a text under an id: rows with the same of both stay one row, unlike texts under one id are documents of their own. A row without
+    an id stays: nothing names it.
     """
-    kind = docs.schema["doc_id"].dataType
+    kind, columns = docs.schema["doc_id"].dataType, docs.columns
+    named = f"_node_{uuid.uuid4().hex}"
     # Texts are shuffled once, into buckets: from here on they are read where they lie.
-    held = bucketed(docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")), "held")
-    least = F.min(F.struct("doc_id", "text_hash", "n", "tokens", "parity")).alias("least")
-    distinct = written(prefixes(held).groupBy("fp").agg(least).select(F.col("least.doc_id").alias("node"), "least.text_hash", "least.n", "least.tokens", "least.parity"), "prefixes")
-    gone = similar_roots(distinct, _named(held)).select(F.col("node").alias("gone_id"))
-    kept = distinct.select(F.col("node").alias("kept_id"), F.col("text_hash").alias("kept_text")).join(gone, F.col("kept_id") == F.col("gone_id"), "left_anti")
-    # The text's hash is compared by a difference, so that ids alone are the key and the buckets serve.
-    same = F.xxhash64(held["text"].cast("string")).bitwiseXOR(kept["kept_text"]) == 0
-    one = held.join(kept.hint("shuffle_hash"), (held["doc_id"] == kept["kept_id"]) & same, "left_semi")
-    named = f"_text_{uuid.uuid4().hex}"
-    one = one.withColumn(named, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", named]).drop(named)
-    return one.withColumn("doc_id", F.col("doc_id").cast(kind)).unionByName(docs.filter(F.col("doc_id").isNull()))
+    held = bucketed(docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(named, _node()), "held", named)
+    texts = held.select(F.col(named).alias("node"), F.col("text").cast("string").alias("text"))
+    least = F.min(F.struct("doc_id", "node", "n", "tokens", "parity")).alias("least")
+    distinct = written(prefixes(held).groupBy("fp").agg(least).select("least.node", "least.doc_id", "least.n", "least.tokens", "least.parity"), "prefixes")
+    roots = checkpointed(similar_roots(distinct, texts))
+    tied = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(distinct.select("node", "doc_id"), "node")
+    first = tied.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    gone = tied.select("node").join(first, "node", "left_anti")
+    kept = distinct.select(F.col("node").alias("_kept")).join(gone.withColumnRenamed("node", "_gone"), F.col("_kept") == F.col("_gone"), "left_anti")
+    one = held.join(kept.hint("shuffle_hash"), held[named] == kept["_kept"], "left_semi").dropDuplicates([named])
+    return one.select(*columns).withColumn("doc_id", F.col("doc_id").cast(kind)).unionByName(docs.filter(F.col("doc_id").isNull()))
