@@ -274,12 +274,12 @@ def score_documents(docs: DataFrame, hold_out: int = 7, held: int = 2, order: in
     """One row for each document: token counts, the unigram base score and the model's score, trained on crc32(id) mod hold_out <> held."""
     blocks = _blocks(docs, hold_out, held, block_chars)
     known = blocks.agg(F.count("*").alias("blocks"), F.sum("chars").alias("chars"), F.sum("texts").alias("texts")).first()
-    ranges, texts = max(1, known["blocks"]), known["texts"] or 0
+    # About as many ranges as texts have blocks' worth of characters: a range adds up about as many n-grams as a block has.
+    range_bits, texts = max(0, -(-(known["chars"] or 0) // block_chars) - 1).bit_length(), known["texts"] or 0
     # A word and its blank are two characters at least.
     bits = min(64, max(LEAST_BITS, 20 + max(1, (known["chars"] or 0) // 4).bit_length()))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=np.uint64)
         for batch in batches:
             for name, data in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
                 table = _opened(data.as_buffer())
@@ -287,10 +287,11 @@ def score_documents(docs: DataFrame, hold_out: int = 7, held: int = 2, order: in
                 train = np.repeat(np.asarray(table["train"]).astype(bool), block.counts)
                 for n in range(1, order + 1):
                     grams, counts = block.grams[n], block.learnt(n, train).astype(np.int64)
-                    cuts = np.concatenate(([0], np.searchsorted(grams, edges), [len(grams)]))
-                    sent = np.flatnonzero(np.diff(cuts))
-                    parts = [slice(cuts[r], cuts[r + 1]) for r in sent.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(parts), pa.int32()), pa.array(sent, pa.int64()), pa.array([name] * len(parts), pa.int64()), pa.array(np.diff(cuts)[sent], pa.int64()), pa.array([squeezed(grams[p]) for p in parts], pa.binary()), pa.array([squeezed(counts[p]) for p in parts], pa.binary())], schema=ASKED)
+                    # The hash's first bits are the range; n-grams are sorted by hash, so a range's are neighbours.
+                    sent = (grams >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(grams), dtype=np.int64)
+                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(sent)) + 1, [len(grams)])) if len(grams) else np.zeros(1, dtype=np.int64)
+                    parts = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(parts), pa.int32()), pa.array(sent[cuts[:-1]], pa.int64()), pa.array([name] * len(parts), pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array([squeezed(grams[p]) for p in parts], pa.binary()), pa.array([squeezed(counts[p]) for p in parts], pa.binary())], schema=ASKED)
 
     asked = blocks.select("block", "docs").mapInArrow(ask, "n int, range long, block long, size long, grams binary, counts binary")
     answered = written(asked.groupBy("n", "range").applyInArrow(_total, "block long, n int, range long, size long, totals binary, vocabulary long, tokens long"), "totals")
