@@ -35,6 +35,8 @@ DIMENSIONS = 16
 ROWS_PER_LANGUAGE = 300
 SAMPLE_ROWS = 24_000
 LEAST_ROWS = 8
+#: N-grams of all sampled rows together, about (256 MB at the driver): where a row has more than its share, words of it are drawn, spread over the whole text.
+SAMPLE_GRAMS = 1 << 25
 MOST_BROADCAST = 100_000
 EPOCHS = 8
 #: Share of right predictions that rejection may cost on the calibration rows.
@@ -71,7 +73,8 @@ def gram_buckets(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each sampled row the gram counts of the whole text, and of one window of up to 8 words, so that short texts are learnt too."""
+    """Of each sampled row the gram counts of the whole text, or of words drawn from it up to ``most`` grams, and of one window of up to 8 words, so that short
+    texts are learnt too."""
     for batch in batches:
         for part in slices(batch):
             texts = pc.utf8_lower(filled(part.column("text")))
@@ -79,13 +82,20 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(words.distinct):
                 continue
             every = list(gram_buckets(words.distinct))
+            weights = sum(np.diff(bounds) for _, bounds in every)
             out = {"lang": [], "place": [], "buckets": [], "counts": []}
             for i, (row, lang) in enumerate(zip(part.column("place").to_pylist(), part.column("lang").to_pylist(), strict=True)):
+                most = part.column("most")[i].as_py()
                 own = words.codes[words.offsets[i] : words.offsets[i + 1]]
                 if not len(own):
                     continue
                 start = row % max(1, len(own) - 7)
                 for codes in (own, own[start : start + 8]):
+                    if weights[codes].sum() > most:
+                        codes = np.random.default_rng(row).permutation(codes)
+                        codes = codes[np.cumsum(weights[codes]) <= most]
+                        if not len(codes):
+                            continue
                     used, times = np.unique(codes, return_counts=True)
                     total = np.zeros(BUCKETS)
                     for grams, bounds in every:
@@ -110,7 +120,7 @@ def labelled_sample(docs: DataFrame, rows_per_language: int) -> DataFrame:
     below = counts.select("lang", (F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("n")) * (1 << 30)).cast("long").alias("below"))
     # Few rows, so no text is shuffled for them.
     below = F.broadcast(below) if languages <= MOST_BROADCAST else below
-    return labelled.select("lang", "text", place.alias("place")).join(below, "lang").filter("place < below").select("lang", "text", "place")
+    return labelled.select("lang", "text", place.alias("place")).join(below, "lang").filter("place < below").select("lang", "text", "place", F.lit(SAMPLE_GRAMS // (2 * wanted * max(1, languages))).alias("most"))
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = EPOCHS, seed: int = 11) -> LanguageModel | None:
@@ -123,7 +133,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: i
     rows = rows.take(order)
     names = rows["lang"].to_pylist()
     languages = sorted(set(names))
-    target = np.array([languages.index(x) for x in names])
+    codes = {x: i for i, x in enumerate(languages)}
+    target = np.array([codes[x] for x in names])
     features = []
     for buckets, counts in zip(rows["buckets"].combine_chunks(), rows["counts"].combine_chunks(), strict=True):
         b, c = buckets.values.to_numpy(), counts.values.to_numpy()
