@@ -131,11 +131,51 @@ def test_a_posting_of_a_hundred_thousand(spark):
     assert len(groups) < 60_000
 
 
-def test_pairs_below_the_minimum_are_not_retained():
+def test_pairs_are_retained_by_tally_and_then_verified(monkeypatch):
     a = np.array([0x0101010101010101], dtype=np.uint64)
     far = a ^ np.uint64(0x0000000000010101)  # three bytes differ by a bit each
     near = a ^ np.uint64(0x0000000000000101)
-    assert not near_duplicates.tallied(a, far)[0] and near_duplicates.tallied(a, near)[0]
+    wide = a ^ np.uint64(0x0000000000000303)  # two bytes, four bits
+    assert not near_duplicates.tallied(a, far)[0] and near_duplicates.tallied(a, near)[0] and near_duplicates.tallied(a, wide)[0]
+    assert not near_duplicates.verified(a, wide)[0] and near_duplicates.verified(a, near)[0]
+    asked = []
+    check = near_duplicates.verified
+    monkeypatch.setattr(near_duplicates, "verified", lambda x, y: asked.extend(zip(x.tolist(), y.tolist(), strict=True)) or check(x, y))
+    near_duplicates._posting_links(np.concatenate((a, far, near, wide)))
+    pairs = {frozenset(p) for p in asked if p[0] != p[1]}
+    assert frozenset((int(a[0]), int(far[0]))) not in pairs and frozenset((int(a[0]), int(wide[0]))) in pairs
+
+
+def test_unlike_texts_of_one_id_stay_and_tables_leave_the_catalog(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, near, other = " ".join(words[:80]), " ".join([*words[:79], "new"]), " ".join(words[100:])
+    rows = [(1, a), (5, near), (5, other), (5, other), (7, near + " more"), (3, other + " tail"), (None, a)]
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, node string, least string")
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == [(False, 1, a), (False, 3, other + " tail"), (True, 0, a)]
+    alone = near_duplicates.keep_one(docs.filter("doc_id <> 3")).collect()
+    assert sorted((r.doc_id, r.text) for r in alone if r.doc_id) == [(1, a), (5, other)]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_what_language_training_sends_is_bounded(spark, monkeypatch):
+    texts = [("en", " ".join(f"word{i * j % 977}" for i in range(4000))) for j in range(1, 40)] + [("fr", "mot " * 30 + "x" * 300_000)] * 3
+    docs = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "SAMPLE_GRAMS", 100_000)
+    sample = language_id.labelled_sample(docs, 10)
+    rows = sample.mapInArrow(language_id._examples, "lang string, place long, buckets array<int>, counts array<float>").collect()
+    assert {r.lang for r in rows} == {"en", "fr"} and sum(sum(r.counts) for r in rows) <= 3 * 100_000
+    assert language_id.train(docs, 10) is not None
+
+
+def test_ranges_are_the_first_bits_of_hashes(spark, small, monkeypatch):
+    """Scores do not depend on how many ranges and blocks there are."""
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d{i % 3} e") for i in range(400)], "doc_id long, text string")
+    few = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
+    many = {r.doc_id: r for r in language_model.score_documents(docs.repartition(3), block_chars=120).collect()}
+    assert few.keys() == many.keys() and all(abs(few[i].score - many[i].score) < 1e-9 and few[i].n_known == many[i].n_known for i in few)
 
 
 def test_many_copies_and_repeated_ids_in_near_dedup(spark):
