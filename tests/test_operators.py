@@ -211,3 +211,40 @@ def test_entry_without_training_data_package():
     from tests.conftest import ROOT
 
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_bank_sizes(spark):
+    found = {r["category"]: r["n_patterns"] for r in gate.bank_sizes(spark).collect()}
+    assert found == {c: sum(p[0] == c for p in PATTERNS) for c in gate.CATEGORIES} and sum(found.values()) == 66
+
+
+def test_interpolation_through_very_many_knots(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    xs = np.sort(rng.random(2000)).tolist()
+    ys = np.sort(rng.random(2000)).tolist()
+    values = [0.0, 1.0, xs[0], xs[-1], *xs[5:50:7], *rng.random(300).tolist()]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select("v", T.interpolate(F.col("v"), xs, ys).alias("y")).collect()
+    assert rows[-1]["y"] is None
+    assert all(abs(r["y"] - np.interp(r["v"], xs, ys)) < 1e-9 for r in rows[:-1])
+    few = spark.createDataFrame([(v / 4,) for v in range(-2, 7)], "v double").select(T.interpolate(F.col("v"), [0.0, 0.5, 0.5, 1.0], [0.0, 0.2, 0.6, 1.0]).alias("y"), T.interpolate(F.col("v"), [0.3], [0.7]).alias("one")).collect()
+    assert [round(r["y"], 9) for r in few] == [0, 0, 0, 0.1, 0.6, 0.8, 1, 1, 1] and {r["one"] for r in few} == {0.7}
+
+
+def test_reasons_of_white_space_are_none(spark):
+    blanks = ["\n" * 12, "\t \r\n" * 20, "\u3000\u00a0\ufeff\u2003" * 12, " " * 60, "", None]
+    log = spark.createDataFrame([(i, "c", "k", a, r, i) for i, r in enumerate([*blanks, "\n\u3000 a reason of some length that says a lot indeed\t\r\n "]) for a in ("viewed_transcript", "unsealed_pii", "overrode_tier", "broke_glass", "reviewed_break_glass")], "seq long, case_id string, counsellor_id string, action string, reason string, at long")
+    kept = casework.valid_access(log).collect()
+    assert {r["reason"] for r in kept} == {"a reason of some length that says a lot indeed"} and len(kept) == 5
+    asked = log.withColumn("level", F.lit("identity")).withColumn("escalated", F.lit(True))
+    assert {r["reason"] for r in casework.disclosure(asked).filter("allowed").collect()} == {log.collect()[-1]["reason"]}
+    over = log.filter("action = 'overrode_tier'").withColumn("requested_tier", F.lit("T1")).withColumn("gate_floor", F.lit("T2")).withColumn("closed_at_tier", F.lit("T1"))
+    read = log.filter("action = 'viewed_transcript'")
+    assert [r["refusal"] for r in casework.decide_overrides(over, read).orderBy("seq").collect()] == ["reason too short"] * 6 + [None]
+    glass = casework.decide_break_glass(over, read).orderBy("seq").collect()
+    assert [r["refusal"] for r in glass] == ["reason too short"] * 6 + [None]
+    reviews = log.select(F.lit(1).alias("record_id"), F.concat(F.lit("r"), F.col("seq")).alias("reviewer_id"), F.col("reason").alias("note"), "at", F.lit(True).alias("is_lead"))
+    record = spark.createDataFrame([(1, "k", None, None)], "record_id int, counsellor_id string, reviewed_by string, reviewed_at long")
+    assert [r["reviewed_by"] for r in casework.review_break_glass(record, reviews).collect()] == ["r6"]
+    assert spark.createDataFrame([("\ufeff A@b.C\n",)], "e string").select(T.email_key(F.col("e")).alias("k")).first()["k"] == "a@b.c"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def clean_text(text: Column, limit: int = 1000) -> Column:
 
 def norm_text(text: Column) -> Column:
     """Lower case, blanks collapsed, then everything but ASCII letters, digits and blanks dropped."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), r"[^a-z0-9 ]", "")
+    return F.regexp_replace(F.regexp_replace(strip(F.lower(text)), r"\s+", " "), r"[^a-z0-9 ]", "")
 
 
 def norm_key(text: Column) -> Column:
@@ -76,7 +78,7 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
 
 def entity_name(raw: Column) -> Column:
     """Lower case, one leading title dropped, marks dropped, blanks collapsed."""
-    untitled = F.regexp_replace(F.trim(F.lower(raw)), r"^(mr|mrs|miss|ms|sir|dr)\.?\s+", "")
+    untitled = F.regexp_replace(strip(F.lower(raw)), r"^(mr|mrs|miss|ms|sir|dr)\.?\s+", "")
     return F.trim(F.regexp_replace(F.regexp_replace(untitled, r"[^\w\s]", ""), r"\s+", " "))
 
 
@@ -96,12 +98,21 @@ def pseudonym(kind: str, raw: Column, key: bytes) -> Column:
 
 
 def email_key(email: Column) -> Column:
-    return F.trim(F.lower(email))
+    return F.lower(trimmed(email))
+
+
+#: White space of any script. What people type is trimmed of all of it, and of the byte order mark; what a script has cleaned also of separators.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """What a person typed, without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(SPACES + "\ufeff"))
 
 
 def strip(text: Column) -> Column:
-    """Without blanks, tabs and line breaks at both ends."""
-    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    """Without white space, separators and line breaks at both ends."""
+    return F.btrim(text, F.lit(SPACES + "\x1c\x1d\x1e\x1f\x85"))
 
 
 def widen_quote(span: Column, turn: Column, least: int = 15) -> Column:
@@ -126,10 +137,14 @@ def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
 
 
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise-linear through knots in ascending order, flat beyond them."""
-    value = F.lit(float(ys[-1]))
-    for i in range(len(xs) - 1, 0, -1):
-        width = float(xs[i] - xs[i - 1])
-        inside = F.lit(float(ys[i - 1])) + (x - xs[i - 1]) * float((ys[i] - ys[i - 1]) / width) if width else F.lit(float(ys[i]))
-        value = F.when(x < float(xs[i]), inside).otherwise(value)
-    return F.when(x <= float(xs[0]), F.lit(float(ys[0]))).otherwise(value)
+    """Piecewise-linear through knots in ascending order, flat beyond them.
+
+    Knots are one literal, and a value's place among them is found by halving: the plan has one size whatever their number.
+    """
+    knots, n = [float(v) for v in xs], len(xs)
+    slopes = [(ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i]) if i + 1 < n and xs[i + 1] > xs[i] else 0.0 for i in range(n)]
+    row = F.from_json(F.lit(json.dumps([{"x": k, "y": float(y), "s": s} for k, y, s in zip(knots, ys, slopes, strict=True)])), "array<struct<x:double,y:double,s:double>>")
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+    further = lambda at, step: F.when((at + step <= n) & (F.get(row, at + step - 1)["x"] <= x), at + step).otherwise(at)
+    inside = F.transform(F.array(F.greatest(F.aggregate(steps, F.lit(0), further), F.lit(1)) - 1), lambda i: F.get(row, i)["y"] + (x - F.get(row, i)["x"]) * F.get(row, i)["s"])
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(x <= knots[0], F.lit(float(ys[0]))).when(x >= knots[-1], F.lit(float(ys[-1]))).otherwise(F.get(inside, F.lit(0)))

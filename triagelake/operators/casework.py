@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tier_name, tier_rank
+from ..functions.text import tier_name, tier_rank, trimmed
 
 #: Fixed values. Least lengths of the reasons that actions need, days a case is kept, tiers that count as escalated, session hours.
 REASON_CHARS = {"viewed_transcript": 10, "unsealed_pii": 20, "overrode_tier": 10, "broke_glass": 40, "reviewed_break_glass": 10}
@@ -149,9 +149,14 @@ def tier_counts(cards: DataFrame) -> DataFrame:
     return tiers.join(cards.groupBy("tier").agg(F.count("*").alias("n")), "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _chars(column: str) -> Column:
+    """How much a person wrote: white space at both ends does not count, nothing is 0."""
+    return F.length(trimmed(F.coalesce(F.col(column), F.lit(""))))
+
+
 def disclosure(requests: DataFrame) -> DataFrame:
     """Whether each request (level, counsellor_id, reason, escalated) is allowed, why not, and the action to log."""
-    size = F.length(F.trim(F.coalesce("reason", F.lit(""))))
+    size = _chars("reason")
     need = F.when(F.col("level") == "identity", REASON_CHARS["unsealed_pii"]).when(F.col("level") == "transcript", REASON_CHARS["viewed_transcript"]).otherwise(0)
     refusal = F.when(F.col("counsellor_id").isNull(), "no counsellor").when(size < need, "reason too short").when((F.col("level") == "identity") & ~F.col("escalated"), "not escalated")
     action = _lookup({"card": "viewed_card", "transcript": "viewed_transcript", "identity": "unsealed_pii"}, F.col("level"))
@@ -160,7 +165,7 @@ def disclosure(requests: DataFrame) -> DataFrame:
 
 def valid_access(entries: DataFrame) -> DataFrame:
     """Log entries whose action has the reason it needs; the trimmed reason is kept, blank ones are null."""
-    reason = F.nullif(F.trim("reason"), F.lit(""))
+    reason = F.nullif(trimmed(F.col("reason")), F.lit(""))
     need = F.coalesce(F.create_map(*[F.lit(x) for kv in REASON_CHARS.items() for x in kv])[F.col("action")], F.lit(0))
     return entries.withColumn("reason", reason).filter((need == 0) | (F.length("reason") >= need))
 
@@ -191,7 +196,7 @@ def decide_overrides(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Requests (requested_tier, gate_floor, reason) with the effective tier, or the refusal."""
     read = log.filter(F.col("action") == "viewed_transcript").select("case_id", "counsellor_id").distinct().withColumn("_read", F.lit(True))
     out = requests.join(read, ["case_id", "counsellor_id"], "left")
-    refusal = F.when(F.length(F.trim("reason")) < REASON_CHARS["overrode_tier"], "reason too short").when(F.col("_read").isNull(), "transcript not read")
+    refusal = F.when(_chars("reason") < REASON_CHARS["overrode_tier"], "reason too short").when(F.col("_read").isNull(), "transcript not read")
     effective = tier_name(F.greatest(tier_rank(F.col("requested_tier")), tier_rank(F.col("gate_floor"))))
     out = out.withColumn("refusal", refusal).withColumn("effective_tier", F.when(F.col("refusal").isNull(), effective)).withColumn("floored", F.coalesce(F.col("effective_tier") != F.col("requested_tier"), F.lit(False)))
     # The notice's sentences.
@@ -203,13 +208,13 @@ def decide_break_glass(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Requests (gate_floor, closed_at_tier, reason) that go below a floor: allowed or refused, in the order of the rules."""
     read = log.filter(F.col("action") == "viewed_transcript").select("case_id", "counsellor_id").distinct().withColumn("_read", F.lit(True))
     out = requests.join(read, ["case_id", "counsellor_id"], "left")
-    refusal = F.when(F.col("gate_floor").isNull(), "no floor").when(tier_rank(F.col("closed_at_tier")) >= tier_rank(F.col("gate_floor")), "not below floor").when(F.length(F.trim("reason")) < REASON_CHARS["broke_glass"], "reason too short").when(F.col("_read").isNull(), "transcript not read")
+    refusal = F.when(F.col("gate_floor").isNull(), "no floor").when(tier_rank(F.col("closed_at_tier")) >= tier_rank(F.col("gate_floor")), "not below floor").when(_chars("reason") < REASON_CHARS["broke_glass"], "reason too short").when(F.col("_read").isNull(), "transcript not read")
     return out.withColumn("refusal", refusal).withColumn("allowed", F.col("refusal").isNull()).drop("_read")
 
 
 def review_break_glass(records: DataFrame, reviews: DataFrame) -> DataFrame:
     """Records with their first valid review: by a lead who is not the one that broke it, with a note; a reviewed record stays as it is."""
-    ok = F.col("is_lead") & (F.length(F.trim("note")) >= REASON_CHARS["reviewed_break_glass"])
+    ok = F.col("is_lead") & (_chars("note") >= REASON_CHARS["reviewed_break_glass"])
     joined = records.join(reviews.filter(ok).select("record_id", "reviewer_id", "note", F.col("at").alias("review_at")), "record_id", "left").filter(F.col("reviewer_id").isNull() | (F.col("reviewer_id") != F.col("counsellor_id")) | F.col("reviewed_at").isNotNull())
     first = joined.groupBy("record_id").agg(F.min_by(F.struct("reviewer_id", "note", "review_at"), F.struct("review_at", "reviewer_id")).alias("r"))
     out = records.join(first, "record_id", "left")

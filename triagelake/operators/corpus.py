@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import hash_ranked
-from ..functions.text import clean_text, norm_key
+from ..functions.text import clean_text, norm_key, strip
 
 CAP, LEAST_CHARS, SCARCE = 12_000, 3, 1000
 SPLITS = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -27,7 +27,7 @@ BULLYING = {"not_cyberbullying": "none", "religion": "identity_attack", "ethnici
 
 def class_label(value: Column, labels: dict[str, str]) -> Column:
     """The label of a class name, whatever its case and the blanks around it."""
-    return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.lower(F.trim(value))]
+    return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.lower(strip(value))]
 
 
 def cleaned(rows: DataFrame, text: str = "text") -> DataFrame:

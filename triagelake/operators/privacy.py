@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 # Fixed values. (type, flags, group, pattern), in order of precedence
 DETECTORS = (
     ("email", "", 0, r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"),
@@ -51,7 +53,7 @@ def raw_spans(rows: DataFrame) -> DataFrame:
                 found.append([{"rule": i, "a": m.start(group), "b": m.end(group)} for i, rx, group in rules for m in rx.finditer(text or "")])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "_found"])
 
-    names = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda v: F.length(v) >= 2))
+    names = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), trimmed), lambda v: F.length(v) >= 2))
     known = rows.withColumn("_people", names(F.col("people"))).withColumn("_places", names(F.col("places")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema)
     searched = known.mapInArrow(search, f"{schema}, _found array<struct<rule:int,a:int,b:int>>")
@@ -133,5 +135,5 @@ def unseal(sealed: Column, key: Column) -> Column:
 
 def unseal_requests(sealed: DataFrame, requests: DataFrame, key: Column) -> DataFrame:
     """Values for requests (case_id, counsellor_id, reason) with a counsellor and a reason of 20 characters, with the record to log."""
-    ok = requests.filter(F.col("counsellor_id").isNotNull() & (F.length(F.trim("reason")) >= 20))
+    ok = requests.filter(F.col("counsellor_id").isNotNull() & (F.length(trimmed(F.col("reason"))) >= 20))
     return sealed.join(ok, "case_id").select("case_id", "counsellor_id", "reason", unseal(F.col("ciphertext"), key).alias("value"), F.lit("unsealed_pii").alias("action"))

@@ -40,6 +40,8 @@ CONV = f"{ST}, {CASES}, {HITS}, {verdict('case_id', 'cases')}"
 PLACED = rf"""cut AS (SELECT case_id, turn, text, unnest(ws) AS w, generate_subscripts(ws, 1) AS idx FROM (SELECT *, string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]') AS ws FROM st)),
  pl AS (SELECT *, CAST(sum(len(w) + 1) OVER (PARTITION BY case_id, turn ORDER BY idx) - len(w) - 1 AS BIGINT) AS a FROM cut),
  oc AS (SELECT pl.case_id, turn, text, a, a + len(w) AS b, substr(text, CAST(a + 1 AS INT), len(w)) AS said, v.* FROM pl JOIN (VALUES {VOCAB}) v(category, severity, weight, name, word, floor, i) ON w = word JOIN verdicts ON verdicts.case_id = pl.case_id AND verdicts.categories <> '')"""
+SPACES = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279))
+TRIMMED = f"trim(reason, {SPACES})"
 STRIPPED = "trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
 
@@ -75,7 +77,7 @@ TREND_NAMES = ["trend_slope", "second_half_delta", "last_risk", "peak_position",
 RECORDS = f"{CASES}, rec AS (SELECT case_id, conv_id, started_at, CASE WHEN conv_id % 7 = 6 THEN NULL ELSE 'T' || (conv_id % 5) END AS tier, CASE WHEN conv_id % 11 = 0 THEN started_at + INTERVAL 2 DAYS END AS retention_expires_at, CASE WHEN conv_id % 13 = 0 THEN 'under review' END AS hold, CASE WHEN conv_id % 17 = 0 THEN started_at END AS content_deleted_at, CASE WHEN conv_id % 17 <> 0 THEN 'card of ' || case_id END AS card FROM cases)"
 DECIDED = f"""{RECORDS}, dec AS (SELECT case_id, conv_id, CASE WHEN content_deleted_at IS NOT NULL THEN 'already_deleted' WHEN coalesce(tier IN ('T3', 'T4'), false) THEN 'escalated' WHEN hold IS NOT NULL THEN 'explicit_hold' WHEN conv_id % 9 = 4 THEN 'unreviewed_break_glass' END AS exemption,
  coalesce(retention_expires_at, CASE WHEN coalesce(tier IN ('T3', 'T4'), false) THEN NULL ELSE started_at + INTERVAL 30 DAYS END) AS due_at FROM rec), dd AS (SELECT *, exemption IS NULL AND due_at <= make_timestamp(1774310400000000) AS del FROM dec)"""
-LOG = "lg AS (SELECT event_id AS seq, 'case-' || (user_id % 50) AS case_id, 'c' || (event_id % 4) AS counsellor_id, ['viewed_card', 'viewed_transcript', 'unsealed_pii', 'overrode_tier'][CAST(event_id % 4 + 1 AS INT)] AS action, repeat('x', CAST(event_id % 30 AS INT)) AS reason, ts AS \"at\" FROM events)"
+LOG = "lg AS (SELECT event_id AS seq, 'case-' || (user_id % 50) AS case_id, 'c' || (event_id % 4) AS counsellor_id, ['viewed_card', 'viewed_transcript', 'unsealed_pii', 'overrode_tier'][CAST(event_id % 4 + 1 AS INT)] AS action, CASE WHEN event_id % 11 = 5 THEN repeat(chr(9) || chr(13) || chr(10) || chr(12288), 8) WHEN event_id % 3 = 1 THEN chr(10) || chr(9) || ' ' || chr(160) || repeat('x', CAST(event_id % 30 AS INT)) || chr(13) || chr(10) || chr(8195) || chr(65279) ELSE repeat('x', CAST(event_id % 30 AS INT)) END AS reason, ts AS \"at\" FROM events)"
 REQUESTS = f"{LOG}, rq AS (SELECT seq, case_id, 'c' || ((seq // 4) % 5) AS counsellor_id, reason, 'T' || (seq % 5) AS requested_tier, CASE WHEN seq % 3 > 0 THEN 'T' || ((seq // 8) % 5) END AS gate_floor FROM lg WHERE action = 'overrode_tier'), rd AS (SELECT DISTINCT case_id, counsellor_id, true AS ok FROM lg WHERE action = 'viewed_transcript')"
 
 
@@ -133,20 +135,19 @@ ORACLE_SQL = {
     "char_trigrams": f"WITH {ST}, {ACCOUNTS}, {GRAMS} SELECT case_id, gram, count(*) AS n FROM gr GROUP BY 1, 2",
     "pseudonyms": f"WITH {ST}, {ACCOUNTS}, {TOKENS} {_pseudonyms()}",
     "label_mapping": f"WITH {LABELLED} SELECT harm, count(*) AS n FROM lab GROUP BY 1",
-    "gate_bank_sizes": "SELECT category, CAST(n AS BIGINT) AS n_patterns FROM (VALUES " + ", ".join(f"('{c}', {sum(p[0] == c for p in PATTERNS)})" for c in CATEGORIES) + ") v(category, n)",
     "gate_hit_counts": f"WITH {ST}, {HITS} SELECT case_id, turn, name, CAST(n AS BIGINT) AS n FROM fired",
     "gate_turn_verdict": f"WITH {ST}, {HITS}, {verdict('case_id, turn', 'st')} SELECT case_id, turn, {VERDICT_COLUMNS} FROM verdicts",
     "gate_conversation_verdict": f"WITH {CONV} SELECT case_id, categories, {VERDICT_COLUMNS} FROM verdicts",
     "gate_suppressed_hits": r"""WITH st AS (SELECT 'case-' || conv_id AS case_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS turn, text FROM conversations WHERE role = 'user'), ws AS (SELECT case_id, turn, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', ' # ', 'g'), ' ') AS l FROM st),
  x AS (SELECT case_id, turn, unnest(l) AS w, unnest(list_concat([''], l)) AS before, unnest(list_concat(l[2:], [''])) AS after FROM ws), n AS (SELECT case_id, turn, CASE WHEN w = 'of' AND after = 'the' THEN 'w_of_the' WHEN w = 'the' AND before <> 'of' THEN 'w_the' WHEN w = 'in' AND after <> 'the' THEN 'w_in' WHEN w = 'a' THEN 'w_a' END AS name FROM x WHERE w IS NOT NULL) SELECT case_id, turn, name, count(*) AS n FROM n WHERE name IS NOT NULL GROUP BY 1, 2, 3""",
-    "gate_probes": "SELECT 'probe-' || i AS case_id, floor, CASE WHEN floor IS DISTINCT FROM 'T4' THEN 'T3' END AS ceiling, coalesce(floor = 'T4', false) AS requires_crisis FROM (VALUES (0, NULL), (1, 'T4'), (2, 'T4'), (3, 'T4'), (4, 'T4'), (5, 'T4'), (6, NULL), (7, 'T4'), (8, NULL), (9, 'T3'), (10, NULL), (11, 'T3'), (12, NULL), (13, 'T4'), (14, 'T4'), (15, NULL), (16, NULL), (17, 'T3'), (18, NULL), (19, NULL)) v(i, floor)",
+    "gate_probes": f"WITH {CASES} SELECT case_id, floor, CASE WHEN floor IS DISTINCT FROM 'T4' THEN 'T3' END AS ceiling, coalesce(floor = 'T4', false) AS requires_crisis FROM (VALUES (0, NULL), (1, 'T4'), (2, 'T4'), (3, 'T4'), (4, 'T4'), (5, 'T4'), (6, NULL), (7, 'T4'), (8, NULL), (9, 'T3'), (10, NULL), (11, 'T3'), (12, NULL), (13, 'T4'), (14, 'T4'), (15, NULL), (16, NULL), (17, 'T3'), (18, NULL), (19, NULL)) v(i, floor) JOIN cases ON conv_id % 20 = i",
     "gate_top_hits": f"WITH {CONV}, {PLACED}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY weight DESC, turn, a, b, name) AS rank FROM oc) SELECT case_id, rank, turn, name, a, b, said FROM r WHERE rank <= 3",
     "verdict_audit": f"WITH {CONV} SELECT case_id, 'T' || fr AS floor, 'T9' AS expected_floor, categories, categories AS expected_categories FROM verdicts WHERE substr(sha1(case_id), 1, 1) = '0'",
-    "apply_verdict_grid": """WITH g AS (SELECT CAST(p.range AS BIGINT) AS predicted, CASE WHEN f.range < 5 THEN CAST(f.range AS BIGINT) END AS floor, CASE WHEN c.range = 1 THEN CAST(3 AS BIGINT) END AS ceiling, o.range = 1 AS override FROM range(5) p, range(6) f, range(2) c, range(2) o),
+    "apply_verdict_grid": """WITH g AS (SELECT event_id % 5 AS predicted, CASE WHEN event_id // 5 % 6 < 5 THEN event_id // 5 % 6 END AS floor, CASE WHEN event_id // 60 % 2 = 1 THEN CAST(3 AS BIGINT) END AS ceiling, event_id // 30 % 2 = 1 AS override FROM events),
  t AS (SELECT *, CASE WHEN ceiling IS NOT NULL AND predicted > ceiling AND NOT override THEN ceiling ELSE predicted END AS capped FROM g)
  SELECT predicted, floor, ceiling, override, CAST(CASE WHEN floor IS NOT NULL AND floor > capped THEN floor ELSE capped END AS BIGINT) AS tier,
  CASE WHEN floor IS NOT NULL AND floor > capped THEN 'floored to T' || floor || ' by the safety gate: names' WHEN ceiling IS NOT NULL AND predicted > ceiling AND override THEN 'model proposed T' || predicted || ' above the gate ceiling T' || ceiling || '; allowed on strong calibrated self-harm evidence'
- WHEN ceiling IS NOT NULL AND predicted > ceiling THEN 'capped at T' || ceiling || ': no self-harm, abuse disclosure or imminent danger evidence in the transcript' END AS reason FROM t""",
+ WHEN ceiling IS NOT NULL AND predicted > ceiling THEN 'capped at T' || ceiling || ': no self-harm, abuse disclosure or imminent danger evidence in the transcript' END AS reason, count(*) AS n FROM t GROUP BY ALL""",
     "report_markers": f"WITH {ST}, {ACCOUNTS}, {_markers()} SELECT case_id, {MARKED} FROM mk",
     "features_turn": f"WITH {ST}, {PR}, {TURN_FEATURES} SELECT case_id, {round_all(TURN_NAMES)} FROM tf",
     "features_trend": f"WITH {ST}, {PR}, {TREND} SELECT case_id, {round_all(TREND_NAMES)} FROM tr",
@@ -155,14 +156,14 @@ ORACLE_SQL = {
     "topk_quotes": f"WITH {DECIDE}, {PLACED}, {QUEUED}, {QUOTES} SELECT case_id, rank, turn, CAST(band AS BIGINT) AS band, quote, round(score, 6) AS score, reason FROM qs WHERE rank <= 3",
     "quotes_without_hits": f"WITH {ST}, {PR}, c AS (SELECT case_id, turn, {STRIPPED} AS quote, 1 - (1 + probs[1]) / 2 AS risk FROM pr WHERE len({STRIPPED}) >= 15), b AS (SELECT case_id, turn, quote, risk, row_number() OVER (PARTITION BY case_id ORDER BY risk DESC, turn) AS r FROM c) SELECT case_id, CAST(1 AS BIGINT) AS rank, turn, CAST(2 AS BIGINT) AS band, quote, round(risk, 6) AS score, 'no explicit signal; highest-scoring turn' AS reason FROM b WHERE r = 1",
     "transcript_join": f"WITH {ST}, {CASES} SELECT case_id, turn, started_at, CAST(len(text) AS BIGINT) AS n_chars FROM st JOIN cases USING (case_id)",
-    "access_valid": f"WITH {LOG} SELECT action, count(*) AS n, min(seq) AS first_seq FROM lg WHERE len(reason) >= CASE action WHEN 'viewed_transcript' THEN 10 WHEN 'unsealed_pii' THEN 20 WHEN 'overrode_tier' THEN 10 ELSE 0 END GROUP BY 1",
+    "access_valid": f"WITH {LOG} SELECT action, count(*) AS n, min(seq) AS first_seq FROM lg WHERE len({TRIMMED}) >= CASE action WHEN 'viewed_transcript' THEN 10 WHEN 'unsealed_pii' THEN 20 WHEN 'overrode_tier' THEN 10 ELSE 0 END GROUP BY 1",
     "access_log": f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY \"at\" DESC, seq DESC) AS place FROM lg) SELECT case_id, seq, action, \"at\", place FROM r WHERE place <= 100",
     "latest_override": f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY \"at\" DESC, seq DESC) AS place FROM lg WHERE action = 'overrode_tier') SELECT case_id, \"at\", seq, counsellor_id FROM r WHERE place = 1",
-    "override_decisions": f"WITH {REQUESTS}, o AS (SELECT seq, requested_tier, gate_floor, greatest(requested_tier, coalesce(gate_floor, 'T0')) AS eff, CASE WHEN len(reason) < 10 THEN 'reason too short' WHEN rd.ok IS NULL THEN 'transcript not read' END AS refusal FROM rq LEFT JOIN rd USING (case_id, counsellor_id)) SELECT seq, refusal, CASE WHEN refusal IS NULL THEN eff END AS effective_tier, refusal IS NULL AND eff <> requested_tier AS floored, CASE WHEN refusal IS NULL AND eff <> requested_tier THEN 'Recorded as ' || eff || ', not ' || requested_tier || ': the safety gate floors this conversation at ' || gate_floor || '. Your reason has been logged against it. To close it below the floor you have to break glass, which a lead will review.' END AS floored_notice FROM o",
-    "break_glass_decisions": f"WITH {REQUESTS}, o AS (SELECT seq, CASE WHEN gate_floor IS NULL THEN 'no floor' WHEN requested_tier >= gate_floor THEN 'not below floor' WHEN 2 * len(reason) < 40 THEN 'reason too short' WHEN rd.ok IS NULL THEN 'transcript not read' END AS refusal FROM rq LEFT JOIN rd USING (case_id, counsellor_id)) SELECT seq, refusal, refusal IS NULL AS allowed FROM o",
-    "break_glass_review": f"WITH {LOG}, br AS (SELECT seq AS record_id, counsellor_id, CASE WHEN seq % 80 = 3 THEN \"at\" END AS reviewed_at FROM lg WHERE seq % 40 = 3), rv AS (SELECT seq // 40 * 40 + 3 AS record_id, 'c' || (seq // 8 % 4) AS reviewer_id, \"at\" AS t FROM lg WHERE seq % 8 = 1 AND seq % 3 > 0 AND len(reason) >= 10), fr AS (SELECT record_id, arg_min({{'who': reviewer_id, 't': rv.t}}, {{'t': rv.t, 'who': reviewer_id}}) AS f FROM br JOIN rv USING (record_id) WHERE reviewer_id <> counsellor_id GROUP BY 1) SELECT record_id, CASE WHEN reviewed_at IS NULL THEN f.who END AS reviewed_by, coalesce(reviewed_at, f.t) AS reviewed_at FROM br LEFT JOIN fr USING (record_id)",
+    "override_decisions": f"WITH {REQUESTS}, o AS (SELECT seq, requested_tier, gate_floor, greatest(requested_tier, coalesce(gate_floor, 'T0')) AS eff, CASE WHEN len({TRIMMED}) < 10 THEN 'reason too short' WHEN rd.ok IS NULL THEN 'transcript not read' END AS refusal FROM rq LEFT JOIN rd USING (case_id, counsellor_id)) SELECT seq, refusal, CASE WHEN refusal IS NULL THEN eff END AS effective_tier, refusal IS NULL AND eff <> requested_tier AS floored, CASE WHEN refusal IS NULL AND eff <> requested_tier THEN 'Recorded as ' || eff || ', not ' || requested_tier || ': the safety gate floors this conversation at ' || gate_floor || '. Your reason has been logged against it. To close it below the floor you have to break glass, which a lead will review.' END AS floored_notice FROM o",
+    "break_glass_decisions": f"WITH {REQUESTS}, o AS (SELECT seq, CASE WHEN gate_floor IS NULL THEN 'no floor' WHEN requested_tier >= gate_floor THEN 'not below floor' WHEN len(trim(reason || reason, {SPACES})) < 40 THEN 'reason too short' WHEN rd.ok IS NULL THEN 'transcript not read' END AS refusal FROM rq LEFT JOIN rd USING (case_id, counsellor_id)) SELECT seq, refusal, refusal IS NULL AS allowed FROM o",
+    "break_glass_review": f"WITH {LOG}, br AS (SELECT seq AS record_id, counsellor_id, CASE WHEN seq % 80 = 3 THEN \"at\" END AS reviewed_at FROM lg WHERE seq % 40 = 3), rv AS (SELECT seq // 40 * 40 + 3 AS record_id, 'c' || (seq // 8 % 4) AS reviewer_id, \"at\" AS t FROM lg WHERE seq % 8 = 1 AND seq % 3 > 0 AND len({TRIMMED}) >= 10), fr AS (SELECT record_id, arg_min({{'who': reviewer_id, 't': rv.t}}, {{'t': rv.t, 'who': reviewer_id}}) AS f FROM br JOIN rv USING (record_id) WHERE reviewer_id <> counsellor_id GROUP BY 1) SELECT record_id, CASE WHEN reviewed_at IS NULL THEN f.who END AS reviewed_by, coalesce(reviewed_at, f.t) AS reviewed_at FROM br LEFT JOIN fr USING (record_id)",
     "session_resolve": "WITH m AS (SELECT max(ts) - INTERVAL 10 DAYS AS now FROM events) SELECT user_id % 9 AS counsellor_id, count(*) AS n, min(sha256(CAST(event_id AS VARCHAR))) AS first_token FROM events, m WHERE event_id % 6 <> 0 AND ts + INTERVAL 12 HOURS > now AND user_id % 9 % 3 > 0 GROUP BY 1",
-    "disclosure_grid": "WITH g AS (SELECT ['card', 'transcript', 'identity'][CAST(l.range + 1 AS INT)] AS level, repeat('r', CAST(r.range * 10 AS INT)) AS reason, e.range = 1 AS escalated, CASE WHEN c.range = 1 THEN 'c1' END AS counsellor_id FROM range(3) l, range(3) r, range(2) e, range(2) c), x AS (SELECT *, CASE WHEN counsellor_id IS NULL THEN 'no counsellor' WHEN len(reason) < CASE level WHEN 'identity' THEN 20 WHEN 'transcript' THEN 10 ELSE 0 END THEN 'reason too short' WHEN level = 'identity' AND NOT escalated THEN 'not escalated' END AS refusal FROM g) SELECT *, refusal IS NULL AS allowed, CASE WHEN refusal IS NULL THEN CASE level WHEN 'card' THEN 'viewed_card' WHEN 'transcript' THEN 'viewed_transcript' ELSE 'unsealed_pii' END END AS action FROM x",
+    "disclosure_grid": f"WITH {LOG}, x AS (SELECT seq, ['card', 'transcript', 'identity'][CAST(seq % 3 + 1 AS INT)] AS level, len({TRIMMED}) AS size, seq // 9 % 2 = 1 AS escalated, CASE WHEN seq % 7 > 0 THEN counsellor_id END AS counsellor_id FROM lg), y AS (SELECT *, CASE WHEN counsellor_id IS NULL THEN 'no counsellor' WHEN size < CASE level WHEN 'identity' THEN 20 WHEN 'transcript' THEN 10 ELSE 0 END THEN 'reason too short' WHEN level = 'identity' AND NOT escalated THEN 'not escalated' END AS refusal FROM x) SELECT seq, level, escalated, counsellor_id, refusal IS NULL AS allowed, refusal, CASE WHEN refusal IS NULL THEN CASE level WHEN 'card' THEN 'viewed_card' WHEN 'transcript' THEN 'viewed_transcript' ELSE 'unsealed_pii' END END AS action FROM y",
     "cap_per_group": f"WITH {LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY source, harm ORDER BY sha1(CAST(row_id AS VARCHAR)), row_id) AS r FROM lab WHERE harm IS NOT NULL) SELECT row_id, source, harm FROM r WHERE r <= 10",
     "stratified_split": f"WITH {LABELLED}, r AS (SELECT row_id, harm, (row_number() OVER (PARTITION BY harm ORDER BY sha1(CAST(row_id AS VARCHAR)), row_id) - 1) / count(*) OVER (PARTITION BY harm) AS share FROM lab WHERE harm IS NOT NULL) SELECT row_id, harm, CASE WHEN share < 0.70 THEN 'train' WHEN share < 0.85 THEN 'val' ELSE 'test' END AS split FROM r",
     "corpus_build": f"WITH {LABELLED}, c AS (SELECT row_id, source, harm, {CLEAN} AS text FROM lab WHERE harm IS NOT NULL), k AS (SELECT *, {NORM} AS key FROM c WHERE len(text) >= 3), u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY source, row_id) = 1), r AS (SELECT harm, (row_number() OVER (PARTITION BY harm ORDER BY sha1(CAST(row_id AS VARCHAR)), row_id) - 1) / count(*) OVER (PARTITION BY harm) AS share FROM u) SELECT harm, CASE WHEN share < 0.70 THEN 'train' WHEN share < 0.85 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM r GROUP BY 1, 2",

@@ -76,11 +76,6 @@ def label_mapping(spark, d):
 
 # ---- gate
 
-@query
-def gate_bank_sizes(spark, d):
-    return gate.bank_sizes(spark)
-
-
 def _hits(spark, d):
     return gate.turn_hits(S.turns(spark, d), S.VOCABULARY, ())
 
@@ -121,8 +116,9 @@ def gate_suppressed_hits(spark, d):
 
 @query
 def gate_probes(spark, d):
-    """The shipped bank on what students may write."""
-    turns = spark.createDataFrame([(f"probe-{i}", 0, t) for i, t in enumerate(S.SAID)], "case_id string, turn long, text string")
+    """The shipped bank on what students may write: each case says one thing of a list."""
+    said = F.element_at(F.array(*map(F.lit, S.SAID)), (F.col("conv_id") % len(S.SAID) + 1).cast("int"))
+    turns = S.cases(spark, d).select("case_id", F.lit(0).cast("long").alias("turn"), said.alias("text"))
     out = gate.verdicts(gate.turn_hits(turns), turns, ["case_id"])
     return out.select("case_id", "floor", "ceiling", "requires_crisis")
 
@@ -134,10 +130,12 @@ def gate_top_hits(spark, d):
 
 @query
 def apply_verdict_grid(spark, d):
-    grid = spark.range(5 * 6 * 2 * 2).select((F.col("id") % 5).cast("int").alias("predicted"), (F.floor(F.col("id") / 5) % 6).cast("int").alias("f"), (F.floor(F.col("id") / 30) % 2 == 1).alias("override"), (F.floor(F.col("id") / 60) % 2 == 1).alias("capped"))
+    """Events as proposals of a tier, with a floor, a ceiling and strong evidence or without: what comes of each, and how often."""
+    e = F.col("event_id")
+    grid = tables.table(spark, d, "events").select((e % 5).cast("int").alias("predicted"), (F.floor(e / 5) % 6).cast("int").alias("f"), (F.floor(e / 30) % 2 == 1).alias("override"), (F.floor(e / 60) % 2 == 1).alias("capped"))
     grid = grid.withColumn("floor", F.when(F.col("f") < 5, F.col("f"))).withColumn("ceiling", F.when(F.col("capped"), F.lit(3)))
     tier, reason = gate.apply_verdict(F.col("predicted"), F.col("floor"), F.col("ceiling"), F.col("override"), F.lit("names"))
-    return longs(grid.select("predicted", "floor", "ceiling", "override", tier.alias("tier"), reason.alias("reason")))
+    return longs(grid.select("predicted", "floor", "ceiling", "override", tier.alias("tier"), reason.alias("reason"))).groupBy("predicted", "floor", "ceiling", "override", "tier", "reason").agg(F.count("*").alias("n"))
 
 
 # ---- markers and features
@@ -242,8 +240,10 @@ def session_resolve(spark, d):
 
 @query
 def disclosure_grid(spark, d):
-    grid = spark.range(3 * 3 * 2 * 2).select(F.element_at(F.array(*map(F.lit, ("card", "transcript", "identity"))), (F.col("id") % 3 + 1).cast("int")).alias("level"), F.repeat(F.lit("r"), (F.floor(F.col("id") / 3) % 3 * 10).cast("int")).alias("reason"), (F.floor(F.col("id") / 9) % 2 == 1).alias("escalated"), F.when(F.floor(F.col("id") / 18) % 2 == 1, "c1").alias("counsellor_id"))
-    return casework.disclosure(grid).select("level", "reason", "escalated", "counsellor_id", "allowed", "refusal", "action")
+    """Requests for what lies behind a card: the log's entries ask for one of three levels, with the reasons given there."""
+    levels = F.element_at(F.array(*map(F.lit, ("card", "transcript", "identity"))), (F.col("seq") % 3 + 1).cast("int"))
+    asked = S.access(spark, d).select("seq", levels.alias("level"), "reason", (F.floor(F.col("seq") / 9) % 2 == 1).alias("escalated"), F.when(F.col("seq") % 7 > 0, F.col("counsellor_id")).alias("counsellor_id"))
+    return casework.disclosure(asked).select("seq", "level", "escalated", "counsellor_id", "allowed", "refusal", "action")
 
 
 # ---- corpus
@@ -465,12 +465,18 @@ def link_similarity(spark, d):
     return rounded(_lexical(spark, d))
 
 
+FEATURES = tuple(features.FEATURES)
+
+
+def _tiered(spark, d):
+    """All features of the cases that have a stand-in tier."""
+    return features.featurise(_verdicts(spark, d), S.turns(spark, d), S.accounts(spark, d)).join(S.records(spark, d).select("case_id", "tier").filter("tier is not null"), "case_id")
+
+
 @query
 def head_fit(spark, d):
     """Fit on stand-in tiers: weights of the features, heaviest first."""
-    names = tuple(features.GROUPS["turn"] + features.GROUPS["trend"])
-    rows = features.featurise(_verdicts(spark, d), S.turns(spark, d), S.accounts(spark, d)).join(S.records(spark, d).select("case_id", "tier").filter("tier is not null"), "case_id")
-    return spark.createDataFrame(head.rank_features(head.fit_head(rows, names)), "feature string, weight double")
+    return spark.createDataFrame(head.rank_features(head.fit_head(_tiered(spark, d), FEATURES)), "feature string, weight double")
 
 
 @query
@@ -483,9 +489,8 @@ def isotonic_fit(spark, d):
 
 @query
 def cross_validation(spark, d):
-    """Out-of-fold tiers and calibrated escalation of all cases with a stand-in tier, from the turn features."""
-    rows = features.turn_features(S.turns(spark, d)).join(S.records(spark, d).filter("tier is not null").select("case_id", "tier"), "case_id")
-    out = head.out_of_fold(rows, tuple(features.GROUPS["turn"]))
+    """Out-of-fold tiers and calibrated escalation of all cases with a stand-in tier, from all features."""
+    out = head.out_of_fold(_tiered(spark, d), FEATURES)
     return rounded(out.select("case_id", "tier", "fold", "model_tier", "raw_escalation", "escalation"))
 
 
@@ -494,7 +499,7 @@ def text_baseline(spark, d):
     """Labelled documents judged by a text model that was fitted on the others of a hash split in two."""
     rows = S.labelled(spark, d).filter("harm is not null")
     half = F.substring(F.sha1(F.col("row_id").cast("string")), 1, 1) < "8"
-    model = head.fit_text_baseline(rows.filter(half), "harm", size=20_000)
+    model = head.fit_text_baseline(rows.filter(half), "harm")
     return model.predict(rows.filter(~half)).groupBy("harm", "predicted").agg(F.count("*").alias("n"))
 
 
@@ -552,7 +557,7 @@ def redacted_turns(spark, d):
 @query
 def stored_turns(spark, d):
     """Redacted turns on their way to the store: one that still held something identifying would fail the query."""
-    rows = redacted_turns(spark, d).filter("n_spans = 0").select(F.struct("case_id", "turn").alias("id"), F.col("redacted").alias("text"), F.array().cast("array<string>").alias("people"), F.array().cast("array<string>").alias("places"))
+    rows = redacted_turns(spark, d).select(F.struct("case_id", "turn").alias("id"), F.col("redacted").alias("text"), F.array().cast("array<string>").alias("people"), F.array().cast("array<string>").alias("places"))
     return privacy.assert_redacted(rows).agg(F.count("*").alias("n"), F.count_if(F.length("text") >= 0).alias("readable"))
 
 

@@ -92,11 +92,17 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def reason(n: Column) -> Column:
+    """Of any length up to 29, every third with tabs, line breaks and wide blanks around it, every eleventh of nothing else."""
+    written = F.repeat(F.lit("x"), (n % 30).cast("int"))
+    return F.when(n % 11 == 5, F.repeat(F.lit("\t\r\n\u3000"), 8)).when(n % 3 == 1, F.concat(F.lit("\n\t \u00a0"), written, F.lit("\r\n\u2003\ufeff"))).otherwise(written)
+
+
 def access(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as an access log: (seq, case_id, counsellor_id, action, reason, at)."""
     e = table(spark, folder, "events")
     actions = ("viewed_card", "viewed_transcript", "unsealed_pii", "overrode_tier")
     return e.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("case-"), (F.col("user_id") % 50).cast("string")).alias("case_id"), F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("counsellor_id"),
-        F.element_at(F.array(*map(F.lit, actions)), (F.col("event_id") % 4 + 1).cast("int")).alias("action"), F.repeat(F.lit("x"), (F.col("event_id") % 30).cast("int")).alias("reason"), F.col("ts").alias("at"),
+        F.element_at(F.array(*map(F.lit, actions)), (F.col("event_id") % 4 + 1).cast("int")).alias("action"), reason(F.col("event_id")).alias("reason"), F.col("ts").alias("at"),
     )
