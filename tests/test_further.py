@@ -16,7 +16,6 @@ from triagelake.functions.fixed_values import PATTERNS
 from triagelake.operators import casework, cluster, corpus, features, gate, head, metrics, privacy
 from triagelake.plans import standins
 from triagelake.sources import seed, tables
-from triagelake.streaming import turns as streaming
 
 def key():
     return F.unhex(F.sha2(F.lit("not a secret"), 256))
@@ -203,18 +202,6 @@ def test_sources_and_stores(spark, tmp_path):
     assert [r["e"] for r in spark.createDataFrame([(" A@x.org ",)], "v string").select(T.email_key(F.col("v")).alias("e")).collect()] == ["a@x.org"]
 
 
-def test_stream_goes_on_from_the_newest_whole_version(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    event = lambda name, case: (source / name).write_text(f'{{"case_id": "{case}", "seq": 1, "turns": ["hi"]}}')
-    run = lambda out: streaming.run_gate(streaming.read_events(spark, str(source)), str(tmp_path / out), str(tmp_path / "cp")).awaitTermination()
-    event("1.json", "a")
-    run("out")
-    event("2.json", "b")
-    run("new")  # the checkpoint is at batch 1, the folder is new
-    assert [r["case_id"] for r in spark.read.parquet(str(tmp_path / "new" / "version=1")).collect()] == ["b"]
-
-
 def test_alerts_hold_their_cases_and_tiers(spark):
     start = datetime.datetime(2026, 1, 1)
     cases = spark.createDataFrame([(c, start + datetime.timedelta(days=i)) for i, c in enumerate("abcd")], "case_id string, started_at timestamp")

@@ -13,7 +13,6 @@ from triagelake.functions import text as T
 from triagelake.functions.fixed_values import PATTERNS, SUPPRESSORS
 from triagelake.operators import casework, cluster, corpus, features, gate, head, metrics, privacy
 from triagelake.sources import tables
-from triagelake.streaming import turns as streaming
 
 #: (what a student writes, floor)
 PROBES = [
@@ -190,19 +189,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["id"] for r in kept] == [1] and len(kept[0]["messages"][0]["text"]) == 1000
 
 
-def test_streaming_gate_rewrites_and_latches(spark, tmp_path):
-    source = tmp_path / "in"
-    source.mkdir()
-    write = lambda name, rows: (source / name).write_text("\n".join(json.dumps(r) for r in rows))
-    run = lambda: streaming.run_gate(streaming.read_events(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    write("1.json", [{"case_id": "a", "seq": 1, "turns": ["hello"]}, {"case_id": "a", "seq": 2, "turns": ["hello", "i've been cutting my arms"]}])
-    run()
-    write("2.json", [{"case_id": "a", "seq": 3, "turns": ["hello"]}, {"case_id": "b", "seq": 1, "turns": ["hi"]}])
-    run()
-    last = {r["case_id"]: r for r in spark.read.parquet(str(tmp_path / "out" / "version=1")).collect()}
-    assert last["a"]["crisis"] and last["a"]["floor"] is None and last["a"]["seq"] == 3 and not last["b"]["crisis"]
-
-
 def test_entry_without_training_data_package():
     import subprocess
     import sys

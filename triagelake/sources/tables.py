@@ -113,11 +113,12 @@ def write_sorted_json(rows: DataFrame, folder: str, *order: str) -> None:
     rows.orderBy(*order).write.mode("overwrite").json(folder)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, latch: tuple[str, ...] = ()) -> DataFrame:
-    """New rows replace old ones of their key; a latched flag that was ever true stays true."""
+def upsert(old: DataFrame, new: DataFrame, key: str, latch: tuple[str, ...] = (), newest: str | None = None) -> DataFrame:
+    """New rows replace old ones of their key, unless ``newest`` says that the old one is newer; a latched flag that was ever true stays true."""
     names = [c for c in old.columns if c != key]
     o, n = old.select(key, *[F.col(c).alias(f"_o_{c}") for c in names], F.lit(True).alias("_had")), new.select(key, *[F.col(c).alias(f"_n_{c}") for c in names], F.lit(True).alias("_has"))
-    pick = lambda c: (F.coalesce(F.col(f"_o_{c}"), F.lit(False)) | F.coalesce(F.col(f"_n_{c}"), F.lit(False)) if c in latch else F.when(F.col("_has"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))).alias(c)
+    takes = F.col("_has") if newest is None else F.col("_has") & (F.col("_had").isNull() | F.coalesce(F.col(f"_n_{newest}") >= F.col(f"_o_{newest}"), F.col(f"_o_{newest}").isNull()))
+    pick = lambda c: (F.coalesce(F.col(f"_o_{c}"), F.lit(False)) | F.coalesce(F.col(f"_n_{c}"), F.lit(False)) if c in latch else F.when(takes, F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))).alias(c)
     return o.join(n, key, "full_outer").select(key, *map(pick, names))
 
 

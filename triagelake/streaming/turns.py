@@ -1,8 +1,7 @@
-"""Structured Streaming over turns and events.
+"""Structured Streaming over turns and events: the gate's verdicts as a store on disk, windows and sessions.
 
-Messages resend a case's whole history, so a micro-batch is judged on its own and rewrites the case: the newest resend of a case
-wins, and its crisis flag latches. Each batch joins the newest whole version below its number and writes the next; runs that repeat a
-batch write the same rows. A batch costs a pass over the verdicts (one short row for each case), not over any text.
+The state of a case lives in ``cases``; here its rows go into a store of hash buckets, of which a batch rewrites those that hold a case it changed. A batch that runs
+twice writes the same rows: a row with a lower number never replaces a higher one, and the crisis flag latches.
 """
 
 from __future__ import annotations
@@ -11,44 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import gate
-from ..sources.tables import upsert
+from ..functions.fixed_values import PATTERNS, SUPPRESSORS
+from ..sources.stores import BucketStore
+from .cases import KEEP_DAYS, LATE, OUT, case_states
 
-EVENT = "case_id string, seq long, turns array<string>"
+EVENT = "case_id string, seq long, first long, turns array<string>, at timestamp"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def judge_batch(batch: DataFrame) -> DataFrame:
-    """(case_id, seq, floor, level, crisis) of the newest resend of each case in a batch."""
-    newest = batch.groupBy("case_id").agg(F.max_by(F.struct("seq", "turns"), "seq").alias("m")).select("case_id", "m.seq", "m.turns")
-    turns = newest.select("case_id", F.posexplode("turns").alias("turn", "text"))
-    verdicts = gate.verdicts(gate.turn_hits(turns), newest.select("case_id"), ["case_id"])
-    return newest.select("case_id", "seq").join(verdicts, "case_id").select("case_id", "seq", "floor", "level", F.col("requires_crisis").alias("crisis"))
+def verdict_store(spark: SparkSession, folder: str, buckets: int = 64) -> BucketStore:
+    return BucketStore(spark, folder, OUT, "case_id", buckets)
 
 
-def run_gate(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep one verdict for each case under ``folder``: each batch writes the next version of the table, so readers see whole ones."""
+def run_gate(events: DataFrame, folder: str, checkpoint: str, patterns=PATTERNS, suppressors=SUPPRESSORS, keep_days: float = KEEP_DAYS, late: str = LATE, buckets: int = 64) -> StreamingQuery:
+    """Keep one verdict for each case in the store under ``folder``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = judge_batch(batch)
-        before = _newest(spark, folder, number)
-        table = new if before is None else upsert(spark.read.parquet(f"{folder}/version={before}"), new, "case_id", latch=("crisis",))
-        table.write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _newest(spark: SparkSession, folder: str, below: int) -> int | None:
-    """The newest whole version of the table below a number, whatever the stream's checkpoint has counted."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
-    whole = [int(n.split("=")[1]) for n in names if n.startswith("version=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return max((v for v in whole if v < below), default=None)
-
-
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(EVENT).json(folder)
+        last = batch.groupBy("case_id").agg(F.max_by(F.struct(*batch.columns), F.struct("seq", "closed")).alias("r")).select("r.*")
+        verdict_store(batch.sparkSession, folder, buckets).upsert(last, latch=("crisis",), newest="seq")
+
+    spark, key = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    # The only provider that keeps maps and timers; a query takes the setting over as it starts.
+    spark.conf.set(key, PROVIDER)
+    try:
+        out = case_states(events, patterns, suppressors, keep_days, late)
+        return out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def read_events(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
+    """Messages as JSON lines, so many files a batch at most; one that does not say when it was sent was sent now."""
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files).json(folder).withColumn("at", F.coalesce("at", F.current_timestamp()))
 
 
 def windowed_counts(events: DataFrame, watermark: str = "1 hour", window: str = "1 hour", slide: str | None = None) -> DataFrame:
