@@ -74,28 +74,66 @@ def _term_parts(words: DataFrame) -> DataFrame:
     return counted.select("case_id", "term", part.alias("part"))
 
 
-def _scores(parts: DataFrame, second: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
-    """(a, b, bm25) of pairs a < b with a common term; ``second`` keeps those b, ``among`` those pairs."""
+def _scores(parts: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(a, b, bm25) of pairs a < b with a common term; ``among`` keeps those pairs."""
     left, right = parts.select(F.col("case_id").alias("a"), "term"), parts.withColumnRenamed("case_id", "b")
-    if among is not None:
-        pairs = among.select("a", "b").join(left, "a").join(right, ["b", "term"])
-    else:
-        pairs = left.join(right if second is None else right.join(second, "b", "left_semi"), "term").filter("a < b")
+    pairs = left.join(right, "term").filter("a < b") if among is None else among.select("a", "b").join(left, "a").join(right, ["b", "term"])
     return pairs.groupBy("a", "b").agg(F.sum("part").alias("bm25"))
 
 
-def best_bm25(parts: DataFrame, first: int = 64) -> DataFrame:
-    """(top): the largest score of any two cases, without scoring them all.
+def term_index(parts: DataFrame) -> DataFrame:
+    """``parts`` of terms that two cases share at least, with how many have the term (df) and the most that it adds to any score (most)."""
+    facts = parts.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most")).filter("df > 1")
+    return parts.join(facts, "term")
 
-    No pair scores more than its second case would with all its own terms shared. The ``first`` cases with the largest of these bounds
-    are scored with all others; then so is every other case whose bound is above the best score found.
+
+def bm25_seeds(index: DataFrame, each: int = 2, df: int = 16) -> DataFrame:
+    """(a, b): each case with those that share one of its ``each`` heaviest terms that ``df`` cases have at most."""
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("part"), "term"))
+    rare = index.filter(F.col("df") <= df)
+    heavy = rare.withColumn("place", place).filter(F.col("place") <= each).select("term", F.col("case_id").alias("x"))
+    met = heavy.join(rare.select("term", F.col("case_id").alias("y")), "term").filter("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def bm25_candidates(index: DataFrame, above: float, formed: bool = False) -> DataFrame:
+    """(a, b) of all pairs a < b that may score more than ``above``, and few others; with ``formed`` all that were looked at.
+
+    All cases list their terms in one order, rarest first. What a pair scores from its first common term on is at most the sum of the second case's parts from
+    there on, and at most the sum of the largest parts that the first case's terms have anywhere. So that term is among those of both at which these sums are
+    still above the bound: only these meet, and common terms, which stand last, hardly ever do. Of pairs that meet, those go of which what they share there
+    and what may come after it is not enough.
+    """
+    order = Window.partitionBy("case_id").orderBy("df", "term")
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Sums in another order may differ in their last digits: what is as near as that is a candidate.
+    near = F.lit(above * (1 - 1e-9))
+    ranked = index.withColumn("own", F.sum("part").over(after)).withColumn("any", F.sum("most").over(after))
+    first = ranked.filter(F.col("any") > near).select(F.col("case_id").alias("a"), "term")
+    tail = F.coalesce(F.max(F.when(F.col("own") <= near, F.col("own"))).over(Window.partitionBy("case_id")), F.lit(0.0))
+    second = ranked.withColumn("tail", tail).filter(F.col("own") > near).select(F.col("case_id").alias("b"), "term", "part", "tail")
+    met = first.join(second, "term").filter("a < b")
+    if formed:
+        return met.select("a", "b").distinct()
+    held = met.groupBy("a", "b").agg(F.sum("part").alias("shared"), F.first("tail").alias("tail"))
+    # Terms that count for b and stand further down in a's list are not met there: they are looked up.
+    out = ranked.filter(F.col("any") <= near).select(F.col("case_id").alias("a"), "term")
+    late = held.join(out, "a").join(second.select("b", "term", "part"), ["b", "term"]).groupBy("a", "b").agg(F.sum("part").alias("late"))
+    return held.join(late, ["a", "b"], "left").filter(F.col("shared") + F.coalesce("late", F.lit(0.0)) + F.col("tail") > near).select("a", "b")
+
+
+def best_bm25(parts: DataFrame) -> DataFrame:
+    """(top): the largest score of any two cases, by an index of terms by rarity and largest part, without scoring most pairs.
+
+    Pairs that share a rare, heavy term give a score to beat; then only pairs that may beat it are formed and scored.
     """
-    bounds = parts.groupBy(F.col("case_id").alias("b")).agg(F.sum("part").alias("bound"))
-    leaders = bounds.orderBy(F.desc("bound"), "b").limit(first)
-    found = _scores(parts, leaders.select("b")).agg(F.coalesce(F.max("bm25"), F.lit(0.0)).alias("found"))
-    others = bounds.join(F.broadcast(leaders.select("b")), "b", "left_anti").crossJoin(F.broadcast(found)).filter("bound > found").select("b")
-    rest = _scores(parts, others).agg(F.max("bm25").alias("rest"))
-    return found.crossJoin(rest).select(F.greatest("found", "rest").alias("top"))
+    from ..sources.tables import checkpointed
+
+    index = checkpointed(term_index(parts))
+    own = index.select("case_id", "term", "part")
+    found = _scores(own, bm25_seeds(index)).agg(F.max("bm25")).first()[0] or 0.0
+    rest = _scores(own, bm25_candidates(index, found)).agg(F.max("bm25").alias("rest"))
+    return rest.select(F.greatest(F.coalesce("rest", F.lit(0.0)), F.lit(found)).alias("top"))
 
 
 def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
@@ -104,8 +142,10 @@ def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
     ``words``: (case_id, term), repeats kept. The norm divides by the largest score of all pairs. ``among`` (a, b) limits the rows to
     given pairs, such as links, but not the norm: without it every two cases with a common term are listed, which suits small sets only.
     """
-    parts = _term_parts(words)
-    scored = _scores(parts, among=among)
+    from ..sources.tables import checkpointed
+
+    parts = checkpointed(_term_parts(words))
+    scored = _scores(parts, among)
     top = scored.agg(F.max("bm25").alias("top")) if among is None else best_bm25(parts)
     return scored.crossJoin(F.broadcast(top)).select("a", "b", "bm25", (F.col("bm25") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("bm25_norm"))
 
@@ -146,19 +186,21 @@ def describe_links(linked: DataFrame, lexical: DataFrame) -> DataFrame:
     return out.select("a", "b", F.bround("entity_overlap", 3).alias("entity_overlap"), F.bround("lexical", 3).alias("lexical"), F.bround("days_apart", 1).alias("days_apart"), "shared_people", "shared_places", F.concat(F.array_join(named, " and "), apart).alias("reason"))
 
 
-def alert_members(tokens: DataFrame, cases: DataFrame, least: int = LEAST_CLUSTER, window_days: float = WINDOW_DAYS) -> DataFrame:
-    """(cluster_id, case_id, started_at, size): a row for each case of each component of at least ``least`` cases, named by its smallest."""
-    nodes = components(spanning_links(tokens, cases, window_days).select("a", "b"))
+def alert_members(tokens: DataFrame, cases: DataFrame, least: int = LEAST_CLUSTER, window_days: float = WINDOW_DAYS, tied: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, case_id, started_at, size): a row for each case of each component of at least ``least`` cases, named by its smallest.
+
+    ``tied``: the spanning links, where they are there already."""
+    nodes = components((spanning_links(tokens, cases, window_days) if tied is None else tied).select("a", "b"))
     large = nodes.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return nodes.join(large, "component").withColumnRenamed("node", "case_id").join(cases.select("case_id", "started_at"), "case_id").select(F.concat(F.lit("cluster-"), "component").alias("cluster_id"), "case_id", "started_at", "size")
 
 
-def alert_facts(members: DataFrame, tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS) -> DataFrame:
+def alert_facts(members: DataFrame, tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS, tied: DataFrame | None = None) -> DataFrame:
     """One row of bounded size for each alert: how many cases and shared tokens, the days they span, and the headline; largest first.
 
     Chains of links may span more than the window.
     """
-    tied = spanning_links(tokens, cases, window_days).select("kind", "token", F.col("a").alias("case_id"))
+    tied = (spanning_links(tokens, cases, window_days) if tied is None else tied).select("kind", "token", F.col("a").alias("case_id"))
     shared = tied.join(members.select("case_id", "cluster_id"), "case_id").groupBy("cluster_id").agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("token"))).alias(n) for k, n in (("person", "n_people"), ("place", "n_places"))])
     span = (F.unix_micros(F.max("started_at")) - F.unix_micros(F.min("started_at"))) / 8.64e10
     out = members.groupBy("cluster_id").agg(F.count("*").alias("size"), span.alias("span_days")).join(shared, "cluster_id")
@@ -174,8 +216,9 @@ def alerts(tokens: DataFrame, cases: DataFrame, tiers: DataFrame | None = None,
     """
     from ..sources.tables import checkpointed
 
-    members = checkpointed(alert_members(tokens, cases, least, window_days))
-    facts = alert_facts(members, tokens, cases, window_days)
+    tied = checkpointed(spanning_links(tokens, cases, window_days))
+    members = checkpointed(alert_members(tokens, cases, least, window_days, tied))
+    facts = alert_facts(members, tokens, cases, window_days, tied)
     known = members.withColumn("tier", F.lit(None).cast("string")) if tiers is None else members.join(tiers.select("case_id", "tier"), "case_id", "left")
     listed = known.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("case_id", "tier"))).alias("m"))
     return facts.join(listed, "cluster_id").select(*facts.columns, F.col("m.case_id").alias("members"), F.transform("m", lambda x: x["tier"]).alias("tiers")).orderBy(F.desc("size"), "cluster_id")

@@ -85,8 +85,8 @@ def gate_hit_counts(spark, d):
     return _hits(spark, d).groupBy("case_id", "turn", "name").agg(F.count("*").alias("n"))
 
 
-def _verdicts(spark, d):
-    return gate.verdicts(_hits(spark, d), S.cases(spark, d), ["case_id"])
+def _verdicts(spark, d, hits=None):
+    return gate.verdicts(_hits(spark, d) if hits is None else hits, S.cases(spark, d), ["case_id"])
 
 
 @query
@@ -169,9 +169,9 @@ def features_checked(spark, d):
 
 @query
 def topk_quotes(spark, d):
-    hits = gate.real_hits(_hits(spark, d), ["case_id"])
-    queued = _decided(spark, d).filter(F.col("tier").isin(*casework.QUEUED)).select("case_id")
-    return rounded(features.quotes(S.turns(spark, d), hits, queued))
+    hits = tables.checkpointed(_hits(spark, d))
+    queued = _decided(spark, d, hits).filter(F.col("tier").isin(*casework.QUEUED)).select("case_id")
+    return rounded(features.quotes(S.turns(spark, d), gate.real_hits(hits, ["case_id"]), queued))
 
 
 @query
@@ -195,7 +195,7 @@ def access_valid(spark, d):
 
 @query
 def access_log(spark, d):
-    return longs(casework.newest_accesses(casework.access_log(S.access(spark, d))).select("case_id", "seq", "action", "at", "place"))
+    return longs(casework.newest_accesses(S.access(spark, d)).select("case_id", "seq", "action", "at", "place"))
 
 
 @query
@@ -419,8 +419,9 @@ def components(spark, d):
 
 def _alerts(spark, d):
     tokens, cases = _tokens(spark, d), S.cases(spark, d)
-    members = tables.checkpointed(cluster.alert_members(tokens, cases))
-    return members, cluster.alert_facts(members, tokens, cases)
+    tied = tables.checkpointed(cluster.spanning_links(tokens, cases))
+    members = tables.checkpointed(cluster.alert_members(tokens, cases, tied=tied))
+    return members, cluster.alert_facts(members, tokens, cases, tied=tied)
 
 
 @query
@@ -439,7 +440,8 @@ def alerts_of_cases(spark, d):
 @query
 def link_rows(spark, d):
     """Links as delivered, with the lexical similarity that corroborates them."""
-    out = cluster.describe_links(_links(spark, d), _lexical(spark, d))
+    links = tables.checkpointed(_links(spark, d))
+    out = cluster.describe_links(links, _lexical(spark, d, links))
     return out.select("a", "b", "entity_overlap", "lexical", "days_apart", F.array_join("shared_people", ",").alias("people"), F.array_join("shared_places", ",").alias("places"), "reason")
 
 
@@ -451,8 +453,8 @@ HEAD = head.HeadParams(
 )
 
 
-def _lexical(spark, d):
-    pairs = _links(spark, d).select("a", "b")
+def _lexical(spark, d, links):
+    pairs = links.select("a", "b")
     words = S.turns(spark, d).select("case_id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
     grams = S.accounts(spark, d).select("case_id", F.explode(T.char_ngrams(F.col("account"))).alias("gram"))
     both = pairs.join(cluster.bm25_pairs(words, pairs), ["a", "b"], "left").join(cluster.gram_cosine(grams, pairs), ["a", "b"], "left")
@@ -462,7 +464,7 @@ def _lexical(spark, d):
 @query
 def link_similarity(spark, d):
     """Lexical similarity of linked cases only, half BM25 over the best score of all pairs, half trigram cosine."""
-    return rounded(_lexical(spark, d))
+    return rounded(_lexical(spark, d, tables.checkpointed(_links(spark, d))))
 
 
 FEATURES = tuple(features.FEATURES)
@@ -578,9 +580,11 @@ def head_apply(spark, d):
     return rounded(out.select("case_id", "model_tier", "confidence", "raw_escalation", "escalation"))
 
 
-def _decided(spark, d):
+def _decided(spark, d, hits=None):
+    """Texts are searched once: ``hits``, where they are there already, else a checkpoint of them."""
+    hits = tables.checkpointed(_hits(spark, d)) if hits is None else hits
     scored = head.apply_head(features.turn_features(S.turns(spark, d)), HEAD)
-    return head.decide_case(scored.join(_verdicts(spark, d), "case_id").join(gate.floor_names(_hits(spark, d)), "case_id", "left"))
+    return head.decide_case(scored.join(_verdicts(spark, d, hits), "case_id").join(gate.floor_names(hits), "case_id", "left"))
 
 
 @query
@@ -591,8 +595,9 @@ def decided_cases(spark, d):
 def _cards(spark, d):
     turns = S.turns(spark, d)
     reports = features.markers(S.accounts(spark, d)).select("case_id", features.describe_markers().alias("report"))
-    hits = gate.real_hits(_hits(spark, d), ["case_id"])
-    decided = _decided(spark, d)
+    found = tables.checkpointed(_hits(spark, d))
+    hits = gate.real_hits(found, ["case_id"])
+    decided = tables.checkpointed(_decided(spark, d, found))
     queued = decided.filter(F.col("tier").isin(*casework.QUEUED)).select("case_id")
     return casework.build_cards(decided.join(S.cases(spark, d).select("case_id", "handle", "started_at"), "case_id"), turns.select("case_id", "turn", (1 - F.get("probs", F.lit(0))).alias("risk")), features.quotes(turns, hits, queued), reports)
 
@@ -615,7 +620,7 @@ def card_fields(spark, d):
 def queue_order(spark, d):
     """Ranks are rounded to whole numbers here, so that many are equal and the rule for ties decides."""
     cards = _decided(spark, d).join(S.cases(spark, d).select("case_id", "conv_id"), "case_id").select("case_id", "tier", F.floor("queue_rank").cast("double").alias("queue_rank"), (F.col("conv_id") % 2 == 0).alias("is_live"))
-    return longs(casework.queue_places(casework.queue(cards)).select("case_id", "tier", "queue_rank", "is_live", "place"))
+    return longs(casework.queue_places(cards).select("case_id", "tier", "queue_rank", "is_live", "place"))
 
 
 @query
@@ -632,8 +637,9 @@ def tier_counts(spark, d):
 @query
 def gate_cards(spark, d):
     """Cards of cases that only the gate has seen, lists joined to texts."""
-    hits = gate.real_hits(_hits(spark, d), ["case_id"])
-    cards = casework.gate_cards(_verdicts(spark, d), hits, S.turns(spark, d), S.cases(spark, d))
+    found = tables.checkpointed(_hits(spark, d))
+    hits = gate.real_hits(found, ["case_id"])
+    cards = casework.gate_cards(_verdicts(spark, d, found), hits, S.turns(spark, d), S.cases(spark, d))
     return longs(cards.withColumn("gate_indicators", F.array_join("gate_indicators", ",")).withColumn("reasons", F.array_join("reasons", "|")))
 
 
