@@ -209,6 +209,16 @@ def alert_facts(members: DataFrame, tokens: DataFrame, cases: DataFrame, window_
     return out.select("cluster_id", "size", "span_days", "n_people", "n_places", headline.alias("headline")).orderBy(F.desc("size"), "cluster_id")
 
 
+def alert_tokens(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """(cluster_id, kind, token): the people and places that links within an alert share, a row for each."""
+    return tied.select("kind", "token", F.col("a").alias("case_id")).join(members.select("case_id", "cluster_id"), "case_id").select("cluster_id", "kind", "token").distinct()
+
+
+def alert_links(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """``linked`` (a, b, ...) with the alert that holds both ends; links tie, so one end says it."""
+    return linked.join(members.select(F.col("case_id").alias("a"), "cluster_id"), "a")
+
+
 def alerts(tokens: DataFrame, cases: DataFrame, tiers: DataFrame | None = None, least: int = LEAST_CLUSTER, window_days: float = WINDOW_DAYS) -> DataFrame:
     """Alerts as a counsellor reads them: the facts, and members in order with their tiers (case_id, tier) in that order, in one row.
 

@@ -189,6 +189,8 @@ ORACLE_SQL = {
     "bm25_pairs": f"WITH {ST}, {WORDS}, tf AS (SELECT case_id, term, count(*) AS tf FROM w GROUP BY 1, 2), ln_ AS (SELECT case_id, sum(tf) AS length FROM tf GROUP BY 1), fa AS (SELECT count(*) AS n, avg(length) AS m FROM ln_), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), p AS (SELECT x.case_id AS a, y.case_id AS b, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * y.tf * 2.5 / (y.tf + 1.5 * (0.25 + 0.75 * length / m))) AS bm25 FROM tf x JOIN tf y ON x.term = y.term AND x.case_id < y.case_id JOIN ln_ ON ln_.case_id = y.case_id JOIN df ON df.term = x.term CROSS JOIN fa GROUP BY 1, 2) SELECT a, b, round(bm25, 6) AS bm25, round(bm25 / max(bm25) OVER (), 6) AS bm25_norm FROM p",
     "trigram_cosine": f"WITH {ST}, {ACCOUNTS}, {GRAMS}, t AS (SELECT case_id, gram, count(*) AS n FROM gr GROUP BY 1, 2), nm AS (SELECT case_id, sqrt(sum(n * n)) AS norm FROM t GROUP BY 1), p AS (SELECT x.case_id AS a, y.case_id AS b, sum(x.n * y.n) AS dot FROM t x JOIN t y ON x.gram = y.gram AND x.case_id < y.case_id GROUP BY 1, 2) SELECT a, b, round(dot / (na.norm * nb.norm), 6) AS cosine FROM p JOIN nm na ON na.case_id = a JOIN nm nb ON nb.case_id = b",
     "components": f"WITH RECURSIVE {COMPONENTS} SELECT node, component FROM comp",
+    "alert_tokens": f"WITH RECURSIVE {ALERTED}, each AS (SELECT component, 'person' AS kind, unnest(string_split(people, ',')) AS token FROM links JOIN comp ON node = a UNION SELECT component, 'place', unnest(string_split(places, ',')) FROM links JOIN comp ON node = a) SELECT 'cluster-' || component AS cluster_id, kind, token FROM each JOIN mem USING (component) WHERE token <> ''",
+    "alert_links": f"WITH RECURSIVE {ALERTED} SELECT 'cluster-' || component AS cluster_id, a, b, round(days_apart, 6) AS days_apart, round(greatest(coalesce(sp / nullif(sa.np + sb.np - sp, 0), 0.0), coalesce(sl / nullif(sa.nl + sb.nl - sl, 0), 0.0)), 6) AS entity_overlap FROM links JOIN comp ON node = a JOIN mem USING (component) JOIN sz sa ON sa.case_id = a JOIN sz sb ON sb.case_id = b",
     "pattern_alerts": f"WITH RECURSIVE {ALERTED} SELECT 'cluster-' || component AS cluster_id, size, members, tiers, round(span, 6) AS span_days, CAST(n_people AS BIGINT) AS n_people, CAST(n_places AS BIGINT) AS n_places, size || ' separate reports' || CASE WHEN n_places > 0 THEN ', naming the same location' ELSE '' END || CASE WHEN n_people > 0 THEN ', naming the same person' ELSE '' END || ', within ' || CAST(round_even(span, 0) AS BIGINT) || ' days' AS headline FROM mem JOIN tk USING (component)",
     "alerts_of_cases": f"WITH RECURSIVE {ALERTED} SELECT node AS case_id, 'cluster-' || component AS cluster_id, size FROM comp JOIN mem USING (component) JOIN rec ON rec.case_id = node WHERE tier = 'T4'",
     "link_similarity": f"WITH {LINKS}, {LEXICAL} SELECT a, b, round(lexical, 6) AS lexical FROM lx",
@@ -216,6 +218,11 @@ ORACLE_SQL = {
     "retention_decide": f'WITH {DECIDED} SELECT case_id, exemption, due_at, coalesce(del, false) AS "delete" FROM dd',
     "retention_sweep": f"WITH {DECIDED} SELECT count(*) AS examined, count(*) FILTER (del) AS to_delete, count(*) FILTER (exemption IS NULL AND NOT coalesce(del, false)) AS not_yet_due, count(*) FILTER (exemption = 'escalated') AS escalated, count(*) FILTER (exemption = 'explicit_hold') AS explicit_hold, count(*) FILTER (exemption = 'unreviewed_break_glass') AS unreviewed_break_glass FROM dd",
     "retention_erase": f"WITH {ST}, {DECIDED} SELECT case_id, count(*) AS n FROM st WHERE case_id NOT IN (SELECT case_id FROM dd WHERE del) GROUP BY 1",
+    "case_messages": f"WITH {CONV}, sent AS (SELECT case_id, count(*) AS n_turns FROM st GROUP BY 1) SELECT case_id, n_turns + 1 AS seq, n_turns, true AS complete, round(score, 6) AS score, CASE WHEN score >= 0.70 THEN 'high' WHEN score >= 0.35 THEN 'grey' ELSE 'clear' END AS level, 'T' || fr AS floor, CASE WHEN fr = 4 THEN NULL ELSE 'T3' END AS ceiling, n_hits FROM verdicts JOIN sent USING (case_id)",
+    "bucket_store": f"WITH {RECORDS}, st0 AS (SELECT case_id, conv_id, CASE WHEN conv_id % 3 = 1 OR (conv_id % 3 = 0 AND conv_id % 10 >= 5) THEN 'T1' ELSE tier END AS tier, CASE WHEN conv_id % 3 = 1 OR (conv_id % 3 = 0 AND conv_id % 10 >= 5) THEN conv_id % 10 ELSE 5 END AS seq, CASE conv_id % 3 WHEN 1 THEN conv_id % 5 = 0 WHEN 2 THEN conv_id % 4 = 0 ELSE conv_id % 4 = 0 OR conv_id % 5 = 0 END AS crisis FROM rec) SELECT case_id, CASE WHEN seq = 9 AND NOT crisis THEN 'T9' ELSE tier END AS tier, seq, crisis FROM st0 WHERE conv_id % 7 <> 3",
+    "logged_once": f"WITH {LOG}, numbered AS (SELECT row_number() OVER (ORDER BY seq % 3, \"at\", seq) - 1 AS n, * FROM lg) SELECT n AS seq, seq AS event, case_id, \"at\" FROM numbered",
+    "newest_logged": f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY counsellor_id ORDER BY \"at\" DESC, seq DESC) AS place FROM lg) SELECT counsellor_id, place, seq AS event, \"at\" FROM r WHERE place <= 100",
+    "stored_turns": f"WITH {ST} SELECT count(*) AS n, count(text) AS readable FROM st",
     "upsert_latch": f"WITH {RECORDS} SELECT case_id, CASE WHEN conv_id % 3 = 2 THEN tier ELSE 'T1' END AS tier, CASE WHEN conv_id % 3 = 1 THEN conv_id % 5 = 0 WHEN conv_id % 3 = 2 THEN conv_id % 4 = 0 ELSE conv_id % 4 = 0 OR conv_id % 5 = 0 END AS crisis FROM rec",
     "replace_children": f"WITH {ST} SELECT case_id, count(*) FILTER (conv_id % 2 = 1 OR turn = 0) AS n, max(CASE WHEN conv_id % 2 = 1 OR turn = 0 THEN turn END) AS last_turn FROM st GROUP BY 1",
     "email_redaction": r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.-]+\b')) AS BIGINT) AS n_emails FROM documents",

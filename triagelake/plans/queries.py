@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import casework, cluster, corpus, features, gate, head, metrics, privacy
-from ..sources import seed, tables
+from ..sources import seed, stores, tables
+from ..streaming import cases as case_stream
 from . import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +446,60 @@ def link_rows(spark, d):
     return out.select("a", "b", "entity_overlap", "lexical", "days_apart", F.array_join("shared_people", ",").alias("people"), F.array_join("shared_places", ",").alias("places"), "reason")
 
 
+@query
+def alert_tokens(spark, d):
+    """The people and places that an alert's links share."""
+    tokens, cases = _tokens(spark, d), S.cases(spark, d)
+    tied = tables.checkpointed(cluster.spanning_links(tokens, cases))
+    return cluster.alert_tokens(cluster.alert_members(tokens, cases, tied=tied), tied)
+
+
+@query
+def alert_links(spark, d):
+    """The links within each alert."""
+    tokens, cases = _tokens(spark, d), S.cases(spark, d)
+    return rounded(cluster.alert_links(cluster.alert_members(tokens, cases), cluster.links(tokens, cases)).select("cluster_id", "a", "b", "days_apart", "entity_overlap"))
+
+
+# ---- messages and stores
+
+@query
+def case_messages(spark, d):
+    """Messages of all cases, late, repeated and stale ones among them, folded to each case's verdict."""
+    return rounded(case_stream.folded(S.messages(spark, d), S.VOCABULARY, ()))
+
+
+@query
+def bucket_store(spark, d):
+    """A store on disk after a load, a batch of newer and older rows, a guarded update and an erasure: each rewrote only the buckets it touched."""
+    store = stores.BucketStore(spark, tables.scratch(spark, "store"), "case_id string, tier string, seq long, crisis boolean", buckets=16)
+    flag = lambda m: (F.col("conv_id") % m == 0).alias("crisis")
+    r = S.records(spark, d)
+    store.upsert(r.filter("conv_id % 3 <> 1").select("case_id", "tier", F.lit(5).cast("long").alias("seq"), flag(4)))
+    store.upsert(r.filter("conv_id % 3 <> 2").select("case_id", F.lit("T1").alias("tier"), (F.col("conv_id") % 10).alias("seq"), flag(5)), latch=("crisis",), newest="seq")
+    store.update_where((F.col("seq") == 9) & ~F.col("crisis"), tier=F.lit("T9"))
+    store.erase(r.filter("conv_id % 7 = 3"))
+    return store.rows()
+
+
+@query
+def logged_once(spark, d):
+    """The access log as it arrives in three batches, the second of them twice: numbers without gaps, in order of time within a batch."""
+    log = stores.AppendLog(spark, tables.scratch(spark, "log"), "case_id string, counsellor_id string, action string, reason string, at timestamp, event long", order=("at", "event"))
+    rows = S.access(spark, d).withColumnRenamed("seq", "event")
+    for batch in (0, 1, 1, 2):
+        log.append(rows.filter(F.col("event") % 3 == batch), batch)
+    return log.rows().select("seq", "event", "case_id", "at")
+
+
+@query
+def newest_logged(spark, d):
+    """The newest entries of each counsellor, out of a log on disk."""
+    log = stores.AppendLog(spark, tables.scratch(spark, "log"), "case_id string, counsellor_id string, action string, reason string, at timestamp, event long", order=("at", "event"))
+    log.append(S.access(spark, d).withColumnRenamed("seq", "event"), 0)
+    return longs(log.newest("counsellor_id").select("counsellor_id", "place", "event", "at"))
+
+
 # ---- head and cards
 
 HEAD = head.HeadParams(

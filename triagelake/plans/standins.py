@@ -54,6 +54,15 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select(F.concat(F.lit("case-"), F.col("conv_id").cast("string")).alias("case_id"), "conv_id", started_at(F.col("conv_id")).alias("started_at"), F.concat(F.lit("Handle"), F.col("conv_id").cast("string")).alias("handle"))
 
 
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """(case_id, seq, first, turns, at): each student turn as a delta; each first turn twice; and a stale one that says other things, numbered below them."""
+    own = turns(spark, folder).join(cases(spark, folder).select("case_id", "started_at"), "case_id")
+    sent = lambda rows, seq, text, at: rows.select("case_id", seq.cast("long").alias("seq"), F.col("turn").alias("first"), F.array(text).alias("turns"), at.alias("at"))
+    minutes = F.timestamp_micros(F.unix_micros("started_at") + F.col("turn") * 60_000_000)
+    begun = own.filter("turn = 0")
+    return sent(own, F.col("turn") + 2, F.col("text"), minutes).unionByName(sent(begun, F.lit(2), F.col("text"), F.col("started_at"))).unionByName(sent(begun, F.lit(1), F.lit("the of in or by and"), F.col("started_at")))
+
+
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
     """(case_id, account): all student turns of a case, in order, by line."""
     said = turns(spark, folder).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
