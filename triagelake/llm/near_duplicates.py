@@ -57,6 +57,8 @@ LISTED = 1 << 18
 NAMED = 1 << 16
 #: Bits of the bound on how many shingles two sets differ in.
 PARITY = 4096
+#: Bytes of bits that a step of a large posting compares.
+COMPARED_BYTES = 16 << 20
 #: Members up to which a posting gives all its pairs at once; larger ones are compared over several rounds.
 WHOLE_POSTING = 6
 
@@ -265,9 +267,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _node() -> Column:
-    """What a text under an id is called: an id may have unlike texts, each of which is a document of its own."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _node(docs: DataFrame) -> Column:
+    """What a text under an id is called: an id may have unlike texts, each of which is a document of its own.
+
+    A hash of both, but for its first 12 bits: those say where between the least and the largest id its id lies. A posting is compared to its first member,
+    and texts with lower ids are more often what others were copied from. Two documents of one name are one: with ids that are spread evenly as unlikely as by 64
+    bits of hash, at worst as by 52.
+    """
+    first, last = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    first, last = (0, 0) if first is None else (first, last)
+    place = F.floor((F.col("doc_id").cast("double") - float(first)) * (4095.0 / max(1.0, float(last) - float(first)))).cast("long")
+    named = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return F.shiftleft(F.least(F.greatest(place, F.lit(0)), F.lit(4095)) - 2048, 52).bitwiseOR(F.shiftrightunsigned(named, 12))
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +310,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], n[order]
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
+def prefixes(docs: DataFrame, node: str) -> DataFrame:
     """(node, doc_id, fp, n, tokens, parity) of every row: a digest of the shingle set, its size, its rarest shingles in one order for all texts,
     as many as two sets alike to 0.8 need to have one of them in common, and of each of ``PARITY`` buckets whether it has an odd number of
     shingles. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
@@ -328,7 +339,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary())], names=["node", "doc_id", "fp", "n", "tokens", "parity"])
 
-    rows = docs.select(_node().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col(node).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(compute, "node long, doc_id long, fp binary, n long, tokens array<long>, parity binary")
 
 
@@ -394,8 +405,10 @@ def _crossing(rows: DataFrame, most: int) -> DataFrame:
                 node, place, comp, parity = (now[c][start : start + size[start]] for c in ("node", "place", "comp", "parity"))
                 names, counts = np.unique(comp, return_counts=True)
                 outside = np.flatnonzero(comp != names[counts.argmax()])
-                for at in range(0, len(outside), 64):
-                    b = outside[at : at + 64]
+                # So many at once that what they are compared by stays within some megabytes, whatever the posting's size.
+                some = max(1, COMPARED_BYTES * 8 // (PARITY * len(node)))
+                for at in range(0, len(outside), some):
+                    b = outside[at : at + some]
                     apart = np.bitwise_count(parity[b, None] ^ parity[None]).sum(axis=2, dtype=np.int64)
                     good = (comp[b, None] != comp[None]) & (9 * apart <= (place[b, None] >> 32) + (place[None] >> 32)) & _can_share(place[b, None], place[None])
                     if good.sum(axis=1).max() > most:
@@ -527,10 +540,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kind, columns = docs.schema["doc_id"].dataType, docs.columns
     named = f"_node_{uuid.uuid4().hex}"
     # Texts are shuffled once, into buckets: from here on they are read where they lie.
-    held = bucketed(docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(named, _node()), "held", named)
+    held = bucketed(docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(named, _node(docs)), "held", named)
     texts = held.select(F.col(named).alias("node"), F.col("text").cast("string").alias("text"))
     least = F.min(F.struct("doc_id", "node", "n", "tokens", "parity")).alias("least")
-    distinct = written(prefixes(held).groupBy("fp").agg(least).select("least.node", "least.doc_id", "least.n", "least.tokens", "least.parity"), "prefixes")
+    distinct = written(prefixes(held, named).groupBy("fp").agg(least).select("least.node", "least.doc_id", "least.n", "least.tokens", "least.parity"), "prefixes")
     roots = checkpointed(similar_roots(distinct, texts))
     tied = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(distinct.select("node", "doc_id"), "node")
     first = tied.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
