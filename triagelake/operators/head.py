@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,23 +187,22 @@ class TextBaseline:
     labels: tuple[str, ...]
 
     def vectors(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (text) with ``x``: 1 + ln(count) times idf, words and characters each of unit length."""
-        from pyspark.ml.linalg import SparseVector, VectorUDT
+        """``rows`` (text) with ``x``: 1 + ln(count) times idf, words and characters each of unit length.
 
-        idf = self.idf
+        Terms are the JVM's; each batch of them is looked up, counted and weighed at once, as a matrix in rows of (place, value).
+        """
+        from pyspark.ml.linalg import VectorUDT
+        from pyspark.sql.types import StructField, StructType
 
-        def weighted(*parts):
-            places, values, behind = [], [], 0
-            for v, own in zip(parts, idf, strict=True):
-                x = (1 + np.log(v.values)) * own[v.indices]
-                places.append(v.indices + behind)
-                values.append(x / (np.sqrt((x * x).sum()) or 1.0))
-                behind += len(own)
-            return SparseVector(behind, np.concatenate(places), np.concatenate(values))
+        shared = rows.sparkSession.sparkContext.broadcast((pa.array(self.words.vocabulary, pa.string()), pa.array(self.chars.vocabulary, pa.string()), self.idf))
+        kept = list(rows.columns)
 
-        # Counts come from the JVM's functions and weights from Python's: the rows are cut between the two.
-        counted = checkpointed(self.chars.transform(self.words.transform(with_terms(rows))).drop("word_terms", "char_terms"))
-        return counted.withColumn("x", F.udf(weighted, VectorUDT())("word_counts", "char_counts")).drop("word_counts", "char_counts")
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            *vocabularies, idf = shared.value
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _rows_of_matrices([weighted_terms(batch.column(c), v, i) for c, v, i in zip(("word_terms", "char_terms"), vocabularies, idf, strict=True)], batch.num_rows, [len(i) for i in idf])], names=[*kept, "x"])
+
+        return with_terms(rows).mapInArrow(weigh, StructType([*rows.schema.fields, StructField("x", VectorUDT())]))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the predicted label and the probabilities of all labels."""
@@ -210,6 +212,31 @@ class TextBaseline:
         return out.withColumn("predicted", F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)).withColumn("probs", vector_to_array("probability")).drop("x", "rawPrediction", "probability", "prediction")
 
 
+def weighted_terms(terms: pa.Array, vocabulary: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of the terms of the vocabulary in each row: (1 + ln(count)) idf, of unit length by row, in order."""
+    lengths = np.asarray(pc.list_value_length(terms).fill_null(0), dtype=np.int64)
+    found = pc.index_in(terms.flatten(), value_set=vocabulary)
+    known = np.asarray(pc.is_valid(found))
+    place, row = np.asarray(found.drop_null(), dtype=np.int64), np.repeat(np.arange(len(lengths)), lengths)[known]
+    keys, counts = np.unique(row * max(1, len(vocabulary)) + place, return_counts=True)
+    row, place = np.divmod(keys, max(1, len(vocabulary)))
+    value = (1 + np.log(counts)) * idf[place]
+    size = np.sqrt(np.bincount(row, value * value, minlength=len(lengths)))
+    return row, place, value / np.where(size > 0, size, 1.0)[row]
+
+
+def _rows_of_matrices(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int, widths: list[int]) -> pa.StructArray:
+    """Matrices beside each other as Spark ML's sparse vectors, one for each row."""
+    behind = np.concatenate(([0], np.cumsum(widths)))
+    row = np.concatenate([r for r, _, _ in parts])
+    order = np.argsort(row, kind="stable")
+    place = np.concatenate([p + b for (_, p, _), b in zip(parts, behind, strict=False)])[order]
+    value = np.concatenate([v for _, _, v in parts])[order]
+    bounds = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int32))
+    fields = [pa.array(np.zeros(rows, dtype=np.int8)), pa.array(np.full(rows, behind[-1], dtype=np.int32)), pa.ListArray.from_arrays(bounds, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(value))]
+    return pa.StructArray.from_arrays(fields, names=["type", "size", "indices", "values"])
+
+
 def with_terms(rows: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return rows.withColumn("word_terms", word_terms(text)).withColumn("char_terms", char_terms(text))

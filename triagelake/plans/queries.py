@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import casework, cluster, corpus, features, gate, head, ladder, metrics, privacy
+from ..operators import casework, cluster, corpus, features, gate, head, ladder, metrics, privacy, scorer
 from ..sources import seed, stores, tables
 from ..streaming import cases as case_stream
 from . import standins as S
@@ -567,6 +567,30 @@ def text_baseline(spark, d):
     return model.predict(rows.filter(~half)).groupBy("harm", "predicted").agg(F.count("*").alias("n"))
 
 
+#: A classifier for checks: so many logits for each time that its word is there. Turns over 150 signs are more than it takes.
+SCORED_WORDS, SCORED_CHARS = ("the", "of", "in", "and", "to"), 150
+
+
+def _count_words():
+    import re
+
+    import numpy as np
+
+    def predict(texts):
+        out = np.array([[0.0, *[0.5 * re.findall(r"[a-z]+", t).count(w) for w in SCORED_WORDS]] for t in texts])
+        out[[len(t) > SCORED_CHARS for t in texts]] = np.nan
+        return out
+
+    return predict
+
+
+@query
+def scored_turns(spark, d):
+    """Turns through the seam: probabilities at a temperature, and what failed as null."""
+    rows = scorer.scored(S.turns(spark, d).select("case_id", "turn", "text"), scorer.batched(_count_words), temperature=1.5)
+    return rounded(rows.select("case_id", "turn", "outcome", F.get("probs", F.lit(0)).alias("none"), F.array_max("probs").alias("top")))
+
+
 @query
 def seed_report(spark, d):
     """A dry run of the seed load."""
