@@ -68,6 +68,7 @@ def raw_matches(turns: DataFrame, patterns: Sequence = PATTERNS, suppressors: Se
     rules = [(c, s, n, re.compile(rx, flags)) for c, s, n, rx in ordered]
     cancels = [(c, re.compile(rx, flags)) for c, _, rx in suppressors]
     likely = prefilter(ordered)
+    each = [prefilter([p]) for p in ordered]
     hit = pa.struct([("category", pa.string()), ("severity", pa.string()), ("weight", pa.float64()), ("name", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
     span = pa.struct([("category", pa.string()), ("a", pa.int32()), ("b", pa.int32())])
 
@@ -75,10 +76,19 @@ def raw_matches(turns: DataFrame, patterns: Sequence = PATTERNS, suppressors: Se
         for batch in batches:
             found, cancelled = [], []
             maybe = np.asarray(pc.or_(*(pc.fill_null(pc.match_substring_regex(batch.column(c), likely), False) for c in ("low", "norm")))) if likely else np.ones(batch.num_rows, dtype=bool)
-            for text, low, norm, look in zip(batch.column("text").to_pylist(), batch.column("low").to_pylist(), batch.column("norm").to_pylist(), maybe.tolist(), strict=True):
+            # Of the few turns that any pattern is in, each pattern is asked for in one go; only where it is there its places are looked for.
+            few = np.flatnonzero(maybe)
+            hays = [batch.column(c).take(pa.array(few)) for c in ("low", "norm")]
+            present = np.ones((len(few), len(rules)), dtype=bool)
+            for i, one in enumerate(each if len(few) else ()):
+                if one:
+                    present[:, i] = np.asarray(pc.or_(*(pc.fill_null(pc.match_substring_regex(h, one), False) for h in hays)))
+            asked = dict(zip(few.tolist(), present, strict=True))
+            for row, (text, low, norm) in enumerate(zip(batch.column("text").to_pylist(), batch.column("low").to_pylist(), batch.column("norm").to_pylist(), strict=True)):
                 # Offsets are the raw text's only if lower-casing kept its length.
-                hay = () if not look or not (text or "").strip() else (low,) if low == norm else (low, norm)
-                hits = [{"category": c, "severity": s, "weight": WEIGHTS[s], "name": n, "a": m.start(), "b": m.end()} for c, s, n, rx in rules for h in hay for m in rx.finditer(h)]
+                hay = () if row not in asked or not (text or "").strip() else (low,) if low == norm else (low, norm)
+                mine = [rules[i] for i in np.flatnonzero(asked[row]).tolist()] if hay else ()
+                hits = [{"category": c, "severity": s, "weight": WEIGHTS[s], "name": n, "a": m.start(), "b": m.end()} for c, s, n, rx in mine for h in hay for m in rx.finditer(h)]
                 fired = {h["category"] for h in hits}
                 found.append(hits)
                 cancelled.append([{"category": c, "a": m.start(), "b": m.end()} for c, rx in cancels if c in fired for h in hay for m in rx.finditer(h)])
