@@ -1,7 +1,9 @@
 """The largest lexical score of all pairs, found without forming most of them."""
 
+import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,36 @@ def test_no_cases_and_one_case_have_no_best(spark):
     words = spark.createDataFrame([("a", "x"), ("a", "y")], "case_id string, term string")
     for rows in (words, words.limit(0)):
         assert cluster.best_bm25(cluster._term_parts(rows)).first()["top"] == 0.0
+
+
+DAY = datetime.datetime(2026, 1, 1)
+
+
+def test_a_crowded_slot_is_cut_and_its_links_are_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    when = {f"c{i:03d}": DAY + datetime.timedelta(days=rng.choice([0, 1, 5, 13.5, 14, 20, 27.9])) for i in range(150)}
+    cases = spark.createDataFrame(list(when.items()), "case_id string, started_at timestamp")
+    tokens = spark.createDataFrame([(c, "person", "hot") for c in when] + [(c, "place", f"p{i % 40}") for i, c in enumerate(when)], "case_id string, kind string, token string")
+    key = lambda rows: sorted((r["a"], r["b"], r["days_apart"], tuple(r["shared_people"]), tuple(r["shared_places"])) for r in rows.collect())
+    whole = key(cluster.links(tokens, cases))
+    want = {(a, b) for a in when for b in when if a < b and abs((when[a] - when[b]).total_seconds()) <= 14 * 86400}
+    assert {(a, b) for a, b, *_ in whole} == want and len(whole) == len(want)
+    monkeypatch.setattr(cluster, "CROWD", 16)
+    assert key(cluster.links(tokens, cases)) == whole
+    counted = {(r["kind"], r["token"]): (r["n_cases"], r["n_links"]) for r in cluster.link_counts(tokens, cases, parts=7).collect()}
+    assert counted["person", "hot"] == (150, len(want))
+    assert sum(n for (kind, _), (_, n) in counted.items() if kind == "place") == sum(len(p[4]) for p in whole)
+
+
+def test_links_of_100_000_cases_of_one_token_are_counted_by_part(spark):
+    n, width = 100_000, 14 * 86_400_000_000
+    cases = spark.range(n).select(F.concat(F.lit("c"), "id").alias("case_id"), F.timestamp_micros(F.lit(1_767_225_600_000_000) + F.pmod(F.xxhash64("id"), F.lit(3 * width))).alias("started_at"), "id")
+    tokens = cases.select("case_id", F.lit("person").alias("kind"), F.lit("hot").alias("token"))
+    got = cluster.link_counts(tokens, cases).first()
+    t = np.sort(np.array([r[0] for r in cases.select(F.unix_micros("started_at")).collect()]))
+    assert (got["n_cases"], got["n_links"]) == (n, int((np.searchsorted(t, t + width, side="right") - np.arange(n) - 1).sum()))
+    same = cluster.link_counts(tokens, cases.withColumn("started_at", F.lit(DAY).cast("timestamp"))).first()
+    assert same["n_links"] == n * (n - 1) // 2
+    # Rows of the crowded slots are dealt over parts: none of them holds more than a few times its share.
+    parts = cases.groupBy(F.expr(f"pmod(unix_micros(started_at), {width}) * {cluster.PARTS} div {width}").alias("part")).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert parts[1] == cluster.PARTS and parts[0] < 3 * n / cluster.PARTS

@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 WINDOW_DAYS, LEAST_CLUSTER = 14, 3
 K1, B = 1.5, 0.75
+#: Cases of a token in one time slot above which the slot is cut into parts; how many tasks such a slot's rows are dealt over; parts of a slot that is swept.
+CROWD, SALTS, PARTS = 4096, 64, 1024
 
 
 def entity_tokens(entities: DataFrame, key: bytes) -> DataFrame:
@@ -27,16 +31,26 @@ def links(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS)
     """Pairs a < b of cases that share a token within the window: shared people, places, entity overlap and days apart.
 
     ``tokens`` (case_id, kind, token), ``cases`` (case_id, started_at). Both sides are dealt by token and by a time slot as long as
-    the window, each case meeting its own slot and the next, so a token in very many cases is joined slot by slot.
+    the window, each case meeting its own slot and the next, so a token in very many cases is joined slot by slot. A slot of over ``CROWD`` cases is cut
+    into parts of about as many: each part of the one side meets copies of the whole other side, so no task lists more than a part's links.
     """
     slot = F.floor(F.unix_micros("started_at") / F.lit(window_days * 86_400_000_000.0)).cast("long")
     dated = tokens.join(cases.select("case_id", "started_at"), "case_id").withColumn("slot", slot)
     sizes = tokens.groupBy("case_id", "kind").agg(F.count("*").alias("size")).groupBy("case_id").agg(F.sum(F.when(F.col("kind") == "person", F.col("size")).otherwise(0)).alias("n_people"), F.sum(F.when(F.col("kind") == "place", F.col("size")).otherwise(0)).alias("n_places"))
-    left = dated.select("kind", "token", F.col("case_id").alias("x"), F.col("started_at").alias("tx"), "slot")
-    right = dated.select("kind", "token", F.col("case_id").alias("y"), F.col("started_at").alias("ty"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
+    crowds = dated.groupBy("kind", "token", "slot").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("kind", "token", "slot", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+
+    def with_parts(rows: DataFrame, case: str) -> DataFrame:
+        """Rows of a crowd are many of one key: they meet its number of parts on a salt."""
+        copied = crowds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("_salt", F.pmod(F.xxhash64(case), F.lit(SALTS)).cast("int")).join(copied, ["kind", "token", "slot", "_salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("_salt")
+
+    own = with_parts(dated.select("kind", "token", F.col("case_id").alias("x"), F.col("started_at").alias("tx"), "slot"), "x")
+    left = own.withColumn("part", F.pmod(F.hash("x"), F.col("parts"))).drop("parts")
+    other = with_parts(dated.select("kind", "token", F.col("case_id").alias("y"), F.col("started_at").alias("ty"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot")), "y")
+    right = other.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     apart = F.abs(F.unix_micros("tx") - F.unix_micros("ty")) / F.lit(8.64e10)
     # A pair in one slot meets in both orders, one in neighbouring slots once: order it, then count each token once.
-    met = left.join(right, ["kind", "token", "slot"]).filter((F.col("x") != F.col("y")) & (apart <= window_days))
+    met = left.join(right, ["kind", "token", "slot", "part"]).filter((F.col("x") != F.col("y")) & (apart <= window_days))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind", "token", apart.alias("days_apart")).distinct()
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("token"))))
     shared = pairs.groupBy("a", "b").agg(F.first("days_apart").alias("days_apart"), of("person").alias("shared_people"), of("place").alias("shared_places"))
@@ -45,6 +59,28 @@ def links(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS)
     return both.select("a", "b", "days_apart", "shared_people", "shared_places", F.greatest(jaccard("shared_people", "pa", "pb"), jaccard("shared_places", "la", "lb")).alias("entity_overlap"))
 
 
+def link_counts(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS, parts: int = PARTS) -> DataFrame:
+    """(kind, token, n_cases, n_links): how many pairs of cases of each token ``links`` would list for it, without listing any.
+
+    Cases of one time slot as long as the window are all linked. Those of neighbouring slots are if the later one stands no further into its slot than the earlier one
+    into its own: both are swept in order of that place, in ``parts`` parts of the slot, each after the sums of the parts before it. Cases of one moment are one row.
+    """
+    width = int(window_days * 86_400_000_000)
+    micros = F.unix_micros("started_at")
+    dated = tokens.join(cases.select("case_id", "started_at"), "case_id").select("kind", "token", F.floor(micros / F.lit(width)).cast("long").alias("slot"), F.pmod(micros, F.lit(width)).alias("into"))
+    moments = checkpointed(dated.groupBy("kind", "token", "slot", "into").agg(F.count("*").alias("n")))
+    inside = moments.groupBy("kind", "token", "slot").agg(F.sum("n").alias("n")).groupBy("kind", "token").agg(F.sum("n").alias("n_cases"), F.sum(F.expr("n * (n - 1) div 2")).alias("inside"))
+    earlier = moments.select("kind", "token", "slot", "into", F.col("n").alias("x"), F.lit(0).cast("long").alias("y"))
+    later = moments.select("kind", "token", (F.col("slot") - 1).alias("slot"), "into", F.lit(0).cast("long").alias("x"), F.col("n").alias("y"))
+    both = earlier.unionByName(later).groupBy("kind", "token", "slot", "into").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).withColumn("part", F.expr(f"into * {parts} div {width}"))
+    keys = ["kind", "token", "slot"]
+    sums = both.groupBy(*keys, "part").agg(F.sum("y").alias("y"))
+    before = sums.select(*keys, "part", (F.sum("y").over(Window.partitionBy(*keys).orderBy("part")) - F.col("y")).alias("before"))
+    swept = both.withColumn("here", F.sum("y").over(Window.partitionBy(*keys, "part").orderBy("into"))).filter("x > 0").join(before, [*keys, "part"])
+    across = swept.groupBy("kind", "token").agg(F.sum(F.col("x") * (F.col("before") + F.col("here"))).alias("across"))
+    return inside.join(across, ["kind", "token"], "left").select("kind", "token", "n_cases", (F.col("inside") + F.coalesce("across", F.lit(0))).alias("n_links"))
+
+
 def spanning_links(tokens: DataFrame, cases: DataFrame, window_days: float = WINDOW_DAYS) -> DataFrame:
     """(kind, token, a, b): few links that connect exactly what all of ``links`` connect, in number linear in the rows.
 
@@ -127,8 +163,6 @@ def best_bm25(parts: DataFrame) -> DataFrame:
 
     Pairs that share a rare, heavy term give a score to beat; then only pairs that may beat it are formed and scored.
     """
-    from ..sources.tables import checkpointed
-
     index = checkpointed(term_index(parts))
     own = index.select("case_id", "term", "part")
     found = _scores(own, bm25_seeds(index)).agg(F.max("bm25")).first()[0] or 0.0
@@ -142,8 +176,6 @@ def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
     ``words``: (case_id, term), repeats kept. The norm divides by the largest score of all pairs. ``among`` (a, b) limits the rows to
     given pairs, such as links, but not the norm: without it every two cases with a common term are listed, which suits small sets only.
     """
-    from ..sources.tables import checkpointed
-
     parts = checkpointed(_term_parts(words))
     scored = _scores(parts, among)
     top = scored.agg(F.max("bm25").alias("top")) if among is None else best_bm25(parts)
@@ -162,8 +194,6 @@ def gram_cosine(grams: DataFrame, among: DataFrame | None = None) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) by least-label rounds with pointer jumping; each round is checkpointed and stops at no change."""
-    from ..sources.tables import checkpointed
-
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v").distinct())
     labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     for _ in range(rounds):
@@ -224,8 +254,6 @@ def alerts(tokens: DataFrame, cases: DataFrame, tiers: DataFrame | None = None,
 
     For alerts of some thousand cases at most; ``alert_members`` and ``alert_facts`` give the same of any size.
     """
-    from ..sources.tables import checkpointed
-
     tied = checkpointed(spanning_links(tokens, cases, window_days))
     members = checkpointed(alert_members(tokens, cases, least, window_days, tied))
     facts = alert_facts(members, tokens, cases, window_days, tied)

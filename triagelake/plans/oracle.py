@@ -189,6 +189,7 @@ ORACLE_SQL = {
     "bm25_pairs": f"WITH {ST}, {WORDS}, tf AS (SELECT case_id, term, count(*) AS tf FROM w GROUP BY 1, 2), ln_ AS (SELECT case_id, sum(tf) AS length FROM tf GROUP BY 1), fa AS (SELECT count(*) AS n, avg(length) AS m FROM ln_), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), p AS (SELECT x.case_id AS a, y.case_id AS b, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * y.tf * 2.5 / (y.tf + 1.5 * (0.25 + 0.75 * length / m))) AS bm25 FROM tf x JOIN tf y ON x.term = y.term AND x.case_id < y.case_id JOIN ln_ ON ln_.case_id = y.case_id JOIN df ON df.term = x.term CROSS JOIN fa GROUP BY 1, 2) SELECT a, b, round(bm25, 6) AS bm25, round(bm25 / max(bm25) OVER (), 6) AS bm25_norm FROM p",
     "trigram_cosine": f"WITH {ST}, {ACCOUNTS}, {GRAMS}, t AS (SELECT case_id, gram, count(*) AS n FROM gr GROUP BY 1, 2), nm AS (SELECT case_id, sqrt(sum(n * n)) AS norm FROM t GROUP BY 1), p AS (SELECT x.case_id AS a, y.case_id AS b, sum(x.n * y.n) AS dot FROM t x JOIN t y ON x.gram = y.gram AND x.case_id < y.case_id GROUP BY 1, 2) SELECT a, b, round(dot / (na.norm * nb.norm), 6) AS cosine FROM p JOIN nm na ON na.case_id = a JOIN nm nb ON nb.case_id = b",
     "components": f"WITH RECURSIVE {COMPONENTS} SELECT node, component FROM comp",
+    "link_counts": f"WITH {ST}, {CASES}, {ACCOUNTS}, {TOKENS}, met AS (SELECT x.kind, x.token, count(*) AS n FROM en x JOIN en y ON x.kind = y.kind AND x.token = y.token AND x.case_id < y.case_id JOIN cases cx ON cx.case_id = x.case_id JOIN cases cy ON cy.case_id = y.case_id WHERE abs(epoch_us(cx.started_at) - epoch_us(cy.started_at)) / 86400000000.0 <= 14 GROUP BY 1, 2) SELECT e.kind, e.token, e.n AS n_cases, coalesce(met.n, 0) AS n_links FROM (SELECT kind, token, count(*) AS n FROM en GROUP BY 1, 2) e LEFT JOIN met ON met.kind = e.kind AND met.token = e.token",
     "alert_tokens": f"WITH RECURSIVE {ALERTED}, each AS (SELECT component, 'person' AS kind, unnest(string_split(people, ',')) AS token FROM links JOIN comp ON node = a UNION SELECT component, 'place', unnest(string_split(places, ',')) FROM links JOIN comp ON node = a) SELECT 'cluster-' || component AS cluster_id, kind, token FROM each JOIN mem USING (component) WHERE token <> ''",
     "alert_links": f"WITH RECURSIVE {ALERTED} SELECT 'cluster-' || component AS cluster_id, a, b, round(days_apart, 6) AS days_apart, round(greatest(coalesce(sp / nullif(sa.np + sb.np - sp, 0), 0.0), coalesce(sl / nullif(sa.nl + sb.nl - sl, 0), 0.0)), 6) AS entity_overlap FROM links JOIN comp ON node = a JOIN mem USING (component) JOIN sz sa ON sa.case_id = a JOIN sz sb ON sb.case_id = b",
     "pattern_alerts": f"WITH RECURSIVE {ALERTED} SELECT 'cluster-' || component AS cluster_id, size, members, tiers, round(span, 6) AS span_days, CAST(n_people AS BIGINT) AS n_people, CAST(n_places AS BIGINT) AS n_places, size || ' separate reports' || CASE WHEN n_places > 0 THEN ', naming the same location' ELSE '' END || CASE WHEN n_people > 0 THEN ', naming the same person' ELSE '' END || ', within ' || CAST(round_even(span, 0) AS BIGINT) || ' days' AS headline FROM mem JOIN tk USING (component)",

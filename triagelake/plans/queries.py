@@ -446,6 +446,12 @@ def link_rows(spark, d):
     return out.select("a", "b", "entity_overlap", "lexical", "days_apart", F.array_join("shared_people", ",").alias("people"), F.array_join("shared_places", ",").alias("places"), "reason")
 
 
+@query
+def link_counts(spark, d):
+    """How many links each shared person or place makes."""
+    return cluster.link_counts(_tokens(spark, d), S.cases(spark, d))
+
+
 @query
 def alert_tokens(spark, d):
     """The people and places that an alert's links share."""
