@@ -65,27 +65,53 @@ def retention_expiry(started_at: Column, tier: Column) -> Column:
     return F.when(F.coalesce(tier.isin(*ESCALATED), F.lit(False)), F.lit(None).cast("timestamp")).otherwise(started_at + F.expr(f"INTERVAL {KEEP_DAYS} DAYS"))
 
 
-def build_cards(cases: DataFrame, timeline: DataFrame, quotes: DataFrame, reports: DataFrame | None = None) -> DataFrame:
-    """One nested record for each decided case: reasons, risk by turn, quotes, expiry and rank.
+def _turn_id(turn: Column) -> Column:
+    return F.concat(F.lit("turn-"), turn.cast("string"))
+
+
+def build_cards(cases: DataFrame, timeline: DataFrame, quotes: DataFrame, reports: DataFrame | None = None, entities: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """One nested record for each decided case: reasons, risk by turn, quotes, entities, expiry, rank and alert.
 
     ``cases`` come from decide_case with started_at and handle; ``timeline`` has (case_id, turn, risk), ``quotes`` (case_id, rank, turn, quote,
-    score, reason), ``reports`` (case_id, report: marker sentences). A card holds its case's risks in one row, as long as the conversation.
+    score, reason), ``reports`` (case_id, report: marker sentences). ``entities`` (case_id, people, places, platforms) and ``clusters`` (case_id, cluster_id) come
+    from work across conversations; without them a card's are empty. There is no earlier session to differ from yet. A card holds its case's risks in
+    one row, as long as the conversation.
     """
-    line = timeline.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("ordinal"), F.round("risk", 4).alias("risk")))).alias("session_timeline"), F.count("*").alias("n_student_turns"))
-    cited = quotes.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "turn", "quote", "score", "reason"))), lambda q: F.struct(q["turn"].alias("turn"), q["quote"].alias("quote"), q["score"].alias("score"), q["reason"].alias("reason"))).alias("cited_quotes"))
+    line = timeline.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "risk"))), lambda t: F.struct(_turn_id(t["turn"]).alias("turn_id"), t["turn"].alias("ordinal"), F.round(t["risk"], 4).alias("risk"))).alias("session_timeline"), F.count("*").alias("n_student_turns"))
+    cited = quotes.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "turn", "quote", "score", "reason"))), lambda q: F.struct(_turn_id(q["turn"]).alias("turn_id"), q["turn"].alias("turn"), q["quote"].alias("quote"), q["score"].alias("score"), q["reason"].alias("reason"))).alias("cited_quotes"))
     gate = F.transform(F.filter(F.split("categories", ","), lambda c: c != ""), lambda c: _lookup(GATE_REASONS, c))
     out = cases.join(line, "case_id", "left").join(cited, "case_id", "left")
     out = out.join(reports, "case_id", "left") if reports is not None else out.withColumn("report", F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    known = out.select("case_id", none.alias("people"), none.alias("places"), none.alias("platforms")).limit(0) if entities is None else entities.select("case_id", "people", "places", "platforms")
+    out = out.join(known, "case_id", "left")
+    out = out.withColumn("cluster_id", F.lit(None).cast("string")) if clusters is None else out.join(clusters.select("case_id", "cluster_id"), "case_id", "left")
     sentence = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))), F.lit("."))
     told = F.transform(F.coalesce("report", F.array().cast("array<string>")), sentence)
     why = F.when(F.col("floor_reason").isNotNull(), F.array(sentence(F.col("floor_reason")))).otherwise(F.array().cast("array<string>"))
     return out.select(
         "case_id", "handle", "tier", F.round("confidence", 4).alias("confidence"), F.col("floor_reason").alias("tier_floor_reason"), F.col("floor").alias("gate_floor"), F.filter(F.split("categories", ","), lambda c: c != "").alias("gate_indicators"),
         _lookup(TIER_ACTIONS, F.col("tier")).alias("action"), _lookup(TIER_HOURS, F.col("tier")).alias("sla_hours"), F.coalesce("n_student_turns", F.lit(0)).alias("n_student_turns"), F.concat(F.array(_lookup(TIER_REASONS, F.col("tier"))), gate, told, why).alias("reasons"), "session_timeline",
-        F.coalesce("cited_quotes", F.array().cast("array<struct<turn:bigint,quote:string,score:double,reason:string>>")).alias("cited_quotes"), retention_expiry(F.col("started_at"), F.col("tier")).alias("retention_expires_at"), F.round("queue_rank", 4).alias("queue_rank"), F.round("escalation", 4).alias("escalation"), "model_tier", F.col("requires_crisis").alias("crisis_shown"),
+        F.coalesce("cited_quotes", F.array().cast("array<struct<turn_id:string,turn:bigint,quote:string,score:double,reason:string>>")).alias("cited_quotes"), retention_expiry(F.col("started_at"), F.col("tier")).alias("retention_expires_at"), F.round("queue_rank", 4).alias("queue_rank"), F.round("escalation", 4).alias("escalation"), "model_tier", F.col("requires_crisis").alias("crisis_shown"),
+        F.struct(*[F.coalesce(c, none).alias(c) for c in ("people", "places", "platforms")]).alias("entities"), F.lit(None).cast("string").alias("delta_since_last_session"), F.col("cluster_id").alias("pattern_cluster_id"), "started_at",
     )
 
 
+def card_json(cards: DataFrame) -> DataFrame:
+    """(case_id, tier, card): each card as a document, empty fields kept."""
+    return cards.select("case_id", "tier", F.to_json(F.struct(*[c for c in cards.columns if c not in ("case_id", "tier")]), {"ignoreNullFields": "false"}).alias("card"))
+
+
+def ranked_cards(cards: DataFrame) -> DataFrame:
+    """``cards`` with their place in the list that is written: highest rank first, then tier, then id.
+
+    Numbered range by range, so a list of any length is not one task's work.
+    """
+    from ..functions.ranking import numbered
+
+    return numbered(cards, [F.desc("queue_rank"), F.desc("tier"), F.col("case_id")], "place", 1)
+
+
 def gate_cards(verdicts: DataFrame, hits: DataFrame, turns: DataFrame, cases: DataFrame) -> DataFrame:
     """Cards of cases that only the gate has seen: tier from the floor (T0 without one), no confidence, and the top of the floor's band as rank.
 

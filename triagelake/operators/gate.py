@@ -142,6 +142,17 @@ def verdicts(hits: DataFrame, scope: DataFrame, keys: Sequence[str]) -> DataFram
     )
 
 
+def verdict_json(verdicts: DataFrame, hits: DataFrame) -> DataFrame:
+    """(case_id, verdict): what the gate emits as a document; ``hits`` are those that count (real_hits), in order of turn and place."""
+    listed = hits.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("turn", "place", "category", "name", "severity", "said"))).alias("h"))
+    told = F.transform("h", lambda h: F.struct(h["category"].alias("category"), h["name"].alias("pattern"), h["severity"].alias("severity"), h["turn"].alias("turn_index"), h["said"].alias("text")))
+    none = F.array().cast("array<struct<category:string,pattern:string,severity:string,turn_index:bigint,text:string>>")
+    fields = F.struct(
+        F.round("score", 4).alias("score"), "level", (F.col("level") == "high").alias("is_high"), (F.col("level") == "grey").alias("is_grey"), F.filter(F.split("categories", ","), lambda c: c != "").alias("indicators"), "floor", "ceiling", F.coalesce(told, none).alias("hits"),
+    )
+    return verdicts.join(listed, "case_id", "left").select("case_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("verdict"))
+
+
 def real_hits(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hits without those of modifiers that have nothing to modify in their scope."""
     real = hits.filter(~F.col("category").isin(MODIFIERS)).select(*keys).distinct()

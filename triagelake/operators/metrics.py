@@ -164,8 +164,9 @@ def simulated_recall(cases: DataFrame, prior: dict[str, float], weeks: int = 500
     sizes = cases.groupBy("tier").agg(F.count("*").alias("size"))
     quota = [(t, round(p * intake)) for t, p in prior.items()]
     slots = spark.range(weeks).withColumnRenamed("id", "week").crossJoin(F.broadcast(spark.createDataFrame(quota, "tier string, quota int"))).select("week", "tier", F.explode(F.expr("sequence(1, quota)")).alias("slot"))
-    drawn = slots.join(F.broadcast(sizes), "tier").withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "week", "tier", "slot"), F.col("size")))
-    jitter = F.pmod(F.xxhash64(F.lit(seed + 1), "week", "tier", "slot"), F.lit(1000)) * 1e-12
+    number = lambda n: F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(str(n)), "week", "tier", "slot")), 1, 15), 16, 10).cast("long")
+    drawn = slots.join(F.broadcast(sizes), "tier").withColumn("place", F.pmod(number(seed), F.col("size")))
+    jitter = F.pmod(number(seed + 1), F.lit(1000)) * 1e-12
     filled = drawn.join(numbered.select("tier", "place", "score"), ["tier", "place"]).withColumn("r", F.row_number().over(Window.partitionBy("week").orderBy(F.desc(F.col("score") + jitter), "tier", "slot")))
     risky = F.col("tier").isin("T3", "T4")
     weekly = filled.groupBy("week").agg(F.try_divide(F.count_if(risky & (F.col("r") <= budget)).cast("double"), F.count_if(risky)).alias("recall"))

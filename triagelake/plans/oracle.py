@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.fixed_values import DURATIONS, MARKERS, PATTERNS, STOP_WORDS
+from ..operators.casework import GATE_REASONS, TIER_REASONS
 from ..operators.gate import CATEGORIES, WEIGHTS
 from . import queries as Q
 from . import standins as S
@@ -115,6 +116,31 @@ HOURS = "CAST(CASE {t} WHEN 'T2' THEN 48 WHEN 'T3' THEN 24 WHEN 'T4' THEN 0 END
 ACTION = "CASE {t} WHEN 'T0' THEN 'Log only' WHEN 'T1' THEN 'Log, no counsellor action' WHEN 'T2' THEN 'Queue, routine' WHEN 'T3' THEN 'Queue, priority' ELSE 'Break-glass immediately, crisis resources to student' END"
 
 
+NAMES = "nm_ AS (SELECT case_id, string_agg(DISTINCT category || ' / ' || name, ', ' ORDER BY category || ' / ' || name) AS names FROM fired WHERE weight >= 0.6 GROUP BY 1)"
+FLOOR_REASON = "CASE WHEN coalesce(cap.fr, 0) > capped THEN 'floored to T' || cap.fr || ' by the safety gate: ' || names WHEN coalesce(cap.fr, 0) <> 4 AND dc.model_tier = 'T4' AND capped = 4 THEN 'model proposed T4 above the gate ceiling T3; allowed on strong calibrated self-harm evidence' WHEN coalesce(cap.fr, 0) <> 4 AND dc.model_tier = 'T4' THEN 'capped at T3: no self-harm, abuse disclosure or imminent danger evidence in the transcript' END"
+
+
+def _reasons() -> str:
+    """Of each case the sentences of its card, as a list."""
+    case = lambda values, key: f"CASE {key} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in values.items()) + " END"
+    sentence = lambda x: f"upper(substr({x}, 1, 1)) || lower(substr({x}, 2)) || '.'"
+    targets = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(account, {lit(p)}, 'i') THEN {lit(n.replace('_', ' '))} END" for f, n, p in MARKERS if f == "identity") + "], lambda x: x IS NOT NULL), ', ')"
+    told = f"[CASE WHEN duration_weeks >= 4 THEN 'ongoing for roughly ' || CAST(duration_weeks AS INT) || '+ weeks' END, CASE WHEN avoidance_count > 0 THEN 'student has changed their behaviour to avoid it' END, CASE WHEN frequency_count >= 2 THEN 'described as recurring' END, CASE WHEN identity_count > 0 THEN 'targets a protected characteristic: ' || {targets} END, CASE WHEN barrier_count > 0 THEN 'barrier to disclosure reported' END, {FLOOR_REASON}]"
+    gate = f"list_transform(list_filter(string_split(categories, ','), lambda x: x <> ''), lambda x: {case(GATE_REASONS, 'x')})"
+    return f"{NAMES}, rs AS (SELECT dc.case_id, list_concat(list_concat([{case(TIER_REASONS, 'dc.tier')}], {gate}), list_transform(list_filter({told}, lambda x: x IS NOT NULL), lambda x: {sentence('x')})) AS reasons FROM dc JOIN cap USING (case_id) JOIN verdicts USING (case_id) JOIN mk USING (case_id) JOIN acc USING (case_id) LEFT JOIN nm_ USING (case_id))"
+
+
+def _recall(weeks: int = 500, intake: int = 100, budget: int = 20, seed: int = 7) -> str:
+    quota = ", ".join(f"('{t}', {round(p * intake)})" for t, p in Q.WEEKLY.items())
+    number = lambda n: f"CAST('0x' || substr(sha1('{n}:' || week || ':' || q.tier || ':' || slot), 1, 15) AS BIGINT)"
+    return f"""WITH {DECIDE}, rk AS (SELECT case_id, 'T' || (conv_id % 5) AS tier, queue_rank AS score, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY sha1(case_id), case_id) - 1 AS place, count(*) OVER (PARTITION BY conv_id % 5) AS size FROM dc JOIN cases USING (case_id) WHERE conv_id % 7 <> 6),
+ sl AS (SELECT week, q.tier, slot FROM (SELECT range AS week FROM range({weeks})) w, (SELECT tier, unnest(range(1, n + 1)) AS slot FROM (VALUES {quota}) v(tier, n)) q),
+ dr AS (SELECT q.*, {number(seed)} % size AS place, ({number(seed + 1)} % 1000) * 1e-12 AS jitter FROM sl q JOIN (SELECT DISTINCT tier, size FROM rk) z USING (tier)),
+ fi AS (SELECT week, tier, row_number() OVER (PARTITION BY week ORDER BY score + jitter DESC, tier, slot) AS r FROM dr JOIN rk USING (tier, place)),
+ wk AS (SELECT week, CAST(count(*) FILTER (tier IN ('T3', 'T4') AND r <= {budget}) AS DOUBLE) / nullif(count(*) FILTER (tier IN ('T3', 'T4')), 0) AS recall FROM fi GROUP BY 1)
+ SELECT round(avg(recall), 6) AS mean_recall, round(stddev_pop(recall), 6) AS sd_recall, count(*) AS weeks FROM wk"""
+
+
 def _pseudonyms() -> str:
     block = S.KEY.ljust(64, b"\0")
     pad = lambda x: "'" + "".join(f"\\x{b ^ x:02X}" for b in block) + "'::BLOB"
@@ -203,7 +229,13 @@ ORACLE_SQL = {
     "head_apply": f"WITH {ST}, {PR}, {TURN_FEATURES}, {_head()} SELECT case_id, model_tier, {round_all(['confidence', 'raw_escalation', 'escalation'])} FROM ha",
     "decided_cases": f"WITH {DECIDE} SELECT case_id, model_tier, tier, round(queue_rank, 6) AS queue_rank FROM dc",
     "queue_order": f"WITH {DECIDE}, q AS (SELECT case_id, tier, floor(queue_rank) AS queue_rank, conv_id % 2 = 0 AS is_live FROM dc JOIN cases USING (case_id) WHERE tier IN ('T2', 'T3', 'T4')) SELECT *, row_number() OVER (PARTITION BY tier ORDER BY queue_rank DESC, is_live DESC, case_id) AS place FROM q",
-    "card_fields": f"WITH {DECIDE}, {PLACED}, {QUEUED}, {QUOTES}, nq AS (SELECT case_id, count(*) AS n FROM qs WHERE rank <= 3 GROUP BY 1), nt AS (SELECT case_id, count(*) AS n FROM st GROUP BY 1), nm_ AS (SELECT case_id, string_agg(DISTINCT category || ' / ' || name, ', ' ORDER BY category || ' / ' || name) AS names FROM fired WHERE weight >= 0.6 GROUP BY 1) SELECT dc.case_id, handle, dc.tier, round(confidence, 4) AS confidence, CASE WHEN coalesce(cap.fr, 0) > capped THEN 'floored to T' || cap.fr || ' by the safety gate: ' || names WHEN coalesce(cap.fr, 0) <> 4 AND dc.model_tier = 'T4' AND capped = 4 THEN 'model proposed T4 above the gate ceiling T3; allowed on strong calibrated self-harm evidence' WHEN coalesce(cap.fr, 0) <> 4 AND dc.model_tier = 'T4' THEN 'capped at T3: no self-harm, abuse disclosure or imminent danger evidence in the transcript' END AS tier_floor_reason, 'T' || cap.fr AS gate_floor, categories AS gate_indicators, {ACTION.format(t='dc.tier')} AS action, {HOURS.format(t='dc.tier')} AS sla_hours, nt.n AS n_student_turns, round(queue_rank, 4) AS queue_rank, round(escalation, 4) AS escalation, dc.model_tier, coalesce(cap.fr = 4, false) AS crisis_shown, CASE WHEN dc.tier NOT IN ('T3', 'T4') THEN started_at + INTERVAL 30 DAYS END AS retention_expires_at, coalesce(nq.n, 0) AS n_quotes FROM dc JOIN cap USING (case_id) JOIN verdicts USING (case_id) JOIN cases USING (case_id) JOIN nt USING (case_id) LEFT JOIN nq USING (case_id) LEFT JOIN nm_ USING (case_id)",
+    "card_reasons": f"WITH {DECIDE}, {ACCOUNTS}, {_markers()}, {_reasons()} SELECT case_id, unnest(reasons) AS reason, CAST(generate_subscripts(reasons, 1) - 1 AS BIGINT) AS place FROM rs",
+    "card_lists": rf"WITH {ST}, {PR}, {ACCOUNTS}, tk0 AS (SELECT case_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM (SELECT case_id, string_split_regex(account, '[^A-Za-z]+') AS ws FROM acc)), nt_ AS (SELECT case_id, CASE WHEN regexp_full_match(token, '[A-Z][a-z]{{5,}}') THEN 'people' WHEN regexp_full_match(token, '[a-z]{{10,}}') THEN 'places' END AS part, token, min(i) AS i FROM tk0 GROUP BY ALL) SELECT case_id, part, row_number() OVER (PARTITION BY case_id, part ORDER BY i) - 1 AS place, token AS what, CAST(NULL AS DOUBLE) AS risk FROM nt_ WHERE part IS NOT NULL UNION ALL SELECT case_id, 'turn', turn, 'turn-' || turn, round(risk, 4) FROM pr",
+    "card_places": f"WITH {DECIDE} SELECT row_number() OVER (ORDER BY round(queue_rank, 4) DESC, tier DESC, case_id) AS place, case_id, tier, round(queue_rank, 4) AS queue_rank FROM dc",
+    "verdict_json": f"""WITH {CONV}, {PLACED}, hl AS (SELECT case_id, string_agg('{{"category":"' || category || '","pattern":"' || name || '","severity":"' || severity || '","turn_index":' || turn || ',"text":"' || said || '"}}', ',' ORDER BY turn, i, a) AS hits FROM oc GROUP BY 1)
+ SELECT case_id, '{{"score":' || CAST(round(score, 4) AS VARCHAR) || ',"level":"' || CASE WHEN score >= 0.70 THEN 'high' WHEN score >= 0.35 THEN 'grey' ELSE 'clear' END || '","is_high":' || (score >= 0.70) || ',"is_grey":' || (score >= 0.35 AND score < 0.70) || ',"indicators":[' || array_to_string(list_transform(list_filter(string_split(categories, ','), lambda x: x <> ''), lambda x: '"' || x || '"'), ',') || '],"floor":' || coalesce('"T' || fr || '"', 'null') || ',"ceiling":' || CASE WHEN fr = 4 THEN 'null' ELSE '"T3"' END || ',"hits":[' || coalesce(hits, '') || ']}}' AS verdict FROM verdicts LEFT JOIN hl USING (case_id)""",
+    "recall_at_budget": _recall(),
+    "card_fields": f"WITH {DECIDE}, {PLACED}, {QUEUED}, {QUOTES}, nq AS (SELECT case_id, count(*) AS n FROM qs WHERE rank <= 3 GROUP BY 1), nt AS (SELECT case_id, count(*) AS n FROM st GROUP BY 1), {NAMES} SELECT dc.case_id, handle, dc.tier, round(confidence, 4) AS confidence, {FLOOR_REASON} AS tier_floor_reason, 'T' || cap.fr AS gate_floor, categories AS gate_indicators, {ACTION.format(t='dc.tier')} AS action, {HOURS.format(t='dc.tier')} AS sla_hours, nt.n AS n_student_turns, round(queue_rank, 4) AS queue_rank, round(escalation, 4) AS escalation, dc.model_tier, coalesce(cap.fr = 4, false) AS crisis_shown, CASE WHEN dc.tier NOT IN ('T3', 'T4') THEN started_at + INTERVAL 30 DAYS END AS retention_expires_at, coalesce(nq.n, 0) AS n_quotes, started_at, CAST(NULL AS VARCHAR) AS delta_since_last_session, CAST(NULL AS VARCHAR) AS pattern_cluster_id FROM dc JOIN cap USING (case_id) JOIN verdicts USING (case_id) JOIN cases USING (case_id) JOIN nt USING (case_id) LEFT JOIN nq USING (case_id) LEFT JOIN nm_ USING (case_id)",
     "queue_stats": f"WITH {RECORDS} SELECT count(*) AS total, count(*) FILTER (tier IN ('T2', 'T3', 'T4')) AS queued, count(*) FILTER (tier = 'T4') AS t4, count(*) FILTER (conv_id % 2 = 0) AS live, count(*) FILTER (conv_id % 3 = 0) AS awaiting FROM rec",
     "tier_counts": f"WITH {RECORDS} SELECT t AS tier, count(case_id) AS n FROM (VALUES ('T0'), ('T1'), ('T2'), ('T3'), ('T4')) v(t) LEFT JOIN rec ON rec.tier = t AND rec.tier <> 'T3' GROUP BY 1",
     "gate_cards": f"WITH {CONV}, fc AS (SELECT case_id, category, i, min(turn) AS t FROM fired GROUP BY 1, 2, 3), ind AS (SELECT case_id, string_agg(category, ',' ORDER BY t, i) AS names, string_agg(CASE category WHEN 'self_harm_intent' THEN 'Stated intent to self-harm or end their life.' WHEN 'abuse_disclosure' THEN 'Described harm being done to them by someone else.' ELSE 'Safety gate flagged: ' || category || '.' END, '|' ORDER BY t, i) AS why FROM fc GROUP BY 1), nt AS (SELECT case_id, count(*) AS n FROM st GROUP BY 1), g2 AS (SELECT *, 'T' || coalesce(fr, 0) AS tier FROM verdicts LEFT JOIN ind ON ind.case_id = verdicts.case_id AND categories <> '' JOIN nt ON nt.case_id = verdicts.case_id JOIN cases ON cases.case_id = verdicts.case_id) SELECT case_id, handle, tier, CAST(NULL AS DOUBLE) AS confidence, 'The safety gate floors this conversation at T' || fr || '.' AS tier_floor_reason, 'T' || fr AS gate_floor, coalesce(names, '') AS gate_indicators, CASE tier WHEN 'T0' THEN 'No action needed; logged only.' WHEN 'T1' THEN 'Mild concern; logged, no action needed.' WHEN 'T2' THEN 'Sustained difficulty. Queue for a conversation.' WHEN 'T3' THEN 'Significant distress. Contact within 24 hours.' ELSE 'Risk to life. Act now.' END || coalesce('|' || why, '') || '|Scored by the safety gate only. The classifier has not run on this yet.' AS reasons, CASE WHEN tier NOT IN ('T3', 'T4') THEN started_at + INTERVAL 30 DAYS END AS retention_expires_at, CAST(coalesce(fr, 0) + 1.0 AS DOUBLE) AS queue_rank, CAST(0 AS DOUBLE) AS escalation, 'T0' AS model_tier, {HOURS.format(t='tier')} AS sla_hours, {ACTION.format(t='tier')} AS action, coalesce(fr = 4, false) AS crisis_shown, n AS n_student_turns, true AS awaiting_classifier FROM g2",

@@ -380,10 +380,15 @@ def majority_baseline(spark, d):
     return head.majority(S.labelled(spark, d).filter("harm is not null"), "harm")
 
 
+#: Shares of tiers in a simulated week.
+WEEKLY = {"T0": 0.45, "T1": 0.30, "T2": 0.15, "T3": 0.08, "T4": 0.02}
+
+
 @query
 def recall_at_budget(spark, d):
-    rows = S.records(spark, d).filter("tier is not null").join(features.turn_features(S.turns(spark, d)).select("case_id", F.col("max_risk").alias("score")), "case_id")
-    return rounded(metrics.simulated_recall(rows.select("case_id", "tier", "score"), {"T0": 0.45, "T1": 0.30, "T2": 0.15, "T3": 0.08, "T4": 0.02}))
+    """How many of the grave cases of a week the queue's order brings up within the budget."""
+    ranked = tables.checkpointed(_decided(spark, d).select("case_id", F.col("queue_rank").alias("score")))
+    return rounded(metrics.simulated_recall(S.records(spark, d).filter("tier is not null").select("case_id", "tier").join(ranked, "case_id"), WEEKLY))
 
 
 # ---- clustering
@@ -691,21 +696,48 @@ def _cards(spark, d):
     hits = gate.real_hits(found, ["case_id"])
     decided = tables.checkpointed(_decided(spark, d, found))
     queued = decided.filter(F.col("tier").isin(*casework.QUEUED)).select("case_id")
-    return casework.build_cards(decided.join(S.cases(spark, d).select("case_id", "handle", "started_at"), "case_id"), turns.select("case_id", "turn", (1 - F.get("probs", F.lit(0))).alias("risk")), features.quotes(turns, hits, queued), reports)
+    return casework.build_cards(decided.join(S.cases(spark, d).select("case_id", "handle", "started_at"), "case_id"), turns.select("case_id", "turn", (1 - F.get("probs", F.lit(0))).alias("risk")), features.quotes(turns, hits, queued), reports, S.entities(spark, d).withColumn("platforms", F.array().cast("array<string>")))
 
 
 @query
 def escalation_cards(spark, d):
     """The nested record of every case."""
-    cards = _cards(spark, d)
-    return cards.select("case_id", "tier", F.to_json(F.struct(*[c for c in cards.columns if c not in ("case_id", "tier")])).alias("card"))
+    return casework.card_json(_cards(spark, d))
+
+
+@query
+def verdict_json(spark, d):
+    """The gate's verdicts as documents."""
+    hits = tables.checkpointed(_hits(spark, d))
+    return gate.verdict_json(_verdicts(spark, d, hits), gate.real_hits(hits, ["case_id"]))
+
+
+@query
+def card_reasons(spark, d):
+    """Why a card has its tier, sentence by sentence."""
+    return longs(_cards(spark, d).select("case_id", F.posexplode("reasons").alias("place", "reason")))
+
+
+@query
+def card_lists(spark, d):
+    """The lists of the cards that name a person or a place, or have a turn of risk: entities and timeline, in order."""
+    cards = tables.checkpointed(_cards(spark, d))
+    named = lambda kind: cards.select("case_id", F.lit(kind).alias("part"), F.posexplode(f"entities.{kind}").alias("place", "what"), F.lit(None).cast("double").alias("risk"))
+    turns = cards.select("case_id", F.inline("session_timeline")).select("case_id", F.lit("turn").alias("part"), F.col("ordinal").alias("place"), F.col("turn_id").alias("what"), "risk")
+    return longs(named("people").unionByName(named("places")).unionByName(turns))
+
+
+@query
+def card_places(spark, d):
+    """All cards in the order in which they are written."""
+    return casework.ranked_cards(_cards(spark, d).select("case_id", "tier", "queue_rank")).select("place", "case_id", "tier", "queue_rank")
 
 
 @query
 def card_fields(spark, d):
     """Cards without their lists."""
     cards = _cards(spark, d)
-    return longs(cards.select("case_id", "handle", "tier", "confidence", "tier_floor_reason", "gate_floor", F.array_join("gate_indicators", ",").alias("gate_indicators"), "action", "sla_hours", "n_student_turns", "queue_rank", "escalation", "model_tier", "crisis_shown", "retention_expires_at", F.size("cited_quotes").alias("n_quotes")))
+    return longs(cards.select("case_id", "handle", "tier", "confidence", "tier_floor_reason", "gate_floor", F.array_join("gate_indicators", ",").alias("gate_indicators"), "action", "sla_hours", "n_student_turns", "queue_rank", "escalation", "model_tier", "crisis_shown", "retention_expires_at", F.size("cited_quotes").alias("n_quotes"), "started_at", "delta_since_last_session", "pattern_cluster_id"))
 
 
 @query
