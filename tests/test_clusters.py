@@ -80,3 +80,34 @@ def test_links_of_100_000_cases_of_one_token_are_counted_by_part(spark):
     # Rows of the crowded slots are dealt over parts: none of them holds more than a few times its share.
     parts = cases.groupBy(F.expr(f"pmod(unix_micros(started_at), {width}) * {cluster.PARTS} div {width}").alias("part")).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
     assert parts[1] == cluster.PARTS and parts[0] < 3 * n / cluster.PARTS
+
+
+def plain_components(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    least = {}
+    for x in root:
+        least[find(x)] = min(x, least.get(find(x), x))
+    return {x: least[find(x)] for x in root}
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "copies", "none"])
+def test_components_by_contraction(spark, shape):
+    rng = random.Random(7)
+    n = 2000
+    name = lambda i: f"n{i * 7919 % n:05d}"
+    edges = {
+        "path": [(name(i), name(i + 1)) for i in range(n - 1)], "star": [("n01234", f"m{i:05d}") for i in range(n)], "none": [],
+        "random": [(name(rng.randrange(n)), name(rng.randrange(n))) for _ in range(1200)], "copies": [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("d", "e"), ("e", "f"), ("d", "d")],
+    }[shape]
+    got = {r["node"]: r["component"] for r in cluster.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == plain_components(edges)

@@ -192,19 +192,37 @@ def gram_cosine(grams: DataFrame, among: DataFrame | None = None) -> DataFrame:
     return pairs.join(norms.toDF("a", "norm_a"), "a").join(norms.toDF("b", "norm_b"), "b").select("a", "b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("cosine"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) by least-label rounds with pointer jumping; each round is checkpointed and stops at no change."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("u", "v").distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
-        lowered = labels.join(near, labels["node"] == near["u"], "left").select("node", "label", F.least("label", "m").alias("m"))
-        jumped = lowered.join(labels.toDF("far", "far_label"), F.col("m") == F.col("far"), "left").select("node", F.col("label").alias("old"), F.least("m", F.coalesce("far_label", "m")).alias("label"))
-        jumped = checkpointed(jumped)
-        labels = jumped.select("node", "label")
-        if not jumped.filter("old <> label").take(1):
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, component), named by its smallest node, of every node of ``edges`` (a, b), by contraction.
+
+    In each round a node is merged into the neighbour whose hash is smallest, if that is smaller than its own, and edges are drawn between what is left: a
+    constant share of the nodes goes, in chains too, so all rounds together cost a few times the first. The merges are then followed backwards.
+    A node of very many edges is merged by an aggregate, and is one row once its neighbours are merged into it. Each round is checkpointed.
+    """
+    pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
+    left = checkpointed(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    alone = edges.filter("a = b").select(F.col("a").alias("node"))
+    merges: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(merges) == rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        # The hash is another one in each round, so what is slow for one is not for the next.
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(merges))).alias("h"), F.col(c).alias("n"))
+        met = left.select(F.col("u").alias("node"), order("v").alias("other")).unionByName(left.select(F.col("v").alias("node"), order("u").alias("other")))
+        into = met.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least(order("node"), "other")["n"].alias("into"))
+        merges.append(checkpointed(into))
+        to_u, to_v = merges[-1].toDF("u", "to_u"), merges[-1].toDF("v", "to_v")
+        moved = left.join(to_u, "u").join(to_v, "v").filter("to_u <> to_v")
+        left = checkpointed(moved.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct())
+    if not merges:
+        return alone.distinct().select("node", F.col("node").alias("component"))
+    found = merges[-1]
+    for earlier in reversed(merges[:-1]):
+        # What a node was merged into may have been merged on, or have been left without edges.
+        found = checkpointed(earlier.join(found.toDF("into", "last"), "into", "left").select("node", F.coalesce("last", "into").alias("into")))
+    least = found.groupBy("into").agg(F.min("node").alias("component"))
+    named = found.join(least, "into").select("node", "component")
+    return named.unionByName(alone.distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
 def describe_links(linked: DataFrame, lexical: DataFrame) -> DataFrame:
