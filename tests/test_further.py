@@ -69,8 +69,6 @@ def test_out_of_fold_never_sees_its_case(spark):
     out = head.out_of_fold(rows, ("x", "z"), k=3, inner=2).collect()
     assert len({r["case_id"] for r in out}) == 100 and {r["fold"] for r in out} == {0, 1, 2}
     assert all(len(r["probs"]) == 5 and 0 <= r["escalation"] <= 1 for r in out) and sum(r["model_tier"] == r["tier"] for r in out) > 60
-    rungs = head.ladder(rows, {"x": ("x",)}, seeds=(0,), k=2, inner=2).collect()
-    assert [r["rung"] for r in rungs] == ["x"] and rungs[0]["macro_f1"] > 0.5
 
 
 def test_text_vectors_follow_from_counts(spark):

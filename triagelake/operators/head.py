@@ -120,20 +120,6 @@ def out_of_fold(rows: DataFrame, features: tuple[str, ...], k: int = 5, inner: i
         return reduce(DataFrame.unionByName, pool.map(one, range(k)))
 
 
-def ladder(rows: DataFrame, rungs: dict[str, tuple[str, ...]], seeds: tuple[int, ...] = tuple(range(10)), k: int = 5, inner: int = 4) -> DataFrame:
-    """(rung, seed, macro_f1, accuracy, brier): each set of features cross-validated under each seed; spreads over seeds are for the reader."""
-    from .metrics import proper_scores, summary_scores
-
-    place = lambda c: (F.array_position(F.array(*map(F.lit, TIERS)), F.col(c)) - 1).cast("long")
-    out = []
-    for rung, features in rungs.items():
-        for seed in seeds:
-            scored = checkpointed(out_of_fold(rows, features, k, inner, seed)).select(place("tier").alias("y_true"), place("model_tier").alias("y_pred"), "probs", F.array_max("probs").alias("conf"))
-            both = summary_scores(scored, len(TIERS)).crossJoin(proper_scores(scored).select("brier"))
-            out.append(both.select(F.lit(rung).alias("rung"), F.lit(seed).alias("seed"), "macro_f1", "accuracy", "brier"))
-    return reduce(DataFrame.unionByName, out)
-
-
 def fit_isotonic(rows: DataFrame, score: str = "score", label: str = "label", bins: int = 1000) -> tuple[list[float], list[float]]:
     """Knots and levels of the isotonic map from score (0 to 1) to rate.
 
