@@ -101,6 +101,33 @@ def test_vector_recall(spark, medium):
     assert np.mean(shares) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["without structure", "clustered"])
+def test_vector_recall_on_ten_thousand(spark, kind):
+    """Enough vectors that the index leaves most of them out."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(10_000, 32))
+    if kind == "clustered":
+        points = rng.normal(size=(300, 32))[rng.integers(0, 300, 10_000)] + 0.3 * points
+    points /= np.sqrt((points**2).sum(axis=1, keepdims=True))
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").repartition(4)
+    found = collections.defaultdict(set)
+    for r in vector_search.nearest(vectors, every=100, k=10).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    asked = np.arange(0, 10_000, 100)
+    away = ((points[asked, None] - points[None]) ** 2).sum(axis=2)
+    away[np.arange(len(asked)), asked] = np.inf
+    best = np.argsort(away, axis=1, kind="stable")[:, :10]
+    assert all(len(found[i]) == 10 for i in asked.tolist())
+    assert np.mean([len(found[i] & set(b)) / 10 for i, b in zip(asked.tolist(), best.tolist(), strict=True)]) >= 0.9
+
+
+def test_equal_distances_go_by_id(spark):
+    """Unlike vectors as far from the query as each other."""
+    rows = [(0, [0.0, 1.0])] + [(100 - i, [x, 1.0 + y]) for i, (x, y) in enumerate([(0.5, 0.0), (-0.5, 0.0), (0.0, 0.5), (0.0, -0.5)])]
+    got = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000, k=3).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 97), (2, 98), (3, 99)]
+
+
 def test_walk_takes_cells_in_order():
     rng = np.random.default_rng(0)
     sample = rng.normal(size=(400, 6))
