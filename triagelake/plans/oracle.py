@@ -257,6 +257,7 @@ ORACLE_SQL = {
     "newest_logged": f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY counsellor_id ORDER BY \"at\" DESC, seq DESC) AS place FROM lg) SELECT counsellor_id, place, seq AS event, \"at\" FROM r WHERE place <= 100",
     "stored_turns": f"WITH {ST} SELECT count(*) AS n, count(text) AS readable FROM st",
     "scored_turns": f"WITH {ST}, z AS (SELECT *, list_prepend(0.0, list_transform({list(Q.SCORED_WORDS)}, lambda w: 0.5 * len(list_filter(regexp_extract_all(text, '[a-z]+'), lambda x: x = w)))) AS logits FROM st), e AS (SELECT *, len(text) <= {Q.SCORED_CHARS} AS fine, list_transform(logits, lambda x: exp(x / 1.5)) AS powers FROM z) SELECT case_id, turn, CASE WHEN fine THEN 'scored' ELSE 'bad_response' END AS outcome, CASE WHEN fine THEN round(powers[1] / list_sum(powers), 6) END AS \"none\", CASE WHEN fine THEN round(list_max(powers) / list_sum(powers), 6) END AS top FROM e",
+    "seed_store": f"WITH {ST}, {RECORDS} SELECT case_id, tier, n_turns, true AS whole, CASE WHEN coalesce(tier IN ('T3', 'T4'), false) THEN NULL ELSE started_at + INTERVAL 30 DAYS END AS retention_expires_at FROM rec JOIN (SELECT case_id, count(*) AS n_turns FROM st GROUP BY 1) USING (case_id)",
     "upsert_latch": f"WITH {RECORDS} SELECT case_id, CASE WHEN conv_id % 3 = 2 THEN tier ELSE 'T1' END AS tier, CASE WHEN conv_id % 3 = 1 THEN conv_id % 5 = 0 WHEN conv_id % 3 = 2 THEN conv_id % 4 = 0 ELSE conv_id % 4 = 0 OR conv_id % 5 = 0 END AS crisis FROM rec",
     "replace_children": f"WITH {ST} SELECT case_id, count(*) FILTER (conv_id % 2 = 1 OR turn = 0) AS n, max(CASE WHEN conv_id % 2 = 1 OR turn = 0 THEN turn END) AS last_turn FROM st GROUP BY 1",
     "email_redaction": r"SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.-]+\b')) AS BIGINT) AS n_emails FROM documents",

@@ -610,6 +610,22 @@ def seed_report(spark, d):
     return seed.load(turns, cards, S.entities(spark, d), F.unhex(F.sha2(F.lit("not a secret"), 256)))
 
 
+@query
+def seed_store(spark, d):
+    """Stores after a load of all cases and one of every third again: each case's turns, and whether all that was found in them is sealed and opens to it."""
+    found = seed.seed_stores(spark, tables.scratch(spark, "seed"), buckets=16)
+    key = F.unhex(F.sha2(F.lit("not a secret"), 256))
+    turns, people = S.turns(spark, d).select("case_id", "turn", F.lit("student").alias("role"), "text", "conv_id"), S.entities(spark, d)
+    cards = S.records(spark, d).select("case_id", F.lit("h").alias("handle"), "tier", F.lit(0.5).alias("confidence"), "started_at", "conv_id")
+    for some in (F.lit(True), F.col("conv_id") % 3 == 0):
+        seed.load_into(found, turns.filter(some).drop("conv_id"), cards.filter(some).drop("conv_id"), people, key)
+    sealed = found["pii"].rows().groupBy("case_id").agg(F.count("*").alias("n_sealed"), F.count_if(F.length(privacy.unseal(F.col("ciphertext"), key)) > 0).alias("n_opened"))
+    told = found["turns"].rows().groupBy("case_id").agg(F.count("*").alias("n_turns"), F.sum("n_spans").alias("n_spans"))
+    both = found["conversations"].rows().join(told, "case_id").join(sealed, "case_id", "left")
+    same = (F.coalesce("n_sealed", F.lit(0)) == F.col("n_spans")) & (F.coalesce("n_opened", F.lit(0)) == F.col("n_spans"))
+    return both.select("case_id", "tier", "n_turns", same.alias("whole"), "retention_expires_at")
+
+
 @query
 def cross_validation_folds(spark, d):
     return longs(head.folds(S.records(spark, d).filter("tier is not null"), "tier").select("case_id", "tier", "fold"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.casework import retention_expiry
 from ..operators.privacy import redact, seal
-from .tables import replace_children, upsert
+from .stores import BucketStore
+from .tables import checkpointed, replace_children, upsert
 
 
 def seeded(turns: DataFrame, cards: DataFrame, entities: DataFrame, key: Column, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -46,3 +47,25 @@ def load(turns: DataFrame, cards: DataFrame, entities: DataFrame, key: Column, f
         for name, rows in loaded.items():
             rows.write.mode("overwrite").parquet(f"{folder}/{name}")
     return counts
+
+
+CONVERSATION = "case_id string, handle string, tier string, confidence double, started_at timestamp, retention_expires_at timestamp"
+TURN, PII = "case_id string, turn long, role string, text string, n_spans long", "case_id string, turn long, type string, placeholder string, ciphertext string"
+
+
+def seed_stores(spark: SparkSession, folder: str, buckets: int = 64) -> dict[str, BucketStore]:
+    """The stores that a load goes into: cases, their turns, and what was sealed of those."""
+    return {name: BucketStore(spark, f"{folder}/{name}", schema, "case_id", buckets) for name, schema in (("conversations", CONVERSATION), ("turns", TURN), ("pii", PII))}
+
+
+def load_into(stores: dict[str, BucketStore], turns: DataFrame, cards: DataFrame, entities: DataFrame, key: Column) -> DataFrame:
+    """Load into stores and report: only the buckets of the cases that are loaded are rewritten.
+
+    What is sealed is written once before it goes anywhere, as each sealing has a nonce of its own.
+    """
+    loaded = {name: checkpointed(rows) for name, rows in seeded(turns, cards, entities, key).items()}
+    counts = checkpointed(report(loaded, True))
+    stores["conversations"].upsert(loaded["conversations"])
+    for name in ("turns", "pii"):
+        stores[name].replace_children(loaded[name], cards)
+    return counts
