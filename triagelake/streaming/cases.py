@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.fixed_values import PATTERNS, SUPPRESSORS
 from ..functions.text import leet_normalize
 from ..operators import gate
+from ..sources.tables import checkpointed
 
 KEEP_DAYS, HELD = 30, (3, 4)
 LATE = "1 hour"
@@ -126,7 +127,8 @@ def case_states(events: DataFrame, patterns: Sequence = PATTERNS, suppressors: S
 
 def folded(events: DataFrame, patterns: Sequence = PATTERNS, suppressors: Sequence = SUPPRESSORS) -> DataFrame:
     """The same over a table of messages, without state: each place as the highest number that tells it says, up to the end that the highest of all says."""
-    hits = event_hits(events, patterns, suppressors)
+    # Texts are searched once, all that follows is worked out from what was found.
+    hits = checkpointed(event_hits(events, patterns, suppressors))
     last = hits.groupBy("case_id").agg(F.max("seq").alias("seq"), F.max_by("end", "seq").alias("end"))
     told = hits.filter("place IS NOT NULL").groupBy("case_id", "place").agg(F.max_by("hits", "seq").alias("hits")).join(last, "case_id").filter("place < end")
     pairs = told.select("case_id", F.explode(F.from_json("hits", "array<struct<c:string,s:string>>")).alias("h")).select("case_id", F.col("h.c").alias("category"), F.col("h.s").alias("severity"))
