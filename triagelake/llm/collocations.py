@@ -37,6 +37,8 @@ TOP = 2000
 #: Bits of the map of frequent pairs, kept as up to 4,096 rows of 4 KB.
 MARKS = 1 << 27
 SLOTS = 8
+#: Bytes of text in a shard: a larger one counts more of its n-grams itself, and its arrays take some eighty times as much.
+SHARD_BYTES = 2 << 20
 SEED = 42
 
 _BLANK, _BREAK = 1, 2
@@ -130,7 +132,7 @@ def _word_hashes(shard: Shard) -> np.ndarray:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SHARD_BYTES):
             yield Shard(filled(part.column("text")), part.column("lang").cast(pa.string()))
 
 
