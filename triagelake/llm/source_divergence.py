@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, which are runs of [^\x00-\x40\x5B-\x60\x7B-\x7F].
+NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 10
 TOP_TERMS = 10
 #: Tasks that the kept terms of one language are dealt over.
@@ -36,14 +37,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in each group, and how many of its documents have it."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(filled("text"), filled("lang"), filled("source"))
-    found = lambda text: F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    ascii_only = lambda c: F.length(c) == F.octet_length(c)
-    # Of ASCII alone lower() changes A-Z and nothing else, many times faster than translate().
-    folded = lambda t: F.when(ascii_only(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
-    terms = rows.select("lang", "source", F.when(ascii_only(F.col("text")), found(F.lower("text"))).otherwise(F.transform(found(F.col("text")), folded)).alias("terms"))
+    # Matches are the runs between what is no match. Splitting finds them in one pass; regexp_extract_all copies the text for each.
+    terms = rows.select("lang", "source", F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), NO_TERM).alias("terms"))
     # All occurrences, then each different term once for its document.
     both = terms.select("lang", "source", F.size("terms").alias("size"), F.concat("terms", F.array_distinct("terms")).alias("both"))
-    each = both.select("lang", "source", "size", F.posexplode("both").alias("at", "term"))
+    each = both.select("lang", "source", "size", F.posexplode("both").alias("at", "term")).filter("term <> ''")
     return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") < F.col("size")).alias("n"), F.count_if(F.col("at") >= F.col("size")).alias("docs"))
 
 
