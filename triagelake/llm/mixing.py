@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, written
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between words, which are runs of [^\x20\x09-\x0D].
+NO_WORD = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 MOST_COPIES = 2
@@ -39,7 +40,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h) of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text)
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(F.array_remove(F.split(text, NO_WORD), "")).cast("long").alias("size"), F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"))
 
 
 def weighted(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
