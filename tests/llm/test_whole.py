@@ -134,3 +134,19 @@ def test_keywords_and_triggers_lose_no_alternative(monkeypatch):
     monkeypatch.setattr(license_scan, "rules", lambda: (ungated, [""]))
     plain = lambda found: [(a, b, r.label, r.weight) for a, b, r in found]
     assert [t for t in texts if plain(gated[t]) != plain(license_scan.detections(t.split()))] == []
+
+
+def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(11)
+    bases = [rng.choices(VOCABULARY, k=400) for _ in range(12)]
+    every = [" ".join(w) for words in bases for w in (words, edited(rng, words, [399]), edited(rng, words, rng.sample(range(0, 395), 6)))]
+    indexed, asked = [], []
+    links, settle = near_duplicates.fingerprint_links, near_duplicates._Ties.settle
+    monkeypatch.setattr(near_duplicates, "fingerprint_links", lambda d: indexed.append({r.fp for r in d.collect()}) or links(d))
+    monkeypatch.setattr(near_duplicates._Ties, "settle", lambda self, pairs, *more: asked.append({(r.a, r.b) for r in pairs.collect()}) or settle(self, pairs, *more))
+    assert kept_by(spark, every) == first_of_groups(every) == set(range(0, 36, 3))
+    # What op7 groups by is indexed for every text; pairs within its distance are verified first, and never again.
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    prints = {r.doc_id: r.fp for r in near_duplicates.fingerprints(docs).collect()}
+    near = sum(((prints[i] ^ prints[j]) & ((1 << 64) - 1)).bit_count() <= 2 for i in range(36) for j in range(i))
+    assert indexed == [set(prints.values())] and 0 < len(asked[0]) <= near < 36 and not any(asked[0] & later for later in asked[1:])

@@ -12,11 +12,12 @@ Copies cost nothing: fingerprints are made distinct before they are indexed, wit
 pairs are written out: verified links become one link to the smallest member of each linked set. Connected components follow by
 alternating large-star and small-star rounds, with a checkpoint each.
 
-``keep_one`` serves corpora, where near copies differ by more than 2 of 64 bits: texts alike in 0.8 of their different five-word shingles. At that
-distance (10 of 64 bits on average) no number of shared bytes is guaranteed, so it indexes the shingles themselves, by the same steps, and is
+``keep_one`` serves corpora: texts alike in 0.8 of their different five-word shingles. It goes by the fingerprints first: postings of positional bytes, tallies,
+retained pairs within ``DISTANCE`` bits, each of which is verified at 0.8 on the whole texts. Texts so alike differ in 10 of 64 bits on average, where no
+number of shared bytes is guaranteed, so what fingerprints leave apart is found by an index of the shingles themselves, by the same steps, which makes the result
 exact. Shingles have one order for all texts, rare ones first; sets alike to 0.8 share a shingle among the first fifth of both, so postings by those hold every
 such pair. Pairs that meet are filtered by how many shingles they can share at most, from their sizes and the shingle's places in both orders, then by
-the parities of ``PARITY`` buckets, which tally no more differences than there are; what is left is verified on the shingles of the whole texts. A posting of many
+the parities of ``PARITY`` buckets, which tally no more differences than there are; what is left, and not tied yet, is verified on the shingles of the whole texts. A posting of many
 members first compares one with all others. Then, in rounds, each member that links have not tied to the posting's largest component names
 its closest few members of other components, and links are followed; what links tie is not compared again. So a family of copies costs rows
 in proportion to its size, and it ends when every two members are tied, refuted or too far apart.
@@ -59,6 +60,8 @@ NAMED = 1 << 16
 PARITY = 4096
 #: Bytes of bits that a step of a large posting compares.
 COMPARED_BYTES = 16 << 20
+#: Pairs of a large posting that a task holds before it hands them on.
+HELD_PAIRS = 1 << 16
 #: Members up to which a posting gives all its pairs at once; larger ones are compared over several rounds.
 WHOLE_POSTING = 6
 
@@ -311,16 +314,18 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, node: str) -> DataFrame:
-    """(node, doc_id, fp, n, tokens, parity) of every row: a digest of the shingle set, its size, its rarest shingles in one order for all texts,
-    as many as two sets alike to 0.8 need to have one of them in common, and of each of ``PARITY`` buckets whether it has an odd number of
-    shingles. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
+    """(node, doc_id, fp, n, tokens, parity, simhash) of every row: a digest of the shingle set, its size, its rarest shingles in one order for all texts,
+    as many as two sets alike to 0.8 need to have one of them in common, of each of ``PARITY`` buckets whether it has an odd number of
+    shingles, and the fingerprint. Each shingle that one of two texts lacks changes one bit, so they differ in no more bits than shingles."""
     listed = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = listed.value
         for batch in batches:
-            for part in slices(batch):
-                hashes, ends = distinct_shingles(filled(part.column("text")))
+            for part in slices(batch, limit=1 << 20):
+                text = filled(part.column("text"))
+                simhash = majority(*shingle_hashes(text))
+                hashes, ends = distinct_shingles(text)
                 n = np.diff(ends)
                 # 0.8 n of n shingles, rounded up, must be shared: one more than the others may be missed.
                 length = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
@@ -337,10 +342,10 @@ def prefixes(docs: DataFrame, node: str) -> DataFrame:
                     # Sorted by hash already: a stable sort by how common they are gives the one order.
                     tokens.append(own[:most] if not rank[a:b].any() else own[np.argsort(rank[a:b], kind="stable")[:most]])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary())], names=["node", "doc_id", "fp", "n", "tokens", "parity"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.array(fps, pa.binary()), pa.array(n, pa.int64()), lists, pa.array(parity, pa.binary()), pa.array(simhash)], names=["node", "doc_id", "fp", "n", "tokens", "parity", "simhash"])
 
     rows = docs.select(F.col(node).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(compute, "node long, doc_id long, fp binary, n long, tokens array<long>, parity binary")
+    return rows.mapInArrow(compute, "node long, doc_id long, fp binary, n long, tokens array<long>, parity binary, simhash long")
 
 
 def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
@@ -398,9 +403,15 @@ def _crossing(rows: DataFrame, most: int) -> DataFrame:
     """Of each posting (token, node, place, comp, parity), for each member outside its largest component the ``most`` closest members of other
     components that it may be alike to: (token, a, b, apart). A row without a pair says that the posting had more."""
 
+    def emit(found: list[np.ndarray], more: list[int]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        token = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(sorted(set(more)), pa.int64())])
+        columns = [pa.concat_arrays([pa.array(pairs[:, i]), pa.nulls(len(token) - len(pairs), pa.int64())]) for i in range(3)]
+        return pa.RecordBatch.from_arrays([token, *columns], names=["token", "a", "b", "apart"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, nth, size in _whole_postings(batches):
-            found, more = [np.zeros((0, 3), dtype=np.int64)], []
+            found, more, held = [np.zeros((0, 3), dtype=np.int64)], [], 0
             for start in np.flatnonzero((nth == 0) & (size > 1)).tolist():
                 node, place, comp, parity = (now[c][start : start + size[start]] for c in ("node", "place", "comp", "parity"))
                 names, counts = np.unique(comp, return_counts=True)
@@ -418,10 +429,11 @@ def _crossing(rows: DataFrame, most: int) -> DataFrame:
                     i, j = np.nonzero(np.take_along_axis(good, near, axis=1))
                     x, y = b[i], near[i, j]
                     found.append(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart[i, y]), axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            token = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(sorted(set(more)), pa.int64())])
-            columns = [pa.concat_arrays([pa.array(pairs[:, i]), pa.nulls(len(token) - len(pairs), pa.int64())]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([token, *columns], names=["token", "a", "b", "apart"])
+                    held += len(x)
+                    if held >= HELD_PAIRS:
+                        yield emit(found, [])
+                        found, held = [found[0][:0]], 0
+            yield emit(found, more)
 
     return written(rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(compare, "token long, a long, b long, apart long"), "crossing")
 
@@ -504,18 +516,30 @@ def bucketed(rows: DataFrame, name: str, key: str) -> DataFrame:
     return found
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts of ``distinct`` (node, simhash) of one fingerprint, each with the first of them, and the firsts of linked fingerprints."""
+    first = checkpointed(distinct.groupBy("simhash").agg(F.min("node").alias("first")))
+    copies = distinct.join(first, "simhash").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(first.select(F.col("simhash").alias("fp"))).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return copies.union(links.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``distinct`` (node, n, tokens, parity) that links of similarity 0.8 or more tie to a smaller one.
+    """(node, root) of every node of ``distinct`` (node, n, tokens, parity, simhash) that links of similarity 0.8 or more tie to a smaller one.
 
     ``docs`` (node, text) lie in buckets by node."""
     rows = distinct.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("place"))
+    near = checkpointed(_retained(fingerprint_pairs(distinct.select("node", "simhash")), distinct))
     table, most = _compared(rows), 16
     pairs = checkpointed(_retained(table.filter("token IS NULL").select("a", "b"), distinct))
     left = table.filter("token IS NOT NULL").toDF("token", "node", "place")
     # No other text is in any pair, now or later.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()
+    wanted = near.union(pairs).select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()
     ties = _Ties(bucketed(docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "texts", "node"))
     parity = distinct.select("node", "parity")
+    if not near.isEmpty():
+        ties.settle(near)
+        pairs = checkpointed(pairs.join(ties.tested, ["a", "b"], "left_anti"))
     while True:
         if not pairs.isEmpty():
             ties.settle(pairs)
@@ -542,8 +566,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Texts are shuffled once, into buckets: from here on they are read where they lie.
     held = bucketed(docs.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(named, _node(docs)), "held", named)
     texts = held.select(F.col(named).alias("node"), F.col("text").cast("string").alias("text"))
-    least = F.min(F.struct("doc_id", "node", "n", "tokens", "parity")).alias("least")
-    distinct = written(prefixes(held, named).groupBy("fp").agg(least).select("least.node", "least.doc_id", "least.n", "least.tokens", "least.parity"), "prefixes")
+    least = F.min(F.struct("doc_id", "node", "n", "tokens", "parity", "simhash")).alias("least")
+    distinct = written(prefixes(held, named).groupBy("fp").agg(least).select("least.node", "least.doc_id", "least.n", "least.tokens", "least.parity", "least.simhash"), "prefixes")
     roots = checkpointed(similar_roots(distinct, texts))
     tied = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(distinct.select("node", "doc_id"), "node")
     first = tied.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
