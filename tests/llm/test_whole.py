@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from triagelake.llm import license_scan, near_duplicates, personal_data
+from triagelake.llm import common, license_scan, near_duplicates, personal_data
 
 from .test_exact import shingled
 
@@ -150,3 +150,10 @@ def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
     prints = {r.doc_id: r.fp for r in near_duplicates.fingerprints(docs).collect()}
     near = sum(((prints[i] ^ prints[j]) & ((1 << 64) - 1)).bit_count() <= 2 for i in range(36) for j in range(i))
     assert indexed == [set(prints.values())] and 0 < len(asked[0]) <= near < 36 and not any(asked[0] & later for later in asked[1:])
+
+
+def test_few_rows_of_a_checkpoint_go_to_few_files(spark):
+    rows = spark.range(500, numPartitions=50)
+    few = common.checkpointed(rows, 500)
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 500
+    assert common.checkpointed(rows, 3 * common.FILE_ROWS).rdd.getNumPartitions() == 4

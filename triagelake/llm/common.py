@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at once (a longer text is a step of its own).
 SLICE_BYTES = 4 << 20
+#: Narrow rows that one file of a checkpoint holds, where it is known how many there are.
+FILE_ROWS = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,10 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder. Of about ``rows`` rows, where that is known, few go to few files: each partition is a
+    file, even an empty one, for which a local file system starts a process that sets its mode."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -211,9 +211,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return postings.select("choice", "key", "fp").repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "a long, b long").distinct()
 
 
-def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) of every linked node; root is the smallest node that it reaches."""
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+def connected(links: DataFrame, rounds: int = 40, rows: int | None = None) -> DataFrame:
+    """(node, root) of every linked node; root is the smallest node that it reaches. ``rows``: how many links there are about, if known."""
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), rows)
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -221,7 +221,7 @@ def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        edges = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -475,31 +475,32 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 class _Ties:
-    """What verified links tie: components (node, root), and the pairs verified or refuted so far. ``texts`` (node, text) lie in buckets by node."""
+    """What verified links tie: ``size`` nodes with their components (node, root), and the pairs verified or refuted so far. ``texts`` (node, text) lie in buckets by node."""
 
     def __init__(self, texts: DataFrame):
         spark = texts.sparkSession
         self.texts, self.tested = texts, spark.createDataFrame([], "a long, b long")
-        self.roots = spark.createDataFrame([], "node long, root long")
+        self.roots, self.size = spark.createDataFrame([], "node long, root long"), 0
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Of the pairs (a, b, apart) of each b the closest is verified first, then the others where links have not tied the two by then."""
+    def settle(self, pairs: DataFrame, rows: int) -> None:
+        """Of the ``rows`` pairs (a, b, apart) of each b the closest is verified first, then the others where links have not tied the two by then."""
         rest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a")))
         for these in ("nth = 1", "nth > 1"):
-            asked = checkpointed(_apart(rest.filter(these).select("a", "b"), self.roots))
-            if not asked.isEmpty():
-                found = checkpointed(_verified(asked, self.texts))
+            asked = checkpointed(_apart(rest.filter(these).select("a", "b"), self.roots), rows)
+            if some := asked.count():
+                found = checkpointed(_verified(asked, self.texts), some)
                 self.tested = self.tested.union(asked)
-                if not found.isEmpty():
-                    self._tie(found)
+                if alike := found.count():
+                    self._tie(found, alike)
 
-    def _tie(self, links: DataFrame) -> None:
+    def _tie(self, links: DataFrame, rows: int) -> None:
         """Only the roots of what new links tie are connected; then every node follows its old root to the new one."""
         old = self.roots
         between = links.join(old.toDF("a", "root_a"), "a", "left").join(old.toDF("b", "root_b"), "b", "left")
-        merged = connected(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+        merged = connected(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), rows=rows)
         moved = old.join(merged.toDF("root", "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-        self.roots = checkpointed(moved.union(merged))
+        self.roots = checkpointed(moved.union(merged), self.size + 2 * rows)
+        self.size = self.roots.count()
 
 
 def bucketed(rows: DataFrame, name: str, key: str) -> DataFrame:
@@ -518,7 +519,7 @@ def bucketed(rows: DataFrame, name: str, key: str) -> DataFrame:
 
 def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
     """(a, b), a < b: texts of ``distinct`` (node, simhash) of one fingerprint, each with the first of them, and the firsts of linked fingerprints."""
-    first = checkpointed(distinct.groupBy("simhash").agg(F.min("node").alias("first")))
+    first = checkpointed(distinct.groupBy("simhash").agg(F.min("node").alias("first")), distinct.count())
     copies = distinct.join(first, "simhash").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     links = fingerprint_links(first.select(F.col("simhash").alias("fp"))).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
     return copies.union(links.select(F.least("x", "y"), F.greatest("x", "y")))
@@ -529,27 +530,28 @@ def similar_roots(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``docs`` (node, text) lie in buckets by node."""
     rows = distinct.select("node", F.shiftleft("n", 32).alias("n"), F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").bitwiseOR(F.col("pos").cast("long")).alias("place"))
-    near = checkpointed(_retained(fingerprint_pairs(distinct.select("node", "simhash")), distinct))
+    near = checkpointed(_retained(fingerprint_pairs(distinct.select("node", "simhash")), distinct), distinct.count())
     table, most = _compared(rows), 16
-    pairs = checkpointed(_retained(table.filter("token IS NULL").select("a", "b"), distinct))
+    met = table.filter("token IS NULL").select("a", "b")
+    pairs = checkpointed(_retained(met, distinct), met.count())
     left = table.filter("token IS NOT NULL").toDF("token", "node", "place")
     # No other text is in any pair, now or later.
     wanted = near.union(pairs).select(F.explode(F.array("a", "b")).alias("node")).union(left.select("node")).distinct()
     ties = _Ties(bucketed(docs.join(wanted.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "texts", "node"))
     parity = distinct.select("node", "parity")
-    if not near.isEmpty():
-        ties.settle(near)
-        pairs = checkpointed(pairs.join(ties.tested, ["a", "b"], "left_anti"))
+    if some := near.count():
+        ties.settle(near, some)
+        pairs = pairs.join(ties.tested, ["a", "b"], "left_anti")
     while True:
-        if not pairs.isEmpty():
-            ties.settle(pairs)
+        if some := pairs.count():
+            ties.settle(pairs, some)
         known = left.select("token", "node", "place").join(ties.roots, "node", "left").select("token", "node", "place", F.coalesce("root", "node").alias("comp"))
         mixed = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
         # A posting that is one component stays one.
         left = written(known.join(mixed, "token", "left_semi"), "left")
         crossing = _crossing(left.join(parity, "node"), most)
         new = crossing.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("apart").alias("apart"))
-        pairs = checkpointed(new.join(ties.tested, ["a", "b"], "left_anti"))
+        pairs = checkpointed(new.join(ties.tested, ["a", "b"], "left_anti"), crossing.count())
         if pairs.isEmpty() and crossing.filter("a IS NULL").isEmpty():
             return ties.roots
         most *= 8
@@ -568,7 +570,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts = held.select(F.col(named).alias("node"), F.col("text").cast("string").alias("text"))
     least = F.min(F.struct("doc_id", "node", "n", "tokens", "parity", "simhash")).alias("least")
     distinct = written(prefixes(held, named).groupBy("fp").agg(least).select("least.node", "least.doc_id", "least.n", "least.tokens", "least.parity", "least.simhash"), "prefixes")
-    roots = checkpointed(similar_roots(distinct, texts))
+    roots = similar_roots(distinct, texts)
     tied = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(distinct.select("node", "doc_id"), "node")
     first = tied.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
     gone = tied.select("node").join(first, "node", "left_anti")
