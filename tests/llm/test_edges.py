@@ -1,5 +1,9 @@
 """Nulls, empty and very long texts, repeats, empty tables and clashing extra columns: each operator's defined results."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +123,35 @@ def test_stages(spark, docs, tmp_path, stage):
         assert sorted(i for i in kept if i) == [1, 4, 5, 7, 8, 9, 10] and None in kept
     if stage == "personal_data":
         assert len(kept) == len(ROWS)
+
+
+def test_slices_give_their_memory_back():
+    """A worker of the pipeline holds little beside its model once its batch is through, and not much more before."""
+    held = r"""
+import re, threading, time
+import numpy as np, pyarrow as pa
+from triagelake.llm import common, language_id
+now = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+rng = np.random.default_rng(1)
+words = np.array(["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 10, 200_000)])
+texts = pa.array([" ".join(words[rng.integers(0, 200_000, 300)]) for _ in range(8_000)])
+del words
+model = language_id.LanguageModel(list("abcdefghij"), np.zeros((language_id.BUCKETS, 10), np.float32), None, np.zeros(10), 1.0, 0.0)
+common.released()
+before, most, done = now(), 0, []
+def watch():
+    global most
+    while not done:
+        most = max(most, now())
+        time.sleep(0.005)
+watching = threading.Thread(target=watch)
+watching.start()
+for part in common.slices(pa.record_batch([texts], ["text"]), limit=common.STAGE_BYTES):
+    language_id.predict_slice(part.column("text"), model)
+done.append(1)
+watching.join()
+print(now() - before, most - before)
+"""
+    # MB left, and at most in between
+    left, most = map(int, subprocess.run([sys.executable, "-c", held], capture_output=True, text=True, check=True, cwd=Path(corpus_pipeline.__file__).parent).stdout.split())
+    assert left < 30 and most < 120

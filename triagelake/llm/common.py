@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at once (a longer text is a step of its own).
 SLICE_BYTES = 4 << 20
+#: The same for the pipeline's stages, of which one executor runs all: its workers stay from stage to stage.
+STAGE_BYTES = 1 << 20
 #: Narrow rows that one file of a checkpoint holds, where it is known how many there are.
 FILE_ROWS = 1 << 16
 
@@ -65,8 +69,21 @@ def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "")
 
 
+@lru_cache(1)
+def _trim():
+    """The C library's call that gives free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def released() -> None:
+    """Give memory that is free back to the system. A worker serves task after task, and what it once took would stay with it beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of which the texts have about ``limit`` bytes at most, so that memory does not follow Arrow's row count."""
+    """Parts of a batch of which the texts have about ``limit`` bytes at most, so that memory does not follow Arrow's row count. After the last the
+    memory that they took is released."""
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
@@ -77,6 +94,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    released()
 
 
 class WordArrays:

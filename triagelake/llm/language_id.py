@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordArrays, checkpointed, filled, hash_slot, segment_sums, slices
+from .common import STAGE_BYTES, WordArrays, checkpointed, filled, hash_slot, segment_sums, slices
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
@@ -76,7 +76,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each sampled row the gram counts of the whole text, or of words drawn from it up to ``most`` grams, and of one window of up to 8 words, so that short
     texts are learnt too."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=STAGE_BYTES):
             texts = pc.utf8_lower(filled(part.column("text")))
             words = WordArrays(texts)
             if not len(words.distinct):
@@ -207,7 +207,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 names, score, rejected = predict_slice(filled(part.column("text")), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), names, pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -221,7 +221,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 yield part.filter(pa.array(~predict_slice(filled(part.column("text")), shared.value)[2]))
 
     return docs.select(*names).mapInArrow(keep, docs.schema)

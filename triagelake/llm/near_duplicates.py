@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordArrays, checkpointed, filled, segment_sums, shared_folder, slices, written
+from .common import STAGE_BYTES, WordArrays, checkpointed, filled, segment_sums, shared_folder, slices, written
 
 SHINGLE = 3
 DISTANCE = 2
@@ -300,7 +300,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(ranked[starts[top]].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 held.append(distinct_shingles(filled(part.column("text")))[0])
                 if sum(map(len, held)) >= 2_000_000:
                     yield often()
@@ -322,7 +322,7 @@ def prefixes(docs: DataFrame, node: str) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = listed.value
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            for part in slices(batch, limit=STAGE_BYTES):
                 text = filled(part.column("text"))
                 simhash = majority(*shingle_hashes(text))
                 hashes, ends = distinct_shingles(text)
@@ -458,7 +458,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "x", 1 << 20):
+            for part in slices(batch, "x", STAGE_BYTES):
                 (x, x_ends), (y, y_ends) = (distinct_shingles(filled(part.column(c))) for c in ("x", "y"))
                 shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(x_ends[:-1], x_ends[1:], y_ends[:-1], y_ends[1:], strict=True)])
                 yield part.select(["a", "b"]).filter(pa.array(9 * shared >= 4 * (np.diff(x_ends) + np.diff(y_ends))))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordArrays, filled, slices
+from .common import STAGE_BYTES, WordArrays, filled, slices
 
 TOKENS = 4096
 SEGMENTS = 128
@@ -263,7 +263,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(names))], names=names)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 ids, bounds = encode(filled(part.column("text")))
                 found: list[tuple] = []
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):

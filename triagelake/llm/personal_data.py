@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled, slices
+from .common import STAGE_BYTES, checkpointed, filled, slices
 
 ACCEPT = 0.5
 #: Fixed order of kinds: the base's, then the method's own.
@@ -288,7 +288,7 @@ def extract_spans(docs: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 digests = [empty] * part.num_rows
                 for i, _, found in _found(filled(part.column("text"))):
@@ -323,7 +323,7 @@ def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 place = part.schema.get_field_index("text")
                 changed = filled(part.column(place))
                 new = {}

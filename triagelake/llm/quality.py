@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordArrays, buffers, checkpointed, filled, hash_slot, segment_sums, slices
+from .common import STAGE_BYTES, WordArrays, buffers, checkpointed, filled, hash_slot, segment_sums, slices
 
 FEATURES = 384
 BANDWIDTH = 4.0
@@ -155,7 +155,7 @@ def described(docs: DataFrame) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 x = statistics(filled(part.column("text"))).astype(np.float32)
                 offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))], names=["doc_id", "x"])
@@ -246,7 +246,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> Dat
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STAGE_BYTES):
                 scores = apply(statistics(filled(part.column("text"))).astype(np.float32), shared.value)
                 yield part.filter(pa.array(scores >= accept))
 
