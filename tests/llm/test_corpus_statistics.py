@@ -75,6 +75,17 @@ def test_audit_of_languages_without_kept_terms_has_pairs_of_value_0(spark, rows)
     assert [(r.source, r.item, r.value) for r in sorted(got)] == [("only", "other", 0), ("other", "only", 0)]
 
 
+def test_audit_counts_group_after_group_and_lowers_only_ascii(spark):
+    """Documents whose groups alternate are counted in order of their groups; only A-Z change, beside other signs and without."""
+    rows = [(i, text, "en", f"s{i % 2}") for i, text in enumerate(["ABC Zz", "ABC Äß", "aBc zZ", "abc Äß", "İI Σ", None] * 4)]
+    counts = source_divergence.term_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [lang" in plan and "source" in plan.split("Sort [lang")[1].split("]")[0] and ", false" in plan.split("Sort [lang")[1].splitlines()[0]
+    assert sorted(map(tuple, counts.collect())) == sorted(
+        [("en", "s0", "abc", 8, 8), ("en", "s1", "abc", 8, 8), ("en", "s0", "zz", 8, 8), ("en", "s1", "Äß", 8, 8), ("en", "s0", "İi", 4, 4), ("en", "s0", "Σ", 4, 4)]
+    )
+
+
 # ---- collocations
 
 def collocate(rows, least, longest, top):

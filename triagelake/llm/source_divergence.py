@@ -6,7 +6,7 @@ documents have. Each group (lang, source) and each language as a whole gives eve
 Part ``pair`` sums that over all kept terms for each other source of the language; part ``term`` names the terms that a group uses most beyond its
 language's share.
 
-Plan: matches are exploded once and combined before the shuffle, so a hot source or word costs one row for each task. Groups are crossed
+Plan: matches are exploded once, group after group within a task, and combined before the shuffle, so a hot source or word costs one row for each task. Groups are crossed
 with kept terms through an equi-join on (lang, slot): terms are dealt over ``SLOTS`` slots by their hash and the few groups of a language are copied to each,
 so no language is one key. The dense rows meet themselves on lang and term, each pair of sources once, and are summed before they are shuffled.
 Shares are at most 10^9 + 1, so squares fit in 64 bits; the product before a share's division is a decimal of 38 digits.
@@ -33,12 +33,18 @@ SLOTS = 64
 UNIT = 1_000_000_000
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and nothing else. Of ASCII texts lower() does the same by bytes; translate() looks up each sign as a string."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in each group, and how many of its documents have it."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    rows = docs.select(filled("text"), filled("lang"), filled("source"))
+    # A task counts group after group, so the keys that it meets at a time are those of one group and not of all.
+    rows = docs.select(filled("text"), filled("lang"), filled("source")).sortWithinPartitions("lang", "source")
     # Matches are the runs between what is no match. Splitting finds them in one pass; regexp_extract_all copies the text for each.
-    terms = rows.select("lang", "source", F.split(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), NO_TERM).alias("terms"))
+    terms = rows.select("lang", "source", F.split(lower_ascii(F.col("text")), NO_TERM).alias("terms"))
     # All occurrences, then each different term once for its document.
     both = terms.select("lang", "source", F.size("terms").alias("size"), F.concat("terms", F.array_distinct("terms")).alias("both"))
     each = both.select("lang", "source", "size", F.posexplode("both").alias("at", "term")).filter("term <> ''")
