@@ -343,3 +343,27 @@ def test_clashing_extra_columns_in_every_stage(spark, small):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, small)
         assert out.columns == docs.columns and out.count() <= docs.count(), name
+
+
+def test_few_links_are_connected_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    chain, star = [(-i, -i - 1) for i in range(1, 300)], [(5_000, 5_001 + i) for i in range(300)]
+    loose = [tuple(x) for x in rng.integers(10_000, 10_700, (400, 2)).tolist()]
+    links = [*chain, *star, *loose, (7, 7)]
+    least = {x: x for pair in links for x in pair}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    wanted = {x: root for x, root in least.items() if x != root}
+    frame = spark.createDataFrame(links, "a long, b long").repartition(8)
+    spark.sparkContext.setJobGroup("few links", "")
+    found = near_duplicates.connected(frame, rows=len(links)).collect()
+    tracker = spark.sparkContext.statusTracker()
+    tasks = sum(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(found) == len(wanted) and {r.node: r.root for r in found} == wanted
+    assert 0 < tasks < 60
+    monkeypatch.setattr(near_duplicates, "FILE_ROWS", 100)
+    more = near_duplicates.connected(frame, rows=len(links)).collect()
+    assert len(more) == len(wanted) and {r.node: r.root for r in more} == wanted
+    assert near_duplicates.connected(frame.limit(0), rows=0).collect() == []

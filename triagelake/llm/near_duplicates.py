@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STAGE_BYTES, WordArrays, checkpointed, filled, segment_sums, shared_folder, slices, written
+from .common import FILE_ROWS, STAGE_BYTES, WordArrays, checkpointed, filled, segment_sums, shared_folder, slices, written
 
 SHINGLE = 3
 DISTANCE = 2
@@ -211,8 +211,28 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return postings.select("choice", "key", "fp").repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(_links, "a long, b long").distinct()
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links (u, v) of a task, without the roots themselves: roots of linked nodes are hooked to the smaller one until links have one root."""
+    parts = [tuple(np.asarray(batch.column(c)) for c in ("u", "v")) for batch in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(part[i] for part in parts)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    tied = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], names=["node", "root"])
+
+
 def connected(links: DataFrame, rounds: int = 40, rows: int | None = None) -> DataFrame:
-    """(node, root) of every linked node; root is the smallest node that it reaches. ``rows``: how many links there are about, if known."""
+    """(node, root) of every linked node; root is the smallest node that it reaches. ``rows``: how many links there are, if known. What one file of a
+    checkpoint holds (1 MB) is connected by the task that writes it; more links go by rounds of shuffles, of which each costs thousands of tasks and their
+    records at the driver, however few links there are."""
+    if rows is not None and rows <= FILE_ROWS:
+        return checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).repartition(1).mapInArrow(_united, "node long, root long"))
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), rows)
     before = None
     for _ in range(rounds):
