@@ -45,10 +45,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(filled("text"), filled("lang"), filled("source")).sortWithinPartitions("lang", "source")
     # Matches are the runs between what is no match. Splitting finds them in one pass; regexp_extract_all copies the text for each.
     terms = rows.select("lang", "source", F.split(lower_ascii(F.col("text")), NO_TERM).alias("terms"))
-    # All occurrences, then each different term once for its document.
-    both = terms.select("lang", "source", F.size("terms").alias("size"), F.concat("terms", F.array_distinct("terms")).alias("both"))
-    each = both.select("lang", "source", "size", F.posexplode("both").alias("at", "term")).filter("term <> ''")
-    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") < F.col("size")).alias("n"), F.count_if(F.col("at") >= F.col("size")).alias("docs"))
+    # Sorted, the occurrences of a term in a document stand together: the first of them counts the document.
+    sorted_terms = terms.select("lang", "source", F.sort_array("terms").alias("terms"))
+    each = sorted_terms.select("lang", "source", "terms", F.posexplode("terms").alias("at", "term")).filter("term <> ''")
+    marked = each.select("lang", "source", "term", F.expr("CASE WHEN at = 0 THEN true ELSE terms[at - 1] <> term END").alias("fresh"))
+    return marked.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if("fresh").alias("docs"))
 
 
 def _share(count: Column, total: Column, size: Column) -> Column:
