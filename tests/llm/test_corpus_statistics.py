@@ -219,3 +219,22 @@ def test_each_occurrence_of_a_term_is_one_row(spark):
     assert found == {("x", "s", "a"): (2, 1), ("x", "s", "b"): (3, 2), ("x", "s", "c"): (1, 1), ("x", "t", "b"): (3, 1), ("x", "t", "\u00c9\u00e9"): (1, 1)}
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" not in plan and "concat" not in plan
+
+
+def test_each_text_is_split_and_sorted_once(spark):
+    """No filter that Spark puts before the explosion repeats the split, and texts without terms give no rows."""
+    docs = spark.createDataFrame([("A b a", "x", "s"), ("", "x", "s"), ("1 !", "x", "t"), (None, "x", "u")], "text string, lang string, source string")
+    counts = source_divergence.term_counts(docs)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("sort_array(") == 1
+    assert counts.columns == ["lang", "source", "term", "n", "docs"] and dict(counts.dtypes)["term"] == "string"
+    assert sorted(map(tuple, counts.collect())) == [("x", "s", "a", 2, 1), ("x", "s", "b", 1, 1)]
+
+
+def test_shares_are_exact_on_both_sides_of_64_bits(spark):
+    edge = source_divergence.NARROW - 2
+    rows = [(c, max(c, t), v) for c in (0, 7, edge - 1, edge, edge + 1, 10**12, 10**15) for t in (0, edge, 10**15 + 1) for v in (1, 12_345)]
+    frame = spark.createDataFrame(rows, "c long, t long, v long")
+    got = frame.select("c", "t", "v", source_divergence._share(frame.c, frame.t, frame.v).alias("p"))
+    assert dict(got.dtypes)["p"] == "bigint"
+    assert [r.p for r in got.collect()] == [1 + 10**9 * (r.c + 2) // (r.t + 2 * r.v) for r in got.collect()]

@@ -9,7 +9,7 @@ language's share.
 Plan: matches are exploded once, group after group within a task, and combined before the shuffle, so a hot source or word costs one row for each task. Groups are crossed
 with kept terms through an equi-join on (lang, slot): terms are dealt over ``SLOTS`` slots by their hash and the few groups of a language are copied to each,
 so no language is one key. The dense rows meet themselves on lang and term, each pair of sources once, and are summed before they are shuffled.
-Shares are at most 10^9 + 1, so squares fit in 64 bits; the product before a share's division is a decimal of 38 digits.
+Shares are at most 10^9 + 1, so squares fit in 64 bits; where the product before a share's division does not, it is a decimal of 38 digits.
 
 Cases: null text, lang and source are empty strings. Groups without terms, and languages that keep none, still have their pairs, with value 0. Repeated
 rows are documents of their own. A language of one source has no pairs. Empty tables give no rows. Only text, lang and source are read.
@@ -31,6 +31,8 @@ TOP_TERMS = 10
 #: Tasks that the kept terms of one language are dealt over.
 SLOTS = 64
 UNIT = 1_000_000_000
+#: The largest count whose product with ``UNIT`` fits in 64 bits.
+NARROW = (2**63 - 1) // UNIT
 
 
 def lower_ascii(text: Column) -> Column:
@@ -47,16 +49,21 @@ def term_counts(docs: DataFrame) -> DataFrame:
     terms = rows.select("lang", "source", F.split(lower_ascii(F.col("text")), NO_TERM).alias("terms"))
     # Sorted, the occurrences of a term in a document stand together: the first of them counts the document.
     sorted_terms = terms.select("lang", "source", F.sort_array("terms").alias("terms"))
-    each = sorted_terms.select("lang", "source", "terms", F.posexplode("terms").alias("at", "term")).filter("term <> ''")
-    marked = each.select("lang", "source", "term", F.expr("CASE WHEN at = 0 THEN true ELSE terms[at - 1] <> term END").alias("fresh"))
-    return marked.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if("fresh").alias("docs"))
+    # The outer form has no filter on the array's size put before it, which would split and sort each text a second time; no array is empty.
+    each = sorted_terms.select("lang", "source", "terms", F.posexplode_outer("terms").alias("at", "term")).filter("term <> ''")
+    marked = each.select("lang", "source", F.col("term").cast("binary").alias("key"), F.expr("CASE WHEN at = 0 THEN true ELSE terms[at - 1] <> term END").alias("fresh"))
+    # Keys of strings alone are first looked up in a map of 65,536 keys, which a task's terms fill at once; those of bytes go to the large map directly.
+    counts = marked.groupBy("lang", "source", "key").agg(F.count("*").alias("n"), F.count_if("fresh").alias("docs"))
+    return counts.select("lang", "source", F.col("key").cast("string").alias("term"), "n", "docs")
 
 
 def _share(count: Column, total: Column, size: Column) -> Column:
-    """1 + floor(10^9 (count + 2) / (total + 2 size)), exactly."""
+    """1 + floor(10^9 (count + 2) / (total + 2 size)), exactly: in 64 bits where the product fits them, else in decimals, which are slow."""
     wide = lambda c: c.cast("decimal(20,0)")
-    top, bottom = F.lit(UNIT).cast("decimal(10,0)") * wide(count + 2), wide(total + 2 * size)
-    return F.call_function("div", top, bottom) + 1
+    top, bottom = count + 2, total + 2 * size
+    narrow = F.call_function("div", F.lit(UNIT).cast("long") * top, bottom)
+    exact = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * wide(top), wide(bottom))
+    return F.when(top <= NARROW, narrow).otherwise(exact) + 1
 
 
 def _apart(p: Column, q: Column) -> Column:
