@@ -1,6 +1,7 @@
 """Patterns across conversations: keyed entities, lexical similarity, links within a window, components and alerts.
 
-Pairs come from equi-joins on what two cases share (a token, a term, a gram), never from a product of all cases.
+Links come from equi-joins on what two cases share (a token, a term, a gram), never from a product of all cases. The best score
+of all pairs is found block by block (``all_pairs``).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
+from .all_pairs import shared_sums
 
 WINDOW_DAYS, LEAST_CLUSTER = 14, 3
 K1, B = 1.5, 0.75
@@ -100,7 +102,7 @@ def spanning_links(tokens: DataFrame, cases: DataFrame, window_days: float = WIN
 
 def _term_parts(words: DataFrame) -> DataFrame:
     """(case_id, term, part): what a shared term adds to the score of a pair with this case as its second."""
-    tf = words.groupBy("case_id", "term").agg(F.count("*").alias("tf"))
+    tf = checkpointed(words.groupBy("case_id", "term").agg(F.count("*").alias("tf")))
     lengths = tf.groupBy("case_id").agg(F.sum("tf").alias("length"))
     facts = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -159,14 +161,17 @@ def bm25_candidates(index: DataFrame, above: float, formed: bool = False) -> Dat
 
 
 def best_bm25(parts: DataFrame) -> DataFrame:
-    """(top): the largest score of any two cases, by an index of terms by rarity and largest part, without scoring most pairs.
+    """(top): the largest score of any two cases, without scoring most pairs and with nothing shuffled that grows with pairs.
 
-    Pairs that share a rare, heavy term give a score to beat; then only pairs that may beat it are formed and scored.
+    Pairs that share a rare, heavy term give a score to beat; then only cases whose terms may add up to more meet, block by block.
     """
     index = checkpointed(term_index(parts))
     own = index.select("case_id", "term", "part")
     found = _scores(own, bm25_seeds(index)).agg(F.max("bm25")).first()[0] or 0.0
-    rest = _scores(own, bm25_candidates(index, found)).agg(F.max("bm25").alias("rest"))
+    # Sums in another order may differ in their last digits, as in bm25_candidates.
+    able = index.groupBy("case_id").agg(F.sum("most").alias("any")).filter(F.col("any") > F.lit(found * (1 - 1e-9))).select("case_id")
+    entries = checkpointed(own.join(able, "case_id", "left_semi").select("case_id", "term", F.col("part").alias("w"), F.lit(1.0).alias("scale")))
+    rest = shared_sums(entries, binary=True, best=True).agg(F.max("value").alias("rest"))
     return rest.select(F.greatest(F.coalesce("rest", F.lit(0.0)), F.lit(found)).alias("top"))
 
 
@@ -177,9 +182,9 @@ def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
     given pairs, such as links, but not the norm: without it every two cases with a common term are listed, which suits small sets only.
     """
     parts = checkpointed(_term_parts(words))
+    top = best_bm25(parts).first()["top"] or 1.0
     scored = _scores(parts, among)
-    top = scored.agg(F.max("bm25").alias("top")) if among is None else best_bm25(parts)
-    return scored.crossJoin(F.broadcast(top)).select("a", "b", "bm25", (F.col("bm25") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("bm25_norm"))
+    return scored.select("a", "b", "bm25", (F.col("bm25") / F.lit(top)).alias("bm25_norm"))
 
 
 def gram_cosine(grams: DataFrame, among: DataFrame | None = None) -> DataFrame:
