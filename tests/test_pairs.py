@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from triagelake.functions import text as T
 from triagelake.operators import all_pairs, cluster
 from triagelake.sources.tables import checkpointed
 
@@ -39,3 +41,14 @@ def test_the_best_score_needs_no_table_of_candidate_pairs(spark, monkeypatch):
     want = cluster._scores(parts).agg(F.max("bm25")).first()[0]
     monkeypatch.setattr(cluster, "bm25_candidates", None)
     assert math.isclose(cluster.best_bm25(parts).first()["top"], want, rel_tol=1e-12)
+
+
+def test_grams_of_a_long_account_take_time_in_proportion(spark):
+    """80,000 characters: looked at anew for each gram these are 6 billion steps."""
+    long = "Ab  é\n😀x" * 10_000
+    began = time.time()
+    rows = spark.createDataFrame([(1, long), (2, "aB"), (3, None), (4, ""), (5, "a\t\tbc")], "id int, text string").select("id", T.char_ngrams(F.col("text")).alias("g"))
+    got = {r["id"]: r["g"] for r in rows.collect()}
+    assert time.time() - began < 20
+    flat = "ab é 😀x" * 10_000
+    assert got[1] == [flat[i : i + 3] for i in range(len(flat) - 2)] and got[5] == ["a b", " bc"] and not got[2] and not got[3] and not got[4]

@@ -44,9 +44,11 @@ def word_tokens(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
     """All character n-grams of the lower-cased text with blanks collapsed (not trimmed)."""
-    squashed = F.regexp_replace(F.lower(text), r"\s+", " ")
-    last = F.length(squashed) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(squashed, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # Characters are cut once and bound to a name: what a lambda reads from outside is made anew for each gram.
+    cut = F.array(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), ""))
+    gram = lambda c, i: F.concat(*[F.get(c, i + k) for k in range(n)])
+    grams = F.transform(cut, lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: gram(c, i))).otherwise(F.array().cast("array<string>")))
+    return F.coalesce(F.get(grams, F.lit(0)), F.array().cast("array<string>"))
 
 
 def _accents() -> tuple[str, str]:

@@ -522,7 +522,8 @@ HEAD = head.HeadParams(
 def _lexical(spark, d, links):
     pairs = links.select("a", "b")
     words = S.turns(spark, d).select("case_id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
-    grams = S.accounts(spark, d).select("case_id", F.explode(T.char_ngrams(F.col("account"))).alias("gram"))
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("case_id")).distinct()
+    grams = S.accounts(spark, d).join(linked, "case_id", "left_semi").select("case_id", F.explode(T.char_ngrams(F.col("account"))).alias("gram"))
     both = pairs.join(cluster.bm25_pairs(words, pairs), ["a", "b"], "left").join(cluster.gram_cosine(grams, pairs), ["a", "b"], "left")
     return both.select("a", "b", (0.5 * F.coalesce("bm25_norm", F.lit(0.0)) + 0.5 * F.coalesce("cosine", F.lit(0.0))).alias("lexical"))
 
