@@ -1,4 +1,4 @@
-"""Sums over shared terms of all pairs, block by block: held against brute force."""
+"""Sums over shared terms of all pairs, block by block: held against brute force, and no shuffle of pairs."""
 
 import math
 import random
@@ -12,6 +12,14 @@ from triagelake.operators import all_pairs, cluster
 from triagelake.sources.tables import checkpointed
 
 
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    found = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+
 @pytest.mark.parametrize("binary", [False, True])
 def test_blocks_and_tiles_of_any_size_give_the_sums_of_all_pairs(spark, monkeypatch, binary):
     rng = random.Random(3)
@@ -52,3 +60,12 @@ def test_grams_of_a_long_account_take_time_in_proportion(spark):
     assert time.time() - began < 20
     flat = "ab é 😀x" * 10_000
     assert got[1] == [flat[i : i + 3] for i in range(len(flat) - 2)] and got[5] == ["a b", " bc"] and not got[2] and not got[3] and not got[4]
+
+
+@pytest.mark.parametrize("of", ["gram_cosine"])
+def test_listing_all_pairs_shuffles_none_of_them(spark, of):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(f"c{c:03d}", f"w{t}") for c in range(800) for t in range(15) for _ in range(rng.randint(1, 3))], "case_id string, term string")
+    before = shuffled(spark)
+    out = cluster.bm25_pairs(rows) if of == "bm25_pairs" else cluster.gram_cosine(rows.withColumnRenamed("term", "gram"))
+    assert out.count() == 800 * 799 // 2 and shuffled(spark) - before < 200_000

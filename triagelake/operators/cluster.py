@@ -1,7 +1,7 @@
 """Patterns across conversations: keyed entities, lexical similarity, links within a window, components and alerts.
 
-Links come from equi-joins on what two cases share (a token, a term, a gram), never from a product of all cases. The best score
-of all pairs is found block by block (``all_pairs``).
+Links come from equi-joins on what two cases share (a token, a term, a gram), never from a product of all cases. What is asked of all pairs (``bm25_pairs`` and
+``gram_cosine`` without ``among``, the best score) is summed block by block (``all_pairs``).
 """
 
 from __future__ import annotations
@@ -189,11 +189,13 @@ def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
 
 def gram_cosine(grams: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(a, b, cosine) of gram counts for pairs a < b with a common gram; other pairs are 0 and left out. ``among`` as in bm25_pairs."""
-    tf = grams.groupBy("case_id", "gram").agg(F.count("*").alias("n"))
+    tf = checkpointed(grams.groupBy("case_id", "gram").agg(F.count("*").alias("n")))
     norms = tf.groupBy("case_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    if among is None:
+        entries = tf.join(norms, "case_id").select("case_id", F.col("gram").alias("term"), F.col("n").cast("double").alias("w"), F.col("norm").alias("scale"))
+        return shared_sums(entries).withColumnRenamed("value", "cosine")
     left, right = tf.toDF("a", "gram", "na"), tf.toDF("b", "gram", "nb")
-    met = left.join(right, "gram").filter("a < b") if among is None else among.select("a", "b").join(left, "a").join(right, ["b", "gram"])
-    pairs = met.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    pairs = among.select("a", "b").join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
     return pairs.join(norms.toDF("a", "norm_a"), "a").join(norms.toDF("b", "norm_b"), "b").select("a", "b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("cosine"))
 
 
