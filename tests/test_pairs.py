@@ -62,7 +62,7 @@ def test_grams_of_a_long_account_take_time_in_proportion(spark):
     assert got[1] == [flat[i : i + 3] for i in range(len(flat) - 2)] and got[5] == ["a b", " bc"] and not got[2] and not got[3] and not got[4]
 
 
-@pytest.mark.parametrize("of", ["gram_cosine"])
+@pytest.mark.parametrize("of", ["bm25_pairs", "gram_cosine"])
 def test_listing_all_pairs_shuffles_none_of_them(spark, of):
     rng = random.Random(2)
     rows = spark.createDataFrame([(f"c{c:03d}", f"w{t}") for c in range(800) for t in range(15) for _ in range(rng.randint(1, 3))], "case_id string, term string")

@@ -183,7 +183,10 @@ def bm25_pairs(words: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """
     parts = checkpointed(_term_parts(words))
     top = best_bm25(parts).first()["top"] or 1.0
-    scored = _scores(parts, among)
+    if among is None:
+        scored = shared_sums(parts.select("case_id", "term", F.col("part").alias("w"), F.lit(1.0).alias("scale")), binary=True).withColumnRenamed("value", "bm25")
+    else:
+        scored = _scores(parts, among)
     return scored.select("a", "b", "bm25", (F.col("bm25") / F.lit(top)).alias("bm25_norm"))
 
 
