@@ -108,6 +108,7 @@ def _chances(x: np.ndarray, w: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def _step(data: DataFrame, plan: Plan, weights: list[np.ndarray], penalty: float) -> list[tuple[float, np.ndarray]]:
     """Loss at the weights and Newton's step from there, of each model."""
     shared = data.sparkSession.sparkContext.broadcast((plan, weights))
+    classes_in_all = plan.weight.shape[-1]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, weights = shared.value
@@ -126,10 +127,10 @@ def _step(data: DataFrame, plan: Plan, weights: list[np.ndarray], penalty: float
                 p, t, cost = _chances(own, w, classes), y[mine], classes[y[mine]]
                 loss, grad, hess = out[m]
                 loss -= (cost * np.log(np.maximum(p[np.arange(len(t)), t], 1e-300))).sum()
-                grad += (cost[:, None] * (p - np.eye(K)[t])).T @ own
+                grad += (cost[:, None] * (p - np.eye(classes_in_all)[t])).T @ own
                 wide = w.shape[1]
-                for a in range(K):
-                    for b in range(a, K):
+                for a in range(classes_in_all):
+                    for b in range(a, classes_in_all):
                         part = own.T @ ((cost * p[:, a] * ((a == b) - p[:, b]))[:, None] * own)
                         hess[a * wide : (a + 1) * wide, b * wide : (b + 1) * wide] += part
                         if a != b:
@@ -154,7 +155,7 @@ def _step(data: DataFrame, plan: Plan, weights: list[np.ndarray], penalty: float
 
 def fit_all(data: DataFrame, plan: Plan, c: float = 0.5, close: float = 1e-7, rounds: int = 50) -> list[np.ndarray]:
     """Weights of all models, one row for each tier, the intercept last. A step that made a model worse is halved."""
-    weights = [np.zeros((K, len(plan.columns[rung]))) for _, rung, _, _ in plan.models()]
+    weights = [np.zeros((plan.weight.shape[-1], len(plan.columns[rung]))) for _, rung, _, _ in plan.models()]
     base, best = list(weights), [np.inf] * len(weights)
     for _ in range(rounds):
         moved = 0.0
