@@ -50,3 +50,42 @@ def test_one_kind_of_cases_and_features_that_are_missing(rows):
     for bad in (None, float("nan")):
         with pytest.raises(ValueError, match="not finite: x"):
             head.fit_head(rows.withColumn("x", F.when(F.col("case_id") == "c7", F.lit(bad)).otherwise(F.col("x"))), NAMES)
+
+
+def test_terms_are_counted_in_slices_as_they_are_listed(spark, monkeypatch):
+    from triagelake.functions.text import char_terms, word_terms
+
+    rng = random.Random(9)
+    said = [" ".join(rng.choices(["a", "Dögs", "big", "x_1", "😀ab", "\n\tlong-word", "İs", "run run", "'"], k=rng.randint(0, 30))) for _ in range(60)] + [None, "", "  "]
+    texts = checkpointed(spark.createDataFrame([(t,) for t in said], "text string"))
+    text = F.coalesce("text", F.lit(""))
+    want = {}
+    for kind, terms in enumerate((word_terms(text), char_terms(text))):
+        for r in texts.withColumn("i", F.monotonically_increasing_id()).select("i", F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("i").alias("df")).collect():
+            want[kind, r["term"]] = (r["n"], r["df"])
+    assert {(r["kind"], r["term"]): (r["n"], r["df"]) for r in head.term_totals(texts).collect()} == want
+    monkeypatch.setattr(head, "SLICE", 40)
+    batch = head.with_words(texts).select("_words", "_runs").toArrow().combine_chunks().to_batches()[0]
+    cut = list(head._slices([batch]))
+    found = {}
+    for part in cut:
+        for kind, (_, term, count, names) in enumerate(head.counted_terms(part)):
+            for t, n in zip(term, count):
+                old = found.get((kind, names[t].as_py()), (0, 0))
+                found[kind, names[t].as_py()] = old[0] + n, old[1] + 1
+    assert len(cut) > 10 and sum(part.num_rows for part in cut) == 63 and found == want
+
+
+def test_the_text_model_reads_its_rows_few_times(spark):
+    """The texts are read once to count terms and once to weigh them, not for each vocabulary and idf."""
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [(f"{'good kind' if i % 2 else 'bad cruel'} words number {i % 4}", "ab"[i % 2]) for i in range(40)]
+    rows = checkpointed(spark.createDataFrame(texts, "text string, label string")).mapInArrow(through, "text string, label string")
+    model = head.fit_text_baseline(rows)
+    assert read.value <= 3 * 40 and model.predict(rows).filter("predicted = label").count() == 40

@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def test_blocks_and_tiles_of_any_size_give_the_sums_of_all_pairs(spark, monkeypa
             if a < b and s == t:
                 want[a, b] = want.get((a, b), 0.0) + (1.0 if binary else x) * y / (scale[a] * scale[b])
     entries = checkpointed(spark.createDataFrame(rows, "case_id string, term string, w double, scale double"))
-    for sizes in ({}, {"BLOCK": 7, "CELLS": 30, "PAIRS": 9, "PRODUCTS": 5, "SLAB": 2, "TASKS": 3}, {"BLOCKS": 1}):
+    for sizes in ({}, {"BLOCK": 7, "TASKS": 3}, {"BLOCKS": 1}):
         for name, value in sizes.items():
             monkeypatch.setattr(all_pairs, name, value)
         got = {(r["a"], r["b"]): r["value"] for r in all_pairs.shared_sums(entries, binary).collect()}
@@ -41,6 +42,20 @@ def test_blocks_and_tiles_of_any_size_give_the_sums_of_all_pairs(spark, monkeypa
         assert math.isclose(all_pairs.shared_sums(entries, binary, best=True).agg(F.max("value")).first()[0], max(want.values()), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("common", [0, 3, 12])
+def test_tiles_of_any_size_give_the_matrix_product(monkeypatch, common):
+    rng = np.random.default_rng(common)
+    x, y = (np.where(rng.random((n, 12)) < 0.4, rng.random((n, 12)), 0.0) for n in (9, 7))
+    sides = [(*np.nonzero(v), v[np.nonzero(v)]) for v in (x, y)]
+    for cells, products, slab in ((1 << 21, 1 << 22, 512), (1, 1, 1), (20, 5, 2)):
+        for name, value in (("CELLS", cells), ("PRODUCTS", products), ("SLAB", slab)):
+            monkeypatch.setattr(all_pairs, name, value)
+        for binary, want in ((False, x @ y.T), (True, (x > 0) @ y.T)):
+            tiles = list(all_pairs._tiles(*sides, 9, 7, common, binary))
+            assert np.allclose(np.vstack([t for _, t in tiles]), want) and len(tiles) == -(-9 // max(1, cells // 7))
+            assert [top for top, _ in tiles] == np.cumsum([0, *(len(t) for _, t in tiles[:-1])]).tolist()
+
+
 def test_the_best_score_needs_no_table_of_candidate_pairs(spark, monkeypatch):
     """Cases that share common words and no rare ones: all pairs may be the best."""
     rng = random.Random(1)

@@ -64,16 +64,26 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, *_accents())
 
 
+def word_list(text: Column) -> Column:
+    """Words of two letters, digits or underscores at least, lower-cased and without accents; repeats stay."""
+    return F.regexp_extract_all(F.lower(strip_accents(text)), F.lit(r"(?U)(\w\w+)"), F.lit(1))
+
+
+def word_runs(text: Column) -> Column:
+    """What stands between blanks, lower-cased; repeats stay."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
 def word_terms(text: Column) -> Column:
-    """Words of two letters, digits or underscores at least, lower-cased and without accents, and their neighbouring pairs; repeats stay."""
-    words = F.regexp_extract_all(F.lower(strip_accents(text)), F.lit(r"(?U)(\w\w+)"), F.lit(1))
+    """The words of ``word_list`` and their neighbouring pairs; repeats stay."""
+    words = word_list(text)
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return F.concat(words, pairs)
 
 
 def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams within words, each with a blank at both ends; a word no longer than n is one gram, once."""
-    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    words = F.transform(word_runs(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = lambda w, n: F.when(F.length(w) >= n if n > low else F.lit(True), F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     return F.flatten(F.transform(words, lambda w: F.concat(*[grams(w, n) for n in range(low, high + 1)])))
 

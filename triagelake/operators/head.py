@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import hash_ranked
-from ..functions.text import char_terms, interpolate, softmax, word_terms
+from ..functions.text import interpolate, softmax, word_list, word_runs
 from ..sources.tables import checkpointed
 
 TIERS = ("T0", "T1", "T2", "T3", "T4")
 RISKY = ("T3", "T4")
 OVERRIDE_AT = 0.70
+#: Bytes of words whose terms are listed at once; tasks of a pass of the text model's fit, each of which hands on a sum for each weight.
+SLICE, PARTS = 1 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -174,33 +176,45 @@ def majority(rows: DataFrame, label: str) -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1)
 
 
+@dataclass
+class Vocabulary:
+    """Terms by their place."""
+
+    vocabulary: list[str]
+
+
 @dataclass
 class TextBaseline:
     """A fitted text model: both vocabularies, their idf, and the classifier, whose classes are ``labels`` in order."""
 
-    words: object
-    chars: object
+    words: Vocabulary
+    chars: Vocabulary
     idf: tuple
     model: object
     labels: tuple[str, ...]
 
-    def vectors(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (text) with ``x``: 1 + ln(count) times idf, words and characters each of unit length.
+    def vectors(self, rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """``rows`` (text) with ``x``: 1 + ln(count) times idf, words and characters each of unit length; ``keep``: only these columns beside it.
 
-        Terms are the JVM's; each batch of them is looked up, counted and weighed at once, as a matrix in rows of (place, value).
+        Words are the JVM's; each slice of them is counted, looked up and weighed at once, as a matrix in rows of (place, value).
         """
         from pyspark.ml.linalg import VectorUDT
         from pyspark.sql.types import StructField, StructType
 
         shared = rows.sparkSession.sparkContext.broadcast((pa.array(self.words.vocabulary, pa.string()), pa.array(self.chars.vocabulary, pa.string()), self.idf))
-        kept = list(rows.columns)
+        kept = list(rows.columns) if keep is None else keep
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             *vocabularies, idf = shared.value
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _rows_of_matrices([weighted_terms(batch.column(c), v, i) for c, v, i in zip(("word_terms", "char_terms"), vocabularies, idf, strict=True)], batch.num_rows, [len(i) for i in idf])], names=[*kept, "x"])
+            for batch in _slices(batches):
+                parts = []
+                for (row, term, count, names), vocabulary, own in zip(counted_terms(batch), vocabularies, idf, strict=True):
+                    place = pc.index_in(names, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[term]
+                    order = np.argsort((row * max(1, len(vocabulary)) + place)[known := place >= 0], kind="stable")
+                    parts.append(_weighed(*(v[known][order] for v in (row, place, count)), own, batch.num_rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _rows_of_matrices(parts, batch.num_rows, [len(i) for i in idf])], names=[*kept, "x"])
 
-        return with_terms(rows).mapInArrow(weigh, StructType([*rows.schema.fields, StructField("x", VectorUDT())]))
+        return with_words(rows).select(*kept, "_words", "_runs").mapInArrow(weigh, StructType([*(rows.schema[c] for c in kept), StructField("x", VectorUDT())]))
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the predicted label and the probabilities of all labels."""
@@ -210,17 +224,78 @@ class TextBaseline:
         return out.withColumn("predicted", F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)).withColumn("probs", vector_to_array("probability")).drop("x", "rawPrediction", "probability", "prediction")
 
 
+def with_words(rows: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return rows.withColumn("_words", word_list(text)).withColumn("_runs", word_runs(text))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut after every ``SLICE`` bytes of words."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        runs = batch.column("_runs")
+        bytes_to = np.concatenate(([0], np.cumsum(np.asarray(pc.binary_length(runs.flatten()), dtype=np.int64))))
+        upto = bytes_to[np.cumsum(np.asarray(pc.list_value_length(runs), dtype=np.int64))]
+        begin = 0
+        for end in np.flatnonzero(np.diff(upto // SLICE, append=-1)) + 1:
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _coded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and code of each string, and the strings by code."""
+    row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists), dtype=np.int64))
+    coded = lists.flatten().dictionary_encode()
+    return row, np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+
+
+def _counted(row: np.ndarray, term: np.ndarray, names: pa.Array, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, term, count, names) of different terms of each row, in order."""
+    width = max(1, len(names))
+    if weight is None:
+        keys, count = np.unique(row * width + term, return_counts=True)
+    else:
+        keys, at = np.unique(row * width + term, return_inverse=True)
+        count = np.bincount(at, weight, len(keys)).astype(np.int64)
+    return *np.divmod(keys, width), count, names
+
+
+def counted_terms(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """What ``word_terms`` and ``char_terms`` list, counted: (row, term, count, names) of each; grams are cut from different words only."""
+    row, word, names = _coded(batch.column("_words"))
+    near = row[1:] == row[:-1]
+    pairs, pair = np.unique((word[:-1] * max(1, len(names)) + word[1:])[near], return_inverse=True)
+    both = pc.binary_join_element_wise(*(names.take(pa.array(p)) for p in np.divmod(pairs, max(1, len(names)))), " ")
+    words = _counted(np.concatenate((row, row[:-1][near])), np.concatenate((word, pair + len(names))), pa.concat_arrays([names, both]))
+
+    row, run, count, names = _counted(*_coded(batch.column("_runs")))
+    grams: list[str] = []
+    ends = [0]
+    for name in names.to_pylist():
+        spaced = f" {name} "
+        grams += [spaced[i : i + n] for n in (3, 4, 5) for i in range(len(spaced) - n + 1)]
+        ends.append(len(grams))
+    coded = pa.array(grams, pa.string()).dictionary_encode()
+    begin = np.array(ends)
+    many = np.diff(begin)[run]
+    at = np.arange(many.sum()) + np.repeat(begin[run] - (np.cumsum(many) - many), many)
+    return [words, _counted(np.repeat(row, many), np.asarray(coded.indices, dtype=np.int64)[at], coded.dictionary, np.repeat(count, many))]
+
+
+def _weighed(row: np.ndarray, place: np.ndarray, count: np.ndarray, idf: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    value = (1 + np.log(count)) * idf[place]
+    size = np.sqrt(np.bincount(row, value * value, minlength=rows))
+    return row, place, value / np.where(size > 0, size, 1.0)[row]
+
+
 def weighted_terms(terms: pa.Array, vocabulary: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, value) of the terms of the vocabulary in each row: (1 + ln(count)) idf, of unit length by row, in order."""
     lengths = np.asarray(pc.list_value_length(terms).fill_null(0), dtype=np.int64)
     found = pc.index_in(terms.flatten(), value_set=vocabulary)
     known = np.asarray(pc.is_valid(found))
-    place, row = np.asarray(found.drop_null(), dtype=np.int64), np.repeat(np.arange(len(lengths)), lengths)[known]
-    keys, counts = np.unique(row * max(1, len(vocabulary)) + place, return_counts=True)
-    row, place = np.divmod(keys, max(1, len(vocabulary)))
-    value = (1 + np.log(counts)) * idf[place]
-    size = np.sqrt(np.bincount(row, value * value, minlength=len(lengths)))
-    return row, place, value / np.where(size > 0, size, 1.0)[row]
+    row, place, count, _ = _counted(np.repeat(np.arange(len(lengths)), lengths)[known], np.asarray(found.drop_null(), dtype=np.int64), vocabulary)
+    return _weighed(row, place, count, idf, len(lengths))
 
 
 def _rows_of_matrices(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int, widths: list[int]) -> pa.StructArray:
@@ -235,24 +310,33 @@ def _rows_of_matrices(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ro
     return pa.StructArray.from_arrays(fields, names=["type", "size", "indices", "values"])
 
 
-def with_terms(rows: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return rows.withColumn("word_terms", word_terms(text)).withColumn("char_terms", char_terms(text))
+def term_totals(rows: DataFrame) -> DataFrame:
+    """(kind, term, n, df): how often words and pairs (kind 0) and characters (1) are there, and in how many of ``rows`` (text); one pass."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            for kind, (_, term, n, names) in enumerate(counted_terms(batch)):
+                total, df = (np.bincount(term, w, len(names)).astype(np.int64) for w in (n, None))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), names, pa.array(total), pa.array(df)], names=["kind", "term", "n", "df"])
+
+    each = with_words(rows.select("text")).select("_words", "_runs").mapInArrow(count, "kind int, term string, n long, df long")
+    return each.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def fit_text_baseline(rows: DataFrame, label: str = "label", size: int = 200_000, c: float = 4.0) -> TextBaseline:
-    """Words and pairs of two texts at least, characters of three, the most frequent ``size`` of each; smoothed idf; balanced logistic regression."""
+    """Words and pairs of two texts at least, characters of three, the most frequent ``size`` of each; smoothed idf; balanced logistic regression.
+
+    Terms are counted in one pass and weighed in another; the regression's passes go over the vectors in ``PARTS`` tasks at most.
+    """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer
-
-    labels = tuple(r[label] for r in rows.select(label).distinct().orderBy(label).collect())
-    named = with_terms(rows).withColumn("label", (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("double"))
-    words = CountVectorizer(inputCol="word_terms", outputCol="word_counts", minDF=2, vocabSize=size).fit(named)
-    chars = CountVectorizer(inputCol="char_terms", outputCol="char_counts", minDF=3, vocabSize=size).fit(named)
-    counted = chars.transform(words.transform(named))
-    found = [IDF(inputCol=f"{kind}_counts", outputCol="idf").fit(counted) for kind in ("word", "char")]
-    idf = tuple(np.log((1 + m.numDocs) / (1 + np.array(m.docFreq, dtype=np.float64))) + 1 for m in found)
-    baseline = TextBaseline(words, chars, idf, None, labels)
-    data = checkpointed(baseline.vectors(named.drop("word_terms", "char_terms")))
-    baseline.model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c * max(1, found[0].numDocs)), standardization=False, family="multinomial", maxIter=200).fit(balanced(data, "label"))
+
+    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).collect()}
+    labels, n = tuple(sizes), sum(sizes.values())
+    named = rows.select("text", (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("double").alias("label"))
+    totals = checkpointed(term_totals(rows).filter(F.col("df") >= F.when(F.col("kind") == 0, 2).otherwise(3)))
+    found = [totals.filter(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(size).select("term", "df").toArrow() for kind in (0, 1)]
+    idf = tuple(np.log((1 + n) / (1 + np.asarray(t["df"], dtype=np.float64))) + 1 for t in found)
+    baseline = TextBaseline(*(Vocabulary(t["term"].to_pylist()) for t in found), idf, None, labels)
+    data = checkpointed(baseline.vectors(named, ["label"]))
+    baseline.model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1 / (c * max(1, n)), standardization=False, family="multinomial", maxIter=200).fit(balanced(data, "label").coalesce(PARTS))
     return baseline
